@@ -4,9 +4,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def let(value: Column, body) -> Column:
+    """`body(x)` with x bound to a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns added behind a generator, so that later filters and columns refer to their values and
+    the optimizer does not copy their expressions."""
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, held).select(*kept, *[F.col(f"_held.{n}").alias(n) for n in columns])
+
+
 EDGE_CHARS = " \t\r\n·|/-–—:：,"
 
 

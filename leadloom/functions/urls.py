@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import any_of, col, empty_to_null
+from .text import any_of, col, empty_to_null, let
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -20,9 +20,8 @@ def authority(url: Column | str) -> Column:
 
 def host(url: Column | str) -> Column:
     """Lower-case host without user info, port and IPv6 brackets; '' where there is none."""
-    bare = F.regexp_replace(authority(url), "^.*@", "")
-    return F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1))
-                   .otherwise(F.regexp_extract(bare, r"^([^:]*)", 1)))
+    pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"
+    return F.lower(F.btrim(F.regexp_extract(col(url), pattern, 1), F.lit("[]")))
 
 
 def port(url: Column | str) -> Column:
@@ -38,14 +37,12 @@ def query(url: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(col(url), _URL, 4), F.lit(""))
 
 
+_SITE = (r"([^.]+\.(?:" + "|".join(fixed.SECOND_LEVEL_LABELS) + r")\.[^.]+|[^.]+\.[^.]+|[^.]+)$")
+
+
 def registrable(host_col: Column | str) -> Column:
     """Last two labels of a host, or three when the second-last is a known second-level label."""
-    name = F.btrim(F.lower(col(host_col)), F.lit("."))
-    labels = F.split(name, r"\.")
-    n = F.size(labels)
-    second = F.try_element_at(labels, F.lit(-2))
-    keep = F.when(second.isin(*fixed.SECOND_LEVEL_LABELS), 3).otherwise(2)
-    return F.when(n <= 2, name).otherwise(F.array_join(F.slice(labels, n - keep + 1, keep), "."))
+    return F.regexp_extract(F.btrim(F.lower(col(host_col)), F.lit(".")), _SITE, 1)
 
 
 def url_domain(url: Column | str) -> Column:
@@ -59,66 +56,69 @@ def website_domain(website: Column | str) -> Column:
     return empty_to_null(url_domain(full))
 
 
+def root_path(url: Column | str) -> Column:
+    """Path of a URL, '/' where it is empty."""
+    return F.regexp_replace(path(url), "^$", "/")
+
+
 def dedupe_key(url: Column | str) -> Column:
     """Key under which two URLs are the same page: scheme, www., port, fragment and end slash off."""
-    p = F.when(path(url) == "", "/").otherwise(path(url))
-    return F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.rtrim(p, F.lit("/")), F.lit("?"), query(url))
+    return F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.rtrim(path(url), F.lit("/")), F.lit("?"), query(url))
 
 
 def path_depth(url: Column | str) -> Column:
-    p = F.when(path(url) == "", "/").otherwise(path(url))
-    return F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
+    return F.length(F.regexp_replace(root_path(url), "[^/]", ""))
+
+
+_LANGUAGES = "|".join(fixed.KOREAN_LANG_SEGMENTS + fixed.FOREIGN_LANG_SEGMENTS)
 
 
 def language_segment(url: Column | str) -> Column:
     """First path segment when it is a language folder, else null."""
-    first = F.lower(F.regexp_extract(path(url), "^/*([^/]*)", 1))
-    return F.when(first.isin(*fixed.KOREAN_LANG_SEGMENTS, *fixed.FOREIGN_LANG_SEGMENTS), first)
+    return empty_to_null(F.regexp_extract(F.lower(path(url)), rf"^/*({_LANGUAGES})(?:/|$)", 1))
 
 
 def is_foreign_language(url: Column, home_url: Column) -> Column:
     lang, home = language_segment(url), language_segment(home_url)
-    return F.coalesce(F.when(home.isNull(), lang.isin(*fixed.FOREIGN_LANG_SEGMENTS))
-                      .otherwise(lang != home), F.lit(False))
+    return F.when(lang.isNull(), F.lit(False)).when(home.isNull(), lang.isin(*fixed.FOREIGN_LANG_SEGMENTS)).otherwise(lang != home)
 
 
 def _collapse_dots(p: Column) -> Column:
     """Remove `.` and `..` segments of an absolute path."""
-    parts = F.slice(F.split(p, "/", -1), 2, 1_000_000)
-    last = F.element_at(parts, -1)
     empty = F.array().cast("array<string>")
-    kept = F.aggregate(parts, empty, lambda acc, s: F.when(s == ".", acc)
-                       .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-                       .otherwise(F.concat(acc, F.array(s))))
-    tail = F.when(last.isin(".", ".."), "/").otherwise("")
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(p.rlike(r"(^|/)\.{1,2}(/|$)"),
-                  F.when(joined == "/", joined).otherwise(F.concat(joined, tail))).otherwise(p)
-
-
-def resolve(base: Column | str, href: Column | str) -> Column:
-    """`href` made absolute against `base` (absolute, network, root, query and relative forms)."""
-    b, h = col(base), col(href)
-    origin = F.concat(scheme(b), F.lit("://"), authority(b))
-    folder = F.regexp_replace(F.when(path(b) == "", "/").otherwise(path(b)), "[^/]*$", "")
-    rel_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    rel_tail = F.regexp_replace(h, r"^[^?#]*", "")
-    return (F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, _collapse_dots(rel_path), rel_tail))
-            .when(h.startswith("?"), F.concat(origin, path(b), h))
-            .otherwise(F.concat(origin, _collapse_dots(F.concat(folder, rel_path)), rel_tail)))
+    step = lambda acc, s: (F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                           .otherwise(F.concat(acc, F.array(s))))
+    # a path that ends in a dot segment is a folder
+    parts = F.split(F.regexp_replace(F.regexp_replace(p, r"(/\.{1,2})$", "$1/"), "^/", ""), "/", -1)
+    folded = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, empty, step), "/"))
+    return F.when(p.rlike(r"/\.{1,2}(/|$)"), folded).otherwise(p)
+
+
+def link_parts(base: Column | str, href: Column | str) -> Column:
+    """Scheme, authority, path and query of a link made absolute against `base` (absolute, network,
+    root, query and relative forms)."""
+    b, h = col(base), F.regexp_replace(col(href), r"(?U)^\s+|\s+$", "")
+    absolute, network = h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h.startswith("//")
+    own = absolute | network
+    full = F.when(network, F.concat(F.lit("http:"), h)).otherwise(h)
+    rel = F.regexp_extract(h, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(root_path(b), "[^/]*$", "")
+    return F.struct(
+        h.alias("href"), F.when(absolute, scheme(h)).otherwise(scheme(b)).alias("scheme"),
+        F.when(own, authority(full)).otherwise(authority(b)).alias("authority"),
+        F.when(own, path(full)).when(rel == "", path(b)).otherwise(
+            _collapse_dots(F.when(rel.startswith("/"), rel).otherwise(F.concat(folder, rel)))).alias("path"),
+        F.regexp_extract(h, r"^[^?#]*\?([^#]*)", 1).alias("query"))
 
 
 def cleaned_link(base: Column | str, href: Column | str) -> Column:
     """Absolute crawlable form of a link without its fragment, or null when it is not one."""
-    h = F.regexp_replace(col(href), r"(?U)^\s+|\s+$", "")
-    absolute = resolve(base, h)
-    p = F.when(path(absolute) == "", "/").otherwise(path(absolute))
-    low = F.lower(p)
-    q = query(absolute)
-    ok = ((h != "") & ~h.rlike("^" + any_of(fixed.SKIP_SCHEMES)) & scheme(absolute).isin("http", "https")
-          & ~low.rlike(any_of(fixed.SKIP_EXTENSIONS) + "$") & ~low.rlike(any_of(fixed.SKIP_PATH_HINTS)))
-    out = F.concat(scheme(absolute), F.lit("://"), authority(absolute), p,
-                   F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(ok, out)
+    skip = "^$|^" + any_of(fixed.SKIP_SCHEMES)
+    files = any_of(fixed.SKIP_EXTENSIONS) + "$|" + any_of(fixed.SKIP_PATH_HINTS)
+
+    def shaped(u: Column) -> Column:
+        ok = ~u["href"].rlike(skip) & u["scheme"].isin("http", "https") & ~F.lower(u["path"]).rlike(files)
+        return F.when(ok, F.concat(u["scheme"], F.lit("://"), u["authority"], F.regexp_replace(u["path"], "^$", "/"),
+                                   F.regexp_replace(u["query"], "^(.+)$", "?$1")))
+
+    return let(link_parts(base, href), shaped)

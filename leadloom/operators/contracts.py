@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as N
 from ..functions import fixed
 from ..functions.ranking import first_per_key, top_per_key
-from ..functions.text import empty_to_null, one_of, trimmed
+from ..functions.text import computed, empty_to_null, one_of, trimmed
 from ..functions.urls import website_domain
 
 FIELDS = ("lead_id", "company_id", "domain", "company_name", "website", "biz_number", "title",
@@ -30,40 +30,39 @@ def normalise_contracts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     A missing amount is monthly rate x team x months; an empty signing date is the start date.
     """
     c = F.col
-    name = trimmed(c("company_name"))
-    start, end = N.iso_date(c("start_date")), N.iso_date(c("end_date"))
-    monthly, team = N.budget(c("monthly_rate")), N.whole_number(c("team_size"))
-    # months with one decimal, kept as a count of tenths so that the product stays exact
-    months = F.greatest(F.lit(1.0), F.bround((F.datediff(end, start) + 1) / fixed.DAYS_PER_MONTH, 1))
-    tenths = F.bround(months * 10).cast("bigint")
-    derived = F.when((monthly != 0) & start.isNotNull() & end.isNotNull(), F.floor(
-        monthly * F.coalesce(F.nullif(team, F.lit(0)), F.lit(1)) * tenths / F.lit(10).cast("decimal(2,0)")))
     rating = N.whole_number(c("satisfaction"))
     typed = raw.select(
-        "row",
-        F.when(name.isNull(), "company_required")
-        .when(end < start, "dates_invalid")
-        .when(F.coalesce(N.budget(c("amount")), derived).isNull(), "amount_required").alias("code"),
-        N.whole_number(c("lead_id")).alias("lead_id"), N.whole_number(c("company_id")).alias("company_id"),
+        "row", N.whole_number(c("lead_id")).alias("lead_id"), N.whole_number(c("company_id")).alias("company_id"),
         F.coalesce(trimmed("domain"), website_domain(trimmed("website"))).alias("domain"),
-        F.left(name, F.lit(120)).alias("company_name"), trimmed("website").alias("website"),
+        F.left(trimmed("company_name"), F.lit(120)).alias("company_name"), trimmed("website").alias("website"),
         trimmed("biz_number").alias("biz_number"), trimmed("title").alias("title"),
         trimmed("contract_no").alias("contract_no"),
         one_of(c("project_type"), fixed.PROJECT_TYPES).alias("project_type"),
         one_of(c("status"), fixed.CONTRACT_STATUSES, "active").alias("status"),
-        start.alias("start_date"), end.alias("end_date"),
-        F.coalesce(N.iso_date(c("signed_date")), start).alias("signed_date"),
-        F.coalesce(N.budget(c("amount")), derived).cast("bigint").alias("amount"),
-        monthly.alias("monthly_rate"), team.alias("team_size"),
+        N.iso_date(c("start_date")).alias("start_date"), N.iso_date(c("end_date")).alias("end_date"),
+        N.iso_date(c("signed_date")).alias("_signed"), N.budget(c("amount")).alias("_amount"),
+        N.budget(c("monthly_rate")).alias("monthly_rate"), N.whole_number(c("team_size")).alias("team_size"),
         one_of(c("payment_terms"), fixed.PAYMENT_TERMS).alias("payment_terms"),
         trimmed("contact_name").alias("contact_name"), N.rank_code(c("rank")).alias("rank"),
         trimmed("department").alias("department"), N.lead_phone(c("phone")).alias("phone"),
         F.lower(trimmed("email")).alias("email"), trimmed("our_pm").alias("our_pm"),
-        N.tech_list(c("tech")).alias("tech"), F.when(rating.between(1, 5), rating).alias("satisfaction"),
-        F.coalesce(F.nullif(N.whole_number(c("renewal_notice_days")), F.lit(0)),
-                   F.lit(fixed.RENEWAL_NOTICE_DAYS)).alias("renewal_notice_days"),
-        trimmed("memo").alias("memo"))
-    return typed.where("code is null").drop("code"), typed.where("code is not null").select("row", "code")
+        N.tech_list(c("tech")).alias("tech"), rating.alias("_rating"),
+        N.whole_number(c("renewal_notice_days")).alias("_notice"), trimmed("memo").alias("memo"))
+    held = computed(typed, **{f: c(f) for f in ("company_name", "start_date", "end_date", "_signed", "_amount", "monthly_rate",
+                                                "team_size", "_rating", "_notice")})
+    # months with one decimal, counted in tenths so that the product stays exact
+    days = F.datediff("end_date", "start_date") + 1
+    tenths = F.greatest(F.lit(10), F.bround(F.bround(days / fixed.DAYS_PER_MONTH, 1) * 10).cast("bigint"))
+    team = F.coalesce(F.nullif("team_size", F.lit(0)), F.lit(1))
+    derived = F.when(c("monthly_rate") != 0, F.floor(c("monthly_rate") * team * tenths / F.lit(10).cast("decimal(2,0)")).cast("bigint"))
+    priced = computed(held, amount=F.coalesce("_amount", derived))
+    code = (F.when(c("company_name").isNull(), "company_required").when(c("end_date") < c("start_date"), "dates_invalid")
+            .when(c("amount").isNull(), "amount_required"))
+    rows = priced.withColumns({
+        "code": code, "signed_date": F.coalesce("_signed", "start_date"),
+        "satisfaction": F.when(c("_rating").between(1, 5), c("_rating")),
+        "renewal_notice_days": F.coalesce(F.nullif("_notice", F.lit(0)), F.lit(fixed.RENEWAL_NOTICE_DAYS))})
+    return rows.where("code is null").select("row", *FIELDS), rows.where("code is not null").select("row", "code")
 
 
 def contract_flags(contracts: DataFrame, as_of: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..functions import urls as U
 from ..functions.ranking import first_per_key, top_per_key
-from ..functions.text import count_tokens, empty_to_null, escape, first_token, has_token, label_value, tidy, any_of
+from ..functions.text import computed, count_tokens, empty_to_null, escape, first_token, has_token, label_value, tidy, any_of
 
 
 def is_it_job(title: Column, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS) -> Column:
@@ -83,11 +83,11 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
     found = F.concat(links, plain("h[1-4]", 1), F.coalesce(row, F.array().cast(
         "array<struct<phase:int,kind:int,inner:string,href:string>>")), plain("td", 3), plain("strong", 4))
     rows = near.select("domain", "page_idx", "final_url", "piece_pos", "piece", "boxed", F.posexplode(found).alias("pos", "e"))
-    titled = rows.withColumn("title", tidy(html.inline_text(F.col("e.inner")))).where(F.length("title").between(4, 120))
+    titled = computed(rows, title=tidy(html.inline_text(F.col("e.inner")))).where(F.length("title").between(4, 120))
     around = F.when(F.col("boxed"), F.left(tidy(html.inline_text(F.col("piece"))), F.lit(400))).otherwise(F.col("title"))
     target = U.cleaned_link(F.col("final_url"), F.btrim("e.href", F.lit("\"'")))
-    own = F.when(U.url_domain(target) == F.col("domain"), target)
-    c = it_jobs_only(titled, keywords).withColumn("context", around)
+    own = F.when(U.url_domain("_target") == F.col("domain"), F.col("_target"))
+    c = computed(it_jobs_only(titled, keywords), context=around, _target=target)
     return looks_like_posting(c).select(
         "domain", "page_idx", F.col("e.phase").alias("phase"), "title", "context",
         F.coalesce(own, F.col("final_url")).alias("source_url"),
@@ -123,8 +123,8 @@ def dedupe_jobs(c: DataFrame, max_title: int = 60) -> DataFrame:
 def job_fields(c: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS) -> DataFrame:
     context = F.col("context")
     about = F.when(F.length(context) > F.length("title") + 10, F.left(context, F.lit(200)))
-    return c.withColumns({"position": position(F.col("title"), keywords), "location": location(context),
-                          "employment_type": employment_type(context), "deadline": deadline(context), "description": about})
+    return computed(c, position=position(F.col("title"), keywords), location=location(context),
+                    employment_type=employment_type(context), deadline=deadline(context), description=about)
 
 
 def top_jobs(c: DataFrame, n: int = fixed.MAX_JOBS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as N
 from ..functions import fixed
-from ..functions.text import empty_to_null, one_of, trimmed, value_map
+from ..functions.text import computed, empty_to_null, one_of, trimmed, value_map
 from ..functions.urls import website_domain
 
 FIELDS = (
@@ -31,11 +31,11 @@ def normalised(raw: DataFrame) -> DataFrame:
     keep = [x for x in raw.columns if x not in FIELDS]
     name, email = trimmed(c("company_name")), F.lower(trimmed(c("email")))
     status = one_of(c("status"), fixed.LEAD_STATUSES, "new")
-    code = (F.when(name.isNull(), "company_required")
-            .when(~email.rlike(r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"), "email_invalid"))
+    code = (F.when(F.col("company_name").isNull(), "company_required")
+            .when(~F.col("email").rlike(r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"), "email_invalid"))
     text = lambda f: trimmed(c(f)).alias(f)
-    return raw.select(
-        *keep, code.alias("code"),
+    typed = raw.select(
+        *keep,
         N.whole_number(c("company_id")).alias("company_id"),
         F.coalesce(trimmed("domain"), website_domain(trimmed("website"))).alias("domain"),
         F.left(name, F.lit(120)).alias("company_name"), text("website"),
@@ -50,10 +50,11 @@ def normalised(raw: DataFrame) -> DataFrame:
         N.year_month(c("expected_start")).alias("expected_start"),
         F.coalesce(F.lower(trimmed(c("bridge_se"))).isin(*fixed.TRUE_WORDS), F.lit(False)).alias("bridge_se"),
         text("competitor"),
-        F.when(status == "lost", one_of(c("lost_reason"), fixed.LOST_REASONS)).alias("lost_reason"),
+        F.when(F.lower(trimmed("status")) == "lost", one_of(c("lost_reason"), fixed.LOST_REASONS)).alias("lost_reason"),
         F.initcap(one_of(c("it_hiring"), fixed.HIRING_LEVELS)).alias("it_hiring"), status.alias("status"),
         text("assignee"), text("next_action"), N.iso_date(c("next_date")).alias("next_date"),
         N.iso_date(c("last_contact")).alias("last_contact"), text("memo"))
+    return computed(typed, code=code)
 
 
 def normalise_leads(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,8 +93,8 @@ def score_leads(leads: DataFrame, as_of: Column) -> DataFrame:
     parts = [F.struct(F.lit(key).alias("key"), p.cast("int").alias("points")) for key, p in _points(as_of)]
     breakdown = F.filter(F.array(*parts), lambda x: x["points"] > 0)
     total = F.aggregate("score_breakdown", F.lit(0), lambda acc, x: acc + x["points"])
-    return (leads.withColumn("score_breakdown", breakdown)
-            .withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total))))
+    scored = computed(leads, score_breakdown=breakdown)
+    return computed(scored, score=F.greatest(F.lit(0), F.least(F.lit(100), total)))
 
 
 # --- lists and counts --------------------------------------------------------------------

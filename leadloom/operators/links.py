@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..functions import urls as U
 from ..functions.ranking import first_per_key, top_per_key
-from ..functions.text import any_of, label_value, token_pattern, trimmed, value_map
+from ..functions.text import any_of, computed, label_value, token_pattern, trimmed, value_map
 
 LETTERS = "a-z"
 
@@ -28,7 +28,7 @@ def _public_ipv4(ip: Column) -> Column:
 
 
 def _public_ipv6(ip: Column) -> Column:
-    mapped = F.regexp_extract(ip, r"^(?:0{0,4}:){1,6}ffff:(\d{1,3}(?:\.\d{1,3}){3})$|^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 2)
+    mapped = F.regexp_extract(ip, r"^(?:0{0,4}:){1,6}(?:ffff|FFFF):(\d{1,3}(?:\.\d{1,3}){3})$", 1)
     unicast = ip.rlike("^[23][0-9a-f]{3}:") & ~ip.rlike("^(2001:(:|0{0,3}[0-9a-f]{0,2}:|0?1[0-9a-f]{2}:|0?db8:)|2002:|3fff:0?[0-9a-f]{0,3}:)")
     return F.when(mapped != "", _public_ipv4(mapped)).otherwise(unicast)
 
@@ -37,25 +37,24 @@ def admissible_urls(urls: DataFrame, url: str = "url") -> DataFrame:
     """Typed addresses made absolute, with `ok` and the reason of a refusal (names are not resolved)."""
     typed = trimmed(url)
     full = F.when(typed.contains("://"), typed).otherwise(F.concat(F.lit("https://"), typed))
-    sch, host, port = U.scheme(full), F.rtrim(U.host(full), F.lit(".")), U.port(full)
+    parsed = computed(computed(urls, _full=full), _scheme=U.scheme("_full"), _host=F.rtrim(U.host("_full"), F.lit(".")), _port=U.port("_full"))
+    full, sch, host, port = (F.col(c) for c in ("_full", "_scheme", "_host", "_port"))
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     number = port.try_cast("int")
-    reason = (F.when(typed.isNull(), "empty").when(~sch.isin("http", "https"), "scheme")
+    reason = (F.when(full.isNull(), "empty").when(~sch.isin("http", "https"), "scheme")
               .when(host == "", "host")
               .when(host.isin(*fixed.BLOCKED_HOSTS) | host.rlike(r"\.(localhost|local)$"), "blocked_host")
               .when((port != "") & (number.isNull() | ~number.isin(*fixed.ALLOWED_PORTS)), "port")
               .when(host.rlike(rf"^{octet}(\.{octet}){{3}}$") & ~_public_ipv4(host), "private_address")
               .when(host.contains(":") & ~_public_ipv6(host), "private_address"))
-    p, q = U.path(full), U.query(full)
-    shaped = F.concat(sch, F.lit("://"), U.authority(full), F.when(p == "", "/").otherwise(p),
-                      F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return urls.withColumns({"normal_url": F.when(sch.isin("http", "https") & (host != ""), shaped),
-                             "ok": typed.isNotNull() & reason.isNull(), "reason": reason})
+    shaped = F.concat(sch, F.lit("://"), U.authority(full), U.root_path(full), F.regexp_replace(U.query(full), "^(.+)$", "?$1"))
+    held = computed(parsed, normal_url=F.when(sch.isin("http", "https") & (host != ""), shaped), reason=reason)
+    return held.withColumn("ok", F.col("reason").isNull()).drop("_full", "_scheme", "_host", "_port")
 
 
 def clean_links(links: DataFrame, base: str = "base_url", href: str = "href") -> DataFrame:
     """Links with their absolute `url`; links that lead nowhere useful are dropped."""
-    return links.withColumn("url", U.cleaned_link(base, href)).where("url is not null")
+    return computed(links, url=U.cleaned_link(base, href)).where("url is not null")
 
 
 def registrable_domain(df: DataFrame, host_col: str, out: str = "domain") -> DataFrame:
@@ -91,7 +90,7 @@ def category_of(url: Column, anchor: Column, tokens: Mapping[str, Sequence[str]]
 
 def classify_links(links: DataFrame, tokens: Mapping[str, Sequence[str]] = fixed.LINK_TOKENS) -> DataFrame:
     anchor = F.when(F.col("is_frame"), "").otherwise(F.col("anchor"))
-    return links.withColumn("category", category_of(F.col("url"), anchor, tokens))
+    return computed(links, category=category_of(F.col("url"), anchor, tokens))
 
 
 def foreign_language_links(links: DataFrame, homes: DataFrame) -> DataFrame:
@@ -118,11 +117,10 @@ def extract_links(pages: DataFrame) -> DataFrame:
             .select("domain", "from_idx", "final_url", "depth", "from_category", F.posexplode(found).alias("pos", "_l")))
     text = F.left(html.inline_text(F.col("_l.inner")), F.lit(120))
     href = html.unescape_html(F.btrim("_l.href", F.lit("\"'")))
-    links = rows.select(
-        "domain", "from_idx", "pos", "depth", "from_category", F.col("_l.is_frame").alias("is_frame"),
-        F.when(F.col("_l.is_frame"), "").otherwise(text).alias("anchor"),
-        U.cleaned_link(F.col("final_url"), href).alias("url"))
-    return same_domain(links.where("url is not null"))
+    links = computed(rows, anchor=F.when(F.col("_l.is_frame"), "").otherwise(text),
+                     url=U.cleaned_link(F.col("final_url"), href))
+    out = links.select("domain", "from_idx", "pos", "depth", "from_category", F.col("_l.is_frame").alias("is_frame"), "anchor", "url")
+    return same_domain(out.where("url is not null"))
 
 
 def link_graph(pages: DataFrame, links: DataFrame) -> DataFrame:

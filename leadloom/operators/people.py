@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_of, contains_any, escape, tidy
+from ..functions.text import any_of, computed, contains_any, escape, tidy
 from .facts import category_rank, display_name, is_korean_name, is_plausible_name
 
 PEOPLE_PAGES = ("management", "company", "home", "contact")
@@ -41,9 +41,8 @@ def rank_of(title: Column, groups: Sequence[tuple[str, Sequence[str]]] = fixed.T
 
 
 def title_rank(c: DataFrame, titles: Sequence[tuple[str, Sequence[str]]] = fixed.TITLE_GROUPS, text: str = "title") -> DataFrame:
-    index = rank_of(F.col(text), titles)
     label = F.element_at(F.array(*[F.lit(name) for name, _ in titles]), F.col("title_rank") + 1)
-    return c.withColumn("title_rank", index).withColumn("title_group", label)
+    return computed(c, title_rank=rank_of(F.col(text), titles)).withColumn("title_group", label)
 
 
 def is_excluded_role(text: Column) -> Column:
@@ -82,8 +81,8 @@ def contact_candidates(units: DataFrame, banned: DataFrame) -> DataFrame:
         "domain", F.col("final_url").alias("source_url"), "unit", "joined",
         F.struct(category_rank(PEOPLE_PAGES).alias("cat"), "page_idx", "unit_pos").alias("_at"),
         F.posexplode(F.concat(both(title_first, 1, 2), both(name_first, 2, 1))).alias("pos", "c"))
-    c = rows.select("domain", "source_url", "unit", "joined", F.struct("_at", "pos").alias("seq"),
-                    tidy("c.name").alias("name"), tidy("c.title").alias("title"))
+    c = computed(rows, name=tidy("c.name"), title=tidy("c.title")).select(
+        "domain", "source_url", "unit", "joined", F.struct("_at", "pos").alias("seq"), "name", "title")
     loose = F.lower("title").isin(*fixed.LOOSE_TITLES)
     syllables = F.length(F.regexp_replace("name", r"(?U)\s+", ""))
     good = (is_plausible_name(F.col("name")) & ~is_excluded_role(F.lower("unit"))

@@ -61,10 +61,10 @@ def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = F.count_if(F.col("event_type") != "error")
     has = lambda t: F.bool_or(F.col("event_type") == t)
     return (e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("domain"),
-                      day.alias("_day"))
+                      F.col("user_id").alias("_user"), day.alias("_day"))
             .agg(jobs.alias("it_jobs"), F.count_if(F.col("event_type") == "signup").alias("contacts"),
                  has("click").alias("has_email"), has("purchase").alias("has_phone"))
-            .select(F.date_format("_day", "yyyyMMdd").cast("bigint").alias("id"), "domain",
+            .select((F.col("_user") * 100000000 + F.date_format("_day", "yyyyMMdd").cast("bigint")).alias("id"), "domain",
                     F.col("_day").alias("scanned_at"), scan_ops.signal_of(F.col("it_jobs")).alias("it_hiring"),
                     "it_jobs", "contacts", "has_email", "has_phone"))
 
@@ -160,7 +160,7 @@ def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(("price", "schedule", "?"), nat).alias("lost_reason"),
         F.when(nat > 3, F.concat(F.lit("rep "), F.col("n_regionkey").cast("string"))).alias("assignee"),
         F.when(bal % 4 == 0, F.date_format(day, "d/M/yyyy")).alias("next_date"),
-        F.when(bal % 4 == 1, F.lit("call back")).alias("next_action"),
+        F.when(bal % 3 == 0, F.lit("call back")).alias("next_action"),
         F.lit("2024-01-15").alias("last_contact"), F.concat(F.lit("memo "), F.col("n_name")).alias("memo"),
         day.alias("created_on"))
 
