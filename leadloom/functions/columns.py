@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from . import fixed
 from .text import empty_to_null, token_pattern, trimmed
 
-DATE_FORMATS = ("yyyy-M-d", "yyyy.M.d", "yyyy/M/d", "d/M/yyyy", "yyyyMMdd")
+# the shape of a date and its format; the shape keeps the parser off texts it would reject
+DATE_FORMATS = ((r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
+                (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{8}$", "yyyyMMdd"))
 
 
 def rank_code(c: Column) -> Column:
@@ -62,7 +64,8 @@ def budget(c: Column) -> Column:
     factor = lambda u: F.when(u == "억", 1e8).when(u == "만", 1e4).otherwise(1.0)
     parts = F.zip_with(numbers, units, lambda x, u: x.cast("double") * factor(u))
     total = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(numbers) > 0, total.try_cast("bigint"))
+    # plain digits, the common case, need no pattern search
+    return F.when(text.rlike(r"^\d{1,15}$"), text.try_cast("bigint")).when(F.size(numbers) > 0, total.try_cast("bigint"))
 
 
 def digits_number(c: Column) -> Column:
@@ -78,7 +81,10 @@ def whole_number(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     text = F.left(trimmed(c), F.lit(10))
-    return F.coalesce(*[F.try_to_date(text, f) for f in DATE_FORMATS])
+    out = F
+    for shape, form in DATE_FORMATS:
+        out = out.when(text.rlike(shape), F.try_to_date(text, form))
+    return out
 
 
 def year_month(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import unescape_html
+from .text import let, stripped, unescape_html
 
 _HIDDEN = (r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>")
 _TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
@@ -25,7 +25,7 @@ def _nodes(html: Column, glue: str) -> Column:
     """Text nodes of an HTML fragment, each stripped, empty ones dropped, joined by `glue`."""
     marked = unescape_html(F.regexp_replace(html, _TAG, _MARK))
     joined = F.regexp_replace(marked, rf"(?U)[\s{_MARK}]*{_MARK}[\s{_MARK}]*", glue)
-    return F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
+    return stripped(joined)
 
 
 def visible_text(html: Column) -> Column:
@@ -67,20 +67,19 @@ def footer_blocks(html: Column, limit: int = 6) -> Column:
     """Footer elements: <footer> first, then elements whose class or id says footer, then <address>."""
     quoted = r"\s(?:class|id)\s*=\s*[\"'][^\"'>]*footer[^\"'>]*[\"']"
     pattern = (rf"(?is)<(footer|address)\b[^>]*>.*?</\1\s*>|<(\w+)\b[^>]*{quoted}[^>]*>.*?</\2\s*>")
-    blocks = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
     is_a = lambda b, name: b.rlike(rf"(?i)^<{name}\b")
-    ordered = F.concat(F.filter(blocks, lambda b: is_a(b, "footer")),
-                       F.filter(blocks, lambda b: ~is_a(b, "footer") & ~is_a(b, "address")),
-                       F.filter(blocks, lambda b: is_a(b, "address")))
-    return F.slice(ordered, 1, limit)
+    ordered = lambda blocks: F.concat(
+        F.filter(blocks, lambda b: is_a(b, "footer")), F.filter(blocks, lambda b: ~is_a(b, "footer") & ~is_a(b, "address")),
+        F.filter(blocks, lambda b: is_a(b, "address")))
+    return F.slice(let(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), ordered), 1, limit)
 
 
 def footer_text(html: Column, text: Column, max_chars: int = 8000) -> Column:
     """Footer blocks plus the last quarter of the text lines."""
     blocks = block_text(F.array_join(footer_blocks(without_hidden(html)), "<br>"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != "")
-    n = F.size(lines)
-    from_line = F.floor(n * 0.75).cast("int")
-    tail = F.array_join(F.slice(lines, from_line + 1, F.greatest(n - from_line, F.lit(1))), "\n")
+    last_quarter = lambda ls: F.array_join(F.slice(
+        ls, F.floor(F.size(ls) * 0.75).cast("int") + 1, F.size(ls) + 1), "\n")
+    tail = let(lines, last_quarter)
     both = F.array_join(F.filter(F.array(blocks, tail), lambda x: F.btrim(x) != ""), "\n")
     return F.left(F.regexp_replace(both, r"\n{3,}", "\n\n"), F.lit(max_chars))

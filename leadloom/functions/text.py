@@ -31,9 +31,18 @@ def empty_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def stripped(c: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
 def trimmed(c: Column | str) -> Column:
-    """Stripped of white space at both ends; blank becomes null."""
-    return empty_to_null(F.regexp_replace(col(c), r"(?U)^\s+|\s+$", ""))
+    """Stripped text; blank becomes null."""
+    return empty_to_null(stripped(c))
 
 
 def tidy(c: Column | str) -> Column:

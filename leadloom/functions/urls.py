@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import any_of, col, empty_to_null, let
+from .text import any_of, col, empty_to_null, let, stripped
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
@@ -97,7 +97,7 @@ def _collapse_dots(p: Column) -> Column:
 def link_parts(base: Column | str, href: Column | str) -> Column:
     """Scheme, authority, path and query of a link made absolute against `base` (absolute, network,
     root, query and relative forms)."""
-    b, h = col(base), F.regexp_replace(col(href), r"(?U)^\s+|\s+$", "")
+    b, h = col(base), stripped(col(href))
     absolute, network = h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h.startswith("//")
     own = absolute | network
     full = F.when(network, F.concat(F.lit("http:"), h)).otherwise(h)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import format_krw as krw_text
-from ..functions.text import empty_to_null
+from ..functions.text import empty_to_null, stripped
 from .contracts import with_customer_key
 
 COMPANY_EXPORT = ("name", "biz_number", "ceo", "address", "phone", "email", "industry", "website", "it_hiring",
@@ -102,7 +102,7 @@ def calendar_events(leads: DataFrame, contracts: DataFrame) -> DataFrame:
     both = F.array(
         event(F.concat(uid, F.lit("-notice")), F.date_sub("end_date", notice),
               F.concat(F.lit("[계약 만료 "), notice.cast("string"), F.lit("일 전] "), "company_name", F.lit(" — 재계약 제안")),
-              F.regexp_replace(body, r"(?U)^\s+|\s+$", "")),
+              stripped(body)),
         event(F.concat(uid, F.lit("-end")), F.col("end_date"), F.concat(F.lit("[계약 만료] "), "company_name"), _text("title")))
     ends = (contracts.where("status = 'active' and end_date is not null").select(F.explode(both).alias("e")).select("e.*"))
     return follow.unionByName(ends)

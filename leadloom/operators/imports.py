@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.ranking import first_per_key
-from ..functions.text import empty_to_null, value_map
+from ..functions.text import empty_to_null, stripped, value_map
 from .leads import normalised, score_leads
 
 PREVIEW = ("company_name", "contact_name", "rank", "phone", "mobile", "email", "source", "budget", "expected_start")
@@ -17,14 +17,14 @@ PREVIEW = ("company_name", "contact_name", "rank", "phone", "mobile", "email", "
 def map_import_columns(raw: DataFrame, aliases: Mapping[str, Sequence[str]] = fixed.HEADER_ALIASES,
                        values: Mapping[str, Mapping[str, Sequence[str]]] = fixed.VALUE_ALIASES) -> DataFrame:
     """Rows of (row, raw map of original headers) to lead fields; unknown headers are dropped."""
-    header = lambda e: F.ltrim(F.lower(F.regexp_replace(e["key"], r"(?U)^\s+|\s+$", "")), F.lit("﻿"))
+    header = lambda e: F.ltrim(F.lower(stripped(e["key"])), F.lit("﻿"))
 
     def field(name: str) -> Column:
         hits = F.filter(F.map_entries("raw"), lambda e: header(e).isin(*aliases[name]) & (F.coalesce(e["value"], F.lit("")) != ""))
         value = F.try_element_at(hits, F.lit(-1))["value"]
         if name in values:
             codes = {alias: code for code, words in values[name].items() for alias in words}
-            value = F.coalesce(value_map(F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), codes), value)
+            value = F.coalesce(value_map(F.lower(stripped(value)), codes), value)
         return value.alias(name)
 
     return raw.select("row", *[field(name) for name in aliases])

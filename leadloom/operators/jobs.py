@@ -94,26 +94,26 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
         F.struct("page_idx", F.col("e.phase").alias("phase"), "piece_pos", F.col("e.kind").alias("kind"), "pos").alias("seq"))
 
 
-def dedupe_jobs(c: DataFrame, max_title: int = 60) -> DataFrame:
+def dedupe_jobs(c: DataFrame, min_title: int = 4) -> DataFrame:
     """One row per title of a domain (first wins); unlinked titles that contain an earlier title go.
 
-    Containment is found by an equi join of all substrings of an unlinked title (at most
-    `max_title` characters) with the titles of its domain: linear in the rows, no pairs of titles.
+    Containment is found by an equi join of all substrings of an unlinked title (postings have at most
+    60 characters) with the titles of its domain: linear in the rows, no pairs of titles. Titles
+    have at least `min_title` characters.
     """
     low = c.withColumn("_t", F.lower("title"))
-    firsts = low.groupBy("domain", F.col("_t").alias("_s")).agg(F.min("seq").alias("_first"), F.min(F.length("title")).alias("_len"))
-    shortest = F.lit(4)
+    firsts = low.groupBy("domain", F.col("_t").alias("_s")).agg(F.min("seq").alias("_first"))
+    shortest = F.lit(min_title)
     text = F.col("_t")
-    # every stretch of an unlinked title that could be a title by itself; the title alone is left to the
-    # keep-first rule below
+    # every stretch of an unlinked title that could be a title by itself
     starts = F.sequence(F.lit(1), F.length(text) - shortest + 1)
     stretches = F.flatten(F.transform(starts, lambda i: F.transform(
         F.sequence(shortest, F.length(text) - i + 1), lambda n: F.substring(text, i, n))))
     loose = low.where((F.col("phase") == 2) & (F.length("_t") >= shortest))
-    probes = loose.groupBy("domain", "_t").agg(F.max("seq").alias("_last")).select(
+    probes = loose.select("domain", "_t").distinct().select(
         "domain", "_t", F.explode(F.array_distinct(F.filter(stretches, lambda s: s == F.btrim(s)))).alias("_s"))
     # per title: the earliest title contained in it
-    inner = probes.join(firsts.drop("_len"), ["domain", "_s"]).groupBy("domain", "_t").agg(F.min("_first").alias("_inner"))
+    inner = probes.join(firsts, ["domain", "_s"]).groupBy("domain", "_t").agg(F.min("_first").alias("_inner"))
     marked = low.join(inner, ["domain", "_t"], "left")
     dropped = (F.col("phase") == 2) & F.coalesce(F.col("_inner") < F.col("seq"), F.lit(False))
     kept = marked.where(~dropped).drop("_inner")
@@ -139,8 +139,9 @@ def tech_from_jobs(jobs: DataFrame, n: int = 8, keywords: Sequence[str] = fixed.
 
     Every opening is reduced to one flag per keyword before anything is shuffled.
     """
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    hit = lambda k: text.rlike(rf"(?iU)(?<![A-Za-z0-9]){escape(k)}(?![A-Za-z0-9])")
-    flags = jobs.groupBy("domain").agg(*[F.bool_or(hit(k)).alias(f"_k{i}") for i, k in enumerate(keywords)])
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    rows = computed(jobs.select("domain", "title", "description"), _text=text)
+    hit = lambda k: F.col("_text").contains(k) & F.col("_text").rlike(rf"(?<![a-z0-9]){escape(k)}(?![a-z0-9])")
+    flags = rows.groupBy("domain").agg(*[F.bool_or(hit(k.lower())).alias(f"_k{i}") for i, k in enumerate(keywords)])
     found = F.array_compact(F.array(*[F.when(F.col(f"_k{i}"), k) for i, k in enumerate(keywords)]))
     return flags.select("domain", F.slice(found, 1, n).alias("tech"))

@@ -248,22 +248,27 @@ def duplicate_summary(probes: DataFrame, leads: DataFrame) -> DataFrame:
     counts into the size of the union. No pair of rows is ever built, so a value shared by a third
     of all leads costs one row.
     """
-    p = _probe_keys(probes).select("probe_id", "_domain", "_email", "_name")
-    keys = _lead_keys(leads)
     combos = (("domain",), ("email",), ("name",), ("domain", "email"), ("domain", "name"), ("email", "name"),
               ("domain", "email", "name"))
-    total, out = F.lit(0), p
-    for combo in combos:
-        cols = [f"_{k}" for k in combo]
-        tag = "_n_" + "_".join(combo)
-        complete = " and ".join(f"{c} is not null" for c in cols)
-        aggs = [F.count(F.lit(1)).alias(tag)] + ([F.min("id").alias(f"_first_{combo[0]}")] if len(combo) == 1 else [])
-        out = out.join(keys.where(complete).groupBy(*cols).agg(*aggs), cols, "left")
-        n = F.coalesce(tag, F.lit(0))
-        total = total + n if len(combo) % 2 else total - n
-    reason = F.coalesce(*[F.when(F.col(f"_n_{r}") > 0, r) for r in REASONS])
-    first = F.array_min(F.array(*[F.col(f"_first_{r}") for r in REASONS]))
-    return out.select("probe_id", total.cast("bigint").alias("matches"), reason.alias("reason"), first.alias("first_id"))
+    parts = [f"_{r}" for r in REASONS]
+
+    def per_combo(df: DataFrame, *keep: str) -> DataFrame:
+        """One row per combination of keys a row has; parts outside the combination are blank."""
+        entry = lambda i, combo: F.when(F.expr(" and ".join(f"_{k} is not null" for k in combo)), F.struct(
+            F.lit(i).alias("c"), *[(F.col(p) if p[1:] in combo else F.lit("")).alias(p) for p in parts]))
+        rows = computed(df, **{p: F.col(p) for p in parts}).select(*keep, F.explode(F.array_compact(
+            F.array(*[entry(i, combo) for i, combo in enumerate(combos)]))).alias("_c"))
+        return rows.select(*keep, "_c.*")
+
+    sizes = per_combo(_lead_keys(leads), "id").groupBy("c", *parts).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    probed = _probe_keys(probes)
+    hits = per_combo(probed, "probe_id").join(sizes, ["c", *parts])
+    sign = F.when(F.col("c").between(3, 5), -1).otherwise(1)
+    found = hits.groupBy("probe_id").agg(
+        F.sum(sign * F.col("n")).alias("matches"), F.min("first").alias("first_id"), F.min("c").alias("_c"))
+    reason = F.get(F.array(*[F.lit(r) for r in REASONS]), F.col("_c"))
+    return probed.select("probe_id").join(found, "probe_id", "left").select(
+        "probe_id", F.coalesce("matches", F.lit(0)).alias("matches"), reason.alias("reason"), "first_id")
 
 
 # --- activities --------------------------------------------------------------------------

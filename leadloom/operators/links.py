@@ -159,14 +159,20 @@ def footer_coverage(homes: DataFrame) -> DataFrame:
 
 
 def score_links(links: DataFrame, homes: DataFrame, weights: Mapping[str, int] = fixed.CATEGORY_WEIGHT,
-                covered: DataFrame | None = None) -> DataFrame:
+                covered: DataFrame | None = None, spare: bool = False) -> DataFrame:
     """Best score per address of a domain (links must be classified).
 
     Category weight less the path depth; frames on top; foreign folders, categories the home
-    footer covers and links found deeper score less, job pages under job pages more.
+    footer covers and links found deeper score less, job pages under job pages more. With `spare`,
+    unclassified links outside news-like folders are kept too, as category 'other': nearest to the
+    root first, then shortest.
     """
     framed = links.withColumn("category", F.when(F.col("is_frame"), F.coalesce("category", F.lit("company")))
-                              .otherwise(F.col("category"))).where("category is not null")
+                              .otherwise(F.col("category")))
+    if spare:
+        low_value = F.lower(U.path("url")).rlike(any_of(fixed.LOW_VALUE_PATH_HINTS))
+        framed = framed.withColumn("category", F.coalesce("category", F.when(~low_value, "other")))
+    framed = framed.where("category is not null")
     flagged = foreign_language_links(framed, homes)
     if covered is not None:
         flagged = flagged.join(covered.select("domain", "category", F.lit(True).alias("_covered")), ["domain", "category"], "left")
@@ -178,47 +184,32 @@ def score_links(links: DataFrame, homes: DataFrame, weights: Mapping[str, int] =
     bonus = F.when(child & (F.col("category") == "recruitment") & (F.col("from_category") == "recruitment"), 6).otherwise(0)
     penalty = (F.when(F.col("foreign"), fixed.FOREIGN_LANG_PENALTY).otherwise(0)
                + F.when(child, 5).when(F.coalesce("_covered", F.lit(False)), fixed.FOOTER_COVERED_PENALTY).otherwise(0))
-    scored = flagged.withColumn("score", (base + bonus - penalty).cast("int")).withColumn("link_depth", F.col("depth") + 1)
+    spare_score = -(U.path_depth("url") * 100000 + F.length("url"))
+    score = F.when(F.col("category") == "other", spare_score).otherwise(base + bonus - penalty)
+    depth = F.when(F.col("category") == "other", 1).otherwise(F.col("depth") + 1)
+    scored = computed(flagged, score=score.cast("int"), link_depth=depth)
     best = scored.groupBy("domain", "url").agg(F.min_by(
         F.struct("category", "score", "link_depth", "from_idx", "pos"),
         F.struct((-F.col("score")).alias("s"), "link_depth", "from_idx", "pos")).alias("b"))
     return best.select("domain", "url", "b.*")
 
 
-def spare_links(links: DataFrame) -> DataFrame:
-    """Unclassified links outside news-like folders, used when the page budget is not spent."""
-    low = F.lower(U.path("url")).rlike(any_of(fixed.LOW_VALUE_PATH_HINTS))
-    rows = links.where(F.col("category").isNull() & ~F.col("is_frame") & ~low)
-    best = rows.groupBy("domain", "url").agg(F.min(F.struct("from_idx", "pos")).alias("b"))
-    return best.select("domain", "url", "b.*")
-
-
-def crawl_plan(scored: DataFrame, spare: DataFrame | None = None, max_pages: int = fixed.MAX_PAGES,
-               max_depth: int = fixed.MAX_DEPTH, max_recruit: int = fixed.MAX_RECRUITMENT_PAGES,
-               have: int = 1) -> DataFrame:
+def crawl_plan(scored: DataFrame, max_pages: int = fixed.MAX_PAGES, max_depth: int = fixed.MAX_DEPTH,
+               max_recruit: int = fixed.MAX_RECRUITMENT_PAGES, have: int = 1) -> DataFrame:
     """The next pages per domain: best score first, job pages beyond `max_recruit` after all others,
-    then spare links, nearest to the root first. `have` pages of the budget are already there.
+    then spare links. `have` pages of the budget are already there.
 
-    Every class is cut to the budget before the classes meet, so the last ranking sees a bounded
-    number of rows per domain.
+    Each kind of link is cut to what the budget can use before the kinds meet, so the last ranking
+    sees a bounded number of rows per domain.
     """
     budget = max_pages - have
-    keyed = scored.where(F.col("link_depth") <= max_depth).withColumn("_k", U.dedupe_key("url"))
+    keyed = computed(scored.where(F.col("link_depth") <= max_depth), _k=U.dedupe_key("url"))
     order = [F.desc("score"), F.asc("link_depth"), F.asc("from_idx"), F.asc("pos"), F.asc("url")]
-    sort_key = F.struct((-F.col("score")).alias("s"), "link_depth", "from_idx", "pos", "url")
-    once = first_per_key(keyed, ["domain", "_k"], [sort_key])
-    jobs = top_per_key(once.where("category = 'recruitment'"), ["domain"], order, max_recruit + budget)
-    rest = top_per_key(once.where("category <> 'recruitment'"), ["domain"], order, budget)
-    cols = ["domain", "url", "_k", "category", "score", "link_depth", "from_idx", "pos"]
-    queue = (jobs.withColumn("phase", F.when(F.col("rn") <= max_recruit, 0).otherwise(1)).select(*cols, "phase")
-             .unionByName(rest.withColumn("phase", F.lit(0)).select(*cols, "phase")))
-    if spare is not None:
-        named = spare.withColumns({
-            "_k": U.dedupe_key("url"), "category": F.lit("other"), "link_depth": F.lit(1),
-            # nearest to the root first, then shortest: one descending number
-            "score": (-(U.path_depth("url") * 100000 + F.length("url"))).cast("int"), "phase": F.lit(2)})
-        fresh = named.join(keyed.select("domain", "_k"), ["domain", "_k"], "left_anti")
-        once_spare = first_per_key(fresh, ["domain", "_k"], [sort_key])
-        queue = queue.unionByName(top_per_key(once_spare, ["domain"], order, budget).select(*cols, "phase"))
-    ranked = top_per_key(queue, ["domain"], [F.asc("phase"), *order], budget, "rank")
+    is_spare = F.col("category") == "other"
+    first = F.struct(is_spare.alias("o"), (-F.col("score")).alias("s"), "link_depth", "from_idx", "pos", "url")
+    once = first_per_key(keyed, ["domain", "_k"], [first])
+    kind = F.when(F.col("category") == "recruitment", "jobs").when(is_spare, "spare").otherwise("rest")
+    queue = top_per_key(once.withColumn("kind", kind), ["domain", "kind"], order, max_recruit + budget)
+    phase = F.when(F.col("kind") == "spare", 2).when((F.col("kind") == "jobs") & (F.col("rn") > max_recruit), 1).otherwise(0)
+    ranked = top_per_key(queue.withColumn("phase", phase).drop("rn"), ["domain"], [F.asc("phase"), *order], budget, "rank")
     return ranked.select("domain", "rank", "url", "category", "phase", "score", "link_depth")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_of, computed, contains_any, escape, tidy
+from ..functions.text import any_of, computed, contains_any, escape, stripped, tidy
 from .facts import category_rank, display_name, is_korean_name, is_plausible_name
 
 PEOPLE_PAGES = ("management", "company", "home", "contact")
@@ -15,14 +15,14 @@ PEOPLE_PAGES = ("management", "company", "home", "contact")
 
 def text_units(pages: DataFrame, max_unit: int = 120, max_joined: int = 20) -> DataFrame:
     """Lines of a page and pairs of short neighbouring lines (a name above its title)."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")),
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: stripped(x)),
                      lambda x: x != "")
     unit = lambda text, joined: F.struct(text.alias("unit"), F.lit(joined).alias("joined"))
     short = lambda a, b: (F.length(a) <= max_joined) & (F.length(b) <= max_joined)
     pairs = F.zip_with("_lines", F.slice("_lines", 2, 100_000_000), lambda a, b: F.when(
         short(a, b), unit(F.concat(a, F.lit(" "), b), True)))
     every = F.concat(F.transform("_lines", lambda x: unit(x, False)), F.array_compact(pairs))
-    rows = pages.withColumn("_lines", lines).select(
+    rows = computed(pages, _lines=lines).select(
         *[c for c in pages.columns if c not in ("html", "text", "footer")], F.posexplode(every).alias("unit_pos", "_u"))
     return rows.select(*[c for c in rows.columns if c != "_u"], "_u.unit", "_u.joined").where(F.length("unit") <= max_unit)
 
@@ -41,7 +41,7 @@ def rank_of(title: Column, groups: Sequence[tuple[str, Sequence[str]]] = fixed.T
 
 
 def title_rank(c: DataFrame, titles: Sequence[tuple[str, Sequence[str]]] = fixed.TITLE_GROUPS, text: str = "title") -> DataFrame:
-    label = F.element_at(F.array(*[F.lit(name) for name, _ in titles]), F.col("title_rank") + 1)
+    label = F.get(F.array(*[F.lit(name) for name, _ in titles]), F.col("title_rank"))
     return computed(c, title_rank=rank_of(F.col(text), titles)).withColumn("title_group", label)
 
 

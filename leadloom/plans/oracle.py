@@ -253,9 +253,9 @@ SQL["find_duplicate_leads"] = WITH_LEADS + """, probes AS (SELECT id AS probe_id
 ACTS = """acts AS (SELECT conv_id * 1000 + turn AS id, conv_id AS lead_id, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'email' ELSE 'visit' END AS type,
     DATE '2024-01-01' + CAST(turn AS INT) AS \"at\", text FROM conversations)"""
 SQL["lead_activities"] = WITH_LEADS + f", {ACTS} SELECT id, lead_id, type, \"at\"::VARCHAR AS \"at\" FROM acts WHERE lead_id IN (SELECT id FROM leads)"
-SQL["add_activities"] = WITH_LEADS + f""", {ACTS} SELECT l.id, CAST(greatest(last_contact, coalesce(m, last_contact)) AS VARCHAR) AS last_contact,
-  CASE WHEN m IS NULL THEN created_at || ' 00:00:00' ELSE '2024-02-01 00:00:00' END AS updated_at
-  FROM leads l LEFT JOIN (SELECT lead_id, max(\"at\") AS m FROM acts GROUP BY 1) ON lead_id = l.id"""
+SQL["add_activities"] = WITH_LEADS + f""", {ACTS} SELECT l.id, CAST(greatest(last_contact, coalesce(mx, last_contact)) AS VARCHAR) AS last_contact,
+  CASE WHEN mx IS NULL THEN created_at || ' 00:00:00' ELSE '2024-02-01 00:00:00' END AS updated_at
+  FROM leads l LEFT JOIN (SELECT lead_id, max(\"at\") AS mx FROM acts GROUP BY 1) ON lead_id = l.id"""
 SQL["add_activities_rows"] = WITH_LEADS + f""", {ACTS} SELECT id, lead_id, CASE WHEN type = 'visit' THEN 'other' ELSE type END AS type, \"at\"::VARCHAR AS \"at\",
   md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS note FROM acts WHERE lead_id IN (SELECT id FROM leads)"""
 SQL["delete_leads"] = WITH_LEADS + f""", {ACTS} SELECT 'leads' AS tbl, count(*) AS n FROM leads WHERE status NOT IN ('lost', 'hold')
@@ -484,7 +484,7 @@ SQL["dedupe_jobs"] = f"""WITH {PARTS}, ok AS (SELECT * FROM pj a WHERE NOT (phas
   SELECT domain, title, seq FROM ok QUALIFY row_number() OVER (PARTITION BY domain, lower(title) ORDER BY seq) = 1"""
 CTX = "title || ' contract 2026-05-' || phase || ' in Seoul today'"
 SQL["job_fields"] = f"""WITH {PARTS} SELECT seq, CASE WHEN regexp_matches(title, '(^|[^a-z0-9])bolt([^a-z0-9]|$)') THEN 'Bolt' WHEN regexp_matches(title, '(^|[^a-z0-9])ring([^a-z0-9]|$)') THEN 'Ring'
-  WHEN title LIKE '%old widget%' THEN 'Old Widget' END AS position, 'Seoul' AS location, 'Contract' AS employment_type, '2026-05-' || phase AS deadline, {CTX} AS description FROM pj"""
+  WHEN regexp_matches(title, '(^|[^a-z0-9])old widget([^a-z0-9]|$)') THEN 'Old Widget' END AS position, 'Seoul' AS location, 'Contract' AS employment_type, '2026-05-' || phase AS deadline, {CTX} AS description FROM pj"""
 SQL["top_jobs"] = f"""WITH {PARTS} SELECT domain, place, seq FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN p_size > 10 THEN 0 ELSE 1 END,
   (p_size > 25)::INT + (p_size % 3 = 0)::INT DESC, seq) AS place FROM pj) WHERE place <= 10"""
 TKW = ("Worthless", "Thatin", "Sich", "Mente", "Keit", "Pour")

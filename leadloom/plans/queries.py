@@ -717,8 +717,7 @@ def score_links(s, d):
 
 @query
 def crawl_plan(s, d):
-    links = _classified(s, d)
-    plan = K.crawl_plan(K.score_links(links, _homes(s, d), WORD_WEIGHTS), K.spare_links(links))
+    plan = K.crawl_plan(K.score_links(_classified(s, d), _homes(s, d), WORD_WEIGHTS, spare=True))
     return plan.select("domain", F.col("rank").cast("bigint").alias("rank"), "url", "category", F.col("phase").cast("bigint").alias("phase"))
 
 
@@ -837,13 +836,13 @@ def _part_jobs(s, d) -> DataFrame:
 
 @query
 def dedupe_jobs(s, d):
-    return jobs.dedupe_jobs(_part_jobs(s, d)).select("domain", "title", "seq")
+    return jobs.dedupe_jobs(_part_jobs(s, d), min_title=3).select("domain", "title", "seq")
 
 
 @query
 def job_fields(s, d):
     rows = jobs.job_fields(_part_jobs(s, d).drop("location", "employment_type", "deadline").withColumn(
-        "context", F.concat_ws(" ", "title", F.lit("contract 2026-05-"), F.col("phase").cast("string"), F.lit("in Seoul today"))),
+        "context", F.concat("title", F.lit(" contract 2026-05-"), F.col("phase").cast("string"), F.lit(" in Seoul today"))),
         ("bolt", "ring", "old widget"))
     return rows.select("seq", "position", "location", "employment_type", "deadline", "description")
 
