@@ -132,7 +132,9 @@ def unescape_html(c: Column) -> Column:
     refs = F.regexp_extract_all(out, F.lit(pattern), F.lit(0))
     code = lambda r: F.when(r.rlike("^&#[xX]"), F.conv(F.regexp_extract(r, "[xX]([0-9a-fA-F]+)", 1), 16, 10)) \
         .otherwise(F.regexp_extract(r, "([0-9]+)", 1)).cast("int")
-    char = lambda r: F.decode(F.unhex(F.lpad(F.hex(code(r)), 8, "0")), "UTF-32BE")
+    valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    char = lambda r: let(code(r), lambda n: F.when(
+        valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(n.isNotNull(), "\ufffd"))
     pieces = F.split(out, pattern, -1)
     joined = F.array_join(F.zip_with(pieces, F.concat(refs, F.array(F.lit(None).cast("string"))),
                                      lambda piece, r: F.concat(piece, F.coalesce(char(r), F.lit("")))), "")
