@@ -9,14 +9,17 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from leadloom.session import build_session, checkpoint_dir  # noqa: E402
 
 
+# started on import, so that test modules may hold literal columns
+SESSION = build_session("tests", "local[8]", **{
+    "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+    "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-")})
+SESSION.sparkContext.setLogLevel("ERROR")
+checkpoint_dir(SESSION, tempfile.mkdtemp(prefix="run-"))
+
+
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
-        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-")})
-    session.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(session, tempfile.mkdtemp(prefix="run-"))
-    yield session
+    return SESSION
 
 
 @pytest.fixture()
