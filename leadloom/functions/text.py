@@ -109,10 +109,16 @@ def one_of(c: Column, allowed: Sequence[str], default: str | None = None) -> Col
     return F.coalesce(F.when(lowered.isin(*allowed), lowered), F.lit(default))
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
 def value_map(c: Column, mapping: dict) -> Column:
     """Look a column up in a small literal mapping; null where the key is missing."""
-    items = [F.lit(v) for pair in mapping.items() for v in pair]
-    return F.try_element_at(F.create_map(*items), c)
+    items = ", ".join(sql_literal(x) for pair in mapping.items() for x in pair)
+    return F.try_element_at(F.expr(f"map({items})"), c)
 
 
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),

@@ -121,43 +121,49 @@ def customer_grade(df: DataFrame, total: str = "total_value", count: str = "live
 def customer_rollup(contracts: DataFrame, as_of: Column, tech_limit: int = 8) -> DataFrame:
     """One row per customer: values, counts, dates, grade and the details of the newest contract.
 
-    Contracts themselves stay in their own rows (`newest_contracts`, `customer_documents`): a
-    customer may own a large share of them. The tech list is cut to its first entries before
-    it is gathered.
+    Contracts themselves stay in their own rows (`newest_contracts`, `customer_documents`): a customer may
+    own a large share of them. The contracts are read once: each is split into its own row and one row
+    per technology, both are aggregated by (customer, technology), and the technologies are cut to
+    the first ones before they are gathered.
     """
     rows = with_customer_key(contract_flags(contracts, as_of))
-    active, live = _active(), _live()
-    newest = _newest_key()
-    rating = F.nullif("satisfaction", F.lit(0))
+    own = F.col("_term").isNull()
+    active, live = own & _active(), own & _live()
+    newest = F.when(own, _newest_key())
+    rating = F.when(own, F.nullif("satisfaction", F.lit(0)))
     details = ("domain", "company_name", "website", "contact_name", "rank", "phone", "email", "our_pm",
                "project_type", "monthly_rate", "team_size", "payment_terms", "amount")
     amount = F.coalesce("amount", F.lit(0))
-    agg = rows.groupBy("customer_key").agg(
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("tech"), F.array().cast("array<string>")))
+    split = rows.withColumn("_term", F.explode(terms))
+    totals = split.groupBy("customer_key", "_term").agg(
         F.coalesce(F.sum(F.when(live, amount)), F.lit(0)).alias("total_value"),
         F.coalesce(F.sum(F.when(active, amount)), F.lit(0)).alias("active_value"),
-        F.count(F.lit(1)).alias("contract_count"), F.count_if(live).alias("live_count"),
+        F.count_if(own).alias("contract_count"), F.count_if(live).alias("live_count"),
         F.count_if(active).alias("active_count"), F.count_if(F.col("status") == "renewed").alias("renewed_count"),
-        F.count_if("expiring").alias("expiring_count"), F.min("signed_date").alias("first_signed"),
+        F.count_if(own & F.col("expiring")).alias("expiring_count"), F.min("signed_date").alias("first_signed"),
         F.max("end_date").alias("last_end"), F.min(F.when(active, F.col("end_date"))).alias("next_end"),
-        F.sum(rating).alias("_rating_sum"), F.count(rating).alias("_ratings"),
+        F.sum(rating).alias("rating_sum"), F.count(rating).alias("ratings"),
         F.array_sort(F.collect_set("project_type")).alias("project_types"),
         F.min_by("biz_number", F.when(empty_to_null("biz_number").isNotNull(), newest)).alias("biz_number"),
         F.min_by("company_id", F.when(F.col("company_id") != 0, newest)).alias("company_id"),
         F.min_by(F.struct(*details), newest).alias("latest"))
-    terms = rows.select("customer_key", F.explode("tech").alias("term")).distinct()
-    first_terms = top_per_key(terms, ["customer_key"], [F.asc("term")], tech_limit)
-    tech = first_terms.groupBy("customer_key").agg(F.array_sort(F.collect_list("term")).alias("tech"))
-    dormant = F.when((F.col("active_count") == 0) & F.col("last_end").isNotNull(), F.datediff(as_of, "last_end"))
-    own = details[:8]
-    out = agg.join(tech, "customer_key", "left").select(
-        "customer_key", *[F.col(f"latest.{f}").alias(f) for f in own], "biz_number", "company_id",
-        grade_of(F.col("total_value"), F.col("live_count")).alias("grade"),
-        "total_value", "active_value", "contract_count", "live_count", "active_count", "renewed_count",
-        "first_signed", "last_end", "next_end", "expiring_count", dormant.alias("dormant_days"),
-        F.bround(F.col("_rating_sum") / F.nullif("_ratings", F.lit(0)), 1).alias("satisfaction"), "project_types",
-        F.coalesce("tech", F.array().cast("array<string>")).alias("tech"),
-        *[F.col(f"latest.{f}").alias(f"latest_{f}") for f in details[8:]])
-    return out
+    measures = [c for c in totals.columns if c not in ("customer_key", "_term")]
+    first_terms = top_per_key(totals, ["customer_key"], [F.asc_nulls_first("_term")], tech_limit + 1)
+    packed = first_terms.groupBy("customer_key").agg(
+        F.max(F.when(F.col("_term").isNull(), F.struct(*measures))).alias("m"),
+        F.array_sort(F.collect_list("_term")).alias("tech"))
+    m = lambda c: F.col(f"m.{c}")
+    dormant = F.when((m("active_count") == 0) & m("last_end").isNotNull(), F.datediff(as_of, m("last_end")))
+    plain = ("total_value", "active_value", "contract_count", "live_count", "active_count", "renewed_count", "first_signed",
+             "last_end", "next_end", "expiring_count")
+    return packed.select(
+        "customer_key", *[F.col(f"m.latest.{f}").alias(f) for f in details[:8]], m("biz_number").alias("biz_number"),
+        m("company_id").alias("company_id"), grade_of(m("total_value"), m("live_count")).alias("grade"),
+        *[m(c).alias(c) for c in plain], dormant.alias("dormant_days"),
+        F.bround(m("rating_sum") / F.nullif(m("ratings"), F.lit(0)), 1).alias("satisfaction"),
+        m("project_types").alias("project_types"), "tech",
+        *[F.col(f"m.latest.{f}").alias(f"latest_{f}") for f in details[8:]])
 
 
 def list_customers(customers: DataFrame) -> DataFrame:

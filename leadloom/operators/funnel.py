@@ -28,28 +28,31 @@ def orphan_history_filter(history: DataFrame, leads: DataFrame) -> DataFrame:
 def pipeline_funnel(history: DataFrame, leads: DataFrame) -> DataFrame:
     """Per stage: leads that reached it, conversion to the next one, lost and hold events, leads in it.
 
-    Reaching a stage credits all earlier ones, so a lead is described by its furthest stage: one
-    small aggregate per lead, then a count per stage, with no exploding and no distinct.
+    Reaching a stage credits all earlier ones, so a lead is described by its furthest stage and its
+    exits per stage: one aggregate per lead, one join with the leads (which drops left-over
+    history), one row of totals, turned into six rows. No exploding, no distinct.
     """
-    known = orphan_history_filter(history, leads)
+    stages = fixed.FUNNEL_STAGES
     left_from = F.coalesce(empty_to_null("from_status"), F.lit("new"))
-    far = known.groupBy("lead_id").agg(F.max(_stage_index(F.col("to_status"))).alias("far"))
-    reach = far.where("far is not null").groupBy("far").agg(F.count(F.lit(1)).alias("n"))
-    leaving = known.where(F.col("to_status").isin("lost", "hold")).groupBy(left_from.alias("stage")).agg(
-        F.count_if(F.col("to_status") == "lost").alias("lost"),
-        F.count_if(F.col("to_status") == "hold").alias("hold"))
-    now = leads.groupBy(F.col("status").alias("stage")).agg(F.count(F.lit(1)).alias("now"))
-
-    stages = _stage_table(leads)
-    reached = (stages.join(reach, reach["far"] >= stages["pos"], "left")
-               .groupBy("pos", "stage").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reached")))
-    following = reached.select((F.col("pos") - 1).alias("pos"), F.col("reached").alias("next_reached"))
-    pct = F.when((F.col("reached") > 0) & F.col("next_reached").isNotNull(),
-                 F.bround(F.col("next_reached") / F.col("reached") * 100)).cast("bigint")
-    out = reached.join(following, "pos", "left").join(leaving, "stage", "left").join(now, "stage", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return out.select("pos", "stage", F.col("reached").cast("bigint").alias("reached"), pct.alias("conversion"),
-                      zero("lost"), zero("hold"), zero("now")).orderBy("pos")
+    exits = lambda to, stage: F.count_if((F.col("to_status") == to) & (left_from == stage))
+    per_lead = history.groupBy(F.col("lead_id").alias("id")).agg(
+        F.max(_stage_index(F.col("to_status"))).alias("far"),
+        *[exits(to, stage).alias(f"{to}_{i}") for to in ("lost", "hold") for i, stage in enumerate(stages)])
+    joined = leads.select("id", "status").join(per_lead, "id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = joined.agg(
+        *[F.count_if(F.col("far") >= i).alias(f"reached_{i}") for i in range(len(stages))],
+        *[F.count_if(F.col("status") == stage).alias(f"now_{i}") for i, stage in enumerate(stages)],
+        *[total(f"{to}_{i}").alias(f"{to}_{i}") for to in ("lost", "hold") for i in range(len(stages))])
+
+    def row(i: int) -> Column:
+        here = F.col(f"reached_{i}")
+        onward = F.col(f"reached_{i + 1}") if i + 1 < len(stages) else F.lit(None).cast("bigint")
+        pct = F.when((here > 0) & onward.isNotNull(), F.bround(onward / here * 100)).cast("bigint")
+        return F.struct(F.lit(i).alias("pos"), F.lit(stages[i]).alias("stage"), here.alias("reached"), pct.alias("conversion"),
+                        F.col(f"lost_{i}").alias("lost"), F.col(f"hold_{i}").alias("hold"), F.col(f"now_{i}").alias("now"))
+
+    return totals.select(F.inline(F.array(*[row(i) for i in range(len(stages))])))
 
 
 def stage_intervals(history: DataFrame, as_of: Column, bucket: str = "day") -> DataFrame:

@@ -10,14 +10,17 @@ from .pages import footer_text, within_budget
 from .scans import signal_of
 
 
-def scan_result(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def scan_result(pages: DataFrame, max_pages: int = fixed.MAX_PAGES, work_path: str | None = None) -> DataFrame:
     """One nested record per domain: company, sources, contacts, openings, signal, page list.
 
     `pages` are built pages (text, title, category). A scan holds at most `max_pages` pages per
-    domain, so the nested lists are short. The pages are read by several extractors; write or cache
-    them before when they come from a long plan.
+    domain, so the nested lists are short. Several extractors read the same pages: with `work_path` (a
+    folder all executors share) texts and footers are written there once and read back.
     """
     scanned = footer_text(within_budget(pages, max_pages))
+    if work_path:
+        scanned.write.mode("overwrite").parquet(work_path)
+        scanned = pages.sparkSession.read.schema(scanned.schema).parquet(work_path)
     found = facts.company_facts(scanned)
     names = found.select("domain", F.col("name").alias("value")).where("value is not null")
     ceo = found.select("domain", F.col("ceo").alias("value"), F.col("ceo_source").alias("source_url")).where("value is not null")

@@ -43,7 +43,11 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 class JobsDelta(StatefulProcessor):
-    """Remembers the newest scan per domain and gives every later scan the change against it."""
+    """Remembers the newest scan per domain and gives every later scan the change against it.
+
+    A domain's rows of one trigger are ordered in memory (three numbers per scan), so bound a trigger with
+    the source's rate options (maxFilesPerTrigger, maxBytesPerTrigger).
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "id bigint, scanned_at timestamp, it_jobs bigint")
