@@ -52,7 +52,7 @@ def looks_like_posting(c: DataFrame, title: str = "title", context: str = "conte
     return c.where(is_posting(F.col(title), F.col(context), **lists))
 
 
-def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS) -> DataFrame:
+def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS, **lists: Sequence[str]) -> DataFrame:
     """IT openings as written on recruitment pages.
 
     Phase 1 reads links, phase 2 headings, list rows, cells and bold text without a link. HTML is cut
@@ -88,7 +88,7 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
     target = U.cleaned_link(F.col("final_url"), F.btrim("e.href", F.lit("\"'")))
     own = F.when(U.url_domain("_target") == F.col("domain"), F.col("_target"))
     c = computed(it_jobs_only(titled, keywords), context=around, _target=target)
-    return looks_like_posting(c).select(
+    return looks_like_posting(c, **lists).select(
         "domain", "page_idx", F.col("e.phase").alias("phase"), "title", "context",
         F.coalesce(own, F.col("final_url")).alias("source_url"),
         F.struct("page_idx", F.col("e.phase").alias("phase"), "piece_pos", F.col("e.kind").alias("kind"), "pos").alias("seq"))

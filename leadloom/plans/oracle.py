@@ -490,3 +490,47 @@ SQL["top_jobs"] = f"""WITH {PARTS} SELECT domain, place, seq FROM (SELECT *, row
 TKW = ("Worthless", "Thatin", "Sich", "Mente", "Keit", "Pour")
 SQL["tech_from_jobs"] = ("SELECT domain, array_to_string(list_filter([" + ", ".join(f"CASE WHEN k{i} THEN '{k}' END" for i, k in enumerate(TKW)) + "], lambda x: x IS NOT NULL)[1:3], '|') AS tech FROM (SELECT source AS domain, "
   + ", ".join(f"bool_or(regexp_matches(lang || ' ' || text, '(?i)(^|[^A-Za-z0-9]){k}([^A-Za-z0-9]|$)')) AS k{i}" for i, k in enumerate(TKW)) + " FROM documents GROUP BY 1)")
+
+SQL["keep_first"] = "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1"
+SQL["merge_existing_keys"] = WITH_LEADS + """, k AS (SELECT email, CASE WHEN email IS NULL THEN lower(company_name) || '|' || lower(contact_name) END AS pair FROM leads
+  UNION SELECT email, CASE WHEN email IS NULL THEN lower(industry) || '|' || lower('P' || id) END FROM leads WHERE source = 'website' OR it_hiring = 'High')
+  SELECT CASE WHEN email IS NULL THEN 'pair' ELSE 'email' END AS k_kind, count(*) AS n FROM k GROUP BY 1"""
+SQL["import_anti_join"] = WITH_LEADS + """SELECT id, email FROM leads WHERE email IS NULL OR NOT (source = 'website' OR coalesce(it_hiring = 'High', false))"""
+SQL["page_filter"] = """SELECT event_id, CAST(200 + floor(value) * 5 AS BIGINT) AS status FROM events WHERE 200 + floor(value) * 5 < 400 AND event_type <> 'click'"""
+SQL["page_depths"] = WITH_LINKS + """, e AS (SELECT DISTINCT domain, from_idx, from_idx + pos * 3 AS to_idx FROM links),
+  one AS (SELECT DISTINCT e.domain, to_idx FROM e JOIN pg ON pg.home AND pg.domain = e.domain AND pg.page_idx = from_idx),
+  two AS (SELECT DISTINCT e.domain, e.to_idx FROM e JOIN one ON one.domain = e.domain AND one.to_idx = e.from_idx)
+  SELECT page_idx, CASE WHEN home THEN 0 WHEN (domain, page_idx) IN (SELECT (domain, to_idx) FROM one) THEN 1 WHEN (domain, page_idx) IN (SELECT (domain, to_idx) FROM two) THEN 2 END AS link_depth FROM pg"""
+SQL["text_sources"] = WITH_PAGES + f""", l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM pg),
+  f AS (SELECT page_idx, home, text, left(concat_ws(chr(10), nullif({FOOT}, ''), array_to_string(lines[CAST(floor(len(lines) * 0.75) AS BIGINT) + 1:], chr(10))), 8000) AS footer FROM l)
+  SELECT 0 AS full, CASE WHEN home THEN 0 ELSE 1 END AS cat, page_idx AS idx, md5(footer) AS text FROM f WHERE footer <> ''
+  UNION ALL SELECT 1, CASE WHEN home THEN 0 ELSE 1 END, page_idx, md5(text) FROM f WHERE text <> ''"""
+def _first_part(t: str) -> str:
+    p = f"list_filter(list_transform(regexp_split_to_array({_tidy(t)}, '\\s*[|·・\\-–—:]\\s*'), lambda p: {_tidy('p')}), lambda p: p <> '')"
+    return f"CASE WHEN length(({p})[2]) > length(({p})[1]) THEN ({p})[2] ELSE ({p})[1] END"
+HOLDER = _tidy("regexp_extract(text, '(?i)(?:©|ⓒ|copyright|copyrights)\\s*(?:\\(c\\)\\s*)?(?:\\d{4}\\s*(?:-\\s*\\d{4})?\\s*)?(?:by\\s+)?([^\\n.|©ⓒ]{2,60})', 1)")
+SQL["company_name"] = WITH_PAGES + f""", c AS (SELECT domain, page_idx, url, {HOLDER} AS name, 4 AS score, 3 AS how, home FROM pg
+    UNION ALL SELECT domain, page_idx, url, {_first_part('title')}, 3, 4, home FROM pg WHERE home),
+  g AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY home DESC, page_idx, how) AS seq FROM c
+    WHERE length(name) BETWEEN 2 AND 60 AND NOT (how = 3 AND (name LIKE '20%' OR name LIKE '19%'))
+    AND NOT regexp_matches(name, '^[\\d\\s.,\\-]+$') AND lower(name) NOT IN ('home', 'index', 'main', 'company', 'site')),
+  n AS (SELECT domain, name, max(score) AS score, min(seq) AS seq, first(url ORDER BY score DESC, seq) AS url FROM g GROUP BY 1, 2)
+  SELECT domain, name AS value, url AS source_url FROM n QUALIFY row_number() OVER (PARTITION BY domain ORDER BY
+    score + CASE WHEN contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 'example') THEN 2 ELSE 0 END
+    + CASE WHEN regexp_matches(lower(name), 'co\\., ltd|co\\.,ltd|inc\\.|corp\\.|ltd\\.') THEN 2 ELSE 0 END DESC, length(name), n.seq) = 1"""
+SQL["cf_email"] = """WITH t AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})', 1) AS h FROM documents),
+  b AS (SELECT doc_id, list_transform(range(0, 20), lambda i: CAST('0x' || h[i * 2 + 1:i * 2 + 2] AS INT)) AS b FROM t WHERE h <> ''),
+  e AS (SELECT doc_id, array_to_string(list_transform(b[2:], lambda x: chr(xor(x, b[1]))), '') AS e FROM b)
+  SELECT doc_id, length(e) AS chars, md5(e) AS email FROM e"""
+SQL["plausible_names"] = """SELECT doc_id, pos, name FROM (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS pos FROM (
+    SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z]?[a-z]+') AS w FROM documents)) WHERE regexp_matches(name, '^[A-Z][a-z]{1,15} [A-Z][a-z]{1,15}$')"""
+SQL["excluded_roles"] = """SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(lower(text), 'cfo|cmo|chro|hr|sales|marketing|finance|accounting|legal|procurement')
+  OR regexp_matches(lower(text), '\\b(cto|cio|cpo|ceo|founder)\\b')"""
+SQL["in_country"] = "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_1') OR contains(lower(n_name), 'korea')"
+def _hit(words: str, t: str) -> str:
+    return f"regexp_matches(lower({t}), '(^|[^a-z0-9])({words})([^a-z0-9]|$)')"
+SQL["job_candidates"] = WITH_LINKS + f""", c AS (SELECT from_idx AS page_idx, 1 AS phase, {_tidy('anchor')} AS title FROM links
+    UNION ALL SELECT page_idx, 2, {_tidy(_text("unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1))"))} FROM pg)
+  SELECT page_idx, phase, title FROM c WHERE length(title) BETWEEN 4 AND 60 AND len(string_split(title, ' ')) <= 8 AND ({_hit('the|que|der|und|that', 'title')} OR contains(lower(title), 'ción'))
+  AND {_hit('and', 'title')}::INT + {_hit('of', 'title')}::INT + {_hit('la', 'title')}::INT < 3"""
+SQL["delete_activities"] = "SELECT CASE role WHEN 'user' THEN 'Call' ELSE 'email' END AS type, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1"

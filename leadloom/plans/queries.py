@@ -857,3 +857,99 @@ def tech_from_jobs(s, d):
     rows = T.table(s, d, "documents").select(F.col("source").alias("domain"), F.col("lang").alias("title"), F.col("text").alias("description"))
     out = jobs.tech_from_jobs(rows, 3, ("Worthless", "Thatin", "Sich", "Mente", "Keit", "Pour", "C++"))
     return out.select("domain", F.array_join("tech", "|").alias("tech"))
+
+
+@query
+def keep_first(s, d):
+    e = T.table(s, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return imports.keep_first(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query
+def merge_existing_keys(s, d):
+    keys = imports.merge_existing_keys(_existing(s, d), T.leads(s, d))
+    return keys.groupBy("k_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def import_anti_join(s, d):
+    fresh = imports.import_anti_join(T.leads(s, d), _existing(s, d).where("email is not null"))
+    return fresh.select("id", "email")
+
+
+@query
+def page_filter(s, d):
+    """Events as fetched pages: the value gives the status, the type the content type."""
+    kind = F.when(F.col("event_type") == "click", "image/png").when(F.col("event_type") == "view", "TEXT/HTML; charset=x")
+    e = T.table(s, d, "events").select("event_id", (F.lit(200) + F.floor("value") * 5).alias("status"), kind.alias("content_type"))
+    return P.page_filter(e).select("event_id", "status")
+
+
+@query
+def page_depths(s, d):
+    """Link distance of the pages when every link counts as a link to the page after the next."""
+    p = T.pages(s, d).select("domain", "page_idx", "depth")
+    linked = _links(s, d).select("domain", "from_idx", (F.col("from_idx") + F.col("pos") * 3).alias("to_idx"))
+    return K.page_depths(p, linked).select("page_idx", F.col("link_depth").cast("bigint").alias("link_depth"))
+
+
+@query
+def text_sources(s, d):
+    src = facts.text_sources(P.footer_text(T.pages(s, d)), ("home",))
+    return src.select(F.col("src.full").cast("bigint").alias("full"), F.col("src.cat").cast("bigint").alias("cat"), F.col("src.idx").alias("idx"),
+                      F.md5("text").alias("text"))
+
+
+@query
+def company_name(s, d):
+    out = facts.company_name(T.pages(s, d))
+    return out.select("domain", "value", "source_url")
+
+
+@query
+def cf_email(s, d):
+    """Every hexadecimal token of the documents read as a protected address."""
+    codes = T.table(s, d, "documents").select("doc_id", F.regexp_extract("text", 'token = "([0-9a-f]{40})', 1).alias("encoded"))
+    return facts.cf_email(codes.where("encoded <> ''")).select("doc_id", F.length("email").cast("bigint").alias("chars"), F.md5("email").alias("email"))
+
+
+@query
+def plausible_names(s, d):
+    words = T.table(s, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(
+        "text", F.lit("[A-Z][a-z]+ [A-Z]?[a-z]+"), F.lit(0))).alias("pos", "name"))
+    return facts.plausible_names(words).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "name")
+
+
+@query
+def excluded_roles(s, d):
+    turns = T.table(s, d, "conversations").select("conv_id", "turn", "text")
+    return people.excluded_roles(turns, "text").select("conv_id", "turn")
+
+
+@query
+def in_country(s, d):
+    c = T.table(s, d, "customer").join(T.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return facts.in_country(c.select("c_custkey", "n_name"), ("nation_1", "korea"), "n_name").select("c_custkey")
+
+
+@query
+def job_candidates(s, d):
+    """Every page read as a recruitment page with words of the given languages as job words."""
+    p = T.pages(s, d).withColumn("category", F.lit("recruitment"))
+    words = ("the", "que", "der", "und", "that", "ción")
+    c = jobs.job_candidates(p, words, markers=words, nav=("and", "of", "la"))
+    return c.select("page_idx", F.col("phase").cast("bigint").alias("phase"), "title")
+
+
+@query
+def delete_activities(s, d):
+    a = T.raw_activities(s, d)
+    return L.delete_activities(a, a.where("type = 'visit'").select("id")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scan_result(s, d):
+    """One record per domain from whole pages (its values have no SQL twin)."""
+    from ..operators.results import scan_result as result
+    r = result(T.pages(s, d))
+    return r.select("domain", F.col("company.name").alias("name"), F.size("it_recruitment").alias("jobs"), "it_hiring", "pages_crawled")

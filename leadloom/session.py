@@ -11,6 +11,8 @@ REQUIRED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # aggregates with small object buffers keep hashing instead of sorting from the 129th key on
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     # the call site of every column is not recorded: plans of thousands of expressions build faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
