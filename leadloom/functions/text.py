@@ -133,16 +133,18 @@ def unescape_html(c: Column) -> Column:
     out = c
     for name, char in ENTITIES[:-1]:
         out = F.replace(out, F.lit(name), F.lit(char))
-    # numeric references: split around them and put the characters in between
     pattern = r"&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"
-    refs = F.regexp_extract_all(out, F.lit(pattern), F.lit(0))
     code = lambda r: F.when(r.rlike("^&#[xX]"), F.conv(F.regexp_extract(r, "[xX]([0-9a-fA-F]+)", 1), 16, 10)) \
         .otherwise(F.regexp_extract(r, "([0-9]+)", 1)).cast("int")
     valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
     char = lambda r: let(code(r), lambda n: F.when(
         valid(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).when(n.isNotNull(), "\ufffd"))
-    pieces = F.split(out, pattern, -1)
-    joined = F.array_join(F.zip_with(pieces, F.concat(refs, F.array(F.lit(None).cast("string"))),
-                                     lambda piece, r: F.concat(piece, F.coalesce(char(r), F.lit("")))), "")
-    out = F.when(out.contains("&#"), joined).otherwise(out)
-    return F.when(out.contains("&amp;"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(out)
+
+    def numeric(text: Column) -> Column:
+        """Split around the references and put their characters in between."""
+        refs = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), char)
+        pieces = F.split(text, pattern, -1)
+        return F.array_join(F.zip_with(pieces, refs, lambda piece, c: F.concat(piece, F.coalesce(c, F.lit("")))), "")
+
+    out = let(out, lambda text: F.when(text.contains("&#"), numeric(text)).otherwise(text))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))

@@ -1,10 +1,13 @@
 """The scan result of a domain, put together from its pages."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import checkpoint_dir
 from . import facts, jobs, people
 from .pages import footer_text, within_budget
 from .scans import signal_of
@@ -14,21 +17,26 @@ def scan_result(pages: DataFrame, max_pages: int = fixed.MAX_PAGES, work_path: s
     """One nested record per domain: company, sources, contacts, openings, signal, page list.
 
     `pages` are built pages (text, title, category). A scan holds at most `max_pages` pages per
-    domain, so the nested lists are short. Several extractors read the same pages: with `work_path` (a
-    folder all executors share) texts and footers are written there once and read back.
+    domain, so the nested lists are short. Several extractors read the same pages, so texts and footers
+    are written once to `work_path` and read back; by default to a new folder under the shared checkpoint
+    folder of the cluster. Where neither is set they are computed again by each extractor.
     """
     scanned = footer_text(within_budget(pages, max_pages))
+    shared = checkpoint_dir(pages.sparkSession)
+    work_path = work_path or (shared and f"{shared}/scan-result-{uuid.uuid4().hex}")
+    fresh = lambda: scanned
     if work_path:
         scanned.write.mode("overwrite").parquet(work_path)
-        scanned = pages.sparkSession.read.schema(scanned.schema).parquet(work_path)
-    found = facts.company_facts(scanned)
+        # read anew for each extractor: their joins then have no columns in common to tell apart
+        fresh = lambda: pages.sparkSession.read.schema(scanned.schema).parquet(work_path)
+    found = facts.company_facts(fresh)
     names = found.select("domain", F.col("name").alias("value")).where("value is not null")
     ceo = found.select("domain", F.col("ceo").alias("value"), F.col("ceo_source").alias("source_url")).where("value is not null")
     emails = found.select("domain", "email").where("email is not null")
-    hints = facts.email_hint(scanned, emails)
-    candidates = people.contact_candidates(people.text_units(scanned), people.banned_names(scanned, names))
+    hints = facts.email_hint(fresh(), emails)
+    candidates = people.contact_candidates(people.text_units(fresh()), people.banned_names(fresh(), names))
     contacts = people.with_ceo(people.key_contacts(candidates), ceo)
-    openings = jobs.top_jobs(jobs.job_fields(jobs.dedupe_jobs(jobs.job_candidates(scanned))))
+    openings = jobs.top_jobs(jobs.job_fields(jobs.dedupe_jobs(jobs.job_candidates(fresh()))))
 
     def listed(df: DataFrame, order: str, fields: list[str], out: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("v"))))
@@ -37,7 +45,7 @@ def scan_result(pages: DataFrame, max_pages: int = fixed.MAX_PAGES, work_path: s
     people_list = listed(contacts, "place", ["name", "position", "source_url"], "key_contacts")
     job_list = listed(openings, "place", ["title", "position", "location", "employment_type", "deadline", "description",
                                           "source_url"], "it_recruitment")
-    page_list = scanned.groupBy("domain").agg(
+    page_list = fresh().groupBy("domain").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "final_url"))), lambda x: x["final_url"]).alias("sources"),
         F.min_by("final_url", "page_idx").alias("website"), F.min_by("url", "page_idx").alias("scanned_url"),
         F.count(F.lit(1)).alias("pages_crawled"))
