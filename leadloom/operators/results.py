@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,26 +14,30 @@ from .pages import footer_text, within_budget
 from .scans import signal_of
 
 
-def scan_result(pages: DataFrame, max_pages: int = fixed.MAX_PAGES, work_path: str | None = None) -> DataFrame:
+def scan_result(pages: DataFrame | Callable[[], DataFrame], max_pages: int = fixed.MAX_PAGES, work_path: str | None = None) -> DataFrame:
     """One nested record per domain: company, sources, contacts, openings, signal, page list.
 
     `pages` are built pages (text, title, category). A scan holds at most `max_pages` pages per
     domain, so the nested lists are short. Several extractors read the same pages, so texts and footers
     are written once to `work_path` and read back; by default to a new folder under the shared checkpoint
-    folder of the cluster. Where neither is set they are computed again by each extractor.
+    folder of the cluster. Where neither is set they are computed again by each extractor; `pages` may then be a
+    function that reads them anew, which keeps the plan of the many joins small.
     """
-    scanned = footer_text(within_budget(pages, max_pages))
-    shared = checkpoint_dir(pages.sparkSession)
+    built = lambda: footer_text(within_budget(pages() if callable(pages) else pages, max_pages))
+    scanned = built()
+    spark = scanned.sparkSession
+    shared = checkpoint_dir(spark)
     work_path = work_path or (shared and f"{shared}/scan-result-{uuid.uuid4().hex}")
-    fresh = lambda: scanned
+    fresh = built if callable(pages) else lambda: scanned
     if work_path:
         scanned.write.mode("overwrite").parquet(work_path)
         # read anew for each extractor: their joins then have no columns in common to tell apart
-        fresh = lambda: pages.sparkSession.read.schema(scanned.schema).parquet(work_path)
+        fresh = lambda: spark.read.schema(scanned.schema).parquet(work_path)
     found = facts.company_facts(fresh)
-    names = found.select("domain", F.col("name").alias("value")).where("value is not null")
-    ceo = found.select("domain", F.col("ceo").alias("value"), F.col("ceo_source").alias("source_url")).where("value is not null")
-    emails = found.select("domain", "email").where("email is not null")
+    # only the fact needed is asked for again: selecting it from `found` would compute all of them
+    names = facts.company_name(fresh())
+    ceo = facts.company_ceo(facts.text_sources(fresh()))
+    emails = facts.company_email(fresh())
     hints = facts.email_hint(fresh(), emails)
     candidates = people.contact_candidates(people.text_units(fresh()), people.banned_names(fresh(), names))
     contacts = people.with_ceo(people.key_contacts(candidates), ceo)

@@ -951,5 +951,5 @@ def delete_activities(s, d):
 def scan_result(s, d):
     """One record per domain from whole pages (its values have no SQL twin)."""
     from ..operators.results import scan_result as result
-    r = result(T.pages(s, d))
+    r = result(lambda: T.pages(s, d))
     return r.select("domain", F.col("company.name").alias("name"), F.size("it_recruitment").alias("jobs"), "it_hiring", "pages_crawled")
