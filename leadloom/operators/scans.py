@@ -1,12 +1,10 @@
 """Saved companies, scan history and the hiring trend between two scans."""
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.ranking import top_per_key
 from ..functions.text import empty_to_null
 from ..functions.urls import host, registrable

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as N
 from ..functions import fixed
 from ..functions import urls as U
-from ..functions.text import has_token, trimmed
+
 from ..operators import contracts as C
 from ..operators import exports as X
 from ..operators import facts, funnel, imports, jobs, people, scans, updates

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed
 from ..functions.ranking import neighbour
 from ..functions.urls import host, registrable
 from ..operators import contracts as contract_ops

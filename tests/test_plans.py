@@ -50,3 +50,39 @@ def test_results_do_not_depend_on_partitions(spark):
     a = scans.company_trend(T.companies(history), history)
     b = scans.company_trend(T.companies(history.repartition(13)), history.repartition(7, "it_jobs"))
     assert a.exceptAll(b).isEmpty()
+
+
+def test_duplicate_summary_with_a_hot_name(spark):
+    """A third of all leads share a name; the counts still equal the comparison of every pair."""
+    import random
+    from leadloom.operators.leads import duplicate_summary
+    rng = random.Random(3)
+    some = lambda p, n, tail: f"{p}{rng.randrange(n)}{tail}" if rng.random() < 0.7 else None
+    leads = [(i, some("d", 20, ".kr"), some("m", 40, "@x.kr"), "Hot Inc" if i % 3 == 0 else f"N{rng.randrange(60)}") for i in range(400)]
+    probes = [(i, "hot inc" if i % 2 else f"n{rng.randrange(60)}", some("M", 40, "@x.kr"), some("www.d", 20, ".kr/a")) for i in range(60)]
+    want = {}
+    for pid, name, mail, site in probes:
+        keys = (site and site[4:-2], mail and mail.lower(), name)
+        hits = [(min(r for r, (a, b) in enumerate(zip(keys, (d, m, n.lower()))) if a and a == b), i) for i, d, m, n in leads
+                if any(a and a == b for a, b in zip(keys, (d, m, n.lower())))]
+        want[pid] = (len(hits), ("domain", "email", "name")[min(hits)[0]] if hits else None, min(i for _, i in hits) if hits else None)
+    got = duplicate_summary(spark.createDataFrame(probes, "probe_id bigint, company_name string, email string, website string"),
+                            spark.createDataFrame(leads, "id bigint, domain string, email string, company_name string"))
+    assert {r.probe_id: (r.matches, r.reason, r.first_id) for r in got.collect()} == want
+
+
+def test_page_copies_of_one_hot_text(spark):
+    from leadloom.operators.pages import dedupe_pages
+    rows = [(i, f"https://a.kr/{i % 700}", ("c" * 300) if i % 3 == 0 else f"{i % 250}" * 120, int(i > 0)) for i in range(900)]
+    asked, texts, want = set(), set(), []
+    for i, url, text, depth in rows:
+        if url in asked:
+            continue
+        asked.add(url)
+        if depth and len(text) >= 200 and text[:2000] in texts:
+            continue
+        if depth and len(text) >= 200:
+            texts.add(text[:2000])
+        want.append(i)
+    df = spark.createDataFrame(rows, "page_idx bigint, url string, text string, depth int").withColumns({"final_url": F.col("url"), "domain": F.lit("a.kr")})
+    assert sorted(r.page_idx for r in dedupe_pages(df).collect()) == want
