@@ -6,17 +6,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import common, exact, lines, mixing
+from leadloom.llm import common, decontaminate, exact, licenses, lines, mixing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_found (values replaced), kinds (sorted, comma-joined), text (with pseudonyms)."""
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", F.size("found").cast("long").alias("n_found"),
+                      F.array_join(F.sort_array(F.array_distinct(F.transform("found", lambda h: h["kind"]))), ",").alias("kinds"), "text")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"), smallest=False)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, n_spans (runs of removed lines), kept_sha256 (of the remaining text)."""
     out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -29,10 +41,17 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudonyms": op1_pseudonyms,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
@@ -40,6 +59,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op5_decontaminate": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, list_slice(ws, st, st + least(len(ws), 10) - 1) AS win
+              FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS st FROM b WHERE len(ws) > 0)),
+        s AS (SELECT doc_id, k, st, list_slice(ws, st, st + k - 1) AS win
+              FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS st FROM w, (SELECT DISTINCT k FROM i))),
+        h AS (SELECT s.doc_id, s.st, s.k, i.item_id FROM s JOIN i ON s.k = i.k AND s.win = i.win),
+        c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(st, st + k - 1)) AS p FROM h) GROUP BY doc_id),
+        g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+        SELECT w.doc_id, len(w.ws) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(g.n_items, 0) AS n_items,
+               sha256(coalesce(g.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)""",
     "op6_line_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         w AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS win
