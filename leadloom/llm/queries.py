@@ -3,16 +3,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import common, decontaminate, exact, licenses, lines, mixing, pii
+from leadloom.llm import common, decontaminate, exact, licenses, lines, mixing, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_found (values replaced), kinds (sorted, comma-joined), text (with pseudonyms)."""
     out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -24,6 +29,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"), smallest=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the labels of documents that are not held out; scores every document."""
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(F.col("doc_id"), 5) == 0
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    out = toxicity.toxicity(docs, model).select("row.doc_id", "score", "predicted", "n_sentences", F.size("spans").alias("n_toxic_sentences"))
+    return out.select("doc_id", (_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_sentences", "n_toxic_sentences")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
@@ -48,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op9_mix_sources": op9_mix_sources,
