@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import common, decontaminate, exact, licenses, lines, mixing, pii, toxicity
+from leadloom.llm import common, decontaminate, exact, hmm, licenses, lines, mixing, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(common.filled("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), _remainder(F.col("doc_id"), 7) == 2
+    model, words = hmm.train(docs.filter(~held_out).select(common.filled("text").alias("text")))
+    out = hmm.score(docs, model, words)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op7_hmm_scores": op7_hmm_scores,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
 }
