@@ -38,10 +38,12 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
     windows = common.staged(item_windows(benchmark, window, shingle), "item-windows")
     wanted = common.staged(windows.select("k", F.explode("shingles").alias("h")).distinct(), "shingles")
     sizes = [r.k for r in windows.select("k").distinct().collect()]     # at most `shingle` numbers
-    words = docs.select("row_id", "ws").filter(F.size("ws") > 0)
+    words = docs.select("row_id", "ws")
     seen = None
     for k in sorted(sizes):
-        part = words.select("row_id", "ws", F.posexplode(_hashes(F.col("ws"), k)).alias("pos", "h")) \
+        # the outer form: for the inner one the words would be cut out anew in a filter
+        at = words.select("row_id", "ws", F.posexplode_outer("ws").alias("pos", "word")).filter(F.col("pos") <= F.size("ws") - k)
+        part = at.select("row_id", "ws", "pos", F.xxhash64(F.lit(k), *[F.get("ws", F.col("pos") + j) for j in range(k)]).alias("h")) \
             .join(wanted.filter(F.col("k") == k).select("h"), "h")
         around = F.slice("ws", F.greatest(F.col("pos") - window, F.lit(0)) + 1, F.lit(3 * window))
         part = part.select("row_id", "h", "pos", F.size("ws").alias("n"), F.greatest(F.col("pos") - window, F.lit(0)).alias("from"), around.alias("around"))
