@@ -9,7 +9,7 @@ from leadloom.llm import common
 # Fixed phrases and labels that are always reported.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# label, keyword (whole words), name as a pattern over lower-case words with single blanks
+# label, keyword (stands in whatever the name matches), name as a pattern over lower-case words with single blanks
 FAMILIES = (
     ("mit", "mit", "mit"), ("mit-0", "mit", "mit (?:0|no attribution)"), ("x11", "x11", "x11"), ("isc", "isc", "isc"),
     ("apache-2", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? 2(?: 0)?"),
@@ -35,7 +35,7 @@ FAMILIES = (
     ("postgresql", "postgresql", "postgresql"), ("openssl", "openssl", "openssl"), ("php-3", "php", "php(?: version)? 3(?: 0?1?)?"), ("ruby", "ruby", "ruby"),
     ("vim", "vim", "vim"), ("w3c", "w3c", "w3c(?: software)?(?: notice)?"), ("curl", "curl", "curl"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
     ("afl-3", "academic", "academic free license(?:(?: version| v)? ?3(?: 0)?)?"), ("osl-3", "open", "open software license(?:(?: version| v)? ?3(?: 0)?)?"),
-    ("qpl-1", "qpl", "q(?: public license|pl)(?: 1 0)?"), ("sleepycat", "sleepycat", "sleepycat"), ("zpl-2", "zope", "zope public license(?: 2 [01])?"),
+    ("qpl-1", "qpl", "qpl(?: 1 0)?"), ("qpl-1", "public", "q public license(?: 1 0)?"), ("sleepycat", "sleepycat", "sleepycat"), ("zpl-2", "zope", "zope public license(?: 2 [01])?"),
     ("busl-1.1", "business", "business source license(?:(?: version)? 1 1)?"), ("sspl-1", "server", "server side public license(?:(?: version| v)? ?1)?"),
     ("odbl", "database", "open database license"), ("pddl", "dedication", "public domain dedication and license"), ("json", "json", "json"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"), ("cc-by", "cc", "cc by(?: [1234] [05])?"), ("cc-by-sa", "cc", "cc by sa(?: [1234] [05])?"),
@@ -59,7 +59,7 @@ OTHERS = (
     ("proprietary", "reserved", "all rights reserved", 1, 0.5), ("proprietary", "confidential", "proprietary and confidential", 2, 0.7),
 )
 # a document without any of these has no signature: they stand in every rule above
-GATE = ("licen", "spdx", "public", "reserved", "confidential", "subject")
+GATE = ("licen", "spdx", "public", "reserved", "confidential", "subject", "commons")
 
 
 def rules() -> list[tuple[str, str, str, int, float, bool]]:
@@ -71,7 +71,7 @@ def rules() -> list[tuple[str, str, str, int, float, bool]]:
 
 
 def _rule_table() -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(f" {keyword} ").alias("keyword"),
+    return F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(keyword).alias("keyword"),
                               F.lit(f" {pattern}(?= )").alias("pattern"), F.lit(priority).alias("priority"),
                               F.lit(sure).alias("sure"), F.lit(base).alias("base"))
                      for n, (label, keyword, pattern, priority, sure, base) in enumerate(rules())])
