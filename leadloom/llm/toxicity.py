@@ -12,6 +12,7 @@ from leadloom.llm import common
 
 WIDTH = 1 << 17          # hashed words and stems
 STEMS = (4, 6)           # bytes
+PARTS = 12               # of the bounded training sample
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 STOP_BYTE = np.zeros(256, bool)
@@ -81,11 +82,11 @@ def _unpacked(row) -> tuple[np.ndarray, ...]:
     return (*(np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("word", "sentence", "of")), np.frombuffer(row["label"], np.int8))
 
 
-def _sum(parts: list[np.ndarray], size: int) -> Iterator[np.ndarray]:
-    total = np.zeros(size)
+def _sum(parts: Iterator[np.ndarray], keep) -> Iterator[np.ndarray]:
+    total = np.zeros(WIDTH + 3)
     for p in parts:
         total += p
-    yield total
+    yield total[keep]
 
 
 def train(labelled: DataFrame, max_documents: int = 20_000, steps: int = 100, rate: float = 0.1, least_documents: int = 5,
@@ -93,7 +94,7 @@ def train(labelled: DataFrame, max_documents: int = 20_000, steps: int = 100, ra
     """Weights by word and bias from `labelled` (doc_id, text, toxic).
 
     A bounded sample is used: `max_documents` rows, in the order of a hash of doc_id. Each step sums the gradient over all of the
-    sample's blocks on the executors; the driver holds one vector of WIDTH numbers. Words of fewer than `least_documents` sampled documents
+    sample's blocks on the executors; the driver adds PARTS vectors of at most WIDTH numbers. Words of fewer than `least_documents` sampled documents
     have no weight. Without rows of both labels every score is the prior's.
     """
     from pyspark import StorageLevel
@@ -102,7 +103,7 @@ def train(labelled: DataFrame, max_documents: int = 20_000, steps: int = 100, ra
     ids = common.staged(ids, "train-ids")
     chosen = labelled.filter(F.col("toxic").isNotNull()).join(ids, "doc_id", "left_semi").select(common.filled("text").alias("text"), "toxic")
     blocks = common.staged(chosen.mapInPandas(_blocks, "word binary, sentence binary, of binary, label binary"), "blocks")
-    data = blocks.repartition(4 * max(2, spark.sparkContext.defaultParallelism // 4)).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    data = blocks.repartition(PARTS).rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
     def presence(rows):
         for r in rows:
@@ -110,25 +111,28 @@ def train(labelled: DataFrame, max_documents: int = 20_000, steps: int = 100, ra
             seen = np.unique(of[sentence] * WIDTH + word) % WIDTH
             yield np.concatenate([np.bincount(seen, minlength=WIDTH), [len(of), label.sum(), len(label)]]).astype(float)
 
-    size = WIDTH + 3
-    summed = lambda fn: data.mapPartitions(lambda rows: _sum(fn(rows), size)).treeReduce(lambda a, b: a + b)
+    # PARTS vectors come to the driver in each step: their number and length are fixed
+    summed = lambda fn, keep: data.mapPartitions(lambda rows: _sum(fn(rows), keep)).reduce(lambda a, b: a + b)
     try:
-        counts = summed(presence) if not data.isEmpty() else np.zeros(size)
+        counts = summed(presence, slice(None))
         sentences, positive, n = counts[-3:]
         weights = np.zeros(WIDTH)
         bias = float(np.log(max(positive, 0.5) / max(n, 1.0)) - np.log(max(sentences / max(n, 1.0), 1.0)))
         if not 0 < positive < n:
             return weights, bias
-        used = counts[:WIDTH] >= least_documents
-        m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
+        used = np.flatnonzero(counts[:WIDTH] >= least_documents)
+        keep = np.r_[used, WIDTH, WIDTH + 1, WIDTH + 2]
+        w, m, v = np.zeros(len(used)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
         for t in range(1, steps + 1):
+            weights[used] = w
             shared = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
-            total = summed(lambda rows: (gradient(_unpacked(r), shared.value[0].astype(float), shared.value[1]) for r in rows))
-            shared.unpersist()
-            g = np.concatenate([np.where(used, (total[:WIDTH] + ridge * weights + lasso * np.sign(weights)) / n, 0.0), [total[WIDTH] / n]])
+            total = summed(lambda rows: (gradient(_unpacked(r), shared.value[0].astype(float), shared.value[1]) for r in rows), keep)
+            shared.destroy()
+            g = np.r_[total[: len(used)] + ridge * w + lasso * np.sign(w), total[len(used)]] / n
             m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-6)
-            weights, bias = weights - step[:WIDTH], bias - float(step[WIDTH])
+            w, bias = w - step[:-1], bias - float(step[-1])
+        weights[used] = w
         return weights, bias
     finally:
         data.unpersist()
