@@ -146,7 +146,7 @@ def blank_separated(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 # --- a bounded filter in front of a shuffle: it lets through too much, never too little ---
 
-def bitmap(df: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+def bitmap(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     """2**bits flags of the 64-bit values in `column`, by their top bits after a scramble. Parts are joined pairwise on the executors."""
     spark = df.sparkSession
 
@@ -178,7 +178,7 @@ def flagged(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Staged (node, label): the smallest node of each connected component, for every node of `edges` (a, b: long).
+    """Staged (node, label): the smallest node of the connected component, for every other node of `edges` (a, b: long).
 
     Large-star and small-star rounds until nothing changes; each round is written, and only a count and a checksum reach the driver.
     """

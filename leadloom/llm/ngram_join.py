@@ -5,13 +5,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import common
 
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-RANGES = 16
+RANGES = 64
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +68,9 @@ def _overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * total // (num + den))
 
 
-def prefixes(docs: DataFrame, frequencies: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """Staged: doc_id, key (of the text), cls (hash of the set, null without words), n, prefix (hashes, rarest first)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
-    bits = int(np.log2(len(frequencies)))
+def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
+    """Staged: doc_id, key (of the text), cls (hash of the set, null without words), n, prefix (hashes, rarest first), ranges (elements by hash range)."""
+    bits = int(np.log2(len(shared.value)))
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -88,16 +88,16 @@ def prefixes(docs: DataFrame, frequencies: np.ndarray, words: int, num: int, den
                 yield pd.DataFrame({
                     "doc_id": rows.doc_id.to_numpy()[first: first + many], "key": rows.key.to_numpy()[first: first + many],
                     "cls": pd.array(cls, "Int64").copy() if n.all() else pd.arrays.IntegerArray(cls.copy(), n == 0),
-                    "n": n, "prefix": [ranked[a: a + b] for a, b in zip(cut, length)]})
+                    "n": n, "prefix": [ranked[a: a + b] for a, b in zip(cut, length)],
+                    "ranges": list(np.bincount(of * RANGES + (hashes >> np.uint64(58)).astype(np.int64), minlength=many * RANGES).reshape(many, RANGES).astype(np.int32))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.staged(docs.mapInPandas(made, f"doc_id {kind}, key long, cls long, n long, prefix array<long>"), "prefixes")
+    return common.staged(docs.mapInPandas(made, f"doc_id {kind}, key long, cls long, n long, prefix array<long>, ranges array<int>"), "prefixes")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b) those that link. Suffix filter: after the first shared element in the order, the elements left are counted in hash ranges; the ranges' minima bound the overlap. Then the sets are compared."""
-    shared = pairs.sparkSession.sparkContext.broadcast(frequencies)
-    bits = int(np.log2(len(frequencies)))
+    bits = int(np.log2(len(shared.value)))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -114,7 +114,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, frequencies: np.ndarray, words:
             for k, (a, b, i, j) in enumerate(zip(rows.a, rows.b, rows.pos_a, rows.pos_b)):
                 (sorted_a, ranked_a), (sorted_b, ranked_b) = sets[a], sets[b]
                 need = int(_overlap(len(sorted_a) + len(sorted_b), num, den))
-                left = [np.bincount((x >> np.uint64(60)).astype(np.int64), minlength=RANGES) for x in (ranked_a[i + 1:], ranked_b[j + 1:])]
+                left = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=RANGES) for x in (ranked_a[i + 1:], ranked_b[j + 1:])]
                 if 1 + np.minimum(*left).sum() >= need:
                     keep[k] = len(np.intersect1d(sorted_a, sorted_b, assume_unique=True)) >= need
             yield rows.loc[keep, ["a", "b"]]
@@ -134,7 +134,32 @@ def _candidates(left: DataFrame, right: DataFrame, num: int, den: int, extra) ->
     return met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.min("x.pos").alias("pos_a"), F.min("y.pos").alias("pos_b"))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), cell_bits: int = 22, filter_bits: int = 26) -> DataFrame:
+def _within_ranges(pairs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sets can overlap enough: the smaller counts of their hash ranges add up to the least overlap."""
+    of = lambda c: shapes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"ranges_{c}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b")
+    most = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return joined.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b", "pos_a", "pos_b")
+
+
+def _texts(rows: DataFrame, pairs: DataFrame, owners: DataFrame, filter_bits: int) -> DataFrame:
+    """Staged (cls, text): one text of each class in `pairs`."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    needed = common.staged(owners.join(wanted, "cls", "left_semi").select("cls", "owner.doc_id", "owner.key"), "needed")
+    flags = rows.sparkSession.sparkContext.broadcast(common.bitmap(needed, "key", filter_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(common.flagged(flags.value, keys.to_numpy(np.int64)))
+
+    n = needed.alias("n")
+    found = rows.filter(maybe("key")).alias("r").join(n, F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.key") == F.col("n.key")))
+    out = common.staged(found.select("n.cls", "r.text").dropDuplicates(["cls"]), "texts")
+    flags.destroy()
+    return out
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), cell_bits: int = 21, filter_bits: int = 24) -> DataFrame:
     """One row per document: doc_id, key (of the text), n_shingles, cls (hash of the set), component_id, keeper (whether this document stands for its group).
 
     Words are what stands between blanks, in lower case (A-Z). Documents with equal sets are one class; classes link when the
@@ -145,13 +170,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     Elements are ordered by document frequency; two similar sets share an element of their prefixes, the rarest
     n - ceil(t * n) + 1. Candidates come in two rounds, so that a large group of near copies does not meet all with all: first every
     class with the one that has fewest rarer elements before the shared one (the likely original); then, exactly, all pairs of
-    postings whose classes are not yet connected. Texts travel only for classes that share a prefix element with another class;
-    the map in front of that shuffle has 2**filter_bits flags, and the join after it is exact.
+    postings whose classes are not yet connected. Before texts travel, the counts of a pair's elements in hash ranges must
+    allow the overlap. Texts travel only for classes of such pairs; the map in front of that shuffle has 2**filter_bits flags, and the join after it is exact.
     """
     num, den = similarity
-    spark = docs.sparkSession
     rows = docs.select("doc_id", common.text_key(common.filled("text")).alias("key"), common.filled("text").alias("text"))
-    frequencies = document_frequencies(rows.select("text"), words, cell_bits)
+    frequencies = docs.sparkSession.sparkContext.broadcast(document_frequencies(rows.select("text"), words, cell_bits))
     sets = prefixes(rows, frequencies, words, num, den)
 
     postings = sets.filter("n > 0").select("cls", "n", F.posexplode_outer("prefix").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
@@ -160,28 +184,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     early = met.filter("pos = first")
     pivots = early.join(early.groupBy("token").agg(F.min("cls").alias("pivot")), "token").filter("cls = pivot").select("token", "cls", "n", "pos")
 
-    wanted = met.select("cls").distinct()
     owners = sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("owner"))
     owners = common.staged(owners, "owners")
-    needed = common.staged(owners.join(wanted, "cls", "left_semi").select("cls", "owner.doc_id", "owner.key"), "needed")
-    flags = spark.sparkContext.broadcast(common.bitmap(needed, "key", filter_bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        return pd.Series(common.flagged(flags.value, keys.to_numpy(np.int64)))
+    shapes = common.staged(sets.filter("n > 0").select("cls", "n", "ranges").dropDuplicates(["cls"]), "shapes")
 
-    n = needed.alias("n")
-    texts = rows.filter(maybe("key")).alias("r").join(n, F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.key") == F.col("n.key"))) \
-        .select("n.cls", "r.text").dropDuplicates(["cls"])
-    texts = common.staged(texts, "texts")
+    def links(pairs: DataFrame) -> DataFrame:
+        near = common.staged(_within_ranges(pairs, shapes, num, den), "pairs")
+        return _verify(near, _texts(rows, near, owners, filter_bits), frequencies, words, num, den)
 
-    first = _verify(_candidates(met, pivots, num, den, F.col("x.cls") != F.col("y.cls")), texts, frequencies, words, num, den)
+    first = links(_candidates(met, pivots, num, den, F.col("x.cls") != F.col("y.cls")))
     labels = common.components(first)
     labelled = common.staged(met.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     split = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     split = common.staged(labelled.join(split, "token", "left_semi"), "split")
     apart = (F.col("x.label") != F.col("y.label")) & (F.col("x.cls") < F.col("y.cls"))
-    second = _verify(_candidates(split, split, num, den, apart), texts, frequencies, words, num, den)
+    second = links(_candidates(split, split, num, den, apart))
+    frequencies.destroy()
     labels = common.components(first.unionByName(second))
 
     named = owners.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
