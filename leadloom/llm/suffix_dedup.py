@@ -21,7 +21,8 @@ from leadloom.llm import common
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1          # grams in a window, and windows in a read at most
 LAST = 2**63 - 1                  # stands for a null doc_id: after all others
-BATCH = 2_000_000
+BATCH = 1_000_000
+HELD = 400_000                    # minimizers gathered before they are sent
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -67,23 +68,30 @@ def repeated_minimizers(docs: DataFrame, ranges: int, bits: int) -> np.ndarray:
     """
     top = np.uint64(64 - int(np.log2(ranges)))
 
+    def packed(h: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        many = doc[first] != doc[np.r_[first[1:], len(h)] - 1] if len(h) else np.zeros(0, bool)
+        h = h[first]
+        cuts = np.searchsorted(h >> top, np.arange(ranges + 1, dtype=np.uint64))
+        low = (h >> (top - np.uint64(32))).astype(np.uint32)
+        keep = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
+        return pd.DataFrame({"r": keep, "low": [low[cuts[r]: cuts[r + 1]].tobytes() for r in keep],
+                             "many": [np.packbits(many[cuts[r]: cuts[r + 1]]).tobytes() for r in keep]})
+
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows in batches:
             names = rows.doc.to_numpy()
-            found = [(m, names[first + t]) for first, raw, offsets in common.byte_batches(rows.text, BATCH) for m, t, *_ in [reads(raw, offsets)]]
-            if not found:
-                continue
-            h, doc = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-            many = doc[first] != doc[np.r_[first[1:], len(h)] - 1] if len(h) else np.zeros(0, bool)
-            h = h[first]
-            cuts = np.searchsorted(h >> top, np.arange(ranges + 1, dtype=np.uint64))
-            low = (h >> (top - np.uint64(32))).astype(np.uint32)
-            keep = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
-            yield pd.DataFrame({"r": keep, "low": [low[cuts[r]: cuts[r + 1]].tobytes() for r in keep],
-                                "many": [np.packbits(many[cuts[r]: cuts[r + 1]]).tobytes() for r in keep]})
+            for first, raw, offsets in common.byte_batches(rows.text, BATCH):
+                found = reads(raw, offsets)
+                held.append((found[0], names[first + found[1]]))
+                if sum(len(h) for h, _ in held) > HELD:
+                    yield packed(np.concatenate([h for h, _ in held]), np.concatenate([d for _, d in held]))
+                    held = []
+        if held:
+            yield packed(np.concatenate([h for h, _ in held]), np.concatenate([d for _, d in held]))
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         low = [np.frombuffer(x, np.uint32) for x in rows.low]
@@ -121,100 +129,92 @@ def candidate_reads(docs: DataFrame, flags: np.ndarray) -> DataFrame:
                                     "m": m.view(np.int64), "h": h.view(np.int64),
                                     "bytes": [data[a: a + w + WINDOW - 1] for a, w in zip(at.tolist(), windows.tolist())]})
 
-    return common.staged(docs.mapInPandas(passed, "doc long, key long, pos int, windows int, m long, h long, bytes binary"), "reads")
+    out = common.staged(docs.mapInPandas(passed, "doc long, key long, pos int, windows int, m long, h long, bytes binary"), "reads")
+    shared.destroy()
+    return out
 
 
 # --- the collection's Burrows-Wheeler transform, one symbol a read each round ---
 
-ENTRY = np.dtype([("read", np.int32), ("length", np.uint8), ("same", np.bool_)])
+def _blocks(path: str, kind: type, block: int) -> Iterator[np.ndarray]:
+    with open(path, "rb") as f:
+        while len(part := np.fromfile(f, kind, block)):
+            yield part
 
 
-def sorted_suffixes(texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
-    """All suffixes of all texts in order (ENTRY): read, length, and whether it shares its first WINDOW bytes with the one before.
+def sorted_suffixes(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of all texts in order: text, length, and whether it shares its first WINDOW bytes with the one before.
 
-    Round j inserts the suffix of length j of every read: the symbol in front of each suffix that is there says where the longer one goes.
-    A round reads the transform of the round before once, in order, and appends each entry to the file of its symbol; the files one after
-    the other are the new transform. Common prefixes change only next to the entries of the round; they are compared when WINDOW bytes are there.
+    Round j inserts the suffix of length j of every text: the symbol in front of each suffix that is there says where the longer one goes.
+    A round reads the transform of the round before in order, twice: to count the symbols, and to put each entry at its symbol's
+    cursor in the new file, which moves on only. An entry is a place in the joined texts (each behind a zero, bytes from 1 on) and a
+    length. Common prefixes change only next to the entries of the round; they are compared once WINDOW bytes are there.
     """
-    lengths = np.array([len(t) for t in texts], np.int64)
-    start = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
-    empty = np.zeros(len(texts), ENTRY)
-    empty["read"] = np.arange(len(texts))
+    n, lengths = len(texts), np.array([len(t) for t in texts], np.int64)
+    stops = np.cumsum(lengths + 1)
+    raw = np.zeros(stops[-1] + WINDOW + 1, np.uint16)
+    places = np.ones(stops[-1], bool)
+    places[stops - lengths - 1] = False
+    raw[: stops[-1]][places] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+    columns, same = np.arange(WINDOW), np.zeros(0, bool)
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        path = os.path.join(folder, "0")
-        empty.tofile(path)
+        name = lambda what, j: os.path.join(folder, f"{what}-{j}")
+        stops.astype(np.int32).tofile(name("place", 0))
+        np.zeros(n, np.uint8).tofile(name("length", 0))
         for j in range(1, int(lengths.max()) + 1):
-            made: dict[int, object] = {}
-            with open(path, "rb") as before:
-                while len(part := np.fromfile(before, ENTRY, block)):
-                    ahead = lengths[part["read"]] - part["length"] - 1
-                    part, ahead = part[ahead >= 0], ahead[ahead >= 0]
-                    symbol = raw[start[part["read"]] + ahead]
-                    order = np.argsort(symbol, kind="stable")
-                    part, symbol = part[order], symbol[order]
-                    part["length"] += 1
-                    part["same"] = False        # flags of older entries are taken over below
-                    for s, a, b in zip(*_groups(symbol)):
-                        if s not in made:
-                            made[s] = open(os.path.join(folder, f"{j}-{s}"), "wb")
-                        part[a:b].tofile(made[s])
-            for f in made.values():
-                f.close()
-            old = _same_of(path, WINDOW) if j > WINDOW else None
-            target, taken, last, last_whole = os.path.join(folder, str(j)), 0, None, False
-            with open(target, "wb") as after:
-                empty.tofile(after)
-                for s in sorted(made):
-                    name = os.path.join(folder, f"{j}-{s}")
-                    with open(name, "rb") as f:
-                        while len(part := np.fromfile(f, ENTRY, block)):
-                            if j >= WINDOW:
-                                whole = part["length"] >= WINDOW
-                                at = start[part["read"]] + lengths[part["read"]] - part["length"]
-                                if old is not None:
-                                    kept = whole & (part["length"] < j)
-                                    part["same"][kept] = old[taken: taken + kept.sum()]
-                                    taken += kept.sum()
-                                # next to an entry of this round: compare
-                                fresh = part["length"] == j
-                                near = fresh.copy()
-                                near[1:] |= fresh[:-1]
-                                near[0] = True
-                                near &= whole
-                                here = np.flatnonzero(near)
-                                previous = np.r_[-1 if last is None else last, at[:-1]][here]
-                                ok = (previous >= 0) & np.r_[last_whole, whole[:-1]][here]
-                                columns = np.arange(WINDOW)
-                                equal = np.zeros(len(here), bool)
-                                equal[ok] = (raw[at[here[ok], None] + columns] == raw[previous[ok, None] + columns]).all(1)
-                                part["same"][here] = equal
-                                last, last_whole = at[-1], whole[-1]
-                            part.tofile(after)
-                    os.remove(name)
-            os.remove(path)
-            path = target
-        return np.fromfile(path, ENTRY)
-
-
-def _groups(symbol: np.ndarray) -> tuple[list, list, list]:
-    first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]][: len(symbol)])
-    return symbol[first].tolist(), first.tolist(), [*first[1:].tolist(), len(symbol)]
-
-
-def _same_of(path: str, least: int) -> np.ndarray:
-    entries = np.fromfile(path, ENTRY)
-    return entries["same"][entries["length"] >= least]
+            counts = np.zeros(257, np.int64)
+            for part in _blocks(name("place", j - 1), np.int32, block):
+                counts += np.bincount(raw[part - 1], minlength=257)
+            cursor = n + np.r_[0, 0, np.cumsum(counts[1:-1])]
+            size = n + int(counts[1:].sum())
+            place, length = (np.memmap(name(what, j), kind, "w+", shape=size) for what, kind in (("place", np.int32), ("length", np.uint8)))
+            place[:n], length[:n] = stops, 0
+            for part, long in zip(_blocks(name("place", j - 1), np.int32, block), _blocks(name("length", j - 1), np.uint8, block)):
+                symbol = raw[part - 1]
+                order = np.argsort(symbol, kind="stable")
+                mine = np.bincount(symbol, minlength=257)
+                order = order[mine[0]:]                       # a zero: the text is used up
+                part, long = part[order] - 1, long[order] + 1
+                at = 0
+                for s in np.flatnonzero(mine[1:]) + 1:
+                    place[cursor[s]: cursor[s] + mine[s]], length[cursor[s]: cursor[s] + mine[s]] = part[at: at + mine[s]], long[at: at + mine[s]]
+                    at += mine[s]
+                cursor += mine
+            if j >= WINDOW:
+                whole = np.flatnonzero(length >= WINDOW)
+                fresh = length[whole] == j
+                before, same = same, np.zeros(len(whole), bool)
+                same[~fresh] = before
+                near = fresh.copy()
+                near[1:] |= fresh[:-1]
+                near[:1] = False
+                here = np.flatnonzero(near)
+                side_by_side = whole[here] == whole[here - 1] + 1       # a shorter suffix in between differs before
+                a, b = place[whole[here]], place[whole[here - 1]]
+                equal = side_by_side & (raw[a] == raw[b]) & (raw[a + WINDOW - 1] == raw[b + WINDOW - 1])
+                told = np.flatnonzero(equal)
+                for k in range(0, len(told), 1 << 16):
+                    t = told[k: k + (1 << 16)]
+                    equal[t] = (raw[a[t, None] + columns] == raw[b[t, None] + columns]).all(1)
+                same[here] = equal
+            for what in ("place", "length"):
+                os.remove(name(what, j - 1))
+            last = np.array(place), np.array(length)
+            del place, length
+        read = np.searchsorted(stops, last[0], side="left")
+        out = np.zeros(len(read), bool)
+        out[last[1] >= WINDOW] = same
+        return read, last[1], out
 
 
 def smallest_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each run of windows of a read with one smallest document among equal windows: read, first window, end of windows, document."""
-    entries = sorted_suffixes(texts)
-    entries = entries[entries["length"] >= WINDOW]
-    first = np.flatnonzero(~entries["same"])
-    least = np.minimum.reduceat(docs[entries["read"]], first)
-    low = np.repeat(least, np.diff(np.r_[first, len(entries)]))
-    read, window = entries["read"].astype(np.int64), np.array([len(t) for t in texts])[entries["read"]] - entries["length"]
+    read, length, same = sorted_suffixes(texts)
+    keep = length >= WINDOW
+    read, length, same = read[keep], length[keep].astype(np.int64), same[keep]
+    first = np.flatnonzero(~same)
+    low = np.repeat(np.minimum.reduceat(docs[read], first), np.diff(np.r_[first, len(read)]))
+    window = np.array([len(t) for t in texts])[read] - length
     order = np.lexsort((window, read))
     read, window, low = read[order], window[order], low[order]
     new = np.r_[True, (read[1:] != read[:-1]) | (low[1:] != low[:-1])]
@@ -277,13 +277,25 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     kinds = found.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("h").alias("h1"), F.max("h").alias("h2")).filter("low < high")
     kinds = common.staged(kinds.select("m", "low", (F.col("h1") != F.col("h2")).alias("mixed")), "minimizers")
     span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("windows") + (WINDOW - 1)).alias("stop"))
-    equal = found.drop("bytes").join(kinds.filter("NOT mixed"), "m").filter("doc > low").select("doc", "key", span.alias("span"))
-    mixed = common.staged(found.join(kinds.filter("mixed").select("m"), "m"), "mixed")
-    distinct = common.staged(mixed.groupBy("m", "h", "bytes").agg(F.min("doc").alias("doc")), "distinct")
+    met = found.select("doc", "key", "pos", "windows", "m", "h").join(kinds, "m").filter("mixed OR doc > low")
+    met = common.staged(met.select("doc", "key", "mixed", F.when(F.col("mixed"), F.col("m")).alias("m"), F.when(F.col("mixed"), F.col("h")).alias("h"), span.alias("span")), "met")
+    # bytes are shuffled only where reads differ: a bounded filter first, the exact join behind it
+    open_kinds = kinds.filter("mixed").select("m")
+    flags = spark.sparkContext.broadcast(common.bitmap(open_kinds, "m"))
+
+    @F.pandas_udf("boolean")
+    def maybe(m: pd.Series) -> pd.Series:
+        return pd.Series(common.flagged(flags.value, m.to_numpy(np.int64)))
+
+    distinct = found.filter(maybe("m")).select("m", "h", "bytes", "doc").groupBy("m", "h", "bytes").agg(F.min("doc").alias("doc")).join(open_kinds, "m", "left_semi")
+    distinct = common.staged(distinct, "distinct")
+    flags.destroy()
     runs = common.staged(_window_runs(distinct, most), "runs")
-    part = F.struct((F.col("pos") + F.col("first")).alias("start"), (F.col("pos") + F.col("stop") + (WINDOW - 1)).alias("stop"))
-    other = mixed.drop("bytes").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", part.alias("span"))
-    return common.staged(equal.unionByName(other).groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
+    start = F.col("span.start")
+    part = F.struct((start + F.col("first")).alias("start"), (start + F.col("stop") + (WINDOW - 1)).alias("stop"))
+    other = met.filter("mixed").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", part.alias("span"))
+    spans = met.filter("NOT mixed").select("doc", "key", "span").unionByName(other)
+    return common.staged(spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -306,7 +318,7 @@ def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, filter_bits: int = 26, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, filter_bits: int = 24, **how) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes that remain).
 
     A byte goes if a string of WINDOW bytes over it also starts in a document with a smaller doc_id; strings are judged on the whole
