@@ -10,7 +10,8 @@ from leadloom.plans.queries import QUERIES
 from leadloom.session import build_session
 
 HEADLINE = ("company_trend", "pipeline_funnel", "stage_durations", "customer_rollup", "contract_summary", "normalise_leads",
-            "score_leads", "find_duplicate_leads", "import_report", "page_text", "footer_text", "dedupe_pages", "dedupe_documents",
+            "score_leads", "duplicate_summary", "find_duplicate_leads", "write_leads", "write_contracts", "customer_documents", "scan_result",
+            "contact_candidates", "key_contacts", "import_report", "page_text", "footer_text", "dedupe_pages", "dedupe_documents",
             "extract_links", "score_links", "crawl_plan", "company_phone", "company_email", "company_industry", "text_units",
             "dedupe_jobs", "tech_from_jobs")
 

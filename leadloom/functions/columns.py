@@ -101,12 +101,12 @@ def months_until(ym: Column, as_of: Column) -> Column:
 
 
 def tech_list(c: Column) -> Column:
-    """JSON list or text split at | ; , / — trimmed, first spelling kept, 30 characters, 8 entries."""
+    """JSON list or text split at | ; , / — trimmed, first spelling kept."""
     parsed = F.when(trimmed(c).startswith("["), F.from_json(c, "array<string>"))
     items = F.filter(F.transform(F.coalesce(parsed, F.split(c, "[|;,/]")), trimmed), lambda x: x.isNotNull())
     folded = F.aggregate(items, F.array().cast("array<string>"), lambda acc, x: F.when(
-        F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(F.left(x, F.lit(30))))))
-    return F.coalesce(F.slice(folded, 1, 8), F.array().cast("array<string>"))
+        F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.coalesce(folded, F.array().cast("array<string>"))
 
 
 def format_krw(amount: Column, lang: str = "ko") -> Column:

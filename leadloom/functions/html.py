@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, stripped, unescape_html
+from .text import cut, let, stripped, unescape_html
 
 _HIDDEN = (r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>")
 _TAG = r"(?s)</?[a-zA-Z!?][^>]*>"
@@ -63,7 +63,7 @@ def meta_content(html: Column, key: str, value: str) -> Column:
     return attribute(F.try_element_at(hits, F.lit(1)), "content")
 
 
-def footer_blocks(html: Column, limit: int = 6) -> Column:
+def footer_blocks(html: Column, limit: int | None = None) -> Column:
     """Footer elements: <footer> first, then elements whose class or id says footer, then <address>."""
     quoted = r"\s(?:class|id)\s*=\s*[\"'][^\"'>]*footer[^\"'>]*[\"']"
     pattern = (rf"(?is)<(footer|address)\b[^>]*>.*?</\1\s*>|<(\w+)\b[^>]*{quoted}[^>]*>.*?</\2\s*>")
@@ -71,10 +71,11 @@ def footer_blocks(html: Column, limit: int = 6) -> Column:
     ordered = lambda blocks: F.concat(
         F.filter(blocks, lambda b: is_a(b, "footer")), F.filter(blocks, lambda b: ~is_a(b, "footer") & ~is_a(b, "address")),
         F.filter(blocks, lambda b: is_a(b, "address")))
-    return F.slice(let(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), ordered), 1, limit)
+    found = let(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), ordered)
+    return F.slice(found, 1, limit) if limit else found
 
 
-def footer_text(html: Column, text: Column, max_chars: int = 8000) -> Column:
+def footer_text(html: Column, text: Column, max_chars: int | None = None) -> Column:
     """Footer blocks plus the last quarter of the text lines."""
     blocks = block_text(F.array_join(footer_blocks(without_hidden(html)), "<br>"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != "")
@@ -82,4 +83,4 @@ def footer_text(html: Column, text: Column, max_chars: int = 8000) -> Column:
         ls, F.floor(F.size(ls) * 0.75).cast("int") + 1, F.size(ls) + 1), "\n")
     tail = let(lines, last_quarter)
     both = F.array_join(F.filter(F.array(blocks, tail), lambda x: F.btrim(x) != ""), "\n")
-    return F.left(F.regexp_replace(both, r"\n{3,}", "\n\n"), F.lit(max_chars))
+    return cut(F.regexp_replace(both, r"\n{3,}", "\n\n"), max_chars)

@@ -16,11 +16,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None,
                 rank_col: str = "rn") -> DataFrame:
-    """The first n rows of each key; Spark cuts each map partition to n rows per key before the shuffle."""
+    """The first n rows of each key; Spark cuts each map partition to n rows per key before the shuffle. All rows, ranked, for None."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+    ranked = df.withColumn(rank_col, F.row_number().over(w))
+    return ranked.where(F.col(rank_col) <= n) if n else ranked
 
 
 def neighbour(df: DataFrame, key: str, order: Sequence[str], value: str, out: str, *,

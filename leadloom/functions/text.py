@@ -27,6 +27,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def cut(c: Column, chars: int | None) -> Column:
+    """The first `chars` characters; the whole text for None."""
+    return F.left(c, F.lit(chars)) if chars else c
+
+
 def empty_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
@@ -97,9 +102,9 @@ def contains_any(c: Column, tokens: Iterable[str]) -> Column:
     return c.rlike(any_of(tokens))
 
 
-def label_value(c: Column, labels: Sequence[str], max_len: int = 120, separators: str = ":：") -> Column:
+def label_value(c: Column, labels: Sequence[str], max_len: int | None = None, separators: str = ":：") -> Column:
     """Value of `label : value`; the first label with a non-empty value wins, else null."""
-    tail = rf"\s*[{separators}]\s*([^\n|·•]{{2,{max_len}}})"
+    tail = rf"\s*[{separators}]\s*([^\n|·•]{{2,{max_len or ''}}})"
     values = [empty_to_null(tidy(F.regexp_extract(c, f"(?iU){escape(label)}{tail}", 1))) for label in labels]
     return F.when(c.rlike(rf"(?iU){any_of(labels)}\s*[{separators}]"), F.coalesce(*values))
 

@@ -34,7 +34,7 @@ def normalise_contracts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = raw.select(
         "row", N.whole_number(c("lead_id")).alias("lead_id"), N.whole_number(c("company_id")).alias("company_id"),
         F.coalesce(trimmed("domain"), website_domain(trimmed("website"))).alias("domain"),
-        F.left(trimmed("company_name"), F.lit(120)).alias("company_name"), trimmed("website").alias("website"),
+        trimmed("company_name").alias("company_name"), trimmed("website").alias("website"),
         trimmed("biz_number").alias("biz_number"), trimmed("title").alias("title"),
         trimmed("contract_no").alias("contract_no"),
         one_of(c("project_type"), fixed.PROJECT_TYPES).alias("project_type"),
@@ -101,7 +101,7 @@ def latest_contract(contracts: DataFrame) -> DataFrame:
     return first_per_key(with_customer_key(contracts), ["customer_key"], [_newest_key()])
 
 
-def newest_contracts(contracts: DataFrame, n: int) -> DataFrame:
+def newest_contracts(contracts: DataFrame, n: int | None = None) -> DataFrame:
     """The n newest contracts per customer with their position."""
     return top_per_key(with_customer_key(contracts).withColumn("_k", _newest_key()),
                        ["customer_key"], [F.asc("_k")], n, "position").drop("_k")
@@ -118,52 +118,44 @@ def customer_grade(df: DataFrame, total: str = "total_value", count: str = "live
     return df.withColumn("grade", grade_of(F.col(total), F.col(count)))
 
 
-def customer_rollup(contracts: DataFrame, as_of: Column, tech_limit: int = 8) -> DataFrame:
+def customer_rollup(contracts: DataFrame, as_of: Column, tech_limit: int | None = None) -> DataFrame:
     """One row per customer: values, counts, dates, grade and the details of the newest contract.
 
     Contracts themselves stay in their own rows (`newest_contracts`, `customer_documents`): a customer may
-    own a large share of them. The contracts are read once: each is split into its own row and one row
-    per technology, both are aggregated by (customer, technology), and the technologies are cut to
-    the first ones before they are gathered.
+    own a large share of them. Measures are aggregated on the rows as they are; only (customer, technology) is exploded, made distinct
+    before it is gathered, and joined.
     """
     rows = with_customer_key(contract_flags(contracts, as_of))
-    own = F.col("_term").isNull()
-    active, live = own & _active(), own & _live()
-    newest = F.when(own, _newest_key())
-    rating = F.when(own, F.nullif("satisfaction", F.lit(0)))
+    active, live, newest = _active(), _live(), _newest_key()
+    rating = F.nullif("satisfaction", F.lit(0))
     details = ("domain", "company_name", "website", "contact_name", "rank", "phone", "email", "our_pm",
                "project_type", "monthly_rate", "team_size", "payment_terms", "amount")
     amount = F.coalesce("amount", F.lit(0))
-    terms = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("tech"), F.array().cast("array<string>")))
-    split = rows.withColumn("_term", F.explode(terms))
-    totals = split.groupBy("customer_key", "_term").agg(
+    totals = rows.groupBy("customer_key").agg(
         F.coalesce(F.sum(F.when(live, amount)), F.lit(0)).alias("total_value"),
         F.coalesce(F.sum(F.when(active, amount)), F.lit(0)).alias("active_value"),
-        F.count_if(own).alias("contract_count"), F.count_if(live).alias("live_count"),
+        F.count(F.lit(1)).alias("contract_count"), F.count_if(live).alias("live_count"),
         F.count_if(active).alias("active_count"), F.count_if(F.col("status") == "renewed").alias("renewed_count"),
-        F.count_if(own & F.col("expiring")).alias("expiring_count"), F.min("signed_date").alias("first_signed"),
+        F.count_if("expiring").alias("expiring_count"), F.min("signed_date").alias("first_signed"),
         F.max("end_date").alias("last_end"), F.min(F.when(active, F.col("end_date"))).alias("next_end"),
         F.sum(rating).alias("rating_sum"), F.count(rating).alias("ratings"),
         F.array_sort(F.collect_set("project_type")).alias("project_types"),
         F.min_by("biz_number", F.when(empty_to_null("biz_number").isNotNull(), newest)).alias("biz_number"),
         F.min_by("company_id", F.when(F.col("company_id") != 0, newest)).alias("company_id"),
         F.min_by(F.struct(*details), newest).alias("latest"))
-    measures = [c for c in totals.columns if c not in ("customer_key", "_term")]
-    first_terms = top_per_key(totals, ["customer_key"], [F.asc_nulls_first("_term")], tech_limit + 1)
-    packed = first_terms.groupBy("customer_key").agg(
-        F.max(F.when(F.col("_term").isNull(), F.struct(*measures))).alias("m"),
-        F.array_sort(F.collect_list("_term")).alias("tech"))
-    m = lambda c: F.col(f"m.{c}")
-    dormant = F.when((m("active_count") == 0) & m("last_end").isNotNull(), F.datediff(as_of, m("last_end")))
+    terms = with_customer_key(contracts).select("customer_key", F.explode("tech").alias("_term")).distinct()
+    named = terms.groupBy("customer_key").agg(F.array_sort(F.collect_list("_term")).alias("tech"))
+    tech = F.coalesce("tech", F.array().cast("array<string>"))
+    dormant = F.when((F.col("active_count") == 0) & F.col("last_end").isNotNull(), F.datediff(as_of, "last_end"))
     plain = ("total_value", "active_value", "contract_count", "live_count", "active_count", "renewed_count", "first_signed",
              "last_end", "next_end", "expiring_count")
-    return packed.select(
-        "customer_key", *[F.col(f"m.latest.{f}").alias(f) for f in details[:8]], m("biz_number").alias("biz_number"),
-        m("company_id").alias("company_id"), grade_of(m("total_value"), m("live_count")).alias("grade"),
-        *[m(c).alias(c) for c in plain], dormant.alias("dormant_days"),
-        F.bround(m("rating_sum") / F.nullif(m("ratings"), F.lit(0)), 1).alias("satisfaction"),
-        m("project_types").alias("project_types"), "tech",
-        *[F.col(f"m.latest.{f}").alias(f"latest_{f}") for f in details[8:]])
+    return totals.join(named, "customer_key", "left").select(
+        "customer_key", *[F.col(f"latest.{f}").alias(f) for f in details[:8]], "biz_number",
+        "company_id", grade_of(F.col("total_value"), F.col("live_count")).alias("grade"),
+        *plain, dormant.alias("dormant_days"),
+        F.bround(F.col("rating_sum") / F.nullif("ratings", F.lit(0)), 1).alias("satisfaction"),
+        "project_types", (F.slice(tech, 1, tech_limit) if tech_limit else tech).alias("tech"),
+        *[F.col(f"latest.{f}").alias(f"latest_{f}") for f in details[8:]])
 
 
 def list_customers(customers: DataFrame) -> DataFrame:
@@ -232,7 +224,7 @@ def _krw(amount: Column) -> Column:
     return F.concat(F.lit("₩"), F.format_number(F.coalesce(amount, F.lit(0)), 0))
 
 
-def resell_leads(customers: DataFrame, contracts: DataFrame, shown: int = 5) -> DataFrame:
+def resell_leads(customers: DataFrame, contracts: DataFrame, shown: int | None = None) -> DataFrame:
     """Raw renewal leads of signed customers; the memo tells grade, total and the newest contracts."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = F.concat(F.coalesce(empty_to_null("title"), empty_to_null("project_type"), F.lit("계약")), F.lit(" "),
@@ -258,17 +250,11 @@ def contract_template_for_customer(customers: DataFrame) -> DataFrame:
         F.col("latest_payment_terms").alias("payment_terms"), "tech")
 
 
-def customer_documents(customers: DataFrame, contracts: DataFrame, per_document: int = 1000) -> DataFrame:
-    """Customers with their contracts nested, newest first; a customer with more than `per_document`
-    contracts is spread over several documents (`part`), so no task gathers an unbounded list."""
-    sized = customers.withColumn("_parts", F.ceil(F.col("contract_count") / per_document).cast("bigint"))
-    rows = with_customer_key(contracts).join(sized.select("customer_key", "_parts"), "customer_key")
-    part = F.pmod(F.xxhash64("id"), F.greatest("_parts", F.lit(1))).alias("part")
+def customer_documents(customers: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Customers with their contracts, one row per contract (`contract`, as a struct) with its position, newest first."""
     fields = [c for c in contracts.columns if c != "customer_key"]
-    nested = rows.groupBy("customer_key", part).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(_newest_key().alias("k"), F.struct(*fields).alias("c")))),
-                    lambda x: x["c"]).alias("contracts"))
-    return sized.drop("_parts").join(nested, "customer_key")
+    placed = newest_contracts(contracts).select("customer_key", F.col("position").cast("bigint").alias("position"), F.struct(*fields).alias("contract"))
+    return customers.join(placed, "customer_key")
 
 
 def delete_contracts(contracts: DataFrame, ids: DataFrame) -> DataFrame:

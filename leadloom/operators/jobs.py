@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..functions import urls as U
 from ..functions.ranking import first_per_key, top_per_key
-from ..functions.text import computed, count_tokens, empty_to_null, escape, first_token, has_token, label_value, tidy, any_of
+from ..functions.text import computed, count_tokens, cut, empty_to_null, escape, first_token, has_token, label_value, tidy, any_of
 
 
 def is_it_job(title: Column, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS) -> Column:
@@ -25,12 +25,12 @@ def employment_type(text: Column) -> Column:
 
 
 def deadline(text: Column) -> Column:
-    return empty_to_null(F.left(tidy(F.regexp_extract(text, "(?U)" + fixed.DEADLINE, 0)), F.lit(40)))
+    return empty_to_null(tidy(F.regexp_extract(text, "(?U)" + fixed.DEADLINE, 0)))
 
 
 def location(text: Column) -> Column:
-    named = F.left(label_value(text, fixed.LOCATION_LABELS, 40), F.lit(60))
-    hints = [empty_to_null(F.left(tidy(F.regexp_extract(text, f"(?iU){escape(h)}{fixed.LOCATION_SUFFIX}", 0)), F.lit(60)))
+    named = label_value(text, fixed.LOCATION_LABELS)
+    hints = [empty_to_null(tidy(F.regexp_extract(text, f"(?iU){escape(h)}{fixed.LOCATION_SUFFIX}", 0)))
              for h in fixed.LOCATION_HINTS]
     return F.coalesce(named, F.when(text.rlike("(?i)" + any_of(fixed.LOCATION_HINTS)), F.coalesce(*hints)))
 
@@ -84,7 +84,7 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
         "array<struct<phase:int,kind:int,inner:string,href:string>>")), plain("td", 3), plain("strong", 4))
     rows = near.select("domain", "page_idx", "final_url", "piece_pos", "piece", "boxed", F.posexplode(found).alias("pos", "e"))
     titled = computed(rows, title=tidy(html.inline_text(F.col("e.inner")))).where(F.length("title").between(4, 120))
-    around = F.when(F.col("boxed"), F.left(tidy(html.inline_text(F.col("piece"))), F.lit(400))).otherwise(F.col("title"))
+    around = F.when(F.col("boxed"), tidy(html.inline_text(F.col("piece")))).otherwise(F.col("title"))
     target = U.cleaned_link(F.col("final_url"), F.btrim("e.href", F.lit("\"'")))
     own = F.when(U.url_domain("_target") == F.col("domain"), F.col("_target"))
     c = computed(it_jobs_only(titled, keywords), context=around, _target=target)
@@ -94,24 +94,21 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
         F.struct("page_idx", F.col("e.phase").alias("phase"), "piece_pos", F.col("e.kind").alias("kind"), "pos").alias("seq"))
 
 
-def dedupe_jobs(c: DataFrame, min_title: int = 4) -> DataFrame:
+def dedupe_jobs(c: DataFrame) -> DataFrame:
     """One row per title of a domain (first wins); unlinked titles that contain an earlier title go.
 
-    Containment is found by an equi join of all substrings of an unlinked title (postings have at most
-    60 characters) with the titles of its domain: linear in the rows, no pairs of titles. Titles
-    have at least `min_title` characters.
+    Containment is found by an equi join of an unlinked title's substrings, of the lengths that titles of its
+    domain have, with those titles: linear in the rows, no pairs of titles.
     """
     low = c.withColumn("_t", F.lower("title"))
     firsts = low.groupBy("domain", F.col("_t").alias("_s")).agg(F.min("seq").alias("_first"))
-    shortest = F.lit(min_title)
+    lengths = firsts.where("_s <> ''").groupBy("domain").agg(F.collect_set(F.length("_s")).alias("_lengths"))
     text = F.col("_t")
-    # every stretch of an unlinked title that could be a title by itself
-    starts = F.sequence(F.lit(1), F.length(text) - shortest + 1)
-    stretches = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(shortest, F.length(text) - i + 1), lambda n: F.substring(text, i, n))))
-    loose = low.where((F.col("phase") == 2) & (F.length("_t") >= shortest))
-    probes = loose.select("domain", "_t").distinct().select(
-        "domain", "_t", F.explode(F.array_distinct(F.filter(stretches, lambda s: s == F.btrim(s)))).alias("_s"))
+    loose = low.where("phase = 2").select("domain", "_t").distinct().join(lengths, "domain")
+    fitting = F.filter("_lengths", lambda n: n <= F.length(text))
+    stretches = F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+    probes = loose.select("domain", "_t", F.explode(F.array_distinct(stretches)).alias("_s"))
     # per title: the earliest title contained in it
     inner = probes.join(firsts, ["domain", "_s"]).groupBy("domain", "_t").agg(F.min("_first").alias("_inner"))
     marked = low.join(inner, ["domain", "_t"], "left")
@@ -120,21 +117,21 @@ def dedupe_jobs(c: DataFrame, min_title: int = 4) -> DataFrame:
     return first_per_key(kept, ["domain", "_t"], ["seq"]).drop("_t")
 
 
-def job_fields(c: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS) -> DataFrame:
+def job_fields(c: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS, max_chars: int | None = None) -> DataFrame:
     context = F.col("context")
-    about = F.when(F.length(context) > F.length("title") + 10, F.left(context, F.lit(200)))
+    about = F.when(F.length(context) > F.length("title") + 10, cut(context, max_chars))
     return computed(c, position=position(F.col("title"), keywords), location=location(context),
                     employment_type=employment_type(context), deadline=deadline(context), description=about)
 
 
-def top_jobs(c: DataFrame, n: int = fixed.MAX_JOBS) -> DataFrame:
+def top_jobs(c: DataFrame, n: int | None = None) -> DataFrame:
     """The n best openings per domain: own detail page first, then the most filled in."""
     shallow = F.when(F.length(F.regexp_replace(U.path("source_url"), "[^/]", "")) > 1, 0).otherwise(1)
     filled = sum((F.col(f).isNotNull().cast("int") for f in ("location", "employment_type", "deadline")), F.lit(0))
     return top_per_key(c, ["domain"], [shallow.asc(), filled.desc(), F.asc("seq")], n, "place")
 
 
-def tech_from_jobs(jobs: DataFrame, n: int = 8, keywords: Sequence[str] = fixed.TECH_KEYWORDS) -> DataFrame:
+def tech_from_jobs(jobs: DataFrame, n: int | None = None, keywords: Sequence[str] = fixed.TECH_KEYWORDS) -> DataFrame:
     """Technologies named in the openings of a domain, in list order.
 
     Every opening is reduced to one flag per keyword before anything is shuffled.
@@ -144,4 +141,4 @@ def tech_from_jobs(jobs: DataFrame, n: int = 8, keywords: Sequence[str] = fixed.
     hit = lambda k: F.col("_text").contains(k) & F.col("_text").rlike(rf"(?<![a-z0-9]){escape(k)}(?![a-z0-9])")
     flags = rows.groupBy("domain").agg(*[F.bool_or(hit(k.lower())).alias(f"_k{i}") for i, k in enumerate(keywords)])
     found = F.array_compact(F.array(*[F.when(F.col(f"_k{i}"), k) for i, k in enumerate(keywords)]))
-    return flags.select("domain", F.slice(found, 1, n).alias("tech"))
+    return flags.select("domain", (F.slice(found, 1, n) if n else found).alias("tech"))

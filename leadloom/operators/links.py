@@ -115,7 +115,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     rows = (pages.select("domain", F.col("page_idx").alias("from_idx"), "final_url", "depth",
                          F.col("category").alias("from_category"), body.alias("_body"))
             .select("domain", "from_idx", "final_url", "depth", "from_category", F.posexplode(found).alias("pos", "_l")))
-    text = F.left(html.inline_text(F.col("_l.inner")), F.lit(120))
+    text = html.inline_text(F.col("_l.inner"))
     href = html.unescape_html(F.btrim("_l.href", F.lit("\"'")))
     links = computed(rows, anchor=F.when(F.col("_l.is_frame"), "").otherwise(text),
                      url=U.cleaned_link(F.col("final_url"), href))
@@ -158,14 +158,29 @@ def footer_coverage(homes: DataFrame) -> DataFrame:
         F.when(F.col("contact"), "contact"), F.when(F.col("company"), "company")), lambda x: x.isNotNull())).alias("category")))
 
 
+def sitemap_links(urls: DataFrame, tokens: Mapping[str, Sequence[str]] = fixed.LINK_TOKENS) -> DataFrame:
+    """Listed addresses (domain, sitemap_url, file_no, pos, url) as classified links of the domain itself."""
+    full = computed(urls, _url=U.cleaned_link(F.col("sitemap_url"), F.col("url")))
+    links = full.where("_url is not null").select(
+        "domain", F.lit(None).cast("bigint").alias("from_idx"), (F.col("file_no") * 1_000_000_000 + F.col("pos")).alias("pos"), F.lit(0).alias("depth"),
+        F.lit("sitemap").alias("from_category"), F.lit(False).alias("is_frame"), F.lit("").alias("anchor"), F.col("_url").alias("url"))
+    return classify_links(same_domain(links), tokens).where("category is not null")
+
+
+def _link_order(scored: DataFrame) -> list[Column]:
+    """Best first: real links by score, then spare ones, nearest to the root and shortest; page links before sitemap links."""
+    spare = F.col("category") == "other"
+    return [spare.alias("spare"), F.when(spare, U.path_depth("url")).otherwise(0).alias("steps"), F.when(spare, F.length("url")).otherwise(0).alias("chars"),
+            (-F.coalesce("score", F.lit(0))).alias("s"), F.col("link_depth"), F.coalesce(F.col("from_idx"), F.lit(2**62)).alias("i"), F.col("pos")]
+
+
 def score_links(links: DataFrame, homes: DataFrame, weights: Mapping[str, int] = fixed.CATEGORY_WEIGHT,
                 covered: DataFrame | None = None, spare: bool = False) -> DataFrame:
-    """Best score per address of a domain (links must be classified).
+    """Best score per address of a domain (links must be classified; `sitemap_links` may be among them).
 
     Category weight less the path depth; frames on top; foreign folders, categories the home
-    footer covers and links found deeper score less, job pages under job pages more. With `spare`,
-    unclassified links outside news-like folders are kept too, as category 'other': nearest to the
-    root first, then shortest.
+    footer covers (not for sitemap links) and links found deeper score less, job pages under job pages more. With `spare`,
+    unclassified links outside news-like folders are kept too, as category 'other' without a score.
     """
     framed = links.withColumn("category", F.when(F.col("is_frame"), F.coalesce("category", F.lit("company")))
                               .otherwise(F.col("category")))
@@ -180,36 +195,33 @@ def score_links(links: DataFrame, homes: DataFrame, weights: Mapping[str, int] =
         flagged = flagged.withColumn("_covered", F.lit(False))
     base = F.when(F.col("is_frame"), max(weights.values()) + 10).otherwise(
         value_map(F.col("category"), dict(weights)) - F.least(U.path_depth("url"), F.lit(5)))
-    child = F.col("depth") > 0
+    child, listed = F.col("depth") > 0, F.coalesce(F.col("from_category") == "sitemap", F.lit(False))
     bonus = F.when(child & (F.col("category") == "recruitment") & (F.col("from_category") == "recruitment"), 6).otherwise(0)
     penalty = (F.when(F.col("foreign"), fixed.FOREIGN_LANG_PENALTY).otherwise(0)
-               + F.when(child, 5).when(F.coalesce("_covered", F.lit(False)), fixed.FOOTER_COVERED_PENALTY).otherwise(0))
-    spare_score = -(U.path_depth("url") * 100000 + F.length("url"))
-    score = F.when(F.col("category") == "other", spare_score).otherwise(base + bonus - penalty)
+               + F.when(child, 5).when(F.coalesce("_covered", F.lit(False)) & ~listed, fixed.FOOTER_COVERED_PENALTY).otherwise(0))
+    score = F.when(F.col("category") != "other", base + bonus - penalty)
     depth = F.when(F.col("category") == "other", 1).otherwise(F.col("depth") + 1)
     scored = computed(flagged, score=score.cast("int"), link_depth=depth)
     best = scored.groupBy("domain", "url").agg(F.min_by(
-        F.struct("category", "score", "link_depth", "from_idx", "pos"),
-        F.struct((-F.col("score")).alias("s"), "link_depth", "from_idx", "pos")).alias("b"))
+        F.struct("category", "score", "link_depth", "from_idx", "pos"), F.struct(*_link_order(scored))).alias("b"))
     return best.select("domain", "url", "b.*")
 
 
-def crawl_plan(scored: DataFrame, max_pages: int = fixed.MAX_PAGES, max_depth: int = fixed.MAX_DEPTH,
-               max_recruit: int = fixed.MAX_RECRUITMENT_PAGES, have: int = 1) -> DataFrame:
-    """The next pages per domain: best score first, job pages beyond `max_recruit` after all others,
-    then spare links. `have` pages of the budget are already there.
+def crawl_plan(scored: DataFrame, max_pages: int | None = None, max_depth: int | None = None,
+               max_recruit: int | None = None, have: int = 1) -> DataFrame:
+    """The next pages per domain: best first, job pages beyond `max_recruit` after all others, then spare links.
 
-    Each kind of link is cut to what the budget can use before the kinds meet, so the last ranking
-    sees a bounded number of rows per domain.
+    `have` pages of the budget `max_pages` are already there. Without limits the plan holds every link. With them, each kind of link is
+    cut to what the budget can use before the kinds meet.
     """
-    budget = max_pages - have
-    keyed = computed(scored.where(F.col("link_depth") <= max_depth), _k=U.dedupe_key("url"))
-    order = [F.desc("score"), F.asc("link_depth"), F.asc("from_idx"), F.asc("pos"), F.asc("url")]
-    is_spare = F.col("category") == "other"
-    first = F.struct(is_spare.alias("o"), (-F.col("score")).alias("s"), "link_depth", "from_idx", "pos", "url")
-    once = first_per_key(keyed, ["domain", "_k"], [first])
-    kind = F.when(F.col("category") == "recruitment", "jobs").when(is_spare, "spare").otherwise("rest")
-    queue = top_per_key(once.withColumn("kind", kind), ["domain", "kind"], order, max_recruit + budget)
-    phase = F.when(F.col("kind") == "spare", 2).when((F.col("kind") == "jobs") & (F.col("rn") > max_recruit), 1).otherwise(0)
+    budget = max_pages - have if max_pages else None
+    near = scored.where(F.col("link_depth") <= max_depth) if max_depth else scored
+    keyed = computed(near, _k=U.dedupe_key("url"))
+    order = [*_link_order(keyed), F.asc("url")]
+    once = first_per_key(keyed, ["domain", "_k"], [F.struct(*order[:-1], "url")])
+    kind = F.when(F.col("category") == "recruitment", "jobs").when(F.col("category") == "other", "spare").otherwise("rest")
+    queue = top_per_key(once.withColumn("kind", kind), ["domain", "kind"], order, budget and (max_recruit or 0) + budget)
+    late = (F.col("kind") == "jobs") & (F.col("rn") > max_recruit) if max_recruit else F.lit(False)
+    phase = F.when(F.col("kind") == "spare", 2).when(late, 1).otherwise(0)
     ranked = top_per_key(queue.withColumn("phase", phase).drop("rn"), ["domain"], [F.asc("phase"), *order], budget, "rank")
     return ranked.select("domain", "rank", "url", "category", "phase", "score", "link_depth")

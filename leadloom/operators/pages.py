@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, html
 from ..functions.ranking import top_per_key
-from ..functions.text import any_of
+from ..functions.text import any_of, cut
 from ..functions.urls import dedupe_key, url_domain
 
 
@@ -41,9 +41,9 @@ def js_shell_pages(pages: DataFrame, max_chars: int = 400, empty_chars: int = 20
 
 
 def content_category_of(title: Column, text: Column, recruitment=fixed.RECRUITMENT_MARKERS,
-                        management=fixed.MANAGEMENT_MARKERS, window: int = 4000) -> Column:
-    """Category told by the headline area of a page, else null."""
-    head = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.left(text, F.lit(window))))
+                        management=fixed.MANAGEMENT_MARKERS, window: int | None = None) -> Column:
+    """Category told by a title and a text (or its first `window` characters), else null."""
+    head = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), cut(text, window)))
     count = F.lit(0)
     for marker in management:
         count = count + head.contains(marker).cast("int")
@@ -58,7 +58,7 @@ def content_category(pages: DataFrame, recruitment=fixed.RECRUITMENT_MARKERS,
     return pages.withColumn("category", F.when(weak, F.coalesce(better, F.col("category"))).otherwise(F.col("category")))
 
 
-def within_budget(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+def within_budget(pages: DataFrame, max_pages: int) -> DataFrame:
     """The pages one scan may hold per domain, in crawl order."""
     return top_per_key(pages, ["domain"], [F.asc("page_idx")], max_pages, "_rn").drop("_rn")
 
@@ -67,11 +67,12 @@ def url_key(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("url_key", dedupe_key(url))
 
 
-def fingerprint(text: Column, chars: int = 2000) -> Column:
-    return F.sha2(F.left(text, F.lit(chars)), 256)
+def fingerprint(text: Column) -> Column:
+    """Digest of a whole text; null for an empty one."""
+    return F.when(text != "", F.sha2(text, 256))
 
 
-def dedupe_pages(pages: DataFrame, min_chars: int = 200) -> DataFrame:
+def dedupe_pages(pages: DataFrame, min_chars: int = 0) -> DataFrame:
     """Pages kept by a crawl: one per requested address, one per final address, one per content.
 
     Pages redirected off their domain go first. The home page (depth 0) always stays and lends

@@ -13,18 +13,19 @@ from .facts import category_rank, display_name, is_korean_name, is_plausible_nam
 PEOPLE_PAGES = ("management", "company", "home", "contact")
 
 
-def text_units(pages: DataFrame, max_unit: int = 120, max_joined: int = 20) -> DataFrame:
+def text_units(pages: DataFrame, max_unit: int | None = None, max_joined: int = 20) -> DataFrame:
     """Lines of a page and pairs of short neighbouring lines (a name above its title)."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: stripped(x)),
                      lambda x: x != "")
     unit = lambda text, joined: F.struct(text.alias("unit"), F.lit(joined).alias("joined"))
     short = lambda a, b: (F.length(a) <= max_joined) & (F.length(b) <= max_joined)
-    pairs = F.zip_with("_lines", F.slice("_lines", 2, 100_000_000), lambda a, b: F.when(
+    pairs = F.zip_with("_lines", F.slice("_lines", F.lit(2), F.size("_lines")), lambda a, b: F.when(
         short(a, b), unit(F.concat(a, F.lit(" "), b), True)))
     every = F.concat(F.transform("_lines", lambda x: unit(x, False)), F.array_compact(pairs))
     rows = computed(pages, _lines=lines).select(
         *[c for c in pages.columns if c not in ("html", "text", "footer")], F.posexplode(every).alias("unit_pos", "_u"))
-    return rows.select(*[c for c in rows.columns if c != "_u"], "_u.unit", "_u.joined").where(F.length("unit") <= max_unit)
+    units = rows.select(*[c for c in rows.columns if c != "_u"], "_u.unit", "_u.joined")
+    return units.where(F.length("unit") <= max_unit) if max_unit else units
 
 
 def _title_token(token: str) -> str:
@@ -94,36 +95,31 @@ def contact_candidates(units: DataFrame, banned: DataFrame) -> DataFrame:
     return kept.select("domain", "name", "title_rank", position.alias("position"), "source_url", "seq")
 
 
-def key_contacts(c: DataFrame, n: int = fixed.MAX_CONTACTS) -> DataFrame:
-    """The n best people per domain; a name that contains, or is contained in, a better one is the
-    same person.
+def key_contacts(c: DataFrame, n: int | None = None) -> DataFrame:
+    """The (n best) people per domain; a name that contains, or is contained in, a better one is the same person.
 
-    Each round takes the best remaining name of every domain with an aggregate and drops its variants, so
-    no task sees all names of a domain.
+    People are ranked once: the distinct names of a domain are gathered in their order and walked through in one
+    expression, whatever n is.
     """
     people = c.groupBy("domain", "name").agg(
         F.min("title_rank").alias("title_rank"), F.min("seq").alias("first"),
         F.min_by(F.struct("position", "source_url"), F.struct("title_rank", "seq")).alias("p"))
-    rest = people.select("domain", "name", "title_rank", "first", "p.position", "p.source_url")
-    order = F.struct("title_rank", "first", "name")
-    out = None
-    for place in range(1, n + 1):
-        pick = rest.groupBy("domain").agg(F.min_by(F.struct("name", "title_rank", "position", "source_url"), order).alias("b"))
-        chosen = pick.select("domain", F.lit(place).alias("place"), "b.*")
-        out = chosen if out is None else out.unionByName(chosen)
-        if place < n:
-            taken = pick.select("domain", F.lower("b.name").alias("_t"))
-            low = F.lower("name")
-            rest = (rest.join(taken, "domain").where(~low.contains(F.col("_t")) & ~F.col("_t").contains(low)).drop("_t"))
-    return out.select("domain", "place", display_name(F.col("name")).alias("name"), "position", "source_url", "title_rank")
-
-
-def with_ceo(contacts: DataFrame, ceo: DataFrame, n: int = fixed.MAX_CONTACTS) -> DataFrame:
+    person = F.struct("title_rank", "first", "name", F.col("p.position").alias("position"), F.col("p.source_url").alias("source_url"))
+    ranked = people.groupBy("domain").agg(F.array_sort(F.collect_list(person)).alias("people"))
+    same = lambda a, b: F.lower(a["name"]).contains(F.lower(b["name"])) | F.lower(b["name"]).contains(F.lower(a["name"]))
+    full = lambda chosen: F.size(chosen) >= n if n else F.lit(False)
+    chosen = F.aggregate("people", F.slice("people", 1, 0), lambda acc, p: F.when(
+        full(acc) | F.exists(acc, lambda q: same(p, q)), acc).otherwise(F.concat(acc, F.array(p))))
+    rows = ranked.select("domain", F.posexplode(chosen).alias("pos", "b"))
+    return rows.select("domain", (F.col("pos") + 1).alias("place"), display_name(F.col("b.name")).alias("name"), "b.position", "b.source_url", "b.title_rank")
+
+
+def with_ceo(contacts: DataFrame, ceo: DataFrame, n: int | None = None) -> DataFrame:
     """Contacts plus the representative of the footer where there is room and it is a new name."""
     compact = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
     seen = contacts.groupBy("domain").agg(F.max("place").alias("_n"), F.collect_set(compact(F.col("name"))).alias("_names"))
     extra = (ceo.join(seen, "domain", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-             .where((F.col("_n") < n) & ~F.coalesce(F.array_contains("_names", compact(F.col("value"))), F.lit(False)))
+             .where((F.col("_n") < n if n else F.lit(True)) & ~F.coalesce(F.array_contains("_names", compact(F.col("value"))), F.lit(False)))
              .select("domain", (F.col("_n") + 1).alias("place"), F.col("value").alias("name"),
                      F.lit(fixed.CEO_FILL_POSITION).alias("position"), "source_url"))
     return contacts.select("domain", "place", "name", "position", "source_url").unionByName(extra)

@@ -1,47 +1,33 @@
 """The scan result of a domain, put together from its pages."""
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..session import checkpoint_dir
 from . import facts, jobs, people
 from .pages import footer_text, within_budget
 from .scans import signal_of
 
 
-def scan_result(pages: DataFrame | Callable[[], DataFrame], max_pages: int = fixed.MAX_PAGES, work_path: str | None = None) -> DataFrame:
+def scan_result(pages: DataFrame, max_pages: int | None = None, max_contacts: int | None = None, max_jobs: int | None = None) -> DataFrame:
     """One nested record per domain: company, sources, contacts, openings, signal, page list.
 
-    `pages` are built pages (text, title, category). A scan holds at most `max_pages` pages per
-    domain, so the nested lists are short. Several extractors read the same pages, so texts and footers
-    are written once to `work_path` and read back; by default to a new folder under the shared checkpoint
-    folder of the cluster. Where neither is set they are computed again by each extractor; `pages` may then be a
-    function that reads them anew, which keeps the plan of the many joins small.
+    `pages` are built pages (text, title, category). All pages, contacts and openings count unless a number is given. The extractors
+    share the pages with their footers: these are read and parsed once and persisted on the executors, by lineage if one is lost;
+    `spark.catalog.clearCache()` or the end of the job frees them.
     """
-    built = lambda: footer_text(within_budget(pages() if callable(pages) else pages, max_pages))
-    scanned = built()
-    spark = scanned.sparkSession
-    shared = checkpoint_dir(spark)
-    work_path = work_path or (shared and f"{shared}/scan-result-{uuid.uuid4().hex}")
-    fresh = built if callable(pages) else lambda: scanned
-    if work_path:
-        scanned.write.mode("overwrite").parquet(work_path)
-        # read anew for each extractor: their joins then have no columns in common to tell apart
-        fresh = lambda: spark.read.schema(scanned.schema).parquet(work_path)
-    found = facts.company_facts(fresh)
-    # only the fact needed is asked for again: selecting it from `found` would compute all of them
+    budget = within_budget(pages, max_pages) if max_pages else pages
+    scanned = footer_text(budget).persist(StorageLevel.MEMORY_AND_DISK)
+    fresh = lambda: scanned.select("*")
     names = facts.company_name(fresh())
-    ceo = facts.company_ceo(facts.text_sources(fresh()))
+    sources = facts.text_sources(fresh())
     emails = facts.company_email(fresh())
+    found = facts.company_facts(fresh())
     hints = facts.email_hint(fresh(), emails)
     candidates = people.contact_candidates(people.text_units(fresh()), people.banned_names(fresh(), names))
-    contacts = people.with_ceo(people.key_contacts(candidates), ceo)
-    openings = jobs.top_jobs(jobs.job_fields(jobs.dedupe_jobs(jobs.job_candidates(fresh()))))
+    contacts = people.with_ceo(people.key_contacts(candidates, max_contacts), facts.company_ceo(sources), max_contacts)
+    openings = jobs.top_jobs(jobs.job_fields(jobs.dedupe_jobs(jobs.job_candidates(fresh()))), max_jobs)
 
     def listed(df: DataFrame, order: str, fields: list[str], out: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*fields).alias("v"))))

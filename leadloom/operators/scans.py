@@ -31,7 +31,7 @@ def previous_scan(scan_history: DataFrame) -> DataFrame:
     return ranked.where("rn = 2").select("domain", "it_jobs", "it_hiring", "scanned_at")
 
 
-def scan_history_top(scan_history: DataFrame, n: int = 12) -> DataFrame:
+def scan_history_top(scan_history: DataFrame, n: int | None = None) -> DataFrame:
     ranked = top_per_key(scan_history, ["domain"], [F.desc("scanned_at"), F.desc("id")], n)
     return ranked.select("domain", "rn", "scanned_at", "it_hiring", "it_jobs", "contacts")
 

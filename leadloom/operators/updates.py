@@ -10,7 +10,6 @@ from ..functions import fixed
 from ..functions.text import empty_to_null, escape
 from . import contracts as contract_ops
 from . import leads as lead_ops
-from .funnel import append_status_history
 
 
 def _as_text(df: DataFrame, name: str) -> Column:
@@ -20,12 +19,12 @@ def _as_text(df: DataFrame, name: str) -> Column:
 
 
 def _merged(current: DataFrame, payloads: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Rows named by a payload as raw text: keys present in the payload win, also when null."""
-    joined = current.join(payloads.select("id", "payload"), "id")
-    p = F.col("payload")
+    """Every row with its payload as `_payload` (null without one) and the fields as raw text: keys present in the payload win, also when null."""
+    joined = current.join(payloads.select("id", F.col("payload").alias("_payload")), "id", "left")
+    p = F.col("_payload")
     pick = lambda f: F.when(F.map_contains_key(p, f), p[f]).otherwise(_as_text(current, f)).alias(f)
     keep = [c for c in current.columns if c not in fields]
-    return joined.select(*keep, *[pick(f) for f in fields])
+    return joined.select(*keep, "_payload", *[pick(f) for f in fields], F.struct(*[F.col(f) for f in fields]).alias("_before"))
 
 
 def write_leads(leads: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,16 +32,23 @@ def write_leads(leads: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[D
 
     `payloads` holds one row per lead: id and a map of the fields to set (a null value clears the
     field). Updated leads are normalised and scored again; unknown ids have no effect, and a row that
-    would become invalid stays as it was.
+    would become invalid stays as it was. One left join puts payloads beside the leads; leads, history and errors are read off its rows.
     """
-    raw = _merged(leads, payloads, lead_ops.FIELDS).drop("score", "score_breakdown", "updated_at")
-    typed = lead_ops.normalised(raw)
-    good = lead_ops.score_leads(typed.where("code is null").drop("code"), as_of.cast("date"))
-    good = good.withColumn("updated_at", as_of)
-    untouched = leads.join(good.select("id"), "id", "left_anti")
-    after = untouched.unionByName(good.select(*[c for c in leads.columns if c in good.columns]), allowMissingColumns=True)
-    history = append_status_history(leads, good, as_of)
-    return after, history, typed.where("code is not null").select("id", "code")
+    plain = [c for c in leads.columns if c not in lead_ops.FIELDS]
+    told = _merged(leads, payloads, lead_ops.FIELDS).withColumn("_old", F.struct(*plain)).drop(*[c for c in plain if c != "id"])
+    typed = lead_ops.score_leads(lead_ops.normalised(told), as_of.cast("date"))
+    asked = F.col("_payload").isNotNull()
+    good = asked & F.col("code").isNull()
+
+    def value(c: str) -> Column:
+        old = F.col("_before").getField(c) if c in lead_ops.FIELDS else F.col("_old").getField(c)
+        new = as_of if c == "updated_at" else F.col(c) if c in typed.columns else old
+        return F.when(good, new).otherwise(old).cast(leads.schema[c].dataType).alias(c)
+
+    after = typed.select(*[value(c) if c != "id" else F.col("id") for c in leads.columns])
+    moved = good & ~F.col("status").eqNullSafe(F.col("_before.status"))
+    history = typed.where(moved).select(F.col("id").alias("lead_id"), F.col("_before.status").alias("from_status"), F.col("status").alias("to_status"), as_of.alias("at"))
+    return after, history, typed.where(asked & F.col("code").isNotNull()).select("id", "code")
 
 
 def change_status(leads: DataFrame, ids: DataFrame, status: str, as_of: Column,
@@ -64,29 +70,33 @@ def create_leads(raw: DataFrame, as_of: Column, first_id: int) -> tuple[DataFram
 
 
 def write_contracts(contracts: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(contracts, errors(id, code)) after partial updates, merged and normalised like leads."""
-    raw = _merged(contracts, payloads, contract_ops.FIELDS).withColumn("row", F.col("id"))
-    valid, errors = contract_ops.normalise_contracts(raw)
-    extra = [c for c in contracts.columns if c not in contract_ops.FIELDS and c not in ("id", "updated_at")]
-    good = valid.withColumnRenamed("row", "id")
-    if extra:
-        good = good.join(contracts.select("id", *extra), "id")
-    if "updated_at" in contracts.columns:
-        good = good.withColumn("updated_at", as_of)
-    untouched = contracts.join(good.select("id"), "id", "left_anti")
-    return untouched.unionByName(good.select(*contracts.columns)), errors.withColumnRenamed("row", "id")
-
-
-def tech_of(jobs: Column, n: int = 8, keywords: Sequence[str] = fixed.TECH_KEYWORDS) -> Column:
+    """(contracts, errors(id, code)) after partial updates, merged and normalised like leads; the new rows are joined to the table once."""
+    asked = _merged(contracts, payloads, contract_ops.FIELDS).where("_payload is not null").withColumn("row", F.col("id"))
+    valid, errors = contract_ops.normalise_contracts(asked)
+    new = valid.select(F.col("row").alias("id"), F.struct(*[c for c in valid.columns if c in contract_ops.FIELDS]).alias("_new"))
+    joined = contracts.join(new, "id", "left")
+    changed = F.col("_new").isNotNull()
+
+    def value(c: str) -> Column:
+        fresh = F.col(f"_new.{c}") if c in contract_ops.FIELDS else as_of if c == "updated_at" else F.col(c)
+        return F.when(changed, fresh).otherwise(F.col(c)).cast(contracts.schema[c].dataType).alias(c)
+
+    return joined.select(*[value(c) if c != "id" else F.col("id") for c in contracts.columns]), errors.withColumnRenamed("row", "id")
+
+
+def tech_of(jobs: Column, n: int | None = None, keywords: Sequence[str] = fixed.TECH_KEYWORDS) -> Column:
     """Technologies named in an array of openings (title, description)."""
     blank = lambda c: F.coalesce(c, F.lit(""))
     text = F.array_join(F.transform(jobs, lambda j: F.concat(blank(j["title"]), F.lit(" "), blank(j["description"]))), " ")
     hit = lambda k: text.rlike(rf"(?iU)(?<![A-Za-z0-9]){escape(k)}(?![A-Za-z0-9])")
-    return F.slice(F.array_compact(F.array(*[F.when(hit(k), k) for k in keywords])), 1, n)
+    found = F.array_compact(F.array(*[F.when(hit(k), k) for k in keywords]))
+    return F.slice(found, 1, n) if n else found
+
 
+def leads_from_scans(companies: DataFrame, scans: DataFrame, max_titles: int | None = None, max_people: int | None = None) -> DataFrame:
+    """Raw leads prefilled from saved companies and their scan results (joined on domain).
 
-def leads_from_scans(companies: DataFrame, scans: DataFrame) -> DataFrame:
-    """Raw leads prefilled from saved companies and their scan results (joined on domain)."""
+    The memo lists all openings and further people unless a number is given."""
     r = scans.select("domain", F.struct("company", "key_contacts", "it_recruitment", F.col("it_hiring")).alias("r"))
     saved = companies.join(r, "domain", "left")
     c, people, jobs = F.col("r.company"), F.col("r.key_contacts"), F.col("r.it_recruitment")
@@ -95,10 +105,10 @@ def leads_from_scans(companies: DataFrame, scans: DataFrame) -> DataFrame:
     ceo = F.coalesce(empty_to_null(c["ceo"]), empty_to_null("ceo"))
     person = lambda p: F.when(empty_to_null(p["name"]).isNotNull(), F.rtrim(F.concat(
         F.lit("담당자: "), p["name"], F.lit(" "), F.coalesce(p["position"], F.lit("")))))
-    titles = F.filter(F.transform(F.slice(jobs, 1, 5), lambda j: j["title"]), lambda t: t.isNotNull() & (t != ""))
+    titles = F.filter(F.transform(F.slice(jobs, 1, max_titles) if max_titles else jobs, lambda j: j["title"]), lambda t: t.isNotNull() & (t != ""))
     lines = F.concat(
         F.array(F.when(empty_to_null(c["address"]).isNotNull(), F.concat(F.lit("주소: "), c["address"]))),
-        F.coalesce(F.transform(F.slice(people, 2, 2), person), F.array().cast("array<string>")),
+        F.coalesce(F.transform(F.slice(people, F.lit(2), F.lit(max_people) if max_people else F.size(people)), person), F.array().cast("array<string>")),
         F.array(F.when(F.size(jobs) > 0, F.concat(F.lit("채용: "), F.array_join(titles, ", ")))))
     return saved.select(
         F.col("id").alias("row"), F.col("id").cast("string").alias("company_id"), "domain",

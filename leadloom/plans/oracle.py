@@ -70,7 +70,7 @@ CUSTOMERS = f"""roll AS (SELECT customer_key,
     first(project_type ORDER BY {NEWEST}) AS latest_project_type, first(amount ORDER BY {NEWEST}) AS latest_amount,
     first(team_size ORDER BY {NEWEST}) AS latest_team_size
   FROM flags GROUP BY 1),
-terms AS (SELECT customer_key, array_to_string(list_sort(list(DISTINCT t))[1:8], '|') AS tech
+terms AS (SELECT customer_key, array_to_string(list_sort(list(DISTINCT t)), '|') AS tech
   FROM (SELECT customer_key, unnest(tech) AS t FROM contracts) GROUP BY 1),
 customers AS (SELECT *, {GRADE.format(t='total_value', n='live_count')} AS grade,
   CASE WHEN active_count = 0 THEN date_diff('day', last_end, DATE '2001-09-01') END AS dormant_days FROM roll JOIN terms USING (customer_key))"""
@@ -206,8 +206,8 @@ SQL["contract_template_for_customer"] = WITH_CUSTOMERS + """SELECT customer_key,
 SQL["export_contracts"] = WITH_CUSTOMERS + """SELECT grade, c.company_name, title, project_type, status, start_date::VARCHAR AS start_date, end_date::VARCHAR AS end_date,
   amount::VARCHAR AS amount, coalesce(team_size::VARCHAR, '') AS team_size, array_to_string(c.tech, ' | ') AS tech, c.satisfaction::VARCHAR AS satisfaction
   FROM contracts c JOIN customers USING (customer_key)"""
-SQL["customer_documents"] = WITH_CUSTOMERS + f"""SELECT customer_key, count(*) AS contracts, first(id ORDER BY {NEWEST}) AS newest_id,
-  CAST(sum(amount) AS BIGINT) AS value FROM contracts GROUP BY 1"""
+SQL["customer_documents"] = WITH_CUSTOMERS + f"""SELECT c.customer_key, k.grade, row_number() OVER (PARTITION BY c.customer_key ORDER BY {NEWEST}) AS position, id, amount
+  FROM contracts c JOIN customers k ON c.customer_key = k.customer_key"""
 SQL["delete_contracts"] = WITH_CONTRACTS + """SELECT status, count(*) AS contracts, CAST(sum(amount) AS BIGINT) AS amount FROM contracts
   WHERE status <> 'terminated' GROUP BY 1"""
 
@@ -244,7 +244,7 @@ SQL["companies_without_lead"] = WITH_LEADS + """SELECT c_custkey + 7 AS id, slug
 SQL["match_leads_to_customers"] = (f"WITH {CONTRACTS}, {FLAGS}, {CUSTOMERS}, {BASE}, {RAW}, {POINTS}, {LEADS} " +
   """SELECT l.id, coalesce(d.customer_key, n.customer_key) AS customer_key, coalesce(d.grade, n.grade) AS customer_grade FROM leads l
   LEFT JOIN customers d ON d.customer_key = l.domain LEFT JOIN customers n ON lower(n.company_name) = lower(l.company_name)""")
-SQL["find_duplicate_leads"] = WITH_LEADS + """, probes AS (SELECT id AS probe_id, CASE WHEN assignee IS NULL THEN lower(company_name) END AS nm,
+SQL["duplicate_summary"] = WITH_LEADS + """, probes AS (SELECT id AS probe_id, CASE WHEN assignee IS NULL THEN lower(company_name) END AS nm,
     domain AS dm, CASE WHEN b % 5 = 0 THEN 'not-an-email' ELSE email END AS em FROM rawl),
   hits AS (SELECT probe_id, id, CASE WHEN l.domain = dm THEN 0 WHEN l.email = em THEN 1 ELSE 2 END AS r FROM probes JOIN leads l
     ON l.domain = dm OR l.email = em OR lower(l.company_name) = nm)
@@ -380,16 +380,16 @@ SQL["page_text"] = f"WITH {TEXTS} SELECT page_id, length(text) AS chars, md5(tex
 SQL["page_title"] = f"SELECT page_id, {TITLE} AS title FROM pages"
 FOOT = _text("array_to_string(regexp_extract_all(html, '(?is)<footer\\b[^>]*>.*?</footer\\s*>'), '<br>')")
 SQL["footer_text"] = f"""WITH {TEXTS}, l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM texts),
-  f AS (SELECT page_id, left(concat_ws(chr(10), nullif({FOOT}, ''), array_to_string(lines[CAST(floor(len(lines) * 0.75) AS BIGINT) + 1:], chr(10))), 8000) AS footer FROM l)
+  f AS (SELECT page_id, concat_ws(chr(10), nullif({FOOT}, ''), array_to_string(lines[CAST(floor(len(lines) * 0.75) AS BIGINT) + 1:], chr(10))) AS footer FROM l)
   SELECT page_id, length(footer) AS chars, md5(footer) AS footer FROM f"""
 SQL["js_shell_pages"] = f"WITH {TEXTS} SELECT page_id, length(text) < 3000 AND (length(text) < 1500 OR lower(html) LIKE '%ng-app%') AS js_shell FROM texts"
 CATS = "CASE WHEN home THEN 'home' ELSE 'other' END"
-SQL["content_category"] = WITH_PAGES + f""", h AS (SELECT page_idx, home, lower(title || ' ' || left(text, 4000)) AS h FROM pg)
+SQL["content_category"] = WITH_PAGES + f""", h AS (SELECT page_idx, home, lower(title || ' ' || text) AS h FROM pg)
   SELECT page_idx, CASE WHEN home THEN 'home' WHEN h LIKE '%nicht %' OR h LIKE '%para %' THEN 'recruitment'
     WHEN (h LIKE '%que %')::INT + (h LIKE '%les %')::INT + (h LIKE '%the %')::INT >= 2 THEN 'management' ELSE 'other' END AS category FROM h"""
 LINKS = f"""lk AS (SELECT domain, home, page_idx AS from_idx, url AS base, unnest(h) AS href, unnest(a) AS anchor, generate_subscripts(h, 1) - 1 AS pos FROM (
     SELECT *, regexp_extract_all(html, '<a href=\"([^\"]*)\">(.*?)</a>', 1) AS h, regexp_extract_all(html, '<a href=\"([^\"]*)\">(.*?)</a>', 2) AS a FROM pg)),
-  links AS (SELECT domain, home, from_idx, pos, left(trim({ENT.format(x='anchor')}), 120) AS anchor, regexp_extract(base, '^https?://[^/?#]*') || {ENT.format(x='href')} AS url, base FROM lk)"""
+  links AS (SELECT domain, home, from_idx, pos, trim({ENT.format(x='anchor')}) AS anchor, regexp_extract(base, '^https?://[^/?#]*') || {ENT.format(x='href')} AS url, base FROM lk)"""
 def _tok(words: str, x: str) -> str:
     return f"regexp_matches({x}, '(^|[^a-z])({words})([^a-z]|$)')"
 TGT = "lower(" + PATH.format(u="url") + ") || ' '"
@@ -427,11 +427,11 @@ SQL["crawl_plan"] = WITH_LINKS + f""", {SCORED}, s1 AS (SELECT *, {URL_KEY} AS k
   SELECT domain, rank, url, category, CAST(phase AS BIGINT) AS phase FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY phase, score DESC, link_depth, from_idx, pos, url) AS rank FROM q) WHERE rank <= 19"""
 SQL["link_graph"] = WITH_LINKS + f""", t AS (SELECT domain, {URL_KEY} AS k, min(page_idx) AS to_idx FROM pg GROUP BY 1, 2),
   e AS (SELECT DISTINCT domain, from_idx, url, {URL_KEY} AS k FROM links) SELECT domain, from_idx, url AS to_url, to_idx FROM e LEFT JOIN t USING (domain, k)"""
-SQL["dedupe_pages"] = WITH_PAGES + f""", a AS (SELECT *, {URL_KEY} AS k, CASE WHEN length(text) >= 200 AND NOT home THEN md5(left(text, 2000)) END AS f FROM pg),
+SQL["dedupe_pages"] = WITH_PAGES + f""", a AS (SELECT *, {URL_KEY} AS k, CASE WHEN text <> '' AND NOT home THEN md5(text) END AS f FROM pg),
   b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY domain, k ORDER BY page_idx) = 1)
   SELECT domain, page_idx, url FROM b QUALIFY f IS NULL OR row_number() OVER (PARTITION BY domain, f ORDER BY page_idx) = 1"""
 SQL["dedupe_documents"] = """SELECT doc_id AS page_idx FROM documents
-  QUALIFY length(text) < 200 OR row_number() OVER (PARTITION BY CASE WHEN length(text) >= 200 THEN left(text, 2000) END ORDER BY doc_id) = 1"""
+  QUALIFY text = '' OR row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
 SQL["within_budget"] = WITH_PAGES + "SELECT domain, page_idx FROM pg QUALIFY row_number() OVER (PARTITION BY domain ORDER BY page_idx) <= 20"
 
 # --- facts, people, openings ---------------------------------------------------------------
@@ -440,7 +440,7 @@ EMAIL = "'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'"
 def _tidy(x: str) -> str:
     return f"trim(regexp_replace(replace({x}, chr(160), ' '), '{WS}+', ' ', 'g'), ' ·|/-–—:：,' || chr(9) || chr(13) || chr(10))"
 def _label(label: str) -> str:
-    return f"nullif({_tidy(f'''regexp_extract(text, '(?i){label}{WS}*={WS}*([^\\n|·•]{{2,120}})', 1)''')}, '')"
+    return f"nullif({_tidy(f'''regexp_extract(text, '(?i){label}{WS}*={WS}*([^\\n|·•]{{2,}})', 1)''')}, '')"
 SQL["label_value"] = f"""SELECT page_idx, value FROM (SELECT doc_id AS page_idx, coalesce({_label('secret')}, {_label('token')}, {_label('key')}) AS value FROM documents) WHERE value IS NOT NULL"""
 URL_OF = "'https://' || source || '.example.net/doc/' || doc_id"
 SQL["company_phone"] = f"""WITH p AS (SELECT source AS domain, doc_id, {URL_OF} AS source_url,
@@ -460,14 +460,14 @@ def _kw(k: str) -> str:
     return f"contains(h, '{k}')" if not k.isascii() else f"regexp_matches(h, '(^|[^a-z0-9]){k}([^a-z0-9]|$)')"
 KWS = ("that", "thatin", "pour", "sich", "elle", "keit", "mente", "ción")
 FOUND = "list_filter([" + ", ".join(f"CASE WHEN {_kw(k)} THEN '{k}' END" for k in KWS) + "], lambda x: x IS NOT NULL)"
-SQL["company_industry"] = f"""WITH h AS (SELECT doc_id, source, lower(left(text, 800)) AS h FROM documents), f AS (SELECT *, {FOUND} AS fs FROM h),
-  g AS (SELECT *, array_to_string(list_filter(fs, lambda k: len(list_filter(fs, lambda o: o <> k AND contains(o, k))) = 0)[1:2], ', ') AS value FROM f WHERE len(fs) > 0)
+SQL["company_industry"] = f"""WITH h AS (SELECT doc_id, source, lower(text) AS h FROM documents), f AS (SELECT *, {FOUND} AS fs FROM h),
+  g AS (SELECT *, array_to_string(list_filter(fs, lambda k: len(list_filter(fs, lambda o: o <> k AND contains(o, k))) = 0), ', ') AS value FROM f WHERE len(fs) > 0)
   SELECT source AS domain, value, {URL_OF} AS source_url FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1"""
 SQL["text_units"] = WITH_PAGES + f""", l AS (SELECT page_idx, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') AS ls FROM pg),
   u AS (SELECT page_idx, list_concat(list_transform(ls, lambda x: {{'unit': x, 'joined': false}}), list_filter(list_transform(range(1, len(ls)), lambda i: CASE WHEN length(ls[i]) <= 20 AND length(ls[i + 1]) <= 20
     THEN {{'unit': ls[i] || ' ' || ls[i + 1], 'joined': true}} END), lambda x: x IS NOT NULL)) AS us FROM l),
   e AS (SELECT page_idx, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS unit_pos FROM u)
-  SELECT page_idx, unit_pos, u.unit AS unit, u.joined AS joined FROM e WHERE length(u.unit) <= 120"""
+  SELECT page_idx, unit_pos, u.unit AS unit, u.joined AS joined FROM e"""
 def _word(w: str) -> str:
     return f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])({w})([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)')"
 SQL["title_rank"] = f"""SELECT doc_id, title_rank, ['Chief', 'Head', 'Lead'][title_rank + 1] AS title_group FROM (SELECT doc_id, CASE WHEN {_word('worthless|shehe')} THEN 0 WHEN {_word('sich|pour')} THEN 1
@@ -502,7 +502,7 @@ SQL["page_depths"] = WITH_LINKS + """, e AS (SELECT DISTINCT domain, from_idx, f
   two AS (SELECT DISTINCT e.domain, e.to_idx FROM e JOIN one ON one.domain = e.domain AND one.to_idx = e.from_idx)
   SELECT page_idx, CASE WHEN home THEN 0 WHEN (domain, page_idx) IN (SELECT (domain, to_idx) FROM one) THEN 1 WHEN (domain, page_idx) IN (SELECT (domain, to_idx) FROM two) THEN 2 END AS link_depth FROM pg"""
 SQL["text_sources"] = WITH_PAGES + f""", l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM pg),
-  f AS (SELECT page_idx, home, text, left(concat_ws(chr(10), nullif({FOOT}, ''), array_to_string(lines[CAST(floor(len(lines) * 0.75) AS BIGINT) + 1:], chr(10))), 8000) AS footer FROM l)
+  f AS (SELECT page_idx, home, text, concat_ws(chr(10), nullif({FOOT}, ''), array_to_string(lines[CAST(floor(len(lines) * 0.75) AS BIGINT) + 1:], chr(10))) AS footer FROM l)
   SELECT 0 AS full, CASE WHEN home THEN 0 ELSE 1 END AS cat, page_idx AS idx, md5(footer) AS text FROM f WHERE footer <> ''
   UNION ALL SELECT 1, CASE WHEN home THEN 0 ELSE 1 END, page_idx, md5(text) FROM f WHERE text <> ''"""
 def _first_part(t: str) -> str:
@@ -534,3 +534,55 @@ SQL["job_candidates"] = WITH_LINKS + f""", c AS (SELECT from_idx AS page_idx, 1
   SELECT page_idx, phase, title FROM c WHERE length(title) BETWEEN 4 AND 60 AND len(string_split(title, ' ')) <= 8 AND ({_hit('the|que|der|und|that', 'title')} OR contains(lower(title), 'ción'))
   AND {_hit('and', 'title')}::INT + {_hit('of', 'title')}::INT + {_hit('la', 'title')}::INT < 3"""
 SQL["delete_activities"] = "SELECT CASE role WHEN 'user' THEN 'Call' ELSE 'email' END AS type, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1"
+
+# --- customer sites and uploads --------------------------------------------------------------
+
+SITE = """site AS (SELECT c_custkey AS key, replace(lower(c_name), '#', '-') || '.co.kr' AS domain, c_name, c_nationkey % 3 AS m,
+    ['박민호','이서연','최지훈','정다은','강현우','윤서진','한지민'][c_custkey % 7 + 1] AS ceo, printf('%03d-%02d-%05d', c_custkey % 900 + 100, c_custkey % 90 + 10, c_custkey % 100000) AS biz,
+    '서울특별시 강남구 테헤란로 ' || (c_custkey % 500 + 1) AS address, '02-' || printf('%04d', c_custkey % 9000 + 1000) || '-5678' AS phone,
+    'https://' || replace(lower(c_name), '#', '-') || '.co.kr/' AS home FROM customer)"""
+OPENINGS = """kinds AS (SELECT DISTINCT o_custkey AS key, CAST(o_orderpriority[1] AS INT) AS k FROM orders),
+  openings AS (SELECT s.key, k, CASE k WHEN 1 THEN '자바 개발자 모집' WHEN 2 THEN '데이터 엔지니어 채용' ELSE '백엔드 개발자 채용' END AS title,
+    CASE k WHEN 2 THEN '데이터' ELSE '개발자' END AS position, home || 'recruit/' || k AS link FROM kinds JOIN site s USING (key) WHERE k IN (1, 2, 4)),
+  jobs AS (SELECT key, count(*) AS n, string_agg(title, ', ' ORDER BY k) AS titles, string_agg('{"title":"' || title || '","position":"' || position
+    || '","location":null,"employment_type":"정규직","deadline":null,"description":null,"source_url":"' || link || '"}', ',' ORDER BY k) AS j FROM openings GROUP BY key)"""
+SIGNAL = "CASE WHEN n >= 5 THEN 'High' WHEN n >= 2 THEN 'Medium' WHEN n >= 1 THEN 'Low' ELSE 'None' END"
+SQL["company_address"] = f"WITH {SITE} SELECT domain, address AS value, home AS source_url FROM site"
+SQL["company_biz_number"] = f"WITH {SITE} SELECT domain, biz AS value, home AS source_url FROM site"
+SQL["company_ceo"] = f"WITH {SITE} SELECT domain, ceo AS value, home AS source_url FROM site"
+SQL["email_hint"] = f"WITH {SITE} SELECT domain, CASE m WHEN 1 THEN 'image' ELSE 'form' END AS type, home AS url FROM site WHERE m > 0"
+SQL["page_priority"] = "SELECT c_custkey * 2 + i AS page_idx, CAST(2 + i AS BIGINT) AS place, c_custkey * 2 + i AS idx FROM customer, (SELECT unnest([0, 1]) AS i)"
+SQL["footer_coverage"] = f"WITH {SITE} SELECT domain, category FROM site, (SELECT unnest(['company', 'contact']) AS category) WHERE m = 0"
+SQL["contact_candidates"] = f"WITH {SITE} SELECT domain, ceo AS name, CAST(7 AS BIGINT) AS title_rank, '대표이사' AS position, home AS source_url FROM site"
+SQL["key_contacts"] = """WITH RECURSIVE c AS (SELECT 'n' || c_nationkey AS domain, 'Kim ' || (c_custkey % 40) AS name, c_custkey % 5 AS r, c_custkey AS seq FROM customer),
+  p AS (SELECT domain, name, min(r) AS r, min(seq) AS first FROM c GROUP BY 1, 2),
+  l AS (SELECT domain, list({'name': name, 'r': r} ORDER BY r, first, name) AS ps FROM p GROUP BY 1),
+  w AS (SELECT domain, ps, 1 AS i, CAST([] AS STRUCT(name VARCHAR, r BIGINT)[]) AS kept FROM l
+    UNION ALL SELECT domain, ps, i + 1, CASE WHEN len(list_filter(kept, lambda q: contains(lower(q.name), lower(ps[i].name)) OR contains(lower(ps[i].name), lower(q.name)))) > 0 THEN kept ELSE list_append(kept, ps[i]) END
+    FROM w WHERE i <= len(ps))
+  SELECT domain, place, kept[place].name AS name, 'p' || kept[place].r AS position, CAST(kept[place].r AS BIGINT) AS title_rank
+  FROM (SELECT domain, kept, unnest(generate_series(1, len(kept))) AS place FROM w WHERE i = len(ps) + 1)"""
+SQL["scan_result"] = f"""WITH {SITE}, {OPENINGS} SELECT domain, c_name AS name, address, phone, CASE m WHEN 0 THEN 'info@' || domain END AS email, 'software' AS industry, biz AS biz_number, ceo,
+  home AS website, home AS name_source, CASE m WHEN 1 THEN '{{"email":{{"type":"image","url":"' || home || '"}}}}' WHEN 2 THEN '{{"email":{{"type":"form","url":"' || home || '"}}}}' END AS company_hints,
+  '[{{"name":"' || ceo || '","position":"대표이사","source_url":"' || home || '"}}]' AS key_contacts, '[' || coalesce(j, '') || ']' AS it_recruitment,
+  {SIGNAL} AS it_hiring, home || ' ' || home || 'recruit' AS sources, home AS scanned_url, CAST(2 AS BIGINT) AS pages_crawled FROM site LEFT JOIN jobs USING (key)"""
+SQL["leads_from_scans"] = f"""WITH {SITE}, {OPENINGS} SELECT key + 1 AS row, domain, c_name AS company_name, ceo AS contact_name, '대표이사' AS rank, phone, CASE m WHEN 0 THEN 'info@' || domain END AS email,
+  {SIGNAL} AS it_hiring, '주소: ' || address || coalesce(chr(10) || '채용: ' || titles, '') AS memo FROM site LEFT JOIN jobs USING (key)"""
+SQL["decode_pages"] = """WITH t AS (SELECT page_id, CASE WHEN page_id % 2 = 1 THEN regexp_replace(html, '[^\\x{00}-\\x{ff}]', '?', 'g') ELSE html END AS html FROM pages)
+  SELECT page_id, length(html) AS chars, md5(html) AS html FROM t"""
+UPLOAD = "upload AS (SELECT 'f' || c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, c_name, CAST(floor(c_acctbal) AS BIGINT)::VARCHAR AS budget FROM customer)"
+SQL["read_leads_csv"] = f"WITH {UPLOAD} SELECT file, row, 'Co, ' || c_name AS company, budget FROM upload"
+SQL["read_leads_json"] = f"""WITH {UPLOAD} SELECT file, row, '"Co, ' || c_name || '"' AS company, NULL::VARCHAR AS code FROM upload WHERE file <> 'f3'
+  UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL::VARCHAR, 'file_invalid' FROM upload WHERE file = 'f3'"""
+SQL["read_sitemaps"] = "SELECT 'x.kr' AS domain, 'https://x.kr/n' || s_nationkey || '.xml' AS sitemap_url, 'https://x.kr/s/' || s_suppkey AS url FROM supplier"
+SQL["import_leads"] = WITH_IMPORT + """, q AS (SELECT k.*, coalesce(bad, false) AS no, CASE WHEN row % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file, row // 2 + 1 AS r FROM keyed k),
+  z AS (SELECT q.*, row_number() OVER (PARTITION BY key ORDER BY no, file, r) AS nth FROM q),
+  b AS (SELECT file, coalesce(sum(m) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT file, max(r) AS m FROM q GROUP BY 1)),
+  x AS (SELECT max(id) AS top FROM leads WHERE source = 'website' OR it_hiring = 'High')
+  SELECT CAST(top + before + r AS BIGINT) AS id, z.company_name, z.contact_name, lower(z.email) AS email, 'meeting' AS status, l.budget
+  FROM z JOIN b USING (file), x, rawl l WHERE l.id = z.row AND NOT no AND nth = 1 AND key NOT IN (SELECT key FROM old)"""
+SQL["norm_mobile"] = WITH_LEADS + "SELECT id AS row, mobile, phone FROM rawl"
+KEYS = """k AS (SELECT id, unnest([domain, lower(email), lower(company_name)]) AS key, unnest(['domain', 'email', 'name']) AS reason FROM leads),
+  p AS (SELECT id AS probe_id, unnest([domain, CASE WHEN b % 5 = 0 THEN 'not-an-email' ELSE email END, lower(company_name)]) AS key, unnest(['domain', 'email', 'name']) AS reason FROM rawl)"""
+SQL["find_duplicate_leads"] = WITH_LEADS + f", {KEYS} SELECT probe_id, reason, key FROM p WHERE key IS NOT NULL AND (reason, key) IN (SELECT (reason, key) FROM k WHERE key IS NOT NULL)"
+SQL["duplicate_lead_keys"] = WITH_LEADS + f", {KEYS} SELECT id, reason, key FROM k WHERE key IS NOT NULL AND (reason, key) IN (SELECT (reason, key) FROM p WHERE key IS NOT NULL)"

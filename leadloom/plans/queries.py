@@ -287,7 +287,7 @@ def search_customers(s, d):
 @query
 def resell_leads(s, d):
     customers, contracts = _customers(s, d)
-    return C.resell_leads(customers, contracts).select("customer_key", "source", "project_type", "budget", "team_size", "status", "memo")
+    return C.resell_leads(customers, contracts, shown=5).select("customer_key", "source", "project_type", "budget", "team_size", "status", "memo")
 
 
 @query
@@ -305,11 +305,9 @@ def export_contracts(s, d):
 
 @query
 def customer_documents(s, d):
-    """Nested export: number of contracts, newest contract and value of each document."""
+    """Nested export: every contract of a customer with its place, newest first."""
     docs = C.customer_documents(*_customers(s, d))
-    value = F.aggregate("contracts", F.lit(0).cast("bigint"), lambda acc, c: acc + F.coalesce(c["amount"], F.lit(0)))
-    return docs.select("customer_key", F.size("contracts").cast("bigint").alias("contracts"),
-                       F.col("contracts")[0]["id"].alias("newest_id"), value.alias("value"))
+    return docs.select("customer_key", "grade", "position", F.col("contract.id").alias("id"), F.col("contract.amount").alias("amount"))
 
 
 @query
@@ -430,7 +428,7 @@ def match_leads_to_customers(s, d):
 
 
 @query
-def find_duplicate_leads(s, d):
+def duplicate_summary(s, d):
     """Raw customer rows probed against the valid leads, as a linear summary."""
     raw = T.raw_leads(s, d).withColumnRenamed("row", "probe_id")
     probes = raw.withColumn("company_name", F.when(F.col("assignee").isNull(), F.col("company_name")))
@@ -573,7 +571,7 @@ def import_report(s, d):
 
 @query
 def import_preview(s, d):
-    p = imports.import_preview(imports.classify_import(_import_rows(s, d), _existing(s, d)))
+    p = imports.import_preview(imports.classify_import(_import_rows(s, d), _existing(s, d)), 5)
     return p.select("row", "company_name", "contact_name", "email", "source", "budget")
 
 
@@ -632,7 +630,7 @@ def url_key(s, d):
 @query
 def read_url_list(s, d):
     lines = T.table(s, d, "pages").select(F.col("page_id").alias("line"), F.concat(F.col("url"), F.lit("; # note, "), U.host("url")).alias("value"))
-    return R.read_url_list(lines, cap=None).select("line", F.col("pos").cast("bigint").alias("pos"), "url")
+    return R.read_url_list(lines).select("line", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
 @query
@@ -717,7 +715,7 @@ def score_links(s, d):
 
 @query
 def crawl_plan(s, d):
-    plan = K.crawl_plan(K.score_links(_classified(s, d), _homes(s, d), WORD_WEIGHTS, spare=True))
+    plan = K.crawl_plan(K.score_links(_classified(s, d), _homes(s, d), WORD_WEIGHTS, spare=True), fixed.MAX_PAGES, fixed.MAX_DEPTH, fixed.MAX_RECRUITMENT_PAGES)
     return plan.select("domain", F.col("rank").cast("bigint").alias("rank"), "url", "category", F.col("phase").cast("bigint").alias("phase"))
 
 
@@ -738,7 +736,7 @@ def dedupe_documents(s, d):
 
 @query
 def within_budget(s, d):
-    return P.within_budget(T.pages(s, d)).select("domain", "page_idx")
+    return P.within_budget(T.pages(s, d), fixed.MAX_PAGES).select("domain", "page_idx")
 
 
 # --- facts, people, openings ---------------------------------------------------------------
@@ -836,7 +834,7 @@ def _part_jobs(s, d) -> DataFrame:
 
 @query
 def dedupe_jobs(s, d):
-    return jobs.dedupe_jobs(_part_jobs(s, d), min_title=3).select("domain", "title", "seq")
+    return jobs.dedupe_jobs(_part_jobs(s, d)).select("domain", "title", "seq")
 
 
 @query
@@ -849,7 +847,7 @@ def job_fields(s, d):
 
 @query
 def top_jobs(s, d):
-    return jobs.top_jobs(_part_jobs(s, d)).select("domain", F.col("place").cast("bigint").alias("place"), "seq")
+    return jobs.top_jobs(_part_jobs(s, d), fixed.MAX_JOBS).select("domain", F.col("place").cast("bigint").alias("place"), "seq")
 
 
 @query
@@ -949,7 +947,151 @@ def delete_activities(s, d):
 
 @query
 def scan_result(s, d):
-    """One record per domain from whole pages (its values have no SQL twin)."""
+    """One record per customer site from its whole pages, nested parts as JSON."""
     from ..operators.results import scan_result as result
-    r = result(lambda: T.pages(s, d))
-    return r.select("domain", F.col("company.name").alias("name"), F.size("it_recruitment").alias("jobs"), "it_hiring", "pages_crawled")
+    r = result(T.company_pages(s, d))
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
+    return r.select("domain", *[F.col(f"company.{f}").alias(f) for f in (*facts.FACTS, "website")], F.col("company_sources.name").alias("name_source"),
+                    json("company_hints"), json("key_contacts"), json("it_recruitment"), "it_hiring", F.array_join("sources", " ").alias("sources"),
+                    "scanned_url", "pages_crawled")
+
+
+# --- facts, people and uploads on customer sites ---------------------------------------------
+
+
+def _sites(s, d) -> DataFrame:
+    return P.footer_text(T.company_pages(s, d))
+
+
+@query
+def company_address(s, d):
+    return facts.company_address(facts.text_sources(_sites(s, d)))
+
+
+@query
+def company_biz_number(s, d):
+    return facts.company_biz_number(facts.text_sources(_sites(s, d)))
+
+
+@query
+def company_ceo(s, d):
+    return facts.company_ceo(facts.text_sources(_sites(s, d)))
+
+
+@query
+def email_hint(s, d):
+    sites = _sites(s, d)
+    return facts.email_hint(sites, facts.company_email(sites))
+
+
+@query
+def page_priority(s, d):
+    p = facts.page_priority(T.company_pages(s, d), facts.CONTACT_FIRST)
+    return p.select("page_idx", F.col("page_order.cat").cast("bigint").alias("place"), F.col("page_order.idx").alias("idx"))
+
+
+@query
+def footer_coverage(s, d):
+    return K.footer_coverage(T.company_pages(s, d).where("depth = 0").select("domain", "html", "text"))
+
+
+@query
+def contact_candidates(s, d):
+    sites = _sites(s, d)
+    found = people.contact_candidates(people.text_units(sites), people.banned_names(sites, facts.company_name(sites)))
+    return found.select("domain", "name", F.col("title_rank").cast("bigint").alias("title_rank"), "position", "source_url")
+
+
+@query
+def key_contacts(s, d):
+    """Customers as people of their nation's domain: every name, best title first, variants of a better one dropped."""
+    key = F.col("c_custkey")
+    names = T.table(s, d, "customer").select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("domain"), F.concat(F.lit("Kim "), (key % 40).cast("string")).alias("name"),
+        (key % 5).cast("int").alias("title_rank"), F.concat(F.lit("p"), (key % 5).cast("string")).alias("position"),
+        F.lit("u").alias("source_url"), key.alias("seq"))
+    out = people.key_contacts(names)
+    return out.select("domain", F.col("place").cast("bigint").alias("place"), "name", "position", F.col("title_rank").cast("bigint").alias("title_rank"))
+
+
+@query
+def decode_pages(s, d):
+    """Page bodies as UTF-8, and as Latin 1 where a header says so."""
+    p = T.table(s, d, "pages")
+    latin = p.where("page_id % 2 = 1").select("page_id", F.encode("html", "ISO-8859-1").alias("content"), F.lit("text/html; charset=ISO-8859-1").alias("kind"))
+    plain = p.where("page_id % 2 = 0").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit(None).cast("string").alias("kind"))
+    out = R.decode_pages(plain.unionByName(latin), "kind")
+    return out.select("page_id", F.length("html").cast("bigint").alias("chars"), F.md5("html").alias("html"))
+
+
+def _upload(s, d) -> DataFrame:
+    """Customers by nation, in order of their key."""
+    c = T.table(s, d, "customer")
+    row = F.struct("c_custkey", F.concat(F.lit('"Co, '), F.col("c_name"), F.lit('"')).alias("company"), F.floor("c_acctbal").cast("bigint").cast("string").alias("budget"))
+    return c.groupBy(F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+
+@query
+def read_leads_csv(s, d):
+    """Files with a quoted comma in each row and a mark in front of the header."""
+    lines = F.concat_ws("\r\n", F.lit("﻿company,budget"), F.array_join(F.transform("rows", lambda r: F.concat(r["company"], F.lit(","), r["budget"])), "\r\n"))
+    rows = R.leads_from_csv(_upload(s, d).select("file", F.encode(lines, "UTF-8").alias("content")))
+    return rows.select("file", "row", F.col("raw")["company"].alias("company"), F.col("raw")["budget"].alias("budget"))
+
+
+@query
+def read_leads_json(s, d):
+    body = F.to_json(F.struct(F.transform("rows", lambda r: F.struct(r["company"].alias("company"), r["budget"].alias("budget"))).alias("leads")))
+    content = F.when(F.col("file") == "f3", F.lit("{bad")).otherwise(body)
+    rows, errors = R.leads_from_json(_upload(s, d).select("file", F.encode(content, "UTF-8").alias("content")))
+    good = rows.select("file", "row", F.col("raw")["company"].alias("company"), F.lit(None).cast("string").alias("code"))
+    return good.unionByName(errors.select("file", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("string").alias("company"), "code"))
+
+
+@query
+def read_sitemaps(s, d):
+    """A root index, an index per region below it, and a sitemap per nation with its suppliers."""
+    n = T.table(s, d, "nation").select("n_nationkey", "n_regionkey")
+    address = lambda head, c, tail: F.concat(F.lit(f"https://x.kr/{head}"), F.col(c).cast("string"), F.lit(tail))
+    listed = lambda df, key, entry: df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<loc>"), entry, F.lit("</loc>")))), "").alias("body"))
+    index = F.concat(F.lit("<sitemapindex>"), "body").alias("body")
+    world = n.select((F.col("n_regionkey") * 0).alias("one"), "n_regionkey").distinct()
+    root = listed(world, "one", address("r", "n_regionkey", ".xml")).select(address("sitemap", "one", ".xml").alias("sitemap_url"), index, F.lit(True).alias("root"))
+    below = listed(n, "n_regionkey", address("n", "n_nationkey", ".xml")).select(address("r", "n_regionkey", ".xml").alias("sitemap_url"), index, F.lit(False).alias("root"))
+    leaves = listed(T.table(s, d, "supplier"), "s_nationkey", address("s/", "s_suppkey", "")).select(address("n", "s_nationkey", ".xml").alias("sitemap_url"), "body", F.lit(False).alias("root"))
+    return R.read_sitemaps(root.unionByName(below).unionByName(leaves).withColumn("domain", F.lit("x.kr"))).select("domain", "sitemap_url", "url")
+
+
+@query
+def import_leads(s, d):
+    """The import of two files with the same row numbers; ids count on from the existing leads."""
+    named = _import_rows(s, d).withColumn("file", F.when(F.col("row") % 2 == 0, "a.csv").otherwise("b.csv"))
+    new, _, _ = imports.import_leads(named.withColumn("row", F.floor(F.col("row") / 2) + 1), _existing(s, d), T.events_as_of())
+    return new.select("id", "company_name", "contact_name", "email", "status", "budget")
+
+
+@query
+def leads_from_scans(s, d):
+    from ..operators.results import scan_result as result
+    blank = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    saved = T.table(s, d, "customer").select((F.col("c_custkey") + 1).alias("id"), F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.lit(".co.kr")).alias("domain"),
+                                             *blank("name", "website", "industry", "biz_number", "ceo", "phone", "email", "it_hiring"))
+    out = updates.leads_from_scans(saved, result(T.company_pages(s, d)))
+    return out.select("row", "domain", "company_name", "contact_name", "rank", "phone", "email", "it_hiring", "memo")
+
+
+@query
+def norm_mobile(s, d):
+    return T.raw_leads(s, d).select("row", N.lead_phone(F.col("mobile")).alias("mobile"), N.lead_phone(F.col("phone")).alias("phone"))
+
+
+@query
+def find_duplicate_leads(s, d):
+    """Customer rows as probes: the keys they share with leads."""
+    return L.find_duplicate_leads(T.raw_leads(s, d).withColumnRenamed("row", "probe_id"), T.leads(s, d))[0]
+
+
+@query
+def duplicate_lead_keys(s, d):
+    """The leads behind the shared keys."""
+    return L.find_duplicate_leads(T.raw_leads(s, d).withColumnRenamed("row", "probe_id"), T.leads(s, d))[1]

@@ -11,12 +11,9 @@ from ..operators import leads as lead_ops
 from ..operators import links as link_ops
 from ..operators import pages as page_ops
 from ..operators import scans as scan_ops
-from ..sources.readers import spread
 
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 ORDERS_AS_OF = "2001-09-01"
-# tables whose rows are parsed at some cost
-COSTLY = ("pages", "documents", "orders", "customer")
 STATUS_OF_EVENT = {"signup": "new", "view": "contacted", "click": "meeting", "purchase": "won", "error": "lost"}
 
 
@@ -29,8 +26,7 @@ def orders_as_of() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in COSTLY else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- events: status history and scan history ----------------------------------------------
@@ -203,6 +199,33 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.withColumn("category", category)
 
 
+CEO_NAMES = ("박민호", "이서연", "최지훈", "정다은", "강현우", "윤서진", "한지민")
+JOB_TITLES = ("자바 개발자 모집", "데이터 엔지니어 채용", "영업사원 모집", "백엔드 개발자 채용", "총무 담당자 채용")
+
+
+def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as small company sites: a home page with a footer of facts, and a careers page with an entry per priority of their orders."""
+    c = table(spark, sf_dir, "customer")
+    jobs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.left("o_orderpriority", F.lit(1)).cast("int"))).alias("kinds"))
+    key, nat = F.col("c_custkey"), F.col("c_nationkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    domain = F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.lit(".co.kr"))
+    mail = F.when(nat % 3 == 0, F.concat(F.lit("메일: info@"), domain)).when(nat % 3 == 1, F.lit('<img src="/img/email.png" alt="이메일">')).otherwise(
+        F.lit('<form><input type="email" name="reply"></form>'))
+    footer = F.concat(F.lit("상호: "), F.col("c_name"), F.lit(" | 대표이사: "), pick(CEO_NAMES, key), F.lit(" | 사업자등록번호: "),
+                      F.format_string("%03d-%02d-%05d", (key % 900 + 100), (key % 90 + 10), key % 100000), F.lit("<br>주소: 서울특별시 강남구 테헤란로 "),
+                      (key % 500 + 1).cast("string"), F.lit("<br>전화: 02-"), F.format_string("%04d", key % 9000 + 1000), F.lit("-5678<br>"), mail)
+    home = F.concat(F.lit('<html><head><title>'), F.col("c_name"), F.lit("</title></head><body><p>"), F.initcap("c_mktsegment"), F.lit(" software</p><footer>"), footer, F.lit("</footer></body></html>"))
+    entry = lambda k: F.concat(F.lit('<li><a href="/recruit/'), k.cast("string"), F.lit('">'), F.element_at(F.array(*[F.lit(t) for t in JOB_TITLES]), k), F.lit("</a> 정규직</li>"))
+    careers = F.concat(F.lit("<html><body><ul>"), F.array_join(F.transform(F.coalesce("kinds", F.array().cast("array<int>")), entry), ""), F.lit("</ul></body></html>"))
+    page = lambda idx, path, category, body: F.struct(F.lit(idx).alias("i"), F.lit(path).alias("path"), F.lit(category).alias("category"), body.alias("html"))
+    rows = c.join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left").select(key.alias("key"), domain.alias("domain"), F.explode(F.array(
+        page(0, "/", "home", home), page(1, "/recruit", "recruitment", careers))).alias("p"))
+    url = F.concat(F.lit("https://"), F.col("domain"), F.col("p.path"))
+    return page_ops.build_pages(rows.select("domain", (F.col("key") * 2 + F.col("p.i")).alias("page_idx"), url.alias("url"), url.alias("final_url"), F.lit(200).alias("status"),
+                                            F.col("p.html").alias("html"), F.col("p.i").alias("depth"), F.col("p.category").alias("category")))
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as already extracted page texts; the source is the site."""
     return table(spark, sf_dir, "documents").select(

@@ -1,9 +1,8 @@
 """Sinks: CSV files for spreadsheets, JSON lines, Parquet tables."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,20 +10,20 @@ from ..operators import exports
 from ..operators.contracts import customer_documents
 
 
+FIRST_OF_PARTITION = (1 << 33) - 1      # the row number within a partition, in a monotonically increasing id
+
+
 def write_csv(df: DataFrame, path: str, header: Sequence[str] | None = None, bom: bool = True) -> None:
-    """Every cell quoted, a header in every part file, with the mark spreadsheets need for UTF-8."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    names = list(header or df.columns)
-    title = ("﻿" if bom else "") + ",".join('"' + n.replace('"', '""') + '"' for n in names)
-    lines = df.select(F.concat_ws(",", *[quoted(c) for c in df.columns]).alias("value"))
-
-    def titled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for batch in batches:
-            yield pd.concat([pd.DataFrame({"value": [title]}), batch]) if first else batch
-            first = False
-
-    lines.mapInPandas(titled, "value string").write.mode("overwrite").text(path)
+    """Every cell quoted, a header in every part file, with the mark spreadsheets need for UTF-8.
+
+    The header goes in front of the first line of each partition; one part has the header only, so that an empty table has it too.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    title = ("\ufeff" if bom else "") + ",".join('"' + n.replace('"', '""') + '"' for n in header or df.columns)
+    line = F.concat_ws(",", *[quoted(c) for c in df.columns])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(FIRST_OF_PARTITION)) == 0
+    lines = df.select(F.when(first, F.concat(F.lit(title + "\n"), line)).otherwise(line).alias("value"))
+    lines.unionByName(df.sparkSession.range(1, numPartitions=1).select(F.lit(title).alias("value"))).write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,86 +1,122 @@
 """The same tables kept current by Structured Streaming."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.urls import dedupe_key
 from ..operators import scans as S
 from ..operators.funnel import current_stage
 from ..operators.pages import fingerprint
 
-DELTA_SCHEMA = ("domain string, id bigint, scanned_at timestamp, it_jobs bigint, prev_it_jobs bigint, jobs_delta bigint, "
-                "prev_scanned_at timestamp")
+BUCKETS = 64
 
 
-def stream_company_upsert(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Saves (seq, scanned_at, nested result) kept as a company table and a scan history under `path`.
+# --- a table of which a batch rewrites only the parts it touches ---------------------------
+# layout: <path>/version=<batch>/bucket=<hash of the domain>; of each bucket the newest version counts
+
+
+def _bucket(domain: str = "domain", buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(domain), F.lit(buckets)).cast("int")
+
+
+def _parts(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """Folders of each bucket as (version, folder), oldest first: file names only."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/bucket=*")
+    found: dict[int, list[tuple[int, str]]] = {}
+    for status in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        folder = status.getPath().toString()
+        version, bucket = (int(part.split("=")[1]) for part in folder.split("/")[-2:])
+        if before is None or version < before:
+            found.setdefault(bucket, []).append((version, folder))
+    return {bucket: sorted(parts) for bucket, parts in found.items()}
 
-    A batch writes under its own number (`history/batch=N`, `companies/version=N`), overwriting what
-    an interrupted attempt left, so a replayed batch changes nothing. Version N holds the companies after batch N.
+
+def read_bucketed(spark: SparkSession, path: str, before: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+    """The newest version of each bucket (of `only` some), as it was before a batch; null where there is none yet."""
+    newest = [parts[-1][1] for bucket, parts in _parts(spark, path, before).items() if only is None or bucket in only]
+    return spark.read.parquet(*newest) if newest else None
+
+
+def update_bucketed(rows: DataFrame, path: str, number: int, update: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+    """Rewrite the buckets that `rows` (domain, …) fall into: `update(before, rows)` gives their new content.
+
+    A replayed batch starts from the same versions and overwrites its own. Versions that no replay needs any more are deleted.
     """
+    spark = rows.sparkSession
+    touched = {r[0] for r in rows.select(_bucket().alias("b")).distinct().collect()}     # at most BUCKETS numbers
+    if not touched:
+        return
+    after = update(read_bucketed(spark, path, number, touched), rows)
+    after.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+    for bucket, parts in _parts(spark, path, number).items():
+        for _, folder in parts[:-1] if bucket in touched else ():
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
 
+# --- companies and scans --------------------------------------------------------------------
+
+
+def stream_company_upsert(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Saves (seq, scanned_at, nested result) kept as a company table (`companies`) and a scan history (`history/batch=N`) under `path`."""
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = S.scan_rows(batch)
         S.append_scan_history(rows).write.mode("overwrite").parquet(f"{path}/history/batch={number}")
-        before = read_companies(spark, path, number - 1) if number else None
-        S.upsert_companies(before, rows).write.mode("overwrite").parquet(f"{path}/companies/version={number}")
+        update_bucketed(rows, f"{path}/companies", number, S.upsert_companies)
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def read_companies(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/companies/version={version}")
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    return read_bucketed(spark, f"{path}/companies")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/history").drop("batch")
 
 
-class JobsDelta(StatefulProcessor):
-    """Remembers the newest scan per domain and gives every later scan the change against it.
+SCAN = ("scanned_at", "id", "it_jobs")
+
+
+def _two_newest(before: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Per domain the newest scan and the one before it, of the known ones and the new ones, late ones among them."""
+    scans = rows.select("domain", F.struct(*SCAN).alias("scan"))
+    if before is not None:
+        known = before.select("domain", F.explode(F.array_compact(F.array("newest", "previous"))).alias("scan"))
+        scans = scans.unionByName(known)
+    first = scans.groupBy("domain").agg(F.max("scan").alias("newest"))
+    second = scans.join(first, "domain").where("scan < newest").groupBy("domain").agg(F.max("scan").alias("previous"))
+    return first.join(second, "domain", "left").select("domain", "newest", "previous")
 
-    A domain's rows of one trigger are ordered in memory (three numbers per scan), so bound a trigger with
-    the source's rate options (maxFilesPerTrigger, maxBytesPerTrigger).
+
+def stream_jobs_delta(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Scan history rows (domain, id, scanned_at, it_jobs) kept as the newest and the previous scan of each domain.
+
+    The order is that of the scans, not of their arrival: a late scan takes the place it has in the history.
     """
+    def save(batch: DataFrame, number: int) -> None:
+        update_bucketed(batch.select("domain", *SCAN), path, number, _two_newest)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "id bigint, scanned_at timestamp, it_jobs bigint")
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get() if self.last.exists() else None
-        frames = [r for r in rows]
-        batch = pd.concat(frames).sort_values(["scanned_at", "id"]) if frames else pd.DataFrame()
-        out = []
-        for r in batch.itertuples():
-            out.append((key[0], r.id, r.scanned_at, r.it_jobs, before and before[2],
-                        r.it_jobs - before[2] if before else None, before and before[1]))
-            before = (int(r.id), r.scanned_at.to_pydatetime(), int(r.it_jobs))
-        if before:
-            self.last.update(before)
-        frame = pd.DataFrame(out, columns=["domain", "id", "scanned_at", "it_jobs", "prev_it_jobs", "jobs_delta", "prev_scanned_at"])
-        for c in ("prev_it_jobs", "jobs_delta"):
-            frame[c] = frame[c].astype("Int64")
-        frame["prev_scanned_at"] = pd.to_datetime(frame["prev_scanned_at"])
-        yield frame
 
-    def close(self) -> None:
-        pass
+def read_jobs_delta(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Per domain the openings of the newest scan and the change against the one before it."""
+    state = read_bucketed(spark, path, before)
+    return state.select("domain", "newest.*", F.col("previous.it_jobs").alias("prev_it_jobs"), (F.col("newest.it_jobs") - F.col("previous.it_jobs")).alias("jobs_delta"),
+                        F.col("previous.scanned_at").alias("prev_scanned_at"))
 
 
-def stream_jobs_delta(stream: DataFrame) -> DataFrame:
-    """Scan history rows with the change in openings since the previous scan of the domain."""
-    return stream.select("domain", "id", "scanned_at", "it_jobs").groupBy("domain").transformWithStateInPandas(
-        statefulProcessor=JobsDelta(), outputStructType=DELTA_SCHEMA, outputMode="append", timeMode="none")
+def read_rising_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Domains whose newest scan shows more openings than the one before."""
+    return read_jobs_delta(spark, path).where("jobs_delta > 0")
 
 
-def stream_rising_alerts(stream: DataFrame) -> DataFrame:
-    return stream_jobs_delta(stream).where("jobs_delta > 0")
+# --- stages and pages -------------------------------------------------------------------------
 
 
 def stream_stage_state(stream: DataFrame) -> DataFrame:
@@ -92,7 +128,6 @@ def stream_dedupe(stream: DataFrame, delay: str, by: str = "url") -> DataFrame:
     """First page per address (by='url') or per content (by='content') within the event-time delay.
 
     `stream` needs fetched_at, domain, final_url and text."""
-    key = dedupe_key("final_url") if by == "url" else F.when(F.length("text") >= 200, fingerprint(F.col("text"))).otherwise(
-        dedupe_key("final_url"))
+    key = dedupe_key("final_url") if by == "url" else F.coalesce(fingerprint(F.col("text")), dedupe_key("final_url"))
     return (stream.withColumn("_k", key).withWatermark("fetched_at", delay)
             .dropDuplicatesWithinWatermark(["domain", "_k"]).drop("_k"))

@@ -90,7 +90,7 @@ def test_update_and_documents(spark, contracts, folder):
     after, errors = updates.write_contracts(contracts, payload, AS_OF)
     row = {r.id: r for r in after.collect()}[4]
     assert row.status == "active" and row.tech == ["Go"] and row.company_name == "휴면" and errors.count() == 0
-    docs = C.customer_documents(C.customer_rollup(contracts, AS_OF), contracts, per_document=1)
-    assert docs.count() >= 4 and docs.select(F.explode("contracts")).count() == 5
+    docs = C.customer_documents(C.customer_rollup(contracts, AS_OF), contracts)
+    assert docs.count() == 5 and docs.where("position = 1").count() == docs.select("customer_key").distinct().count()
     writers.export_contracts(C.customer_rollup(contracts, AS_OF), contracts, f"{folder}/c", codes=exports.label_table(spark))
     assert spark.read.option("header", True).csv(f"{folder}/c").count() == 5

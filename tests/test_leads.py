@@ -75,7 +75,9 @@ def test_duplicates(spark):
                    dict(company_name="b", website="funnel-a.co.kr"))
     probes = spark.createDataFrame([(1, "퍼널A", "", ""), (2, "", "", "https://www.funnel-a.co.kr/about"), (3, "완전새회사", "new@nowhere.kr", ""),
                                     (4, " B ", "B@b.kr", "http://funnel-a.co.kr")], "probe_id bigint, company_name string, email string, website string")
-    pairs = {(r.probe_id, r.id): r.reason for r in L.find_duplicate_leads(probes, leads).collect()}
+    asked, having = L.find_duplicate_leads(probes, leads)
+    rows = [(r.probe_id, r.id, L.REASONS.index(r.reason)) for r in asked.join(having, ["reason", "key"]).collect()]
+    pairs = {(p, i): L.REASONS[min(n for q, j, n in rows if (q, j) == (p, i))] for p, i, _ in rows}
     assert pairs == {(1, 1): "name", (2, 1): "domain", (2, 3): "domain", (4, 1): "domain", (4, 2): "email", (4, 3): "domain"}
     summary = {r.probe_id: (r.matches, r.reason, r.first_id) for r in L.duplicate_summary(probes, leads).collect()}
     assert summary == {1: (1, "name", 1), 2: (2, "domain", 1), 3: (0, None, None), 4: (3, "domain", 1)}
@@ -102,6 +104,17 @@ def test_csv_import(spark, folder):
     assert history.first().to_status == "meeting" and report.first().inserted == 1
 
 
+def test_two_files(spark):
+    """Rows of two files with the same number and address are told apart."""
+    raw = spark.createDataFrame([("a.csv", 1, {"company": "A", "email": "x@a.kr"}), ("a.csv", 2, {"company": "B", "email": "y@a.kr"}),
+                                 ("b.csv", 1, {"company": "A", "email": "X@a.kr"}), ("b.csv", 2, {"company": "C", "email": "z@a.kr"})], "file string, row bigint, raw map<string,string>")
+    existing = stored(spark, dict(company_name="Z"))
+    new, history, report = imports.import_leads(raw, existing, AS_OF)
+    r = report.first()
+    assert (r.total, r.valid, r.duplicates) == (4, 3, 1)
+    assert {(x.id, x.company_name) for x in new.collect()} == {(2, "A"), (3, "B"), (5, "C")} and history.count() == 3
+
+
 @pytest.mark.parametrize("text, sep", [("﻿company;email\nA;a@a.kr\n", ";"), ('company\temail\n"A\nB"\ta@a.kr\n', "\t")])
 def test_csv_dialects(spark, folder, text, sep):
     with open(f"{folder}/x.csv", "wb") as f:
@@ -175,6 +188,8 @@ def test_mail_and_exports(spark, folder):
     assert drafts[2, "cold"].body.startswith("담당자님\n\n파견")
     writers.export_leads(leads, exports.label_table(spark), f"{folder}/csv")
     parts = [open(f"{folder}/csv/{n}", encoding="utf-8").read() for n in os.listdir(f"{folder}/csv") if n.endswith(".txt")]
+    writers.write_csv(leads.where("false").select("company_name"), f"{folder}/none")
+    assert [open(f"{folder}/none/{n}", encoding="utf-8").read() for n in os.listdir(f"{folder}/none") if n.endswith(".txt") and os.path.getsize(f"{folder}/none/{n}")] == ['\ufeff"company_name"\n']
     assert all(p.startswith('﻿"company_name"') for p in parts if p) and sum(p.count("ScatterLab") for p in parts) == 1
     writers.export_leads(leads, exports.label_table(spark), f"{folder}/json", "json")
     lines = [json.loads(x) for n in os.listdir(f"{folder}/json") if n.endswith(".json") for x in open(f"{folder}/json/{n}", encoding="utf-8")]

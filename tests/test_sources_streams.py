@@ -74,7 +74,7 @@ def test_stream_saves_equal_batch_saves(spark, folder):
         streams.stream_company_upsert(stream, target, f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
     every = spark.createDataFrame([r for b in batches for r in b], SAVE)
     strip = lambda df: sorted(map(str, df.drop("result").select(sorted(c for c in df.columns if c != "result")).collect()))
-    assert strip(streams.read_companies(spark, target, 2)) == strip(S.upsert_companies(None, S.scan_rows(every)))
+    assert strip(streams.read_companies(spark, target)) == strip(S.upsert_companies(None, S.scan_rows(every)))
     assert streams.read_history(spark, target).count() == 5
 
 
@@ -91,15 +91,24 @@ def run(spark, df, name, mode, folder):
     return spark.table(name)
 
 
-def test_stream_delta(spark, folder):
+def test_stream_delta_with_late_scans(spark, folder):
+    """After every batch the table equals the newest two scans of all rows so far, whatever order they came in."""
     schema = "domain string, id bigint, scanned_at timestamp, it_jobs bigint"
-    rows = [[("a", 1, dt.datetime(2026, 1, 1), 2), ("b", 2, dt.datetime(2026, 1, 1), 4)], [("a", 3, dt.datetime(2026, 1, 2), 5), ("b", 4, dt.datetime(2026, 1, 3), 1)]]
-    stream = history_stream(spark, folder, rows, schema)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = {(r.domain, r.id): r.jobs_delta for r in run(spark, streams.stream_jobs_delta(stream), "delta", "append", folder).collect()}
-    assert got == {("a", 1): None, ("b", 2): None, ("a", 3): 3, ("b", 4): -3}
-    alerts = run(spark, streams.stream_rising_alerts(stream), "alerts", "append", f"{folder}/x")
-    assert [(r.domain, r.jobs_delta) for r in alerts.collect()] == [("a", 3)]
+    day = lambda n: dt.datetime(2026, 1, n)
+    batches = [[("a", 1, day(5), 2), ("b", 2, day(1), 4)], [("a", 3, day(9), 7), ("b", 4, day(3), 1)], [("a", 5, day(7), 4), ("b", 6, day(2), 9), ("c", 7, day(1), 1)], [("a", 8, day(1), 50)]]
+    seen = []
+    for rows in batches:
+        seen += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        streams.stream_jobs_delta(stream, f"{folder}/delta", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+        want = {}
+        for d in {r[0] for r in seen}:
+            newest = sorted((r[2], r[1], r[3]) for r in seen if r[0] == d)[-2:]
+            want[d] = (newest[-1][1], newest[-1][2] - newest[0][2] if len(newest) > 1 else None)
+        assert {r.domain: (r.id, r.jobs_delta) for r in streams.read_jobs_delta(spark, f"{folder}/delta").collect()} == want
+    assert {r.domain for r in streams.read_rising_alerts(spark, f"{folder}/delta").collect()} == {"a"}
+    assert all(len(parts) <= 2 for parts in streams._parts(spark, f"{folder}/delta").values())
 
 
 def test_stream_stage_and_dedupe(spark, folder):
