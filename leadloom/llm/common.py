@@ -62,7 +62,7 @@ def text_key(text: Column) -> Column:
 
 # --- batches of texts as one byte array, for vectorised work inside Arrow batches ---
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 def byte_batches(texts, most: int = BATCH_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

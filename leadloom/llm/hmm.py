@@ -122,35 +122,37 @@ def _pieces(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def expectations(pieces: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Expected counts of starts, moves and emissions, and the log likelihood, in one vector."""
-    steps, many = pieces.shape
-    states = len(start)
-    padded = np.vstack([emit, np.ones(states)])       # -1 takes the last row
-    alpha, scale = np.empty((steps, many, states)), np.ones((steps, many))
-    a = None
-    for t in range(steps):
-        a = (start if a is None else a @ move) * padded[pieces[t]]
-        scale[t] = a.sum(1)
-        a = alpha[t] = a / scale[t][:, None]
-        if (pieces[t] < 0).all():
-            steps = t
-            break
-    live = pieces[:steps] >= 0
-    loglik = np.log(scale[:steps][live]).sum()
-    b = np.ones((many, states))
-    moves = np.zeros((states, states))
-    gamma = np.empty((steps, many, states))
+    """Expected counts of starts, moves and emissions, and the log likelihood, in one vector.
+
+    Longest pieces first, so that a step takes those still running. Single precision inside a piece, double for the sums.
+    """
+    pieces = pieces[:, np.argsort(-(pieces >= 0).sum(0), kind="stable")]
+    running = (pieces >= 0).sum(1)
+    states, steps = len(start), int((running > 0).sum())
+    start, move, wide = start.astype(np.float32), move.astype(np.float32), emit.astype(np.float32)
+    alpha, seen, scale = np.zeros((steps, pieces.shape[1], states), np.float32), [], []
+    loglik, a = 0.0, None
+    for t, n in enumerate(running[:steps]):
+        seen.append(wide[pieces[t, :n]])
+        a = (np.broadcast_to(start, (n, states)) if a is None else a[:n] @ move) * seen[t]
+        scale.append(a.sum(1))
+        a = alpha[t, :n] = a / scale[t][:, None]
+        loglik += np.log(scale[t], dtype=np.float64).sum()
+    b, moves, symbols, weights = np.ones((pieces.shape[1], states), np.float32), np.zeros((states, states)), [], []
+    gamma = np.zeros((0, states), np.float32)
     for t in range(steps - 1, -1, -1):
-        g = alpha[t] * b
-        gamma[t] = g / np.maximum(g.sum(1), 1e-300)[:, None] * live[t][:, None]
+        n = running[t]
+        gamma = alpha[t, :n] * b[:n]
+        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-30)
+        weights.append(gamma)
+        symbols.append(pieces[t, :n])
         if t:
-            e = padded[pieces[t]] * b / scale[t][:, None]
-            moves += (alpha[t - 1] * live[t][:, None]).T @ e
-            back = e @ move.T
-            b = np.where(live[t][:, None], back, 1.0)
-    flat, weight = pieces[:steps][live], gamma[live]
+            e = seen[t] * b[:n] / scale[t][:, None]
+            moves += alpha[t - 1, :n].T @ e
+            b[:n] = e @ move.T
+    flat, weight = np.concatenate([np.zeros(0, np.int64), *symbols]).astype(np.int64), np.concatenate([np.zeros((0, states), np.float32), *weights])
     emitted = np.stack([np.bincount(flat, weight[:, s], minlength=len(emit)) for s in range(states)], 1)
-    return np.concatenate([gamma[0].sum(0), (moves * move).ravel(), emitted.ravel(), [loglik, live.sum()]])
+    return np.concatenate([gamma.sum(0, dtype=np.float64), (moves * move).ravel(), emitted.ravel(), [loglik, len(flat)]])
 
 
 def _estimated(total: np.ndarray, states: int, width: int, prior: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -184,7 +186,6 @@ def train(texts: DataFrame, states: int = 8, symbols: int = 8192, known: int = 1
                 yield pd.DataFrame({"symbols": [out.astype(np.int32).tobytes()], "lengths": [lengths.astype(np.int64).tobytes()]})
 
     data = common.staged(texts.mapInPandas(coded, "symbols binary, lengths binary"), "symbols").rdd
-    data = data.coalesce(min(data.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
     own = lexicon.counts[:symbols].astype(float)
     rare_tokens = float((sums.n or 0) - own.sum())
     prior = np.r_[own, rare_tokens + 1.0, ends + 1.0]
@@ -205,7 +206,7 @@ def train(texts: DataFrame, states: int = 8, symbols: int = 8192, known: int = 1
 
         total = data.mapPartitions(summed).treeReduce(lambda a, b: a + b)
         start, move, emit = _estimated(total, states, width, prior)
-        now.unpersist()
+        now.destroy()
     rare_kinds = kinds - (ends > 0) - symbols
     return Model(lexicon, symbols, start, move, emit, tokens, kinds, ends, rare_tokens + rare_kinds + 1.0), words
 
@@ -240,7 +241,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for rows in batches:
-            for first, raw, offsets in common.byte_batches(rows.text, 8_000_000):
+            for first, raw, offsets in common.byte_batches(rows.text, 4_000_000):
                 symbols, lengths, rank, h, of = _ranked(m.lexicon, raw, offsets, m.symbols)
                 n = len(offsets) - 1
                 here = slice(first, first + n)
