@@ -103,7 +103,11 @@ def foreign_language_links(links: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Links on the pages' own domain: anchors with their text and the sources of frames."""
+    """Links on the pages' own domain: anchors with their text and the sources of frames.
+
+    Depth and category of the page go along where the pages have them."""
+    known = [c for c in ("depth", "category") if c in pages.columns]
+    named = {"depth": F.col("depth"), "category": F.col("category").alias("from_category")}
     body = html.without_hidden(F.col("html"))
     value = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
     anchor = rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{value}[^>]*>(.*?)</a\s*>"
@@ -112,14 +116,14 @@ def extract_links(pages: DataFrame) -> DataFrame:
     pairs = lambda hrefs, texts, is_frame: F.zip_with(hrefs, texts, lambda h, t: F.struct(
         h.alias("href"), t.alias("inner"), F.lit(is_frame).alias("is_frame")))
     found = F.concat(pairs(every(frame, 1), every(frame, 1), True), pairs(every(anchor, 1), every(anchor, 2), False))
-    rows = (pages.select("domain", F.col("page_idx").alias("from_idx"), "final_url", "depth",
-                         F.col("category").alias("from_category"), body.alias("_body"))
-            .select("domain", "from_idx", "final_url", "depth", "from_category", F.posexplode(found).alias("pos", "_l")))
+    kept = ["from_category" if c == "category" else c for c in known]
+    rows = (pages.select("domain", F.col("page_idx").alias("from_idx"), "final_url", *[named[c] for c in known], body.alias("_body"))
+            .select("domain", "from_idx", "final_url", *kept, F.posexplode(found).alias("pos", "_l")))
     text = html.inline_text(F.col("_l.inner"))
     href = html.unescape_html(F.btrim("_l.href", F.lit("\"'")))
     links = computed(rows, anchor=F.when(F.col("_l.is_frame"), "").otherwise(text),
                      url=U.cleaned_link(F.col("final_url"), href))
-    out = links.select("domain", "from_idx", "pos", "depth", "from_category", F.col("_l.is_frame").alias("is_frame"), "anchor", "url")
+    out = links.select("domain", "from_idx", "pos", *kept, F.col("_l.is_frame").alias("is_frame"), "anchor", "url")
     return same_domain(out.where("url is not null"))
 
 

@@ -647,7 +647,7 @@ WORD_WEIGHTS = fixed.CATEGORY_WEIGHT
 
 
 def _links(s, d) -> DataFrame:
-    return K.extract_links(T.pages(s, d))
+    return T.page_links(s, d)
 
 
 def _classified(s, d) -> DataFrame:
@@ -655,7 +655,8 @@ def _classified(s, d) -> DataFrame:
 
 
 def _homes(s, d) -> DataFrame:
-    return T.pages(s, d).where("depth = 0").select("domain", F.col("url").alias("home_url"))
+    homes = T.page_places(s, d).where("depth = 0").select("page_idx")
+    return T.site_pages(s, d).select("page_idx", "domain", F.col("url").alias("home_url")).join(homes, "page_idx").drop("page_idx")
 
 
 @query

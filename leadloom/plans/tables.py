@@ -186,17 +186,31 @@ def raw_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pages --------------------------------------------------------------------------------
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw pages with domain, text, title and category; the first page of a domain is its home."""
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages with their domain."""
     raw = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("page_idx"), "url", F.col("url").alias("final_url"), F.lit(200).alias("status"), "html")
-    site = raw.withColumn("domain", registrable(host("url")))
+    return raw.withColumn("domain", registrable(host("url")))
+
+
+def page_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_idx, depth and category of each page, from the addresses alone: the first page of a domain is its home."""
+    site = site_pages(spark, sf_dir).select("page_idx", "url", "domain")
     home = site.groupBy("domain").agg(F.min("page_idx").alias("_home"))
     placed = site.join(home, "domain").withColumn("depth", F.when(F.col("page_idx") == F.col("_home"), 0).otherwise(1))
-    built = page_ops.build_pages(placed.drop("_home"))
-    category = F.when(F.col("depth") == 0, "home").otherwise(
-        F.coalesce(link_ops.category_of(F.col("url"), F.lit("")), F.lit("other")))
-    return built.withColumn("category", category)
+    category = F.when(F.col("depth") == 0, "home").otherwise(F.coalesce(link_ops.category_of(F.col("url"), F.lit("")), F.lit("other")))
+    return placed.select("page_idx", "depth", category.alias("category"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with domain, text, title, depth and category. The wide rows are joined by page, so no domain gathers its html."""
+    return page_ops.build_pages(site_pages(spark, sf_dir).join(page_places(spark, sf_dir), "page_idx"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the pages: cut out of the html first, placed afterwards."""
+    places = page_places(spark, sf_dir).select(F.col("page_idx").alias("from_idx"), "depth", F.col("category").alias("from_category"))
+    return link_ops.extract_links(site_pages(spark, sf_dir)).join(places, "from_idx")
 
 
 CEO_NAMES = ("박민호", "이서연", "최지훈", "정다은", "강현우", "윤서진", "한지민")
