@@ -138,7 +138,7 @@ SQL["has_contact"] = WITH_TREND + "SELECT domain, email, phone FROM companies WH
 SQL["rescan_targets"] = WITH_TREND + f"SELECT domain, website AS url, updated_at::VARCHAR AS updated_at FROM companies WHERE updated_at < {EVENTS_AS_OF} - INTERVAL 3 DAY"
 SQL["batch_summary"] = WITH_TREND + """SELECT count(*) AS total, count(*) FILTER (it_jobs > 0) AS done, count(*) FILTER (it_jobs = 0) AS failed,
   count(*) FILTER (it_jobs > 0 AND email IS NULL AND phone IS NULL) AS skipped, count(*) FILTER (jobs_delta > 0) AS rising FROM trend"""
-SQL["delete_companies"] = WITH_TREND + "SELECT count(*) AS companies, CAST(coalesce(sum(it_jobs), 0) AS BIGINT) AS it_jobs FROM companies WHERE it_jobs >= 2"
+SQL["delete_companies"] = WITH_TREND + "SELECT id, domain, it_jobs FROM companies WHERE it_jobs >= 2"
 
 # --- funnel --------------------------------------------------------------------------------
 
@@ -208,8 +208,7 @@ SQL["export_contracts"] = WITH_CUSTOMERS + """SELECT grade, c.company_name, titl
   FROM contracts c JOIN customers USING (customer_key)"""
 SQL["customer_documents"] = WITH_CUSTOMERS + f"""SELECT c.customer_key, k.grade, row_number() OVER (PARTITION BY c.customer_key ORDER BY {NEWEST}) AS position, id, amount
   FROM contracts c JOIN customers k ON c.customer_key = k.customer_key"""
-SQL["delete_contracts"] = WITH_CONTRACTS + """SELECT status, count(*) AS contracts, CAST(sum(amount) AS BIGINT) AS amount FROM contracts
-  WHERE status <> 'terminated' GROUP BY 1"""
+SQL["delete_contracts"] = WITH_CONTRACTS + """SELECT id, status, amount FROM contracts WHERE status <> 'terminated'"""
 
 # --- leads ---------------------------------------------------------------------------------
 
@@ -258,9 +257,9 @@ SQL["add_activities"] = WITH_LEADS + f""", {ACTS} SELECT l.id, CAST(greatest(las
   FROM leads l LEFT JOIN (SELECT lead_id, max(\"at\") AS mx FROM acts GROUP BY 1) ON lead_id = l.id"""
 SQL["add_activities_rows"] = WITH_LEADS + f""", {ACTS} SELECT id, lead_id, CASE WHEN type = 'visit' THEN 'other' ELSE type END AS type, \"at\"::VARCHAR AS \"at\",
   md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS note FROM acts WHERE lead_id IN (SELECT id FROM leads)"""
-SQL["delete_leads"] = WITH_LEADS + f""", {ACTS} SELECT 'leads' AS tbl, count(*) AS n FROM leads WHERE status NOT IN ('lost', 'hold')
-  UNION ALL SELECT 'activities', count(*) FROM acts WHERE lead_id NOT IN (SELECT id FROM leads WHERE status IN ('lost', 'hold'))
-  UNION ALL SELECT 'history', count(*) FROM leads WHERE status NOT IN ('lost', 'hold')"""
+SQL["delete_leads"] = WITH_LEADS + f""", {ACTS} SELECT 'leads' AS tbl, id FROM leads WHERE status NOT IN ('lost', 'hold')
+  UNION ALL SELECT 'activities', id FROM acts WHERE lead_id NOT IN (SELECT id FROM leads WHERE status IN ('lost', 'hold'))
+  UNION ALL SELECT 'history', id FROM leads WHERE status NOT IN ('lost', 'hold')"""
 SQL["write_leads"] = WITH_LEADS + """SELECT id, CASE WHEN status = 'proposal' THEN 'ceo' ELSE rank END AS rank, CASE WHEN status <> 'proposal' THEN phone END AS phone,
   CASE WHEN status = 'proposal' THEN 'lost' ELSE status END AS status, CASE WHEN status = 'proposal' THEN 'price' ELSE lost_reason END AS lost_reason,
   CASE WHEN status = 'proposal' THEN least(100, p_hiring + 22 + p_email + CASE WHEN mobile IS NOT NULL THEN 10 ELSE 0 END + p_kakao + p_budget + p_source + p_project
@@ -492,9 +491,9 @@ SQL["tech_from_jobs"] = ("SELECT domain, array_to_string(list_filter([" + ", ".j
   + ", ".join(f"bool_or(regexp_matches(lang || ' ' || text, '(?i)(^|[^A-Za-z0-9]){k}([^A-Za-z0-9]|$)')) AS k{i}" for i, k in enumerate(TKW)) + " FROM documents GROUP BY 1)")
 
 SQL["keep_first"] = "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1"
-SQL["merge_existing_keys"] = WITH_LEADS + """, k AS (SELECT email, CASE WHEN email IS NULL THEN lower(company_name) || '|' || lower(contact_name) END AS pair FROM leads
-  UNION SELECT email, CASE WHEN email IS NULL THEN lower(industry) || '|' || lower('P' || id) END FROM leads WHERE source = 'website' OR it_hiring = 'High')
-  SELECT CASE WHEN email IS NULL THEN 'pair' ELSE 'email' END AS k_kind, count(*) AS n FROM k GROUP BY 1"""
+SQL["merge_existing_keys"] = WITH_LEADS + """, k AS (SELECT email, lower(company_name) AS co, lower(contact_name) AS who FROM leads
+  UNION SELECT email, lower(industry), lower('P' || id) FROM leads WHERE source = 'website' OR it_hiring = 'High')
+  SELECT DISTINCT CASE WHEN email IS NULL THEN 'pair' ELSE 'email' END AS k_kind, coalesce(email, co) AS k1, CASE WHEN email IS NULL THEN who ELSE '' END AS k2 FROM k"""
 SQL["import_anti_join"] = WITH_LEADS + """SELECT id, email FROM leads WHERE email IS NULL OR NOT (source = 'website' OR coalesce(it_hiring = 'High', false))"""
 SQL["page_filter"] = """SELECT event_id, CAST(200 + floor(value) * 5 AS BIGINT) AS status FROM events WHERE 200 + floor(value) * 5 < 400 AND event_type <> 'click'"""
 SQL["page_depths"] = WITH_LINKS + """, e AS (SELECT DISTINCT domain, from_idx, from_idx + pos * 3 AS to_idx FROM links),
@@ -533,7 +532,7 @@ SQL["job_candidates"] = WITH_LINKS + f""", c AS (SELECT from_idx AS page_idx, 1
     UNION ALL SELECT page_idx, 2, {_tidy(_text("unnest(regexp_extract_all(html, '<h1>(.*?)</h1>', 1))"))} FROM pg)
   SELECT page_idx, phase, title FROM c WHERE length(title) BETWEEN 4 AND 60 AND len(string_split(title, ' ')) <= 8 AND ({_hit('the|que|der|und|that', 'title')} OR contains(lower(title), 'ción'))
   AND {_hit('and', 'title')}::INT + {_hit('of', 'title')}::INT + {_hit('la', 'title')}::INT < 3"""
-SQL["delete_activities"] = "SELECT CASE role WHEN 'user' THEN 'Call' ELSE 'email' END AS type, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1"
+SQL["delete_activities"] = "SELECT conv_id * 1000 + turn AS id, CASE role WHEN 'user' THEN 'Call' ELSE 'email' END AS type FROM conversations WHERE role IN ('user', 'assistant')"
 
 # --- customer sites and uploads --------------------------------------------------------------
 
@@ -586,3 +585,4 @@ KEYS = """k AS (SELECT id, unnest([domain, lower(email), lower(company_name)]) A
   p AS (SELECT id AS probe_id, unnest([domain, CASE WHEN b % 5 = 0 THEN 'not-an-email' ELSE email END, lower(company_name)]) AS key, unnest(['domain', 'email', 'name']) AS reason FROM rawl)"""
 SQL["find_duplicate_leads"] = WITH_LEADS + f", {KEYS} SELECT probe_id, reason, key FROM p WHERE key IS NOT NULL AND (reason, key) IN (SELECT (reason, key) FROM k WHERE key IS NOT NULL)"
 SQL["duplicate_lead_keys"] = WITH_LEADS + f", {KEYS} SELECT id, reason, key FROM k WHERE key IS NOT NULL AND (reason, key) IN (SELECT (reason, key) FROM p WHERE key IS NOT NULL)"
+SQL["write_leads_refused"] = WITH_LEADS + "SELECT id, 'company_required' AS code, company_name, memo FROM leads WHERE status = 'won'"

@@ -145,7 +145,7 @@ def delete_companies(s, d):
     companies, history = _scans(s, d)
     gone = companies.where("it_hiring = 'None' or it_hiring = 'Low'").select("id")
     kept = scans.delete_companies(companies, gone)
-    return kept.agg(F.count(F.lit(1)).alias("companies"), F.coalesce(F.sum("it_jobs"), F.lit(0)).alias("it_jobs"))
+    return kept.select("id", "domain", "it_jobs")
 
 
 # --- funnel --------------------------------------------------------------------------------
@@ -314,7 +314,7 @@ def customer_documents(s, d):
 def delete_contracts(s, d):
     c = T.contracts(s, d)
     left = C.delete_contracts(c, c.where("status = 'terminated'").select("id"))
-    return left.groupBy("status").agg(F.count(F.lit(1)).alias("contracts"), F.sum("amount").alias("amount"))
+    return left.select("id", "status", "amount")
 
 
 # --- leads ---------------------------------------------------------------------------------
@@ -467,9 +467,8 @@ def delete_leads(s, d):
     history = leads.select(F.col("id").alias("lead_id"), "status")
     gone = leads.where("status in ('lost', 'hold')").select("id")
     left = L.delete_leads(leads, acts, history, gone)
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
-              for name, df in zip(("leads", "activities", "history"), left)]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    rows = [df.select(F.lit(name).alias("tbl"), F.col(key).alias("id")) for name, key, df in zip(("leads", "activities", "history"), ("id", "id", "lead_id"), left)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query
@@ -482,6 +481,16 @@ def write_leads(s, d):
     return after.select("id", "rank", "phone", "status", "lost_reason", F.col("score").cast("bigint").alias("score"), *_s("updated_at"))
 
 
+@query
+def write_leads_refused(s, d):
+    """Leads that would lose their company name stay as they are and are told."""
+    leads = T.leads(s, d)
+    asked = leads.where("status = 'won'").select("id", F.create_map(F.lit("company_name"), F.lit(" "), F.lit("memo"), F.lit("x")).alias("payload"))
+    after, history, errors = updates.write_leads(leads, asked, T.events_as_of())
+    kept = after.join(errors, "id").select("id", "code", "company_name", "memo")
+    return kept.unionByName(history.select(F.col("lead_id").alias("id"), *[F.lit("moved").alias(c) for c in ("code", "company_name", "memo")]))
+
+
 @query
 def change_status(s, d):
     leads = T.leads(s, d)
@@ -867,7 +876,7 @@ def keep_first(s, d):
 @query
 def merge_existing_keys(s, d):
     keys = imports.merge_existing_keys(_existing(s, d), T.leads(s, d))
-    return keys.groupBy("k_kind").agg(F.count(F.lit(1)).alias("n"))
+    return keys.select("k_kind", "k1", "k2")
 
 
 @query
@@ -943,7 +952,7 @@ def job_candidates(s, d):
 @query
 def delete_activities(s, d):
     a = T.raw_activities(s, d)
-    return L.delete_activities(a, a.where("type = 'visit'").select("id")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return L.delete_activities(a, a.where("type = 'visit'").select("id")).select("id", "type")
 
 
 @query
