@@ -517,10 +517,10 @@ SQL["company_name"] = WITH_PAGES + f""", c AS (SELECT domain, page_idx, url, {HO
   SELECT domain, name AS value, url AS source_url FROM n QUALIFY row_number() OVER (PARTITION BY domain ORDER BY
     score + CASE WHEN contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 'example') THEN 2 ELSE 0 END
     + CASE WHEN regexp_matches(lower(name), 'co\\., ltd|co\\.,ltd|inc\\.|corp\\.|ltd\\.') THEN 2 ELSE 0 END DESC, length(name), n.seq) = 1"""
-SQL["cf_email"] = """WITH t AS (SELECT doc_id, regexp_extract(text, 'token = "([0-9a-f]{40})', 1) AS h FROM documents),
-  b AS (SELECT doc_id, list_transform(range(0, 20), lambda i: CAST('0x' || h[i * 2 + 1:i * 2 + 2] AS INT)) AS b FROM t WHERE h <> ''),
-  e AS (SELECT doc_id, array_to_string(list_transform(b[2:], lambda x: chr(xor(x, b[1]))), '') AS e FROM b)
-  SELECT doc_id, length(e) AS chars, md5(e) AS email FROM e"""
+SQL["cf_email"] = """WITH t AS (SELECT doc_id, unnest(hs) AS h, unnest(range(0, len(hs))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, 'token = "([0-9a-f]{40})', 1) AS hs FROM documents)),
+  b AS (SELECT doc_id, pos, list_transform(range(0, 20), lambda i: CAST('0x' || h[i * 2 + 1:i * 2 + 2] AS INT)) AS b FROM t),
+  e AS (SELECT doc_id, pos, array_to_string(list_transform(b[2:], lambda x: chr(xor(x, b[1]))), '') AS e FROM b)
+  SELECT doc_id, pos, length(e) AS chars, md5(e) AS email FROM e"""
 SQL["plausible_names"] = """SELECT doc_id, pos, name FROM (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) - 1 AS pos FROM (
     SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z]?[a-z]+') AS w FROM documents)) WHERE regexp_matches(name, '^[A-Z][a-z]{1,15} [A-Z][a-z]{1,15}$')"""
 SQL["excluded_roles"] = """SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(lower(text), 'cfo|cmo|chro|hr|sales|marketing|finance|accounting|legal|procurement')

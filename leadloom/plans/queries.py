@@ -917,8 +917,9 @@ def company_name(s, d):
 @query
 def cf_email(s, d):
     """Every hexadecimal token of the documents read as a protected address."""
-    codes = T.table(s, d, "documents").select("doc_id", F.regexp_extract("text", 'token = "([0-9a-f]{40})', 1).alias("encoded"))
-    return facts.cf_email(codes.where("encoded <> ''")).select("doc_id", F.length("email").cast("bigint").alias("chars"), F.md5("email").alias("email"))
+    codes = F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})'), F.lit(1))
+    codes = T.table(s, d, "documents").select("doc_id", F.posexplode(codes).alias("pos", "encoded"))
+    return facts.cf_email(codes).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.length("email").cast("bigint").alias("chars"), F.md5("email").alias("email"))
 
 
 @query
