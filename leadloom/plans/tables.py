@@ -11,7 +11,10 @@ from ..operators import leads as lead_ops
 from ..operators import links as link_ops
 from ..operators import pages as page_ops
 from ..operators import scans as scan_ops
+from ..sources.readers import dealt
 
+# tables whose rows are parsed at some cost
+COSTLY = ("pages", "documents", "orders", "customer")
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 ORDERS_AS_OF = "2001-09-01"
 STATUS_OF_EVENT = {"signup": "new", "view": "contacted", "click": "meeting", "purchase": "won", "error": "lost"}
@@ -26,7 +29,8 @@ def orders_as_of() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(df) if name in COSTLY else df
 
 
 # --- events: status history and scan history ----------------------------------------------
