@@ -57,7 +57,8 @@ def reads(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     pieces = -(-(stop - start) // SPAN)               # long runs occur in periodic text
     at = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SPAN
     windows = np.minimum(np.repeat(stop, pieces) - at, SPAN)
-    return least[at], np.repeat(text, pieces), at, windows, common.slice_hash(prefix, at, at + windows + WINDOW - 1)
+    # minima crowd at the low end: scrambled again, the keys spread over all ranges
+    return common.mixed(least[at]), np.repeat(text, pieces), at, windows, common.slice_hash(prefix, at, at + windows + WINDOW - 1)
 
 
 def repeated_minimizers(docs: DataFrame, ranges: int, bits: int) -> np.ndarray:
@@ -142,6 +143,13 @@ def _blocks(path: str, kind: type, block: int) -> Iterator[np.ndarray]:
             yield part
 
 
+def _by_symbol(raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in the order of the symbols in front of them, and how many each symbol has."""
+    symbol = raw[places - 1]
+    order = np.argsort(symbol, kind="stable")
+    return order, np.diff(np.searchsorted(symbol[order], np.arange(258, dtype=np.uint16)))
+
+
 def sorted_suffixes(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of all texts in order: text, length, and whether it shares its first WINDOW bytes with the one before.
 
@@ -162,17 +170,18 @@ def sorted_suffixes(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarra
         stops.astype(np.int32).tofile(name("place", 0))
         np.zeros(n, np.uint8).tofile(name("length", 0))
         for j in range(1, int(lengths.max()) + 1):
-            counts = np.zeros(257, np.int64)
-            for part in _blocks(name("place", j - 1), np.int32, block):
-                counts += np.bincount(raw[part - 1], minlength=257)
+            if os.path.getsize(name("place", j - 1)) > 4 * block:
+                counts = sum(np.bincount(raw[part - 1], minlength=257) for part in _blocks(name("place", j - 1), np.int32, block))
+                ready = None
+            else:                                             # one block: sorted once, counted on the way
+                ready = _by_symbol(raw, np.fromfile(name("place", j - 1), np.int32))
+                counts = ready[1]
             cursor = n + np.r_[0, 0, np.cumsum(counts[1:-1])]
             size = n + int(counts[1:].sum())
             place, length = (np.memmap(name(what, j), kind, "w+", shape=size) for what, kind in (("place", np.int32), ("length", np.uint8)))
             place[:n], length[:n] = stops, 0
             for part, long in zip(_blocks(name("place", j - 1), np.int32, block), _blocks(name("length", j - 1), np.uint8, block)):
-                symbol = raw[part - 1]
-                order = np.argsort(symbol, kind="stable")
-                mine = np.bincount(symbol, minlength=257)
+                order, mine = ready or _by_symbol(raw, part)
                 order = order[mine[0]:]                       # a zero: the text is used up
                 part, long = part[order] - 1, long[order] + 1
                 at = 0
@@ -268,7 +277,7 @@ def _window_runs(distinct: DataFrame, most: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, most: int = 2000) -> DataFrame:
-    """doc, key and `spans` (array of (start, stop) in bytes, unsorted and overlapping) of documents with strings that also start in a smaller document."""
+    """doc, key and `spans` (array of start * 2**32 + stop in bytes, unsorted and overlapping) of documents with strings that also start in a smaller document."""
     spark = docs.sparkSession
     if ranges is None:
         ranges = 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -276,9 +285,8 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     found = candidate_reads(docs, repeated_minimizers(docs, ranges, bits))
     kinds = found.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("h").alias("h1"), F.max("h").alias("h2")).filter("low < high")
     kinds = common.staged(kinds.select("m", "low", (F.col("h1") != F.col("h2")).alias("mixed")), "minimizers")
-    span = F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("windows") + (WINDOW - 1)).alias("stop"))
     met = found.select("doc", "key", "pos", "windows", "m", "h").join(kinds, "m").filter("mixed OR doc > low")
-    met = common.staged(met.select("doc", "key", "mixed", F.when(F.col("mixed"), F.col("m")).alias("m"), F.when(F.col("mixed"), F.col("h")).alias("h"), span.alias("span")), "met")
+    met = common.staged(met.select("doc", "key", "mixed", F.when(F.col("mixed"), F.col("m")).alias("m"), F.when(F.col("mixed"), F.col("h")).alias("h"), "pos", "windows"), "met")
     # bytes are shuffled only where reads differ: a bounded filter first, the exact join behind it
     open_kinds = kinds.filter("mixed").select("m")
     flags = spark.sparkContext.broadcast(common.bitmap(open_kinds, "m"))
@@ -291,10 +299,10 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     distinct = common.staged(distinct, "distinct")
     flags.destroy()
     runs = common.staged(_window_runs(distinct, most), "runs")
-    start = F.col("span.start")
-    part = F.struct((start + F.col("first")).alias("start"), (start + F.col("stop") + (WINDOW - 1)).alias("stop"))
-    other = met.filter("mixed").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", part.alias("span"))
-    spans = met.filter("NOT mixed").select("doc", "key", "span").unionByName(other)
+    pos = F.col("pos").cast("long")
+    packed = lambda start, windows_end: F.shiftleft(start, 32) + windows_end + (WINDOW - 1)
+    other = met.filter("mixed").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", packed(pos + F.col("first"), pos + F.col("stop")).alias("span"))
+    spans = met.filter("NOT mixed").select("doc", "key", packed(pos, pos + F.col("windows")).alias("span")).unionByName(other)
     return common.staged(spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
 
 
@@ -306,15 +314,12 @@ def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         out = []
         for text, spans in zip(texts, all_spans):
             raw = text.encode("utf-8", "surrogatepass")
-            runs: list[list[int]] = []
-            for start, stop in sorted((s["start"], s["stop"]) for s in (spans if spans is not None else ())):
-                if runs and start <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], stop)
-                else:
-                    runs.append([start, stop])
-            edges = [0, *[x for run in runs for x in run], len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append((len(raw), len(raw) - len(kept), len(runs), kept))
+            spans = np.sort(np.asarray(spans if spans is not None else (), np.int64))
+            start, stop = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+            new = np.flatnonzero(np.r_[True, start[1:] > stop[:-1]][: len(start)])
+            begins, ends = start[new], stop[np.r_[new[1:], len(start)] - 1] if len(start) else stop
+            kept = b"".join(raw[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(raw)]))
+            out.append((len(raw), len(raw) - len(kept), len(begins), kept))
         yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
 
