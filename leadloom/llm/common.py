@@ -1,6 +1,7 @@
 """Helpers of the corpus operators: text columns, byte batches for NumPy, tables in the shared folder."""
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -146,6 +147,11 @@ def blank_separated(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 # --- a bounded filter in front of a shuffle: it lets through too much, never too little ---
 
+def reduced(parts, combine):
+    """The parts of an RDD combined on the executors, so deep that at most about 32 of them reach the driver, however many there are."""
+    return parts.treeReduce(combine, depth=max(2, math.ceil(math.log(max(parts.getNumPartitions(), 1), 32))))
+
+
 def bitmap(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     """2**bits flags of the 64-bit values in `column`, by their top bits after a scramble. Parts are joined pairwise on the executors."""
     spark = df.sparkSession
@@ -163,7 +169,7 @@ def bitmap(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
 
     rows = df.select(column).rdd
     rows = rows.coalesce(min(rows.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
-    return rows.mapPartitions(flags).treeReduce(np.bitwise_or)
+    return reduced(rows.mapPartitions(flags), np.bitwise_or)
 
 
 def _set(flags: np.ndarray, values: list[int], bits: int) -> None:

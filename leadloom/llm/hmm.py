@@ -204,7 +204,7 @@ def train(texts: DataFrame, states: int = 8, symbols: int = 8192, known: int = 1
                 total += expectations(_pieces(np.frombuffer(r.symbols, np.int32), np.frombuffer(r.lengths, np.int64)), *now.value)
             yield total
 
-        total = data.mapPartitions(summed).treeReduce(lambda a, b: a + b)
+        total = common.reduced(data.mapPartitions(summed), lambda a, b: a + b)
         start, move, emit = _estimated(total, states, width, prior)
         now.destroy()
     rare_kinds = kinds - (ends > 0) - symbols

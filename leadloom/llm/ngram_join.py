@@ -60,7 +60,7 @@ def document_frequencies(texts: DataFrame, words: int, bits: int) -> np.ndarray:
         return np.minimum(total, 65535).astype(np.uint16).tobytes()
 
     parts = texts.mapInPandas(counted, "cells binary").rdd.map(lambda r: bytes(r.cells))
-    return np.frombuffer(parts.treeReduce(added) if parts.getNumPartitions() else bytes(2 << bits), np.uint16)
+    return np.frombuffer(common.reduced(parts, added) if parts.getNumPartitions() else bytes(2 << bits), np.uint16)
 
 
 def _overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
