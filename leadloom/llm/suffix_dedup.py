@@ -1,5 +1,9 @@
 """Removal of repeated byte strings: reads cut at minimizers, their collection sorted column by column as a Burrows-Wheeler transform.
 
+Passages between content-defined cuts that a smaller document has too are settled first, whole: windows inside them are covered, and
+every such window also stands in the smaller document, so that no other document needs them here. What is left, the edges of
+passages and short repeats, is decided window by window.
+
 Every window of WINDOW bytes belongs to the smallest scrambled hash of the GRAM-byte strings in it, so equal windows meet wherever
 they stand. Neighbouring windows with the same minimizer make one read of at most 2 * WINDOW - GRAM bytes. Only reads whose minimizer
 occurs in two documents leave their task. Where all reads of a minimizer are equal, the smallest document is known at once; the
@@ -18,9 +22,10 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import common
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM = 50, 35             # a longer minimizer brings together fewer reads that merely share some words
 SPAN = WINDOW - GRAM + 1          # grams in a window, and windows in a read at most
 LAST = 2**63 - 1                  # stands for a null doc_id: after all others
+EDGE, CUT_EVERY = 20, 64          # passages are cut at strings of EDGE bytes, CUT_EVERY bytes apart on average
 BATCH = 1_000_000
 HELD = 400_000                    # minimizers gathered before they are sent
 
@@ -61,15 +66,38 @@ def reads(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return common.mixed(least[at]), np.repeat(text, pieces), at, windows, common.slice_hash(prefix, at, at + windows + WINDOW - 1)
 
 
-def repeated_minimizers(docs: DataFrame, ranges: int, bits: int) -> np.ndarray:
-    """Flags of the minimizers (by their top `bits` bits) that occur in two documents, found exactly for each of `ranges` hash ranges.
+def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash, text, start and stop of each passage: from a cut over the next one to the second next and the EDGE bytes that made it a cut.
 
-    A batch sends each of its minimizers once, as packed numbers, so a frequent one costs a number a batch. Only the flags, a fixed
+    Cuts are the EDGE-byte strings whose hash ends in zeros, and the ends of the text; passages overlap and have WINDOW bytes at least.
+    """
+    if len(raw) < WINDOW:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+    prefix = common.prefix_hash(raw)
+    grams = common.mixed((prefix[EDGE:] - prefix[:-EDGE]) * common.powers(len(prefix))[1][: len(raw) - EDGE + 1])
+    cut = np.flatnonzero(grams & np.uint64(CUT_EVERY - 1) == 0)
+    text = np.searchsorted(offsets, cut, side="right") - 1
+    inside = cut + EDGE <= offsets[text + 1]
+    long = np.flatnonzero(np.diff(offsets) >= WINDOW)
+    cut, text = np.r_[cut[inside], offsets[long], offsets[long + 1] - EDGE], np.r_[text[inside], long, long]
+    order = np.lexsort((cut, text))
+    cut, text = cut[order], text[order]
+    start, stop = cut[:-2], cut[2:] + EDGE
+    good = (text[:-2] == text[2:]) & (stop - start >= WINDOW)
+    start, stop = start[good], stop[good]
+    return common.slice_hash(prefix, start, stop), text[:-2][good], start, stop
+
+
+def repeated(docs: DataFrame, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the minimizers and of the passages (by the top `bits` bits of their hashes) that occur in two documents, found exactly for each of `ranges` hash ranges.
+
+    A batch sends each of its hashes once, as packed numbers, so a frequent one costs a number a batch. Only the flags, a fixed
     number of bits, come to the driver; a crowded table of flags lets more reads through and changes no result.
     """
     top = np.uint64(64 - int(np.log2(ranges)))
 
-    def packed(h: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+    def packed(shift: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        h, doc = np.concatenate([h for h, _ in held]), np.concatenate([d for _, d in held])
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
@@ -78,21 +106,21 @@ def repeated_minimizers(docs: DataFrame, ranges: int, bits: int) -> np.ndarray:
         cuts = np.searchsorted(h >> top, np.arange(ranges + 1, dtype=np.uint64))
         low = (h >> (top - np.uint64(32))).astype(np.uint32)
         keep = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
-        return pd.DataFrame({"r": keep, "low": [low[cuts[r]: cuts[r + 1]].tobytes() for r in keep],
+        return pd.DataFrame({"r": [r + shift for r in keep], "low": [low[cuts[r]: cuts[r + 1]].tobytes() for r in keep],
                              "many": [np.packbits(many[cuts[r]: cuts[r + 1]]).tobytes() for r in keep]})
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for rows in batches:
             names = rows.doc.to_numpy()
             for first, raw, offsets in common.byte_batches(rows.text, BATCH):
-                found = reads(raw, offsets)
-                held.append((found[0], names[first + found[1]]))
-                if sum(len(h) for h, _ in held) > HELD:
-                    yield packed(np.concatenate([h for h, _ in held]), np.concatenate([d for _, d in held]))
-                    held = []
-        if held:
-            yield packed(np.concatenate([h for h, _ in held]), np.concatenate([d for _, d in held]))
+                for kind, found in enumerate((reads(raw, offsets), passages(raw, offsets))):
+                    held[kind].append((found[0], names[first + found[1]]))
+                if sum(len(h) for h, _ in held[0]) > HELD:
+                    yield from map(packed, (0, ranges), held)
+                    held = [[], []]
+        if held[0]:
+            yield from map(packed, (0, ranges), held)
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         low = [np.frombuffer(x, np.uint32) for x in rows.low]
@@ -103,10 +131,10 @@ def repeated_minimizers(docs: DataFrame, ranges: int, bits: int) -> np.ndarray:
         flags[kinds[times > 1] >> np.uint32(32 - part)] = True
         return pd.DataFrame({"r": [rows.r.iloc[0]], "flags": [np.packbits(flags).tobytes()]})
 
-    out = np.zeros((ranges, 1 << (bits - int(np.log2(ranges)) - 3)), np.uint8)
+    out = np.zeros((2 * ranges, 1 << (bits - int(np.log2(ranges)) - 3)), np.uint8)
     for row in docs.select("doc", "text").mapInPandas(sent, "r int, low binary, many binary").groupBy("r").applyInPandas(joined, "r int, flags binary").toLocalIterator():
         out[row.r] = np.frombuffer(row.flags, np.uint8)
-    return out.reshape(-1)
+    return out[:ranges].reshape(-1), out[ranges:].reshape(-1)
 
 
 def _flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -114,24 +142,75 @@ def _flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def candidate_reads(docs: DataFrame, flags: np.ndarray) -> DataFrame:
-    """Staged: doc, key, pos, windows, minimizer, hash and bytes of the reads that pass the flags."""
+READ = "doc long, key long, pos int, windows int, m long, h long, bytes binary"
+
+
+def settled_passages(docs: DataFrame, flags: np.ndarray) -> DataFrame:
+    """Staged: doc, key and `settled` (passages as start * 2**32 + stop) of documents with passages that a smaller document has too."""
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            doc, key = rows.doc.to_numpy(), rows.key.to_numpy()
+            for first, raw, offsets in common.byte_batches(rows.text, BATCH):
+                found = passages(raw, offsets)
+                h, text, start, stop = (x[_flagged(shared.value, found[0])] for x in found)
+                yield pd.DataFrame({"doc": doc[first + text], "key": key[first + text], "h": h.view(np.int64), "span": (start - offsets[text] << 32) + stop - offsets[text]})
+
+    found = common.staged(docs.mapInPandas(passed, "doc long, key long, h long, span long"), "passages")
+    shared.destroy()
+    lows = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h", "low")
+    covered = found.join(common.staged(lows, "lows"), "h").filter("doc > low")
+    return common.staged(covered.groupBy("doc", "key").agg(F.collect_list("span").alias("settled")), "settled")
+
+
+def _open(found: tuple[np.ndarray, ...], first: int, offsets: np.ndarray, settled: pd.Series) -> np.ndarray:
+    """Which reads are not inside a settled passage of their text."""
+    _, text, at, windows, _ = found
+    keep = np.ones(len(at), bool)
+    edges = np.searchsorted(text, np.arange(len(offsets)))
+    for i in range(len(offsets) - 1):
+        spans = settled.iloc[first + i]
+        if spans is not None and edges[i + 1] > edges[i]:
+            spans = np.sort(np.asarray(spans, np.int64))
+            reach, own = np.maximum.accumulate(spans & 0xFFFFFFFF), slice(edges[i], edges[i + 1])
+            begin = at[own] - offsets[i]
+            before = np.searchsorted(spans >> 32, begin, side="right") - 1
+            keep[own] = (before < 0) | (reach[np.maximum(before, 0)] < begin + windows[own] + WINDOW - 1)
+    return keep
+
+
+def candidate_reads(docs: DataFrame, settled: DataFrame, flags: np.ndarray) -> DataFrame:
+    """Staged: doc, key, pos, windows, minimizer, hash and bytes of the reads that pass the flags and are not inside a settled passage."""
+    context = docs.sparkSession.sparkContext
+    shared, touched = context.broadcast(flags), context.broadcast(common.bitmap(settled, "key"))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(common.flagged(touched.value, keys.to_numpy(np.int64)))
+
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             doc, key = rows.doc.to_numpy(), rows.key.to_numpy()
             for first, raw, offsets in common.byte_batches(rows.text, BATCH):
                 found = reads(raw, offsets)
                 keep = _flagged(shared.value, found[0])
-                m, text, at, windows, h = (x[keep] for x in found)
+                found = tuple(x[keep] for x in found)
+                if "settled" in rows:
+                    keep = _open(found, first, offsets, rows.settled)
+                    found = tuple(x[keep] for x in found)
+                m, text, at, windows, h = found
                 data = raw.tobytes()
                 yield pd.DataFrame({"doc": doc[first + text], "key": key[first + text], "pos": (at - offsets[text]).astype(np.int32), "windows": windows.astype(np.int32),
                                     "m": m.view(np.int64), "h": h.view(np.int64),
                                     "bytes": [data[a: a + w + WINDOW - 1] for a, w in zip(at.tolist(), windows.tolist())]})
 
-    out = common.staged(docs.mapInPandas(passed, "doc long, key long, pos int, windows int, m long, h long, bytes binary"), "reads")
+    split = docs.select("doc", "key", "text").withColumn("touched", maybe("key"))
+    s = settled.select(F.col("doc").alias("d"), F.col("key").alias("k"), "settled")
+    some = split.filter("touched").drop("touched").join(s, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
+    out = common.staged(split.filter("NOT touched").drop("touched").mapInPandas(passed, READ).unionByName(some.mapInPandas(passed, READ)), "reads")
     shared.destroy()
+    touched.destroy()
     return out
 
 
@@ -276,13 +355,15 @@ def _window_runs(distinct: DataFrame, most: int) -> DataFrame:
     return sorted_part.unionByName(each.join(lows, "w").select("m", "h", "first", (F.col("first") + 1).alias("stop"), "low"))
 
 
-def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, most: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, most: int = 20_000) -> DataFrame:
     """doc, key and `spans` (array of start * 2**32 + stop in bytes, unsorted and overlapping) of documents with strings that also start in a smaller document."""
     spark = docs.sparkSession
     if ranges is None:
         ranges = 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     bits = max(bits, ranges.bit_length() + 3)
-    found = candidate_reads(docs, repeated_minimizers(docs, ranges, bits))
+    minimizer_flags, passage_flags = repeated(docs, ranges, bits)
+    settled = settled_passages(docs, passage_flags)
+    found = candidate_reads(docs, settled, minimizer_flags)
     kinds = found.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("h").alias("h1"), F.max("h").alias("h2")).filter("low < high")
     kinds = common.staged(kinds.select("m", "low", (F.col("h1") != F.col("h2")).alias("mixed")), "minimizers")
     met = found.select("doc", "key", "pos", "windows", "m", "h").join(kinds, "m").filter("mixed OR doc > low")
@@ -303,6 +384,7 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     packed = lambda start, windows_end: F.shiftleft(start, 32) + windows_end + (WINDOW - 1)
     other = met.filter("mixed").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", packed(pos + F.col("first"), pos + F.col("stop")).alias("span"))
     spans = met.filter("NOT mixed").select("doc", "key", packed(pos, pos + F.col("windows")).alias("span")).unionByName(other)
+    spans = spans.unionByName(settled.select("doc", "key", F.explode("settled").alias("span")))
     return common.staged(spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
 
 
