@@ -19,8 +19,8 @@ def raw(spark, *rows):
 
 
 ROWS = [
-    dict(company_name="토스", website="https://toss.im", monthly_rate="800만", team_size="5", start_date="2026-01-01", end_date="2026-12-31", title="T1", tech="Java|AWS"),
-    dict(company_name="토스", domain="toss.im", amount="1.5억", status="completed", start_date="2025-01-01", end_date="2025-06-01", satisfaction="4", biz_number="1-2"),
+    dict(company_name="하늘소프트", website="https://haneul.kr", monthly_rate="800만", team_size="5", start_date="2026-01-01", end_date="2026-12-31", title="T1", tech="Java|AWS"),
+    dict(company_name="하늘소프트", domain="haneul.kr", amount="1.5억", status="completed", start_date="2025-01-01", end_date="2025-06-01", satisfaction="4", biz_number="1-2"),
     dict(company_name="곧만료", amount="30000000", start_date="2026-01-01", end_date=str(TODAY + dt.timedelta(20)), status="active", satisfaction="9"),
     dict(company_name="휴면", amount="60000000", status="completed", start_date="2024-01-01", end_date=str(TODAY - dt.timedelta(400))),
     dict(company_name="해지", amount="9억", status="terminated"),
@@ -35,7 +35,7 @@ def contracts(spark):
 
 def test_normalise(spark, contracts):
     got = {r.id: r for r in contracts.collect()}
-    assert got[1].amount == 480_000_000 and got[1].domain == "toss.im" and got[1].signed_date == dt.date(2026, 1, 1)
+    assert got[1].amount == 480_000_000 and got[1].domain == "haneul.kr" and got[1].signed_date == dt.date(2026, 1, 1)
     assert got[3].satisfaction is None and got[3].renewal_notice_days == 60
     errors = C.normalise_contracts(raw(spark, *ROWS))[1].collect()
     assert {(r.row, r.code) for r in errors} == {(6, "amount_required"), (7, "dates_invalid"), (8, "company_required")}
@@ -43,7 +43,7 @@ def test_normalise(spark, contracts):
 
 def test_customers(contracts):
     got = {r.customer_key: r for r in C.customer_rollup(contracts, AS_OF).collect()}
-    toss = got["toss.im"]
+    toss = got["haneul.kr"]
     assert (toss.contract_count, toss.total_value, toss.grade, toss.satisfaction, toss.biz_number, toss.tech) == (2, 630_000_000, "S", 4.0, "1-2", ["AWS", "Java"])
     assert got["곧만료"].grade == "C" and got["곧만료"].expiring_count == 1
     assert got["휴면"].dormant_days >= 399 and got["해지"].total_value == 0 and got["해지"].grade == "C"
@@ -71,13 +71,13 @@ def test_flags_and_events(spark, contracts):
 
 def test_lead_links(spark, contracts):
     customers = C.customer_rollup(contracts, AS_OF)
-    memo = {r.customer_key: r.memo for r in C.resell_leads(customers, contracts).collect()}["toss.im"]
+    memo = {r.customer_key: r.memo for r in C.resell_leads(customers, contracts).collect()}["haneul.kr"]
     assert "등급 S" in memo and "₩630,000,000" in memo and memo.index("T1 2026-01-01~2026-12-31 ₩480,000,000") < memo.index("계약 2025-01-01")
-    leads = spark.createDataFrame([(1, "toss.im", "x"), (2, None, " 토스 "), (3, "other.kr", "휴면"), (4, None, "없음")], "id bigint, domain string, company_name string")
+    leads = spark.createDataFrame([(1, "haneul.kr", "x"), (2, None, " 하늘소프트 "), (3, "other.kr", "휴면"), (4, None, "없음")], "id bigint, domain string, company_name string")
     got = {r.id: (r.customer_key, r.customer_grade) for r in match_leads_to_customers(leads, customers).collect()}
-    assert got == {1: ("toss.im", "S"), 2: ("toss.im", "S"), 3: ("휴면", "B"), 4: (None, None)}
+    assert got == {1: ("haneul.kr", "S"), 2: ("haneul.kr", "S"), 3: ("휴면", "B"), 4: (None, None)}
     found = lambda *a, **k: {r.customer_key for r in C.search_customers(customers, contracts, *a, **k).collect()}
-    assert found("t1") == {"toss.im"} and found(quick="dormant") == {"휴면"} and found(quick="expiring") == {"곧만료"} and found(grade="C") == {"곧만료", "해지"}
+    assert found("t1") == {"haneul.kr"} and found(quick="dormant") == {"휴면"} and found(quick="expiring") == {"곧만료"} and found(grade="C") == {"곧만료", "해지"}
     won = spark.createDataFrame([(5, "won", "2026-11", 120_000_000)], "id bigint, status string, expected_start string, budget bigint")
     for c in ("company_id", "domain", "company_name", "website", "biz_number", "project_type", "team_size", "contact_name", "rank", "department", "mobile", "phone", "email", "assignee", "tech", "memo"):
         won = won.withColumn(c, F.lit(None).cast("string"))

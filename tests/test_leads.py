@@ -71,10 +71,10 @@ def test_funnel(spark):
 
 
 def test_duplicates(spark):
-    leads = stored(spark, dict(company_name="퍼널A", website="https://funnel-a.co.kr", email="a@funnel-a.co.kr"), dict(company_name="B", email="b@b.kr"),
-                   dict(company_name="b", website="funnel-a.co.kr"))
-    probes = spark.createDataFrame([(1, "퍼널A", "", ""), (2, "", "", "https://www.funnel-a.co.kr/about"), (3, "완전새회사", "new@nowhere.kr", ""),
-                                    (4, " B ", "B@b.kr", "http://funnel-a.co.kr")], "probe_id bigint, company_name string, email string, website string")
+    leads = stored(spark, dict(company_name="고래상사", website="https://gorae.co.kr", email="a@gorae.co.kr"), dict(company_name="B", email="b@b.kr"),
+                   dict(company_name="b", website="gorae.co.kr"))
+    probes = spark.createDataFrame([(1, "고래상사", "", ""), (2, "", "", "https://www.gorae.co.kr/about"), (3, "완전새회사", "new@nowhere.kr", ""),
+                                    (4, " B ", "B@b.kr", "http://gorae.co.kr")], "probe_id bigint, company_name string, email string, website string")
     asked, having = L.find_duplicate_leads(probes, leads)
     rows = [(r.probe_id, r.id, L.REASONS.index(r.reason)) for r in asked.join(having, ["reason", "key"]).collect()]
     pairs = {(p, i): L.REASONS[min(n for q, j, n in rows if (q, j) == (p, i))] for p, i, _ in rows}
@@ -83,21 +83,21 @@ def test_duplicates(spark):
     assert summary == {1: (1, "name", 1), 2: (2, "domain", 1), 3: (0, None, None), 4: (3, "domain", 1)}
 
 
-CSV = ("회사명,담당자명,직급,전화,이메일,유입경로,예산,상태,발주예정\n토스,이지은,부장,010-9876-5432,jieun@toss.im,전시회,2.5억,미팅,2026-11\n"
-       "쿠팡,김민수,과장,010-1234-5678,minsu@coupang.com,소개,45000000,신규,\n\n,없음,,,,,,,\n")
+CSV = ("회사명,담당자명,직급,전화,이메일,유입경로,예산,상태,발주예정\n하늘소프트,조은별,부장,010-9876-5432,star@haneul.kr,전시회,2.5억,미팅,2026-11\n"
+       "바다물류,문태오,과장,010-1234-5678,teo@bada.kr,소개,45000000,신규,\n\n,없음,,,,,,,\n")
 
 
 def test_csv_import(spark, folder):
     with open(f"{folder}/leads.csv", "wb") as f:
         f.write(CSV.encode("cp949"))
-    existing = stored(spark, dict(company_name="쿠팡", email="Minsu@coupang.com"))
+    existing = stored(spark, dict(company_name="바다물류", email="Teo@bada.kr"))
     rows = readers.read_leads_csv(spark, f"{folder}/leads.csv").drop("file").cache()
     classified = imports.classify_import(rows, existing)
     report = imports.import_report(classified).first()
     assert (report.total, report.valid, report.duplicates, report.errors, report.inserted) == (3, 1, 1, 1, 0)
     assert [(r.row, r.code) for r in imports.import_errors(classified).collect()] == [(3, "company_required")]
     preview = imports.import_preview(classified).first()
-    assert preview.company_name == "토스" and preview.source == "exhibition"
+    assert preview.company_name == "하늘소프트" and preview.source == "exhibition"
     new, history, report = imports.import_leads(rows, existing, AS_OF)
     lead = new.first()
     assert lead.budget == 250_000_000 and lead.status == "meeting" and lead.expected_start == "2026-11" and lead.id == 2
@@ -181,19 +181,19 @@ def test_leads_from_scans(spark):
 
 
 def test_mail_and_exports(spark, folder):
-    leads = stored(spark, dict(company_name="스캐터랩 - ScatterLab", contact_name="이영희", rank="cto", team_size="3", expected_start="2026-11"), dict(company_name="B"))
+    leads = stored(spark, dict(company_name="가람랩 - GaramLab", contact_name="이영희", rank="cto", team_size="3", expected_start="2026-11"), dict(company_name="B"))
     drafts = {(r.id, r.kind): r for r in exports.mail_drafts(leads, {"cold": ("[{company}] {tech}", "{contact}\n\n\n{team}{start}{project}\n{signature}")}).collect()}
-    assert drafts[1, "cold"].subject == "[스캐터랩] IT 개발"
+    assert drafts[1, "cold"].subject == "[가람랩] IT 개발"
     assert drafts[1, "cold"].body == "이영희 CTO님\n\n3명 규모의 2026-11 착수 기준으로 파견·도급·ODC 전담팀\n(서명을 입력하세요)"
     assert drafts[2, "cold"].body.startswith("담당자님\n\n파견")
     writers.export_leads(leads, exports.label_table(spark), f"{folder}/csv")
     parts = [open(f"{folder}/csv/{n}", encoding="utf-8").read() for n in os.listdir(f"{folder}/csv") if n.endswith(".txt")]
     writers.write_csv(leads.where("false").select("company_name"), f"{folder}/none")
     assert [open(f"{folder}/none/{n}", encoding="utf-8").read() for n in os.listdir(f"{folder}/none") if n.endswith(".txt") and os.path.getsize(f"{folder}/none/{n}")] == ['\ufeff"company_name"\n']
-    assert all(p.startswith('﻿"company_name"') for p in parts if p) and sum(p.count("ScatterLab") for p in parts) == 1
+    assert all(p.startswith('﻿"company_name"') for p in parts if p) and sum(p.count("GaramLab") for p in parts) == 1
     writers.export_leads(leads, exports.label_table(spark), f"{folder}/json", "json")
     lines = [json.loads(x) for n in os.listdir(f"{folder}/json") if n.endswith(".json") for x in open(f"{folder}/json/{n}", encoding="utf-8")]
-    assert {x["company_name"] for x in lines} == {"스캐터랩 - ScatterLab", "B"} and "memo" in lines[0]
+    assert {x["company_name"] for x in lines} == {"가람랩 - GaramLab", "B"} and "memo" in lines[0]
 
 
 def test_labels(spark):
