@@ -220,9 +220,10 @@ def crawl_plan(scored: DataFrame, max_pages: int | None = None, max_depth: int |
     """
     budget = max_pages - have if max_pages else None
     near = scored.where(F.col("link_depth") <= max_depth) if max_depth else scored
-    keyed = computed(near, _k=U.dedupe_key("url"))
-    order = [*_link_order(keyed), F.asc("url")]
-    once = first_per_key(keyed, ["domain", "_k"], [F.struct(*order[:-1], "url")])
+    places = {f"_o{i}": c for i, c in enumerate(_link_order(near))}
+    keyed = computed(near, _k=U.dedupe_key("url"), **places)
+    order = [F.asc(c) for c in (*places, "url")]
+    once = first_per_key(keyed, ["domain", "_k"], [*places, "url"])
     kind = F.when(F.col("category") == "recruitment", "jobs").when(F.col("category") == "other", "spare").otherwise("rest")
     queue = top_per_key(once.withColumn("kind", kind), ["domain", "kind"], order, budget and (max_recruit or 0) + budget)
     late = (F.col("kind") == "jobs") & (F.col("rn") > max_recruit) if max_recruit else F.lit(False)

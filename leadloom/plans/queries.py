@@ -664,8 +664,7 @@ def _classified(s, d) -> DataFrame:
 
 
 def _homes(s, d) -> DataFrame:
-    homes = T.page_places(s, d).where("depth = 0").select("page_idx")
-    return T.site_pages(s, d).select("page_idx", "domain", F.col("url").alias("home_url")).join(homes, "page_idx").drop("page_idx")
+    return T.site_pages(s, d).groupBy("domain").agg(F.min_by("url", "page_idx").alias("home_url"))
 
 
 @query
