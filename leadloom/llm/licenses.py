@@ -12,37 +12,37 @@ BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "
 # label, keyword (stands in whatever the name matches), name as a pattern over lower-case words with single blanks
 FAMILIES = (
     ("mit", "mit", "mit"), ("mit-0", "mit", "mit (?:0|no attribution)"), ("x11", "x11", "x11"), ("isc", "isc", "isc"),
-    ("apache-2", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? 2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? 1 1"),
+    ("apache-2", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? ?v?2(?: 0)?"),
+    ("apache-1.1", "apache", "apache(?: software)?(?: license| licence)?(?: version| v)? ?v?1 1"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)"), ("bsd", "bsd", "bsd(?: style)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"), ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
-    ("gpl-2", "general", "gnu general public license(?: version| v)? 2(?: 0)?"), ("gpl-3", "general", "gnu general public license(?: version| v)? 3(?: 0)?"),
+    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?v?2(?: 0)?(?: only| or later)?"), ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?v?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "general", "gnu general public license(?: version| v)? ?v?2(?: 0)?"), ("gpl-3", "general", "gnu general public license(?: version| v)? ?v?3(?: 0)?"),
     ("gpl", "general", "gnu general public license"), ("gpl", "gpl", "(?:gnu )?gpl"),
-    ("lgpl-2.1", "lesser", "gnu lesser general public license(?: version| v)? 2(?: 1)?"), ("lgpl-3", "lesser", "gnu lesser general public license(?: version| v)? 3(?: 0)?"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?:(?: version| v)? ?[23](?: [01])?)?"), ("agpl-3", "affero", "gnu affero general public license(?:(?: version| v)? 3(?: 0)?)?"),
-    ("agpl-3", "agpl", "(?:gnu )?agpl(?:(?: version| v)? ?3(?: 0)?)?"), ("gfdl", "documentation", "gnu free documentation license(?:(?: version| v)? 1 [123])?"),
-    ("mpl-2", "mozilla", "mozilla public license(?: version| v)? 2(?: 0)?"), ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? 1 1"),
-    ("mpl", "mpl", "mpl(?: [12](?: [01])?)?"), ("epl-1", "eclipse", "eclipse public license(?: version| v)? 1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public license(?: version| v)? 2(?: 0)?"), ("cddl", "distribution", "common development and distribution license(?: version 1 [01])?"),
-    ("cddl", "cddl", "cddl(?: 1 [01])?"), ("cpl-1", "common", "common public license(?: version| v)?(?: 1(?: 0)?)?"), ("ipl-1", "ibm", "ibm public license"),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license(?: version| v)? ?v?2(?: 1)?"), ("lgpl-3", "lesser", "gnu lesser general public license(?: version| v)? ?v?3(?: 0)?"),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl(?:(?: version| v)? ?v?[23](?: [01])?)?"), ("agpl-3", "affero", "gnu affero general public license(?:(?: version| v)? ?v?3(?: 0)?)?"),
+    ("agpl-3", "agpl", "(?:gnu )?agpl(?:(?: version| v)? ?v?3(?: 0)?)?"), ("gfdl", "documentation", "gnu free documentation license(?:(?: version| v)? ?v?1 [123])?"),
+    ("mpl-2", "mozilla", "mozilla public license(?: version| v)? ?v?2(?: 0)?"), ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? ?v?1 1"),
+    ("mpl", "mpl", "mpl(?:(?: version| v)? ?v?[12](?: [01])?)?"), ("epl-1", "eclipse", "eclipse public license(?: version| v)? ?v?1(?: 0)?"),
+    ("epl-2", "eclipse", "eclipse public license(?: version| v)? ?v?2(?: 0)?"), ("cddl", "distribution", "common development and distribution license(?:(?: version| v)? ?v?1 [01])?"),
+    ("cddl", "cddl", "cddl(?:(?: version| v)? ?v?1 [01])?"), ("cpl-1", "common", "common public license(?:(?: version| v)? ?v?1(?: 0)?)?"), ("ipl-1", "ibm", "ibm public license"),
     ("zlib", "zlib", "zlib(?: libpng)?"), ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("beerware", "beerware", "beerware"),
-    ("artistic-2", "artistic", "artistic license(?: version)? 2(?: 0)?"), ("artistic-1", "artistic", "artistic license(?: version)? 1(?: 0)?"),
-    ("boost-1", "boost", "boost software license(?:(?: version)? 1(?: 0)?)?"), ("ofl-1.1", "sil", "sil open font license(?:(?: version)? 1 1)?"),
-    ("eupl", "eupl", "eupl(?: v?1 [012])?"), ("eupl", "european", "european union public licen[cs]e(?:(?: version| v)? ?1 [012])?"),
-    ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "microsoft", "microsoft reciprocal license"), ("psf-2", "python", "python software foundation license(?: version 2)?"),
-    ("postgresql", "postgresql", "postgresql"), ("openssl", "openssl", "openssl"), ("php-3", "php", "php(?: version)? 3(?: 0?1?)?"), ("ruby", "ruby", "ruby"),
+    ("artistic-2", "artistic", "artistic license(?: version| v)? ?v?2(?: 0)?"), ("artistic-1", "artistic", "artistic license(?: version| v)? ?v?1(?: 0)?"),
+    ("boost-1", "boost", "boost software license(?:(?: version| v)? ?v?1(?: 0)?)?"), ("ofl-1.1", "sil", "sil open font license(?:(?: version| v)? ?v?1 1)?"),
+    ("eupl", "eupl", "eupl(?:(?: version| v)? ?v?1 [012])?"), ("eupl", "european", "european union public licen[cs]e(?:(?: version| v)? ?v?1 [012])?"),
+    ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "microsoft", "microsoft reciprocal license"), ("psf-2", "python", "python software foundation license(?:(?: version| v)? ?v?2)?"),
+    ("postgresql", "postgresql", "postgresql"), ("openssl", "openssl", "openssl"), ("php-3", "php", "php(?: version| v)? ?v?3(?: 0?1?)?"), ("ruby", "ruby", "ruby"),
     ("vim", "vim", "vim"), ("w3c", "w3c", "w3c(?: software)?(?: notice)?"), ("curl", "curl", "curl"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?"),
-    ("afl-3", "academic", "academic free license(?:(?: version| v)? ?3(?: 0)?)?"), ("osl-3", "open", "open software license(?:(?: version| v)? ?3(?: 0)?)?"),
-    ("qpl-1", "qpl", "qpl(?: 1 0)?"), ("qpl-1", "public", "q public license(?: 1 0)?"), ("sleepycat", "sleepycat", "sleepycat"), ("zpl-2", "zope", "zope public license(?: 2 [01])?"),
-    ("busl-1.1", "business", "business source license(?:(?: version)? 1 1)?"), ("sspl-1", "server", "server side public license(?:(?: version| v)? ?1)?"),
+    ("afl-3", "academic", "academic free license(?:(?: version| v)? ?v?3(?: 0)?)?"), ("osl-3", "open", "open software license(?:(?: version| v)? ?v?3(?: 0)?)?"),
+    ("qpl-1", "qpl", "qpl(?:(?: version| v)? ?v?1 0)?"), ("qpl-1", "public", "q public license(?:(?: version| v)? ?v?1 0)?"), ("sleepycat", "sleepycat", "sleepycat"), ("zpl-2", "zope", "zope public license(?:(?: version| v)? ?v?2 [01])?"),
+    ("busl-1.1", "business", "business source license(?:(?: version| v)? ?v?1 1)?"), ("sspl-1", "server", "server side public license(?:(?: version| v)? ?v?1)?"),
     ("odbl", "database", "open database license"), ("pddl", "dedication", "public domain dedication and license"), ("json", "json", "json"),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"), ("cc-by", "cc", "cc by(?: [1234] [05])?"), ("cc-by-sa", "cc", "cc by sa(?: [1234] [05])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1234] [05])?"), ("cc-by-nc", "cc", "cc by nc(?: [1234] [05])?"), ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1234] [05])?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1234] [05])?"), ("cc-by", "commons", "creative commons attribution(?: [1234] 0)?"),
-    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?: [1234] 0)?"), ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?: [1234] 0)?"),
-    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s?(?: [1234] 0)?"),
+    ("cc0", "cc0", "cc0(?:(?: version| v)? ?v?1 0)?(?: universal)?"), ("cc-by", "cc", "cc by(?:(?: version| v)? ?v?[1234] [05])?"), ("cc-by-sa", "cc", "cc by sa(?:(?: version| v)? ?v?[1234] [05])?"),
+    ("cc-by-nd", "cc", "cc by nd(?:(?: version| v)? ?v?[1234] [05])?"), ("cc-by-nc", "cc", "cc by nc(?:(?: version| v)? ?v?[1234] [05])?"), ("cc-by-nc-sa", "cc", "cc by nc sa(?:(?: version| v)? ?v?[1234] [05])?"),
+    ("cc-by-nc-nd", "cc", "cc by nc nd(?:(?: version| v)? ?v?[1234] [05])?"), ("cc-by", "commons", "creative commons attribution(?:(?: version| v)? ?v?[1234] 0)?"),
+    ("cc-by-sa", "commons", "creative commons attribution share ?alike(?:(?: version| v)? ?v?[1234] 0)?"), ("cc-by-nc", "commons", "creative commons attribution non ?commercial(?:(?: version| v)? ?v?[1234] 0)?"),
+    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(?:ative)?s?(?:(?: version| v)? ?v?[1234] 0)?"),
 )
 # pattern around a name, priority, confidence: a longer or more explicit statement wins
 TEMPLATES = (
@@ -58,8 +58,10 @@ OTHERS = (
     ("public-domain", "domain", "(?:in|into|to) the public domain", 2, 0.8), ("public-domain", "domain", "public domain", 1, 0.5),
     ("proprietary", "reserved", "all rights reserved", 1, 0.5), ("proprietary", "confidential", "proprietary and confidential", 2, 0.7),
 )
-# a document without any of these has no signature: they stand in every rule above
-GATE = ("licen", "spdx", "public", "reserved", "confidential", "subject", "commons")
+# a document without any of these and without a statement "… under" or a word "cc" has no signature: one of them stands in every match of a rule above
+GATE = ("licen", "spdx", "public", "reserved", "confidential", "subject", "commons", "apache")
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"    # between words of a lower-case text
+UNDER = rf"(?:released|distributed|published|available|provided|covered){BREAK}+under{BREAK}"
 
 
 def rules() -> list[tuple[str, str, str, int, float, bool]]:
@@ -93,7 +95,8 @@ def detections(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.contains(low, F.lit(word))
-    gate = gate | (F.contains(low, F.lit("cc")) & low.rlike(r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])cc(?:$|[\x00-\x2F\x3A-\x60\x7B-\x7F])"))
+    gate = gate | (F.contains(low, F.lit("cc")) & low.rlike(rf"(?:^|{BREAK})cc(?:$|{BREAK})"))
+    gate = gate | (F.contains(low, F.lit("under")) & low.rlike(UNDER))
     norm = F.concat(F.lit(" "), F.array_join(common.words_of(common.lowered(text), common.PLAIN_WORD), " "), F.lit(" "))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id",
                        F.regexp_count(text, F.lit(common.PLAIN_WORD_ANY_CASE)).cast("long").alias("n_words"),

@@ -133,6 +133,46 @@ def test_license_rules_are_gated():
     assert len(licenses.rules()) > 300
 
 
+def shortest(pattern):
+    """Matches of a pattern without its optional parts, one for each way through its alternatives."""
+    from re import _parser
+
+    def ways(nodes):
+        out = [""]
+        for op, arg in nodes:
+            if str(op) == "LITERAL":
+                one = [chr(arg)]
+            elif str(op) == "IN":
+                one = [chr(arg[0][1])]
+            elif str(op) == "BRANCH":
+                one = [w for branch in arg[1] for w in ways(branch)]
+            elif str(op) == "SUBPATTERN":
+                one = ways(arg[3])
+            else:
+                assert str(op) == "MAX_REPEAT" and arg[0] == 0, op
+                one = [""]
+            out = [a + b for a in out for b in one]
+        return out
+    return ways(_parser.parse(pattern))
+
+
+def test_license_rules_find_their_shortest_match(spark):
+    """A document that is nothing but the shortest match of a rule passes the gate and gets the rule's label."""
+    rows = [(n, text, label) for n, (text, label) in enumerate(dict.fromkeys((w, r[0]) for r in licenses.rules() for w in shortest(r[2])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(8)
+    got = licenses.detections(docs).filter("found").select("doc_id", "label").distinct()
+    assert docs.select("doc_id", "label").exceptAll(got).join(docs, ["doc_id", "label"]).select("text", "label").collect() == []
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("Released under the GPL 3", "gpl-3"), ("distributed under BSD 3-Clause", "bsd-3-clause"), ("available under MPL 2.0", "mpl"),
+    ("Released\nunder the CC0 1.0", "cc0"), ("released under GPLv3", "gpl-3"), ("Provided under Apache v2.0", "apache-2"), ("covered under LGPLv2.1", "lgpl"),
+    ("published under the MPLv2", "mpl"), ("under the Apache License v2.0", "apache-2"), ("GNU General Public License v2", "gpl-2"), ("we understand what is available", ""),
+])
+def test_license_statements_without_the_word(spark, text, labels):
+    assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
 PII_TEXT = ("mail bob.x9@mail9.example.com or +1 (858) 555-7280, card 4111111111111111 and 4111 1111 1111 1111 bad 4111111111111112 "
             "ip 45.114.23.72 bad 999.1.1.1 ssn 123-45-6789 bad 000-12-1234\non 1999-12-31 and 12/25/1990, 25.12.1990 bad 2023-02-30 "
             "iban DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 tel +49 30 1234567. v1.2.3 9999999")
