@@ -11,18 +11,34 @@ from leadloom.llm import common
 
 ROUNDS = 8
 D2 = r"[0-9]{1,2}"
-# kind and candidate pattern, tried in this order at each place; a candidate that does not validate stays as it is
+# IBAN lengths by country
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH ST", 22: "BH BG CR GE DE IE ME RS GB VA",
+    23: "TL GI IQ IL OM AE SO", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "PT LY", 26: "IS TR", 27: "FR GR IT MR MC SM BI DJ",
+    28: "AL AZ BY CY DO GT HU LB PL NI HN", 29: "BR EG PS QA UA", 30: "JO KW YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_iban_form = lambda n, countries: rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+CARD_4X4 = r"[3-6][0-9]{3}(?:[ -][0-9]{4}){3}"
+# kind, what its text must hold, what must not stand before, candidate, and patterns of the shorter cuts that are tried in turn (the first that validates is
+# taken). Kinds are tried one after the other over the whole text, each at every place where a candidate may start, so that one that
+# does not validate hides neither its neighbours nor later kinds; values found are out of sight of later kinds.
 KINDS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("date", rf"(?<![0-9A-Za-z./-])(?:[0-9]{{4}}-{D2}-{D2}|[0-9]{{4}}/{D2}/{D2}|{D2}/{D2}/[0-9]{{4}}|{D2}\.{D2}\.[0-9]{{4}}|{D2}-{D2}-[0-9]{{4}})(?![0-9A-Za-z]|[./-][0-9])"),
-    ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"),
-    ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
-    ("card", r"(?<![0-9A-Za-z])[3-6][0-9](?:[ -]?[0-9]){11,17}(?![0-9A-Za-z]|-[0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
-    ("phone", r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}(?![0-9])"),
+    ("email", "@", r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", ()),
+    ("iban", "[A-Z]{2}[0-9]{2}", "(?<![A-Za-z0-9])", "(?:" + "|".join(_iban_form(*c) for c in IBAN_COUNTRIES.items()) + ")(?![A-Za-z0-9])", ()),
+    ("iban", "[A-Z]{2}[0-9]{2}", "(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+     tuple(rf"^[A-Z0-9]{{4}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?= )" for n in range(7, 1, -1) for tail in ("(?: ?[A-Z0-9]{1,3})", ""))),
+    ("date", "[0-9]", "(?<![0-9A-Za-z./-])", rf"(?:[0-9]{{4}}-{D2}-{D2}|[0-9]{{4}}/{D2}/{D2}|{D2}/{D2}/[0-9]{{4}}|{D2}\.{D2}\.[0-9]{{4}}|{D2}-{D2}-[0-9]{{4}})(?![0-9A-Za-z]|[./-][0-9])", ()),
+    ("ip", "[0-9]", "(?<![0-9A-Za-z.])", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ()),
+    ("ssn", "[0-9]", "(?<![0-9A-Za-z-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])", ()),
+    ("card", "[3-6][0-9]{3}", "(?<![0-9A-Za-z])", rf"(?:{CARD_4X4}|[3-6][0-9]{{3}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}|[3-6][0-9]{{12,18}})(?![0-9A-Za-z])", ()),
+    ("card", "[3-6][0-9]{3}", "(?<![0-9A-Za-z])", rf"{CARD_4X4}[ -][0-9]{{3}}(?![0-9A-Za-z])", ()),
+    ("phone", "[0-9]{4}", "(?<![0-9A-Za-z+])", r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])", ()),
+    ("phone", r"\+[0-9]", "", r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,5}(?![0-9])",
+     (r"^\+(?:[ .()-]{0,2}[0-9]){7,15}\)?(?=[ .(-])",)),
+    # other groupings of a card, each stretch once
+    ("card", "[3-6][0-9]", "(?<![0-9A-Za-z])", r"[3-6][0-9](?:[ -]?[0-9]){11,17}(?![0-9A-Za-z]|-[0-9])",
+     tuple(rf"^[0-9](?:[ -]?[0-9]){{{n}}}(?=[ -])" for n in range(17, 11, -1))),
 )
-PATTERN = "|".join(p for _, p in KINDS)
+MARKS = [chr(0xFDD0 + n) for n in range(len(KINDS) + 1)]      # no characters; those that a text has all the same are put aside under the first
 GATE = "[0-9@]"
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 269, 271   # 72,899 days, to August 2099: a product of two factors for the two halves
 
@@ -181,28 +197,49 @@ def _iban(m: Column, key: Column, inverse: bool) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), new)
 
 
+NO_HITS = F.array().cast("array<struct<kind:string,value:string,found:string>>")
 MAKERS: dict[str, Callable[[Column, Column, bool], Column]] = {
     "email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def _kind(m: Column) -> Column:
-    """The first kind whose pattern covers the candidate (looking around is done by then)."""
-    import re
-    out = F.lit(None).cast("string")
-    for kind, pattern in reversed(KINDS):
-        core = re.sub(r"\(\?(?:<!|!)(?:\[[^\]]*\]|[^()])*\)", "", pattern)
-        out = F.when(m.rlike(f"^(?:{core})$"), F.lit(kind)).otherwise(out)
-    return out
-
-
-def _replaced(m: Column, key: Column, inverse: bool) -> Column:
-    """Struct (kind, value): value null where the candidate does not validate."""
-    def made(kind: Column) -> Column:
-        value = F.lit(None).cast("string")
-        for name, maker in MAKERS.items():
-            value = F.when(kind == name, maker(m, key, inverse)).otherwise(value)
-        return F.struct(kind.alias("kind"), value.alias("value"), m.alias("found"))
-    return let(_kind(m), made)
+def _marked(text: Column, n: int, key: Column, inverse: bool) -> Column:
+    """Struct (text: with MARKS[n + 1] in the place of each value of KINDS[n] that validates, hits: array of (kind, value, found))."""
+    kind, _, before, pattern, cuts = KINDS[n]
+    begin = f"{before}(?=({pattern}))"
+    once = n == len(KINDS) - 1
+
+    def made(m: Column) -> Column:
+        of = lambda c: let(c, lambda found: F.struct(F.lit(kind).alias("kind"), MAKERS[kind](found, key, inverse).alias("value"), found.alias("found")))
+        if not cuts:
+            return of(m)
+        shorter = F.filter(F.array(*[F.regexp_extract(m, cut, 0) for cut in cuts]), lambda c: c != "")
+        every = F.transform(F.array_distinct(F.concat(F.array(m), shorter)), of)
+        return let(every, lambda e: F.coalesce(F.try_element_at(F.filter(e, lambda h: h["value"].isNotNull()), F.lit(1)), e[0]))
+
+    def step(s: Column, x: Column) -> Column:
+        """A piece of the text from a candidate's start on; `skip`: characters of it that belong to a value before."""
+        piece, hit = x["piece"], x["hit"]
+        size = F.length(piece)
+        taken = (s["skip"] == 0) & hit["value"].isNotNull()
+        used = F.when(taken, F.length(hit["found"])).when((s["skip"] == 0) & F.lit(once), F.length(hit["found"])).otherwise(s["skip"])
+        rest = F.substring(piece, F.when(taken | (s["skip"] > 0), used).otherwise(0) + 1, size)
+        return F.struct(F.greatest(used - size, F.lit(0)).alias("skip"),
+                        F.when(taken | (s["skip"] == 0), F.array_append(s["out"], F.concat(F.when(taken, F.lit(MARKS[n + 1])).otherwise(""), rest)))
+                        .otherwise(F.array_append(s["out"], rest)).alias("out"),
+                        F.when(taken, F.array_append(s["hits"], hit)).otherwise(s["hits"]).alias("hits"))
+
+    def placed(found: Column) -> Column:
+        pieces = F.split(F.concat(F.lit(" "), text), begin, -1)      # the blank keeps a start at the first place apart
+        zipped = lambda p: F.zip_with(F.slice(p, F.lit(2), F.size(p)), F.transform(found, made), lambda a, h: F.struct(a.alias("piece"), h.alias("hit")))
+        start = lambda p: F.struct(F.lit(0).alias("skip"), F.array(F.substring(p[0], F.lit(2), F.length(p[0]))).alias("out"), NO_HITS.alias("hits"))
+        done = let(pieces, lambda p: F.aggregate(zipped(p), start(p), step))
+        return F.when(F.size(found) > 0, let(done, lambda d: F.struct(F.array_join(d["out"], "").alias("text"), d["hits"].alias("hits")))) \
+            .otherwise(F.struct(text.alias("text"), NO_HITS.alias("hits")))
+    return let(F.when(text.rlike(KINDS[n][1]), F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(begin), F.lit(1))).otherwise(F.array().cast("array<string>")), placed)
+
+
+def _filled(text: Column, mark: str, values: Column) -> Column:
+    return F.array_join(F.zip_with(F.split(text, mark, -1), values, lambda piece, v: F.concat(piece, F.coalesce(v, F.lit("")))), "")
 
 
 def pseudonymise(docs: DataFrame, key: str = "change-me", inverse: bool = False) -> DataFrame:
@@ -211,14 +248,23 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", inverse: bool = False)
     E-mail names, IBANs, dates, IPv4 addresses, social security numbers, card and phone numbers that validate (checksum, range,
     calendar) are replaced by a value of the same format that validates too. The mapping is a permutation for each kind and key,
     so equal values stay equal in all documents, different ones stay different, and `inverse` brings them back. (Dates with one-digit
-    parts, and day/month dates with slashes, are not always told apart on the way back.) Null texts stay null; texts without
+    parts, and day/month dates with slashes, are not always told apart on the way back; nor is a value where a longer or overlapping cut that did not
+    validate before does so by chance with the new digits.) Null texts stay null; texts without
     candidates stay as they are. Each row is treated by itself: repeated rows, null ids and an empty table need no rule.
     """
     secret = F.lit(key)
     rows = docs.select(F.struct("*").alias("row"))
     text = F.col("row.text").cast("string")
-    hits = F.when(text.rlike(GATE), F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: _replaced(m, secret, inverse)))
-    made = rows.select("row", F.explode(F.array(F.struct(hits.alias("hits")))).alias("h")).select("row", F.col("h.hits").alias("hits"))
-    new = F.when(F.size("hits") > 0, F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.col("hits"), lambda piece, h: F.concat(
-        piece, F.coalesce(h["value"], h["found"], F.lit("")))), "")).otherwise(text)
-    return made.select("row", new.alias("text"), F.filter(F.coalesce("hits", F.array()), lambda h: h["value"].isNotNull()).alias("found"))
+    marks = f"[{MARKS[0]}-{MARKS[-1]}]"
+
+    rows = rows.withColumn("own", F.regexp_extract_all(text, F.lit(marks), F.lit(0)))
+    rows = rows.withColumn("now", F.when(text.rlike(GATE), F.when(F.size("own") > 0, F.regexp_replace(text, marks, MARKS[0])).otherwise(text)))
+    hits = [f"hits{n}" for n in range(len(KINDS))]
+    for n in range(len(KINDS)):         # one generator each: what a kind finds is worked out once
+        held = F.explode(F.array(_marked(F.col("now"), n, secret, inverse))).alias("s")
+        rows = rows.select("row", "own", *hits[:n], held).select("row", "own", *hits[:n], F.col("s.hits").alias(hits[n]), F.col("s.text").alias("now"))
+    new = F.col("now")
+    for n in reversed(range(len(KINDS))):
+        new = _filled(new, MARKS[n + 1], F.transform(hits[n], lambda h: h["value"]))
+    found = F.concat(*hits)
+    return rows.select("row", F.when(F.size(found) > 0, _filled(new, MARKS[0], F.col("own"))).otherwise(text).alias("text"), found.alias("found"))
