@@ -197,7 +197,7 @@ def _iban(m: Column, key: Column, inverse: bool) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), new)
 
 
-NO_HITS = F.array().cast("array<struct<kind:string,value:string,found:string>>")
+NO_HITS = "array<struct<kind:string,value:string,found:string>>"     # a type, as columns need a session
 MAKERS: dict[str, Callable[[Column, Column, bool], Column]] = {
     "email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
@@ -231,10 +231,10 @@ def _marked(text: Column, n: int, key: Column, inverse: bool) -> Column:
     def placed(found: Column) -> Column:
         pieces = F.split(F.concat(F.lit(" "), text), begin, -1)      # the blank keeps a start at the first place apart
         zipped = lambda p: F.zip_with(F.slice(p, F.lit(2), F.size(p)), F.transform(found, made), lambda a, h: F.struct(a.alias("piece"), h.alias("hit")))
-        start = lambda p: F.struct(F.lit(0).alias("skip"), F.array(F.substring(p[0], F.lit(2), F.length(p[0]))).alias("out"), NO_HITS.alias("hits"))
+        start = lambda p: F.struct(F.lit(0).alias("skip"), F.array(F.substring(p[0], F.lit(2), F.length(p[0]))).alias("out"), F.array().cast(NO_HITS).alias("hits"))
         done = let(pieces, lambda p: F.aggregate(zipped(p), start(p), step))
         return F.when(F.size(found) > 0, let(done, lambda d: F.struct(F.array_join(d["out"], "").alias("text"), d["hits"].alias("hits")))) \
-            .otherwise(F.struct(text.alias("text"), NO_HITS.alias("hits")))
+            .otherwise(F.struct(text.alias("text"), F.array().cast(NO_HITS).alias("hits")))
     return let(F.when(text.rlike(KINDS[n][1]), F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(begin), F.lit(1))).otherwise(F.array().cast("array<string>")), placed)
 
 
@@ -242,7 +242,7 @@ def _filled(text: Column, mark: str, values: Column) -> Column:
     return F.array_join(F.zip_with(F.split(text, mark, -1), values, lambda piece, v: F.concat(piece, F.coalesce(v, F.lit("")))), "")
 
 
-def pseudonymise(docs: DataFrame, key: str = "change-me", inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """Rows (`row`: the given row as a struct, `text`: with pseudonyms, `found`: array of (kind, value, found)).
 
     E-mail names, IBANs, dates, IPv4 addresses, social security numbers, card and phone numbers that validate (checksum, range,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import common, decontaminate, exact, hmm, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
 
+PSEUDONYM_TEST_KEY = "change-me"        # for the query on test tables only: whoever knows the key can reverse the pseudonyms
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +22,7 @@ def _remainder(doc_id: Column, n: int) -> Column:
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_found (values replaced), kinds (sorted, comma-joined), text (with pseudonyms)."""
-    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_TEST_KEY)
     return out.select("row.doc_id", F.size("found").cast("long").alias("n_found"),
                       F.array_join(F.sort_array(F.array_distinct(F.transform("found", lambda h: h["kind"]))), ",").alias("kinds"), "text")
 

@@ -220,8 +220,8 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_pseudonyms_of_odd_rows(odd, none):
-    assert pii.pseudonymise(none).count() == 0
-    assert all(r.text == r.row.text for r in pii.pseudonymise(odd).collect())
+    assert pii.pseudonymise(none, "k").count() == 0
+    assert all(r.text == r.row.text for r in pii.pseudonymise(odd, "k").collect())
 
 
 def test_toxicity_separates_and_locates(spark):
