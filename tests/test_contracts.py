@@ -9,7 +9,10 @@ from leadloom.operators import exports, updates
 from leadloom.operators.leads import match_leads_to_customers
 from leadloom.sources import writers
 
-AS_OF = F.lit("2026-09-01").cast("date")
+
+def as_of():
+    return F.lit("2026-09-01").cast("date")
+
 TODAY = dt.date(2026, 9, 1)
 
 
@@ -42,14 +45,14 @@ def test_normalise(spark, contracts):
 
 
 def test_customers(contracts):
-    got = {r.customer_key: r for r in C.customer_rollup(contracts, AS_OF).collect()}
+    got = {r.customer_key: r for r in C.customer_rollup(contracts, as_of()).collect()}
     toss = got["haneul.kr"]
     assert (toss.contract_count, toss.total_value, toss.grade, toss.satisfaction, toss.biz_number, toss.tech) == (2, 630_000_000, "S", 4.0, "1-2", ["AWS", "Java"])
     assert got["곧만료"].grade == "C" and got["곧만료"].expiring_count == 1
     assert got["휴면"].dormant_days >= 399 and got["해지"].total_value == 0 and got["해지"].grade == "C"
-    s = C.contract_summary(contracts, AS_OF).first()
+    s = C.contract_summary(contracts, as_of()).first()
     assert (s.total_value, s.expiring_count, s.expiring_value, s.customer_count) == (720_000_000, 1, 30_000_000, 4)
-    assert [r.customers for r in C.grade_counts(C.customer_rollup(contracts, AS_OF)).collect()] == [1, 0, 1, 2]
+    assert [r.customers for r in C.grade_counts(C.customer_rollup(contracts, as_of())).collect()] == [1, 0, 1, 2]
 
 
 def test_grades(spark):
@@ -59,7 +62,7 @@ def test_grades(spark):
 
 def test_flags_and_events(spark, contracts):
     gone = contracts.where("id = 3").withColumn("end_date", F.lit("2026-08-01").cast("date"))
-    row = C.contract_flags(gone, AS_OF).first()
+    row = C.contract_flags(gone, as_of()).first()
     assert row.expiring and row.overdue_end and row.days_left == -31
     leads = spark.createDataFrame([(1, "A", "new", dt.date(2026, 9, 9), "call", None, None, "010", None, "m")],
                                   "id bigint, company_name string, status string, next_date date, next_action string, contact_name string, mobile string, phone string, email string, memo string")
@@ -70,7 +73,7 @@ def test_flags_and_events(spark, contracts):
 
 
 def test_lead_links(spark, contracts):
-    customers = C.customer_rollup(contracts, AS_OF)
+    customers = C.customer_rollup(contracts, as_of())
     memo = {r.customer_key: r.memo for r in C.resell_leads(customers, contracts).collect()}["haneul.kr"]
     assert "등급 S" in memo and "₩630,000,000" in memo and memo.index("T1 2026-01-01~2026-12-31 ₩480,000,000") < memo.index("계약 2025-01-01")
     leads = spark.createDataFrame([(1, "haneul.kr", "x"), (2, None, " 하늘소프트 "), (3, "other.kr", "휴면"), (4, None, "없음")], "id bigint, domain string, company_name string")
@@ -87,10 +90,10 @@ def test_lead_links(spark, contracts):
 
 def test_update_and_documents(spark, contracts, folder):
     payload = spark.createDataFrame([(4, {"status": "active", "amount": "7천만 70000000", "tech": "Go"})], "id bigint, payload map<string,string>")
-    after, errors = updates.write_contracts(contracts, payload, AS_OF)
+    after, errors = updates.write_contracts(contracts, payload, as_of())
     row = {r.id: r for r in after.collect()}[4]
     assert row.status == "active" and row.tech == ["Go"] and row.company_name == "휴면" and errors.count() == 0
-    docs = C.customer_documents(C.customer_rollup(contracts, AS_OF), contracts)
+    docs = C.customer_documents(C.customer_rollup(contracts, as_of()), contracts)
     assert docs.count() == 5 and docs.where("position = 1").count() == docs.select("customer_key").distinct().count()
-    writers.export_contracts(C.customer_rollup(contracts, AS_OF), contracts, f"{folder}/c", codes=exports.label_table(spark))
+    writers.export_contracts(C.customer_rollup(contracts, as_of()), contracts, f"{folder}/c", codes=exports.label_table(spark))
     assert spark.read.option("header", True).csv(f"{folder}/c").count() == 5

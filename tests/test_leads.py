@@ -10,8 +10,14 @@ from leadloom.operators import exports, funnel, imports, updates
 from leadloom.operators import leads as L
 from leadloom.sources import readers, writers
 
-AS_OF = F.lit("2026-09-15 12:00:00").cast("timestamp_ntz")
-DAY = F.lit("2026-09-15").cast("date")
+
+def as_of():
+    return F.lit("2026-09-15 12:00:00").cast("timestamp_ntz")
+
+
+def day():
+    return F.lit("2026-09-15").cast("date")
+
 
 
 def raw(spark, *rows):
@@ -22,8 +28,8 @@ def raw(spark, *rows):
 
 def stored(spark, *rows):
     valid, _ = L.normalise_leads(raw(spark, *rows))
-    scored = L.score_leads(valid, DAY)
-    return scored.withColumnRenamed("row", "id").withColumns({"created_at": AS_OF, "updated_at": AS_OF})
+    scored = L.score_leads(valid, day())
+    return scored.withColumnRenamed("row", "id").withColumns({"created_at": as_of(), "updated_at": as_of()})
 
 
 STRONG = dict(company_name="A", rank="CTO", email="a@b.kr", mobile="01012345678", kakao="k", budget="3억", source="referral",
@@ -61,9 +67,9 @@ def test_funnel(spark):
     assert by["meeting"].lost == 1 and by["meeting"].conversion == 50 and by["won"].now == 1 and by["won"].conversion is None
     velocity = funnel.sales_velocity(history, leads).first()
     assert velocity.won == 1 and velocity.velocity_days == 1.5
-    days = {r.stage: r.avg_days for r in funnel.stage_durations(history, leads, AS_OF).collect()}
+    days = {r.stage: r.avg_days for r in funnel.stage_durations(history, leads, as_of()).collect()}
     assert days["new"] == 0.5 and days["meeting"] == 0.5 and days["negotiation"] is None
-    since = {r.id: r for r in funnel.lead_stage_since(leads, history, AS_OF).collect()}
+    since = {r.id: r for r in funnel.lead_stage_since(leads, history, as_of()).collect()}
     assert since[2].days_in_stage == 11  # 2026-09-04 00:00 to 2026-09-15 12:00, whole days
     empty = history.where("false")
     assert funnel.sales_velocity(empty, leads).first().velocity_days is None
@@ -98,7 +104,7 @@ def test_csv_import(spark, folder):
     assert [(r.row, r.code) for r in imports.import_errors(classified).collect()] == [(3, "company_required")]
     preview = imports.import_preview(classified).first()
     assert preview.company_name == "하늘소프트" and preview.source == "exhibition"
-    new, history, report = imports.import_leads(rows, existing, AS_OF)
+    new, history, report = imports.import_leads(rows, existing, as_of())
     lead = new.first()
     assert lead.budget == 250_000_000 and lead.status == "meeting" and lead.expected_start == "2026-11" and lead.id == 2
     assert history.first().to_status == "meeting" and report.first().inserted == 1
@@ -109,7 +115,7 @@ def test_two_files(spark):
     raw = spark.createDataFrame([("a.csv", 1, {"company": "A", "email": "x@a.kr"}), ("a.csv", 2, {"company": "B", "email": "y@a.kr"}),
                                  ("b.csv", 1, {"company": "A", "email": "X@a.kr"}), ("b.csv", 2, {"company": "C", "email": "z@a.kr"})], "file string, row bigint, raw map<string,string>")
     existing = stored(spark, dict(company_name="Z"))
-    new, history, report = imports.import_leads(raw, existing, AS_OF)
+    new, history, report = imports.import_leads(raw, existing, as_of())
     r = report.first()
     assert (r.total, r.valid, r.duplicates) == (4, 3, 1)
     assert {(x.id, x.company_name) for x in new.collect()} == {(2, "A"), (3, "B"), (5, "C")} and history.count() == 3
@@ -146,7 +152,7 @@ def test_partial_update(spark):
     assert got[1].budget == 300_000_000 and got[1].kakao == "k" and got[2].lost_reason == "price"
     assert [(r.lead_id, r.from_status, r.to_status) for r in history.collect()] == [(2, "new", "lost")] and errors.count() == 0
     broken = spark.createDataFrame([(2, {"company_name": ""})], "id bigint, payload map<string,string>")
-    after, _, errors = updates.write_leads(leads, broken, AS_OF)
+    after, _, errors = updates.write_leads(leads, broken, as_of())
     assert errors.first().code == "company_required" and after.count() == 2
 
 
@@ -155,7 +161,7 @@ def test_activities_and_deletes(spark):
     none = spark.createDataFrame([], "id bigint, lead_id bigint, type string, note string, at date")
     new = spark.createDataFrame([(1, 1, "CALL", " hi ", "2026-04-01"), (2, 2, "visit", None, None), (3, 9, "call", None, None)],
                                 "id bigint, lead_id bigint, type string, note string, at string")
-    after, acts = L.add_activities(leads, none, new, AS_OF)
+    after, acts = L.add_activities(leads, none, new, as_of())
     assert {r.id: str(r.last_contact) for r in after.collect()} == {1: "2026-05-01", 2: "2026-09-15"}
     assert {(r.id, r.type, r.note, str(r["at"])) for r in acts.collect()} == {(1, "call", "hi", "2026-04-01"), (2, "other", None, "2026-09-15")}
     ids = spark.createDataFrame([(1,)], "id bigint")

@@ -1,4 +1,8 @@
 """Every registered query against its SQL twin on the smallest tables."""
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -24,3 +28,13 @@ def test_query_matches_sql(spark, con, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_registry_loads_without_a_session():
+    code = """
+import __spark_entry__ as e
+assert set(e.oracle_sql()) <= set(e.queries())
+from pyspark.sql import SparkSession
+assert SparkSession.getActiveSession() is None"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
