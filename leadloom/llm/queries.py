@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import common, decontaminate, exact, hmm, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
+from leadloom.llm import alignment, common, decontaminate, exact, hmm, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
 
+TOKENIZER_FILES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 PSEUDONYM_TEST_KEY = "change-me"        # for the query on test tables only: whoever knows the key can reverse the pseudonyms
 
 
@@ -77,6 +78,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, files: tuple[str, str] = TOKENIZER_FILES) -> DataFrame:
+    """The digest of the groups is taken before the rows are written, so that their text travels no further than its task."""
+    tokens = alignment.read_files(*files)
+    rows = alignment.token_groups(_table(spark, sf_dir, "documents"), tokens)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    rows = common.staged(rows.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.with_scores(rows, tokens)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 SQL: dict[str, str] = {
