@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import alignment, common, decontaminate, exact, hmm, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
+from leadloom.llm import alignment, chat, common, decontaminate, exact, hmm, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
 
 TOKENIZER_FILES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 PSEUDONYM_TEST_KEY = "change-me"        # for the query on test tables only: whoever knows the key can reverse the pseudonyms
@@ -87,6 +87,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str, files: tuple[str, str
     return alignment.with_scores(rows, tokens)
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], table.schema)
+    return chat.chat_digests(chat.format_chats(chat.table_log(table.unionByName(more))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
     "op11_token_alignment": op11_token_alignment,
+    "op12_chat_format": op12_chat_format,
 }
 
 SQL: dict[str, str] = {
@@ -150,4 +158,13 @@ SQL: dict[str, str] = {
                      ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || d.size::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS drawn
               FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
         SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM q""",
+    "op12_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        f AS (SELECT *, '### ' || role || ':' || chr(10) || regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') || chr(10) || '</turn>' || chr(10) AS formatted FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(length(formatted))::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id""",
 }
