@@ -130,9 +130,9 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
-def blank_separated(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts, and the index of each word's text."""
-    solid = ~BLANK[raw]
+def blank_separated(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and the index of each word's text. `blank` says which bytes part words."""
+    solid = ~blank[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     stops = solid.copy()

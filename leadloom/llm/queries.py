@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import alignment, chat, common, decontaminate, exact, hmm, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
+from leadloom.llm import alignment, chat, common, decontaminate, exact, hmm, lexical, licenses, lines, mixing, ngram_join, pii, suffix_dedup, toxicity
 
 TOKENIZER_FILES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 PSEUDONYM_TEST_KEY = "change-me"        # for the query on test tables only: whoever knows the key can reverse the pseudonyms
@@ -94,6 +94,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.table_log(table.unionByName(more))))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudonyms": op1_pseudonyms,
     "op2_exact_dedup": op2_exact_dedup,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_token_alignment": op11_token_alignment,
     "op12_chat_format": op12_chat_format,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -167,4 +172,17 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(length(formatted))::BIGINT AS formatted_chars
         FROM f GROUP BY conv_id""",
+    "op13_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        t AS (SELECT row, doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
+        f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+        s AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS nd, sum(len(ws))::BIGINT AS nt FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+        r AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt))))::BIGINT AS score
+              FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, row, doc_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10""",
 }
