@@ -91,8 +91,9 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
                     "n": n, "prefix": [ranked[a: a + b] for a, b in zip(cut, length)],
                     "ranges": list(np.bincount(of * RANGES + (hashes >> np.uint64(58)).astype(np.int64), minlength=many * RANGES).reshape(many, RANGES).astype(np.int32))})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.staged(docs.mapInPandas(made, f"doc_id {kind}, key long, cls long, n long, prefix array<long>, ranges array<int>"), "prefixes")
+    kind = docs.schema["doc_id"].dataType      # ids go by pandas as text: beside a null it would round large numbers
+    made_of = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "key", "text").mapInPandas(made, "doc_id string, key long, cls long, n long, prefix array<long>, ranges array<int>")
+    return common.staged(made_of.withColumn("doc_id", F.col("doc_id").cast(kind)), "prefixes")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int, num: int, den: int) -> DataFrame:
