@@ -236,7 +236,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = common.filled("text")
-    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), "doc_id", text.alias("text"))
+    # ids go by pandas as text: beside a null it would round large numbers
+    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -263,9 +264,8 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                     "n_rare": np.bincount(of[(rank < 0) | (rank >= m.symbols)], minlength=n), "path": forward(symbols, lengths, m),
                     "rest": [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])], "times": [times[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:])]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = common.staged(rows.mapInPandas(scored, f"key long, doc_id {kind}, n_tokens long, listed long, logs double, rare_logs double, n_rare long, path double, "
-                                                  "rest array<long>, times array<int>"), "scores")
+    made = common.staged(rows.mapInPandas(scored, "key long, doc_id string, n_tokens long, listed long, logs double, rare_logs double, n_rare long, path double, "
+                                                  "rest array<long>, times array<int>").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "scores")
     rest = made.select("key", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("key", F.col("r.rest").alias("h"), F.col("r.times").alias("times"))
     # never seen: log10(0 + 1) = 0 and not known, so that only rows with a count matter
     met = rest.join(words, "h").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rest_logs"), F.sum("times").alias("rest_known"))
