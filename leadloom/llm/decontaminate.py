@@ -14,8 +14,12 @@ def _hashes(words: Column, k: int) -> Column:
     return F.when(n >= k, made).otherwise(F.array().cast("array<bigint>"))
 
 
+def _wid(words: Column) -> Column:
+    return F.array_join(words, " ")         # words hold no blank
+
+
 def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """Distinct windows of all items: wid (hash of the words), words, size, k (words of its shingles), shingles."""
+    """Distinct windows of all items: wid (the words with blanks between), words, size, k (words of its shingles), shingles."""
     words = benchmark.select(common.words_of(common.lowered(common.filled("text")), common.PLAIN_WORD).alias("ws")).filter(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1)))
     cut = words.select("ws", F.explode(starts).alias("at")).select(F.slice("ws", F.col("at"), window).alias("words")).distinct()
@@ -23,7 +27,7 @@ def item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     shingles = F.when(size >= shingle, _hashes(F.col("words"), shingle))
     for k in range(1, shingle):
         shingles = F.when(size == k, _hashes(F.col("words"), k)).otherwise(shingles)
-    return cut.select(F.xxhash64("words").alias("wid"), "words", size.alias("size"), F.least(size, F.lit(shingle)).alias("k"), shingles.alias("shingles"))
+    return cut.select(_wid(F.col("words")).alias("wid"), "words", size.alias("size"), F.least(size, F.lit(shingle)).alias("k"), shingles.alias("shingles"))
 
 
 def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
@@ -49,7 +53,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle
         part = part.select("row_id", "h", "pos", F.size("ws").alias("n"), F.greatest(F.col("pos") - window, F.lit(0)).alias("from"), around.alias("around"))
         seen = part if seen is None else seen.unionByName(part)
     if seen is None:
-        return words.select("row_id", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("wid"), "ws").limit(0).withColumnRenamed("ws", "words")
+        return words.select("row_id", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("wid"), "ws").limit(0).withColumnRenamed("ws", "words")
     seen = common.staged(seen, "shingle-hits")
     frequency = seen.groupBy("h").agg(F.count("*").alias("df"))
     ordered = windows.select("wid", "words", "size", F.posexplode("shingles").alias("offset", "h")).join(frequency, "h")
@@ -84,7 +88,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         .groupBy("doc_id", "key").agg(F.sum("new").cast("long").alias("n_hit"))
     item_words = benchmark.select(F.col("item_id").cast("string").alias("item"), common.words_of(common.lowered(common.filled("text")), common.PLAIN_WORD).alias("iw")).filter(F.size("iw") > 0)
     owners = item_words.select("item", "iw", F.explode(F.sequence(F.lit(1), F.greatest(F.size("iw") - (window - 1), F.lit(1)))).alias("at")) \
-        .select("item", F.xxhash64(F.slice("iw", F.col("at"), window)).alias("wid")).distinct()
+        .select("item", _wid(F.slice("iw", F.col("at"), window)).alias("wid")).distinct()
     owners = common.staged(owners, "owners")
     items = hits.select("doc_id", "key", "wid").distinct().join(owners, "wid").select("doc_id", "key", "item").distinct() \
         .groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.count("*").alias("n_items"))
