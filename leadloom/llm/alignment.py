@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import common
 
+# the pattern by which byte-level tokenizers cut a text before merging (a fixed value)
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_BYTES = 2_000_000         # of text that is aligned at a time
 LISTED = 1 << 18                # most frequent pairs at most that every executor gets (17 bytes each); all others are joined
 PARTIAL = 1 << 20               # pairs that a task counts before it hands them on
@@ -23,10 +27,11 @@ class Files(NamedTuple):
     """The two tokenizer files as bytes: a byte-level BPE (JSON) and a piece model."""
     byte_level: bytes
     pieces: bytes
+    ranked: bool = False    # the byte-level one merges by the order of its ids
 
 
 class Tokenizers(NamedTuple):
-    encode_a: object
+    encode_a: object        # list of texts to a list array of ids
     encode_b: object
     bytes_a: pa.Array       # bytes of each token id
     bytes_b: pa.Array
@@ -36,7 +41,10 @@ class Tokenizers(NamedTuple):
 def read_files(byte_level: str, pieces: str) -> Files:
     """Read on the driver; executors get the contents (some MB, fixed by the files) and need no such folder."""
     with open(byte_level, "rb") as a, open(pieces, "rb") as b:
-        return Files(a.read(), b.read())
+        spec, model = a.read(), b.read()
+    t, letters = json.loads(spec), byte_letters()
+    added = {x["id"] for x in t["added_tokens"]}
+    return Files(spec, model, same_by_ranks(t, {bytes(letters[c] for c in k): i for k, i in t["model"]["vocab"].items() if i not in added}))
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,6 +54,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def merged(symbols: list[bytes], ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """`symbols` after all merges of a rank under `below`, the lowest first."""
+    while len(symbols) > 1:
+        least, i = min((ranks.get(symbols[i] + symbols[i + 1], below), i) for i in range(len(symbols) - 1))
+        if least >= below:
+            break
+        symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2:]]
+    return symbols
+
+
+def same_by_ranks(spec: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether the byte-level file merges by the order of its ids, so that an encoder that knows only ids gives the same tokens.
+
+    Tokens are numbered as their merges come, and all merges below a token's own leave just the two parts that its merge names: what is
+    merged inside a stretch does not depend on what stands around it, so that no other two neighbours ever spell the token.
+    """
+    letters, pre = byte_letters(), spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") is not None or (pre.get("type"), pre.get("use_regex"), pre.get("add_prefix_space")) != ("ByteLevel", True, False):
+        return False
+    spelled = lambda part: bytes(letters[c] for c in part)
+    merges = [tuple(map(spelled, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
+    if len(merges) + 256 != len(ranks) or any(ranks[a + b] != 256 + i for i, (a, b) in enumerate(merges)):
+        return False
+    return all(merged([bytes([x]) for x in a + b], ranks, 256 + i) == [a, b] for i, (a, b) in enumerate(merges))
+
+
 _loaded: dict[bytes, Tokenizers] = {}
 
 
@@ -61,11 +95,35 @@ def tokenizers(files: Files) -> Tokenizers:
         a.encode_special_tokens = True      # their strings in a text are ordinary text
         b = sentencepiece.SentencePieceProcessor(model_proto=files.pieces)
         letters, names = byte_letters(), {i: t for t, i in a.get_vocab(with_added_tokens=False).items()}
-        spelled_a = [bytes(letters[c] for c in names[i]) if i in names else b"" for i in range(max(names) + 1)]
+        added = {t["id"] for t in json.loads(files.byte_level)["added_tokens"]}
+        spelled_a = [bytes(letters[c] for c in names[i]) if i in names and i not in added else b"" for i in range(max(names) + 1)]
         spelled_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
+
+        def whole(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+        def ranked(texts: list[str]) -> list[np.ndarray]:
+            out = []
+            for t in texts:
+                try:
+                    out.append(quick.encode_to_numpy(" " + t, disallowed_special=()))
+                except ValueError:      # its pattern engine gives up on very long runs of blanks
+                    out.append(np.array(whole([t])[0], np.uint32))
+            return out
+
+        quick = None
+        if files.ranked:
+            import tiktoken
+            quick = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(spelled_a) if t}, special_tokens={})
+
+        def listed_a(texts: list[str]) -> pa.ListArray:
+            if quick is None:
+                return pa.array(whole(texts), pa.list_(pa.int32()))
+            ids = ranked(texts)
+            return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))
+
         _loaded[mark] = Tokenizers(
-            lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
-            lambda texts: b.encode(texts, num_threads=1), pa.array(spelled_a, pa.binary()), pa.array(spelled_b, pa.binary()),
+            listed_a, lambda texts: pa.array(b.encode(texts, num_threads=1), pa.list_(pa.int32())), pa.array(spelled_a, pa.binary()), pa.array(spelled_b, pa.binary()),
             pc.cast(pa.array(range(max(len(spelled_a), len(spelled_b)))), pa.string()))
     return _loaded[mark]
 
@@ -77,13 +135,13 @@ def _cut(bounds: pa.Array, values: pa.Array) -> pa.ListArray:
 
 def _per_text(texts: pa.Array, n: int) -> pa.Array:
     """How often each text from 0 to n - 1 stands in `texts`."""
-    counts = pa.table({"t": pa.concat_arrays([texts, pa.array(range(n), texts.type)])}).group_by("t", use_threads=False).aggregate([([], "count_all")]).sort_by("t")
+    counts = pa.table({"t": pa.concat_arrays([texts, pa.array(np.arange(n), texts.type)])}).group_by("t", use_threads=False).aggregate([([], "count_all")]).sort_by("t")
     return pc.subtract(counts["count_all"].combine_chunks(), 1)
 
 
 def align_texts(texts: list[str], t: Tokenizers) -> pa.Table:
     """One row per text (not empty): n_a, n_b, n_groups, n_links, groups (text), pairs (a id * size of B + b id, sorted), times."""
-    lists = [pa.array(ids, pa.list_(pa.int32())) for ids in (t.encode_a(texts), t.encode_b(texts))]
+    lists = [t.encode_a(texts), t.encode_b(texts)]
     spelled = pa.array([b" " + x.encode() for x in texts], pa.binary())
     same = None
     for ids, spelling in zip(lists, (t.bytes_a, t.bytes_b)):
@@ -102,7 +160,7 @@ def align_texts(texts: list[str], t: Tokenizers) -> pa.Table:
         ids = ids.filter(same)
         flat = ids.flatten()
         ends = pc.cumulative_sum(pc.cast(pc.binary_length(spelling.take(flat)), pa.int64()))
-        sides.append(pa.table({"end": ends, name: flat, f"{name}_at": pa.array(range(len(flat)), pa.int64()), f"{name}_text": pc.cast(pc.list_parent_indices(ids), pa.int64())}))
+        sides.append(pa.table({"end": ends, name: flat, f"{name}_at": pa.array(np.arange(len(flat))), f"{name}_text": pc.cast(pc.list_parent_indices(ids), pa.int64())}))
     a, b = sides
     # one link for each end of either side: the segment before it belongs to one token of A and one of B
     ends = a.join(b.drop_columns("b_text"), keys="end", join_type="full outer", use_threads=False).sort_by("end").combine_chunks()
@@ -126,7 +184,7 @@ def align_texts(texts: list[str], t: Tokenizers) -> pa.Table:
 
 def _spread(found: pa.Table, at: pa.Array, n: int) -> pa.Table:
     """The rows of `found` at the places `at` of n; zeros, empty texts and lists elsewhere."""
-    place = pc.index_in(pa.array(range(n), pa.int64()), value_set=at)
+    place = pc.index_in(pa.array(np.arange(n)), value_set=at)
     empty = {"groups": "", "pairs": [], "times": []}
     out = {}
     for name in found.column_names:

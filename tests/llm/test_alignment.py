@@ -1,4 +1,6 @@
 """Token alignment against brute force over all pairs of tokens."""
+import json
+import random
 from collections import Counter
 
 import pytest
@@ -19,7 +21,7 @@ def brute(texts, t):
     """Per text (n_a, n_b, groups, links as id pairs)."""
     out = []
     for text in texts:
-        a, b = (t.encode_a([text])[0], t.encode_b([text])[0]) if text else ([], [])
+        a, b = (t.encode_a([text])[0].as_py(), t.encode_b([text])[0].as_py()) if text else ([], [])
         spelled = [t.bytes_a[i].as_py() for i in a], [t.bytes_b[i].as_py() for i in b]
         if not text or any(b"".join(s) != b" " + text.encode() for s in spelled):
             out.append((0, 0, [], []))
@@ -69,7 +71,7 @@ def got(df):
 def test_links_are_all_overlapping_pairs(files):
     t = alignment.tokenizers(files)
     text = "Naïve tokenisations — überlappen\n\n  völlig 12345 anders"
-    a, b = t.encode_a([text])[0], t.encode_b([text])[0]
+    a, b = t.encode_a([text])[0].as_py(), t.encode_b([text])[0].as_py()
     spans = []
     for ids, spelling in ((a, t.bytes_a), (b, t.bytes_b)):
         ends = _running([spelling[i].as_py() for i in ids])
@@ -80,6 +82,28 @@ def test_links_are_all_overlapping_pairs(files):
     assert Counter(dict(zip(row["pairs"], row["times"]))) == Counter(i * len(t.bytes_b) + j for i, j in every)
 
 
+def test_ranks_give_the_same_tokens(files, monkeypatch):
+    """The quick encoder against the plain one, over all code points, mixed white space and long runs."""
+    monkeypatch.setattr(alignment, "_loaded", {})
+    quick = alignment.tokenizers(files)
+    monkeypatch.setattr(alignment, "_loaded", {})
+    plain = alignment.tokenizers(files._replace(ranked=False))
+    texts = ["".join(f"x{chr(c)}{chr(c)}1 {chr(c)}" for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x32400, 256)]
+    rng = random.Random(1)
+    texts += ["".join(rng.choices([" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "a", "Ab", "'s", "don't", "1", "!!", "e\u0301", "\u2581", "<|endoftext|>", "\x1c"], k=rng.randrange(1, 14))) for _ in range(20_000)]
+    texts += [" " * 1_000_000, "x" * 100_000, "\n" * 300_000 + "a"]
+    assert files.ranked and quick.encode_a(texts).equals(plain.encode_a(texts))
+
+
+def test_a_file_that_merges_otherwise_is_not_ranked(files):
+    spec = json.loads(files.byte_level)
+    letters = alignment.byte_letters()
+    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i != 50256}
+    assert alignment.same_by_ranks(spec, ranks)
+    spec["model"]["merges"][300], spec["model"]["merges"][301] = spec["model"]["merges"][301], spec["model"]["merges"][300]
+    assert not alignment.same_by_ranks(spec, ranks)
+
+
 @pytest.mark.parametrize("listed", [alignment.LISTED, 50, 0])
 def test_alignment(spark, files, listed, monkeypatch):
     t = alignment.tokenizers(files)
