@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..functions import urls as U
 from ..functions.ranking import first_per_key, top_per_key
-from ..functions.text import computed, count_tokens, cut, empty_to_null, escape, first_token, has_token, label_value, tidy, any_of
+from ..functions.text import any_of, computed, count_tokens, cut, empty_to_null, escape, first_token, has_token, label_value, tidy
+from . import elements
 
 
 def is_it_job(title: Column, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS) -> Column:
@@ -52,46 +53,40 @@ def looks_like_posting(c: DataFrame, title: str = "title", context: str = "conte
     return c.where(is_posting(F.col(title), F.col(context), **lists))
 
 
+ENTRIES = {"a": 0, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "li": 2, "td": 3, "strong": 4}
+BOXES = ("li", "tr", "article", "div")
+TAGS = (*ENTRIES, "tr", "article", "div", "ul", "ol", "menu", "table", "th")
+
+
 def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYWORDS, **lists: Sequence[str]) -> DataFrame:
     """IT openings as written on recruitment pages.
 
-    Phase 1 reads links, phase 2 headings, list rows, cells and bold text without a link. HTML is cut
-    at every start and end of <li>, <tr>, <article> and <div>; the piece around an entry is its context,
-    so a container nested in another one lends only its own part.
+    Phase 1 reads links, phase 2 headings, list entries, cells and bold text without a link. The context of an entry is the whole text of
+    the innermost list entry, table row, article or division around it, with all that is nested in there; its own text where there is none.
     """
-    box = r"(?is)</?(?:li|tr|article|div)\b[^>]*>"
-    jobs = pages.where("category = 'recruitment'").select(
-        "domain", "page_idx", "final_url", html.without_hidden(F.col("html")).alias("_h"))
-    tags = F.regexp_extract_all("_h", F.lit(box), F.lit(0))
-    pieces = F.split("_h", box, -1)
-    cut = jobs.select("domain", "page_idx", "final_url", F.size(tags).alias("_n"), F.posexplode(F.zip_with(
-        F.concat(F.array(F.lit("")), tags), pieces, lambda t, p: F.struct(t.alias("tag"), p.alias("piece")))).alias("piece_pos", "_p"))
-    near = cut.where(F.lower("_p.piece").rlike(any_of(keywords))).select(
-        "domain", "page_idx", "final_url", "piece_pos", F.col("_p.tag").alias("tag"), F.col("_p.piece").alias("piece"),
-        ((F.col("piece_pos") > 0) & (F.col("piece_pos") < F.col("_n"))).alias("boxed"))
-
-    anchor = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>(.*?)</a\s*>"
-    has_link = lambda x: x.rlike(r"(?i)<a\s(?:[^>]*?\s)?href\s*=")
-    every = lambda pattern, g: F.regexp_extract_all("piece", F.lit(pattern), F.lit(g))
-    entry = lambda phase, kind, inner, href: F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("kind"),
-                                                      inner.alias("inner"), href.alias("href"))
-    links = F.zip_with(every(anchor, 1), every(anchor, 2), lambda h, t: entry(1, 0, t, h))
-    nothing = F.lit(None).cast("string")
-    plain = lambda name, kind: F.transform(F.filter(every(rf"(?is)<({name})\b[^>]*>.*?</\1\s*>", 0), lambda x: ~has_link(x)),
-                                           lambda x: entry(2, kind, x, nothing))
-    row = F.when(F.col("tag").rlike(r"(?i)^<li\b") & ~has_link(F.col("piece")), F.array(entry(2, 2, F.col("piece"), nothing)))
-    found = F.concat(links, plain("h[1-4]", 1), F.coalesce(row, F.array().cast(
-        "array<struct<phase:int,kind:int,inner:string,href:string>>")), plain("td", 3), plain("strong", 4))
-    rows = near.select("domain", "page_idx", "final_url", "piece_pos", "piece", "boxed", F.posexplode(found).alias("pos", "e"))
-    titled = computed(rows, title=tidy(html.inline_text(F.col("e.inner")))).where(F.length("title").between(4, 120))
-    around = F.when(F.col("boxed"), tidy(html.inline_text(F.col("piece")))).otherwise(F.col("title"))
-    target = U.cleaned_link(F.col("final_url"), F.btrim("e.href", F.lit("\"'")))
-    own = F.when(U.url_domain("_target") == F.col("domain"), F.col("_target"))
+    key = ("domain", "page_idx")
+    jobs = pages.where("category = 'recruitment'").select(*key, "final_url", html.without_hidden(F.col("html")).alias("_h")).where(F.lower("_h").rlike(any_of(keywords)))
+    found = elements.nearest(elements.spans(jobs, key, F.col("_h"), TAGS), key, BOXES).where(F.col("name").isin(*ENTRIES))
+    # all entries of a page meet its parts once
+    listed = found.groupBy(*key).agg(F.collect_list(F.struct("open", "name", "end", "box_open", "box_end")).alias("_entries"))
+    at = [F.col(f"j.{c}").eqNullSafe(F.col(f"l.{c}")) for c in key]
+    rows = jobs.select(*key, "final_url", elements.parts(F.col("_h"), TAGS).alias("_parts")).alias("j").join(listed.alias("l"), at).select(
+        "j.domain", "j.page_idx", "final_url", "_parts", F.explode("_entries").alias("e"))
+
+    inner = elements.between(F.col("_parts"), F.col("e.open"), F.col("e.end"))
+    phase = F.when(F.col("e.name") == "a", 1).otherwise(2)
+    rows = computed(rows, inner=inner).where(F.lower("inner").rlike(any_of(keywords)))
+    has_link = F.col("inner").rlike(r"(?i)<a\s(?:[^>]*?\s)?href\s*=")
+    rows = rows.where(has_link == (phase == 1))
+    titled = computed(rows, title=tidy(html.inline_text(F.col("inner")))).where(F.length("title").between(4, 120))
+    box = elements.between(F.col("_parts"), F.col("e.box_open"), F.col("e.box_end"))
+    around = F.when(F.col("e.box_open").isNotNull(), tidy(html.inline_text(box))).otherwise(F.col("title"))
+    target = U.cleaned_link(F.col("final_url"), html.attribute(F.col("inner"), "href"))
+    own = F.when((phase == 1) & (U.url_domain("_target") == F.col("domain")), F.col("_target"))
     c = computed(it_jobs_only(titled, keywords), context=around, _target=target)
     return looks_like_posting(c, **lists).select(
-        "domain", "page_idx", F.col("e.phase").alias("phase"), "title", "context",
-        F.coalesce(own, F.col("final_url")).alias("source_url"),
-        F.struct("page_idx", F.col("e.phase").alias("phase"), "piece_pos", F.col("e.kind").alias("kind"), "pos").alias("seq"))
+        "domain", "page_idx", phase.alias("phase"), "title", "context", F.coalesce(own, F.col("final_url")).alias("source_url"),
+        F.struct("page_idx", phase.alias("phase"), F.col("e.open").alias("pos")).alias("seq"))
 
 
 def dedupe_jobs(c: DataFrame) -> DataFrame:

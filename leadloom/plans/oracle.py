@@ -586,3 +586,40 @@ KEYS = """k AS (SELECT id, unnest([domain, lower(email), lower(company_name)]) A
 SQL["find_duplicate_leads"] = WITH_LEADS + f", {KEYS} SELECT probe_id, reason, key FROM p WHERE key IS NOT NULL AND (reason, key) IN (SELECT (reason, key) FROM k WHERE key IS NOT NULL)"
 SQL["duplicate_lead_keys"] = WITH_LEADS + f", {KEYS} SELECT id, reason, key FROM k WHERE key IS NOT NULL AND (reason, key) IN (SELECT (reason, key) FROM p WHERE key IS NOT NULL)"
 SQL["write_leads_refused"] = WITH_LEADS + "SELECT id, 'company_required' AS code, company_name, memo FROM leads WHERE status = 'won'"
+
+# --- nested pages: every tag compared with every other tag of its page ------------------------------
+
+_NEST = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate((
+    '<div>{seg} 정규직<div><p>부서 {key}</p></div><a href="/jobs/{key}">{one}</a><div>마감일: 2026-05-01</div></div>',
+    "<ul><li><h3>{one}</h3> 정규직 {key}<ul><li>서울</li></ul><li>{two} 계약직</ul>",
+    "<table><tr><td>{one}<td>정규직 {key}<tr><td><table><tr><td>{two}</td></tr></table> 인턴</table>",
+    "</div></li><article>{seg} 정규직 <h2>{one}</h2> {key}",
+    "<div><article><strong>{one}</strong> 정규직</div>{key} <strong>{two}</strong></article> 계약직",
+    '<div class="a"><div class="b"><ol><li><strong>{one}</strong><li><a href="/recruit/{key}">{two}</a> 정규직</ol></div>{seg}</div>')))
+_FEET = '<div class="my-footer"><div>{seg}</div><footer>in {key}</footer>x</div><footer>a<footer>b</footer>{one}</footer><p>more</p><address>{key}'
+_KINDS = "['자바 개발자 모집','데이터 엔지니어 채용','영업사원 모집','백엔드 개발자 채용','총무 담당자 채용']"
+NESTED = f"""np AS (SELECT c_custkey AS page_idx, 'https://c' || c_custkey || '.co.kr/' AS site, replace(replace(replace(replace('<html><body>' || CASE c_custkey % 6 {_NEST} END || '{_FEET}',
+    '{{seg}}', upper(c_mktsegment[1]) || lower(c_mktsegment[2:])), '{{key}}', c_custkey::VARCHAR), '{{one}}', {_KINDS}[c_custkey % 5 + 1]), '{{two}}', {_KINDS}[(c_custkey // 5) % 5 + 1]) AS html FROM customer)"""
+_TAG = r"(?is)</?(?:a|h1|h2|h3|h4|li|td|strong|tr|article|div|ul|ol|menu|table|th)(?:[\s/][^>]*)?>"
+SQL["nested_openings"] = f"""WITH {NESTED}, cut AS (SELECT *, regexp_extract_all(html, '{_TAG}') AS tags, string_split_regex(html, '{_TAG}') AS pieces FROM np),
+  tag AS (SELECT page_idx, i, len(tags) + 1 AS last, lower(regexp_extract(tags[i], '^</?([A-Za-z0-9]+)', 1)) AS name, starts_with(tags[i], '</') AS shut
+          FROM (SELECT *, unnest(generate_series(1, len(tags))) AS i FROM cut)),
+  kind AS (SELECT *, CASE WHEN name IN ('ul', 'ol', 'menu', 'li') THEN 'list' WHEN name IN ('table', 'tr', 'td', 'th') THEN 'table' ELSE name END AS family, name IN ('li', 'tr', 'td', 'th', 'a') AS item FROM tag),
+  -- an end tag closes a start tag if all between them pair up
+  pairs AS (SELECT o.page_idx, o.i, c.i AS j FROM kind o JOIN kind c ON c.page_idx = o.page_idx AND c.family = o.family AND c.i > o.i AND c.shut AND NOT o.shut AND NOT o.item AND NOT c.item),
+  depth AS (SELECT p.page_idx, p.i, p.j, sum(CASE WHEN m.shut THEN -1 WHEN m.shut IS NULL THEN 0 ELSE 1 END) AS d FROM pairs p JOIN kind o ON o.page_idx = p.page_idx AND o.i = p.i
+            LEFT JOIN kind m ON m.page_idx = p.page_idx AND m.family = o.family AND NOT m.item AND m.i > p.i AND m.i < p.j GROUP BY ALL),
+  plain AS (SELECT k.page_idx, k.name, k.family, k.i, coalesce((SELECT min(j) FROM depth d WHERE d.page_idx = k.page_idx AND d.i = k.i AND d.d = 0), k.last) AS e FROM kind k WHERE NOT k.shut AND NOT k.item),
+  scoped AS (SELECT k.*, coalesce((SELECT max(p.i) FROM plain p WHERE p.page_idx = k.page_idx AND p.family = k.family AND p.i < k.i AND p.e > k.i), 0) AS scope FROM kind k WHERE k.item),
+  items AS (SELECT s.page_idx, s.name, s.family, s.i, least(s.last, coalesce((SELECT min(t.i) FROM scoped t WHERE t.page_idx = s.page_idx AND t.family = s.family AND t.scope = s.scope AND t.i > s.i
+              AND (s.name <> 'tr' OR t.name = 'tr')), s.last), coalesce((SELECT p.e FROM plain p WHERE p.page_idx = s.page_idx AND p.i = s.scope), s.last)) AS e FROM scoped s WHERE NOT s.shut),
+  el AS (SELECT * FROM plain UNION ALL SELECT * FROM items),
+  boxed AS (SELECT x.page_idx, x.name, x.i, x.e, (SELECT max(struct_pack(i := b.i, e := b.e)) FROM el b WHERE b.page_idx = x.page_idx AND b.name IN ('li', 'tr', 'article', 'div') AND b.i < x.i AND b.e > x.i) AS box
+            FROM el x WHERE x.name IN ('a', 'h1', 'h2', 'h3', 'h4', 'li', 'td', 'strong')),
+  said AS (SELECT b.*, site, array_to_string(list_transform(generate_series(b.i, b.e - 1), lambda k: tags[k] || pieces[k + 1]), '') AS own,
+             array_to_string(list_transform(generate_series(b.box.i, b.box.e - 1), lambda k: tags[k] || pieces[k + 1]), '') AS around FROM boxed b JOIN cut USING (page_idx)),
+  txt AS (SELECT page_idx, CASE WHEN name = 'a' THEN 1 ELSE 2 END AS phase, i AS pos, replace({_text('own')}, chr(10), ' ') AS t, replace({_text('around')}, chr(10), ' ') AS c, site, contains(own, '<a href=') AS linked, regexp_extract(own, 'href="/([^"]*)"', 1) AS path FROM said)
+  SELECT page_idx, phase, pos, {_tidy('t')} AS title, coalesce({_tidy('c')}, {_tidy('t')}) AS context, site || CASE WHEN phase = 1 THEN path ELSE 'recruit' END AS source_url
+  FROM txt WHERE linked = (phase = 1) AND regexp_matches(t, '개발|데이터|엔지니어|백엔드') AND length({_tidy('t')}) BETWEEN 4 AND 60 AND len(string_split({_tidy('t')}, ' ')) <= 8"""
+SQL["nested_footers"] = f"""WITH {NESTED} SELECT page_idx, pos, replace(replace(replace(CASE pos WHEN 0 THEN 'a b ' || regexp_extract(html, '</footer>([^<]*)</footer>', 1) WHEN 1 THEN regexp_extract(html, 'my-footer"><div>([^<]*)<', 1) || ' in ' || page_idx || ' x'
+    ELSE page_idx::VARCHAR END, '&', '&'), chr(10), ' '), '  ', ' ') AS text FROM np, (SELECT unnest([0, 1, 2]) AS pos)"""

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as N
-from ..functions import fixed
+from ..functions import fixed, html
 from ..functions import urls as U
 
 from ..operators import contracts as C
@@ -949,6 +949,20 @@ def job_candidates(s, d):
     return c.select("page_idx", F.col("phase").cast("bigint").alias("phase"), "title")
 
 
+@query
+def nested_openings(s, d):
+    """Openings of pages with nested boxes: the context is the whole text of the nearest one."""
+    c = jobs.job_candidates(T.nested_pages(s, d))
+    return c.select("page_idx", F.col("phase").cast("bigint").alias("phase"), F.col("seq.pos").cast("bigint").alias("pos"), "title", "context", "source_url")
+
+
+@query
+def nested_footers(s, d):
+    """The outermost footer blocks of the same pages as text."""
+    blocks = F.posexplode(html.footer_blocks(F.col("html")))
+    return T.nested_pages(s, d).select("page_idx", blocks).select("page_idx", F.col("pos").cast("bigint").alias("pos"), html.inline_text(F.col("col")).alias("text"))
+
+
 @query
 def delete_activities(s, d):
     a = T.raw_activities(s, d)

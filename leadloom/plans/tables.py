@@ -244,6 +244,28 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             F.col("p.html").alias("html"), F.col("p.i").alias("depth"), F.col("p.category").alias("category")))
 
 
+NESTED = (
+    '<div>{seg} 정규직<div><p>부서 {key}</p></div><a href="/jobs/{key}">{one}</a><div>마감일: 2026-05-01</div></div>',
+    "<ul><li><h3>{one}</h3> 정규직 {key}<ul><li>서울</li></ul><li>{two} 계약직</ul>",
+    "<table><tr><td>{one}<td>정규직 {key}<tr><td><table><tr><td>{two}</td></tr></table> 인턴</table>",
+    "</div></li><article>{seg} 정규직 <h2>{one}</h2> {key}",
+    "<div><article><strong>{one}</strong> 정규직</div>{key} <strong>{two}</strong></article> 계약직",
+    '<div class="a"><div class="b"><ol><li><strong>{one}</strong><li><a href="/recruit/{key}">{two}</a> 정규직</ol></div>{seg}</div>')
+FOOTERS = '<div class="my-footer"><div>{seg}</div><footer>in {key}</footer>x</div><footer>a<footer>b</footer>{one}</footer><p>more</p><address>{key}'
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as recruitment pages whose elements are nested, overlap or lack end tags."""
+    key = F.col("c_custkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    made = F.concat(F.lit("<html><body>"), pick(NESTED, key), F.lit(FOOTERS))
+    for name, value in (("{seg}", F.initcap("c_mktsegment")), ("{key}", key.cast("string")), ("{one}", pick(JOB_TITLES, key)), ("{two}", pick(JOB_TITLES, F.floor(key / 5)))):
+        made = F.replace(made, F.lit(name), value)
+    url = F.concat(F.lit("https://c"), key.cast("string"), F.lit(".co.kr/recruit"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key.cast("string"), F.lit(".co.kr")).alias("domain"), key.alias("page_idx"), url.alias("url"),
+                                                   url.alias("final_url"), F.lit("recruitment").alias("category"), made.alias("html"))
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as already extracted page texts; the source is the site."""
     return table(spark, sf_dir, "documents").select(
