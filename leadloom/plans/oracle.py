@@ -569,10 +569,13 @@ SQL["leads_from_scans"] = f"""WITH {SITE}, {OPENINGS} SELECT key + 1 AS row, dom
   {SIGNAL} AS it_hiring, '주소: ' || address || coalesce(chr(10) || '채용: ' || titles, '') AS memo FROM site LEFT JOIN jobs USING (key)"""
 SQL["decode_pages"] = """WITH t AS (SELECT page_id, CASE WHEN page_id % 2 = 1 THEN regexp_replace(html, '[^\\x{00}-\\x{ff}]', '?', 'g') ELSE html END AS html FROM pages)
   SELECT page_id, length(html) AS chars, md5(html) AS html FROM t"""
-UPLOAD = "upload AS (SELECT 'f' || c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, c_name, CAST(floor(c_acctbal) AS BIGINT)::VARCHAR AS budget FROM customer)"
+UPLOAD = "upload AS (SELECT 'f' || c_nationkey || '_' || (c_custkey // 10000) AS file, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 10000 ORDER BY c_custkey) AS row, c_name, CAST(floor(c_acctbal) AS BIGINT)::VARCHAR AS budget FROM customer)"
 SQL["read_leads_csv"] = f"WITH {UPLOAD} SELECT file, row, 'Co, ' || c_name AS company, budget FROM upload"
-SQL["read_leads_json"] = f"""WITH {UPLOAD} SELECT file, row, '"Co, ' || c_name || '"' AS company, NULL::VARCHAR AS code FROM upload WHERE file <> 'f3'
-  UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL::VARCHAR, 'file_invalid' FROM upload WHERE file = 'f3'"""
+SQL["read_split_csv"] = """SELECT 'f' || c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, 'Co; ' || c_name || ' "A"' || chr(13) || chr(10) || 'of ' || c_mktsegment AS company,
+  CAST(floor(c_acctbal) AS BIGINT)::VARCHAR AS budget FROM customer"""
+SQL["decode_korean"] = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '우리회사 대표이사 홍길동 ' ELSE 'Café für ' END || c_name AS html FROM customer"
+SQL["read_leads_json"] = f"""WITH {UPLOAD} SELECT file, row, '"Co, ' || c_name || '"' AS company, NULL::VARCHAR AS code FROM upload WHERE NOT starts_with(file, 'f3_')
+  UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL::VARCHAR, 'file_invalid' FROM upload WHERE starts_with(file, 'f3_')"""
 SQL["read_sitemaps"] = "SELECT 'x.kr' AS domain, 'https://x.kr/n' || s_nationkey || '.xml' AS sitemap_url, 'https://x.kr/s/' || s_suppkey AS url FROM supplier"
 SQL["import_leads"] = WITH_IMPORT + """, q AS (SELECT k.*, coalesce(bad, false) AS no, CASE WHEN row % 2 = 0 THEN 'a.csv' ELSE 'b.csv' END AS file, row // 2 + 1 AS r FROM keyed k),
   z AS (SELECT q.*, row_number() OVER (PARTITION BY key ORDER BY no, file, r) AS nth FROM q),

@@ -767,7 +767,7 @@ def _doc_sources(s, d) -> DataFrame:
 
 @query
 def label_value(s, d):
-    rows = facts.label_value(_doc_sources(s, d), ("secret", "token", "key"), 120, "=")
+    rows = facts.label_value(_doc_sources(s, d), ("secret", "token", "key"), None, "=")
     return rows.where("value is not null").select(F.col("src.idx").alias("page_idx"), "value")
 
 
@@ -1049,10 +1049,10 @@ def decode_pages(s, d):
 
 
 def _upload(s, d) -> DataFrame:
-    """Customers by nation, in order of their key."""
+    """Customers by nation, at most 10,000 keys a file, in order of their key."""
     c = T.table(s, d, "customer")
     row = F.struct("c_custkey", F.concat(F.lit('"Co, '), F.col("c_name"), F.lit('"')).alias("company"), F.floor("c_acctbal").cast("bigint").cast("string").alias("budget"))
-    return c.groupBy(F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return c.groupBy(F.concat(F.lit("f"), F.col("c_nationkey").cast("string"), F.lit("_"), F.floor(F.col("c_custkey") / 10000).cast("string")).alias("file")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
 @query
@@ -1063,10 +1063,35 @@ def read_leads_csv(s, d):
     return rows.select("file", "row", F.col("raw")["company"].alias("company"), F.col("raw")["budget"].alias("budget"))
 
 
+@query
+def read_split_csv(s, d):
+    """One file a nation, as lines of many splits: each record has a quoted line break and quotes, and splits end inside records."""
+    c = T.table(s, d, "customer")
+    company = F.concat(F.lit('"Co; '), F.col("c_name"), F.lit(' ""A""\r'))
+    budget = F.concat(F.lit('of '), F.col("c_mktsegment"), F.lit('";'), F.floor("c_acctbal").cast("bigint").cast("string"), F.lit("\r"))
+    rows = c.select("c_nationkey", "c_custkey", F.posexplode(F.array(company, budget, F.lit(" "))).alias("i", "text"))
+    seq = F.col("c_custkey") * 3 + F.col("i")
+    lines = rows.select(F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file"), F.floor(seq / 100).alias("block"), seq.alias("seq"), F.encode("text", "UTF-8").alias("line"))
+    heads = T.table(s, d, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("file"), F.lit(0).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("seq"),
+                                           F.encode(F.lit("\ufeffcompany;budget"), "UTF-8").alias("line"))
+    out = R.leads_from_lines(lines.unionByName(heads))
+    return out.select("file", "row", F.col("raw")["company"].alias("company"), F.col("raw")["budget"].alias("budget"))
+
+
+@query
+def decode_korean(s, d):
+    """Korean bodies under a header that names a Western charset, beside true Western ones."""
+    c = T.table(s, d, "customer")
+    korean = F.unhex(F.lit("bfecb8aec8b8bbe720b4ebc7a5c0ccbbe720c8abb1e6b5bf20"))
+    body = F.when(F.col("c_custkey") % 2 == 0, F.concat(korean, F.encode("c_name", "UTF-8"))).otherwise(F.encode(F.concat(F.lit("Café für "), "c_name"), "ISO-8859-1"))
+    out = R.decode_pages(c.select("c_custkey", body.alias("content"), F.lit("text/html; charset=ISO-8859-1").alias("kind")), "kind")
+    return out.select("c_custkey", "html")
+
+
 @query
 def read_leads_json(s, d):
     body = F.to_json(F.struct(F.transform("rows", lambda r: F.struct(r["company"].alias("company"), r["budget"].alias("budget"))).alias("leads")))
-    content = F.when(F.col("file") == "f3", F.lit("{bad")).otherwise(body)
+    content = F.when(F.col("file").startswith("f3_"), F.lit("{bad")).otherwise(body)
     rows, errors = R.leads_from_json(_upload(s, d).select("file", F.encode(content, "UTF-8").alias("content")))
     good = rows.select("file", "row", F.col("raw")["company"].alias("company"), F.lit(None).cast("string").alias("code"))
     return good.unionByName(errors.select("file", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("string").alias("company"), "code"))

@@ -2,6 +2,7 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,56 @@ def test_csv_dialects(spark, folder, text, sep):
     assert len(rows) == 1 and rows[0].raw["email"] == "a@a.kr" and rows[0].raw["company"].startswith("A")
 
 
+def whole_records(text):
+    """Records by one walk over the text."""
+    out, now, quoted = [], "", False
+    for c in text:
+        quoted ^= c == '"'
+        if c in "\r\n" and not quoted:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+    return [r for r in [*out, now] if r.strip(" ")]
+
+
+@pytest.mark.parametrize("codec", ["utf-8", "utf-8-sig", "cp949"])
+def test_csv_in_splits(spark, folder, codec):
+    """Files read in many splits give the records of one walk: breaks and quotes inside quotes, blank lines, both kinds of line ends, splits inside a record."""
+    rng = random.Random(7)
+    files = {}
+    for n in range(4):
+        rows = ["company,memo"] + [rng.choice(['하늘 {i},x', '"a\r\nb\n\n{i}","q"', '"say ""hi""\n,{i}",y', '', '  ', 'plain {i},"\n"', '"{i}\r한글",z']).format(i=i) for i in range(300)]
+        files[f"{folder}/f{n}.csv"] = "".join(r + rng.choice(["\n", "\r\n"]) for r in rows) + ('"never closed\nto the end' if n == 3 else "")
+        with open(f"{folder}/f{n}.csv", "wb") as f:
+            f.write(files[f"{folder}/f{n}.csv"].encode(codec))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = {}
+    try:
+        for size in ("300b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = readers.file_lines(spark, folder)
+            assert size != "300b" or lines.select("file", "block").distinct().count() > 40
+            for r in readers.csv_records(lines).orderBy("file", "n").collect():
+                got.setdefault((size, os.path.basename(r.file)), []).append(r.record)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for path, text in files.items():
+        want = whole_records(text)
+        for size in ("300b", "128m"):
+            assert [r.rstrip("\n") for r in got[size, os.path.basename(path)]] == [r.rstrip("\n") for r in want]
+    content = spark.createDataFrame([(p, bytearray(t.encode(codec))) for p, t in files.items()], "file string, content binary")
+    a = readers.leads_from_csv(content).select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), "row", F.to_json("raw").alias("raw"))
+    b = readers.read_leads_csv(spark, folder).select(F.regexp_extract("file", "[^/]*$", 0).alias("file"), "row", F.to_json("raw").alias("raw"))
+    assert a.count() > 500 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_csv_without_rows(spark):
+    files = spark.createDataFrame([("a.csv", bytearray(b"")), ("b.csv", bytearray(b"only,header\n")), ("c.csv", bytearray(b"\n\n \n")), ("d.csv", None)], "file string, content binary")
+    assert readers.leads_from_csv(files).count() == 0
+    assert [(r.file, r.n, r.record) for r in readers.csv_records(readers.content_lines(files)).collect()] == [("b.csv", 1, "only,header")]
+
+
 def test_json_import(spark, folder):
     files = {"a.json": '[{"company": "LG CNS", "contact": "Park", "tech_stack": "MSA|AWS"}, 5]', "b.json": "{bad",
              "c.json": '{"leads": [{"company": "B", "tech_stack": ["Go", "AI"]}]}', "d.json": '{"company": "D"}', "e.json": '{"leads": [], "data": [{"company": "E"}]}'}

@@ -24,6 +24,13 @@ def test_decode(spark, codec, meta, header):
     assert "우리회사 대표이사 홍길동" in readers.decode_pages(df, "content_type").first().html
 
 
+@pytest.mark.parametrize("text, codec", [("한글 회사 대표이사 홍길동", "cp949"), ("Café für Größe", "iso-8859-1")])
+def test_decode_under_a_western_header(spark, text, codec):
+    """Korean bytes read as Latin letters are damage; true Latin text is not."""
+    df = spark.createDataFrame([(bytearray(text.encode(codec)), "text/html; charset=ISO-8859-1")], "content binary, content_type string")
+    assert readers.decode_pages(df, "content_type").first().html == text
+
+
 def test_page_files(spark, folder):
     with open(f"{folder}/a.html", "wb") as f:
         f.write(TEXT.format(meta="").encode("cp949"))
