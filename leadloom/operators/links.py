@@ -10,6 +10,7 @@ from ..functions import fixed, html
 from ..functions import urls as U
 from ..functions.ranking import first_per_key, top_per_key
 from ..functions.text import any_of, computed, label_value, token_pattern, trimmed, value_map
+from .rounds import distances
 
 LETTERS = "a-z"
 
@@ -135,16 +136,11 @@ def link_graph(pages: DataFrame, links: DataFrame) -> DataFrame:
     return edges.join(by_key, ["domain", "_k"], "left").drop("_k")
 
 
-def page_depths(pages: DataFrame, graph: DataFrame) -> DataFrame:
-    """Link distance from the home page (0, 1 or 2); null beyond."""
-    home = pages.where("depth = 0").select("domain", F.col("page_idx").alias("from_idx"))
-    hops = graph.where("to_idx is not null").select("domain", "from_idx", "to_idx").distinct()
-    one = hops.join(home, ["domain", "from_idx"], "left_semi").select("domain", F.col("to_idx").alias("page_idx")).distinct()
-    two = (hops.join(one.withColumnRenamed("page_idx", "from_idx"), ["domain", "from_idx"], "left_semi")
-           .select("domain", F.col("to_idx").alias("page_idx")).distinct())
-    near = (home.select("domain", F.col("from_idx").alias("page_idx"), F.lit(0).alias("d"))
-            .unionByName(one.withColumn("d", F.lit(1))).unionByName(two.withColumn("d", F.lit(2)))
-            .groupBy("domain", "page_idx").agg(F.min("d").alias("link_depth")))
+def page_depths(pages: DataFrame, graph: DataFrame, most: int | None = None) -> DataFrame:
+    """Link distance from the home page over any number of links; null for pages that none leads to (or beyond `most`)."""
+    homes = pages.where("depth = 0").select("domain", F.col("page_idx").alias("node"))
+    hops = graph.select("domain", F.col("from_idx").alias("source"), F.col("to_idx").alias("target"), F.lit(0).alias("place"))
+    near = distances(homes, hops, most=most).select("domain", F.col("node").alias("page_idx"), F.col("distance").alias("link_depth"))
     return pages.join(near, ["domain", "page_idx"], "left")
 
 

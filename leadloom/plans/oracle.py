@@ -496,10 +496,14 @@ SQL["merge_existing_keys"] = WITH_LEADS + """, k AS (SELECT email, lower(company
   SELECT DISTINCT CASE WHEN email IS NULL THEN 'pair' ELSE 'email' END AS k_kind, coalesce(email, co) AS k1, CASE WHEN email IS NULL THEN who ELSE '' END AS k2 FROM k"""
 SQL["import_anti_join"] = WITH_LEADS + """SELECT id, email FROM leads WHERE email IS NULL OR NOT (source = 'website' OR coalesce(it_hiring = 'High', false))"""
 SQL["page_filter"] = """SELECT event_id, CAST(200 + floor(value) * 5 AS BIGINT) AS status FROM events WHERE 200 + floor(value) * 5 < 400 AND event_type <> 'click'"""
-SQL["page_depths"] = WITH_LINKS + """, e AS (SELECT DISTINCT domain, from_idx, from_idx + pos * 3 AS to_idx FROM links),
-  one AS (SELECT DISTINCT e.domain, to_idx FROM e JOIN pg ON pg.home AND pg.domain = e.domain AND pg.page_idx = from_idx),
-  two AS (SELECT DISTINCT e.domain, e.to_idx FROM e JOIN one ON one.domain = e.domain AND one.to_idx = e.from_idx)
-  SELECT page_idx, CASE WHEN home THEN 0 WHEN (domain, page_idx) IN (SELECT (domain, to_idx) FROM one) THEN 1 WHEN (domain, page_idx) IN (SELECT (domain, to_idx) FROM two) THEN 2 END AS link_depth FROM pg"""
+SQL["page_depths"] = WITH_LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT domain, from_idx, from_idx + pos * 3 AS to_idx FROM links),
+  r AS (SELECT domain, page_idx AS node, 0::BIGINT AS d FROM pg WHERE home UNION SELECT e.domain, e.to_idx, d + 1 FROM r JOIN e ON e.domain = r.domain AND e.from_idx = r.node WHERE d < 100)
+  SELECT page_idx, (SELECT min(d) FROM r WHERE r.domain = pg.domain AND r.node = pg.page_idx) AS link_depth FROM pg"""
+SQL["deep_sitemaps"] = """SELECT 'x.kr' AS domain, 'https://x.kr/f' || s_nationkey || '.xml' AS sitemap_url, 2 * s_nationkey::BIGINT + 2 AS file_no, 'https://x.kr/s/' || s_suppkey AS url FROM supplier WHERE s_nationkey <= 20"""
+SQL["deep_links"] = """WITH RECURSIVE p AS (SELECT 'n' || s_nationkey AS domain, s_suppkey AS page_idx, lead(s_suppkey) OVER w AS next, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS home FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+  e AS (SELECT domain, page_idx AS a, next AS b FROM p UNION SELECT domain, page_idx, page_idx + 50 FROM p UNION SELECT domain, page_idx, page_idx // 2 FROM p WHERE page_idx % 7 = 0),
+  r AS (SELECT DISTINCT domain, home AS node, 0::BIGINT AS d FROM p UNION SELECT e.domain, e.b, d + 1 FROM r JOIN e ON e.domain = r.domain AND e.a = r.node WHERE d < 60)
+  SELECT domain, page_idx, (SELECT min(d) FROM r WHERE r.domain = p.domain AND r.node = p.page_idx) AS link_depth FROM p"""
 SQL["text_sources"] = WITH_PAGES + f""", l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM pg),
   f AS (SELECT page_idx, home, text, concat_ws(chr(10), nullif({FOOT}, ''), array_to_string(lines[CAST(floor(len(lines) * 0.75) AS BIGINT) + 1:], chr(10))) AS footer FROM l)
   SELECT 0 AS full, CASE WHEN home THEN 0 ELSE 1 END AS cat, page_idx AS idx, md5(footer) AS text FROM f WHERE footer <> ''

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as N
@@ -1111,6 +1111,35 @@ def read_sitemaps(s, d):
     return R.read_sitemaps(root.unionByName(below).unionByName(leaves).withColumn("domain", F.lit("x.kr"))).select("domain", "sitemap_url", "url")
 
 
+@query
+def deep_sitemaps(s, d):
+    """A chain of indexes 20 deep that leads back into itself; each lists the sitemap of a nation with its suppliers."""
+    n = T.table(s, d, "nation").select(F.col("n_nationkey").alias("n"))
+    url = lambda head, c: F.concat(F.lit(f"https://x.kr/{head}"), c.cast("string"), F.lit(".xml"))
+    loc = lambda c: F.concat(F.lit("<loc>"), c, F.lit("</loc>"))
+    following = F.when(F.col("n") == 20, 3).otherwise(F.col("n") + 1)
+    chain = n.select(url("i", F.col("n")).alias("sitemap_url"), F.concat(F.lit("<sitemapindex>"), loc(url("f", F.col("n"))), loc(url("i", following))).alias("body"), (F.col("n") == 0).alias("root"))
+    entries = F.array_join(F.array_sort(F.collect_list(loc(F.concat(F.lit("https://x.kr/s/"), F.col("s_suppkey").cast("string"))))), "")
+    leaves = T.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(entries.alias("body")).select(url("f", F.col("n")).alias("sitemap_url"), "body", F.lit(False).alias("root"))
+    out = R.read_sitemaps(chain.unionByName(leaves).withColumn("domain", F.lit("x.kr")))
+    return out.select("domain", "sitemap_url", F.col("file_no").cast("bigint").alias("file_no"), "url")
+
+
+@query
+def deep_links(s, d):
+    """Suppliers as pages of their nation's site: each links to the next and the one 50 further on, every seventh back to an earlier one."""
+    key = F.col("s_suppkey")
+    pages = T.table(s, d, "supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("domain"), key.alias("page_idx"))
+    home = pages.groupBy("domain").agg(F.min("page_idx").alias("home"))
+    pages = pages.join(home, "domain").select("domain", "page_idx", F.when(F.col("page_idx") == F.col("home"), 0).otherwise(1).alias("depth"))
+    after = Window.partitionBy("domain").orderBy("page_idx")
+    near = pages.select("domain", F.col("page_idx").alias("from_idx"), F.lead("page_idx").over(after).alias("to_idx"))
+    jump = pages.select("domain", F.col("page_idx").alias("from_idx"), (F.col("page_idx") + 50).alias("to_idx"))
+    back = pages.where("page_idx % 7 = 0").select("domain", F.col("page_idx").alias("from_idx"), F.floor(F.col("page_idx") / 2).alias("to_idx"))
+    out = K.page_depths(pages, near.unionByName(jump).unionByName(back))
+    return out.select("domain", "page_idx", F.col("link_depth").cast("bigint").alias("link_depth"))
+
+
 @query
 def import_leads(s, d):
     """The import of two files with the same row numbers; ids count on from the existing leads."""
