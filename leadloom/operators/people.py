@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.ranking import top_per_key
 from ..functions.text import any_of, computed, contains_any, escape, stripped, tidy
+from . import rounds
 from .facts import category_rank, display_name, is_korean_name, is_plausible_name
 
 PEOPLE_PAGES = ("management", "company", "home", "contact")
@@ -95,31 +97,67 @@ def contact_candidates(units: DataFrame, banned: DataFrame) -> DataFrame:
     return kept.select("domain", "name", "title_rank", position.alias("position"), "source_url", "seq")
 
 
+def name_variants(names: DataFrame) -> DataFrame:
+    """(domain, long, short): different names of a domain (domain, name) one of which contains the other.
+
+    Found by an equi join of a name's stretches, of the lengths that names of its domain have, with those names: no pairs of names are formed.
+    """
+    text = F.col("name")
+    lengths = names.groupBy("domain").agg(F.collect_set(F.length("name")).alias("_lengths"))       # at most as many as the longest name has characters
+    stretches = F.flatten(F.transform(F.filter("_lengths", lambda n: (n > 0) & (n <= F.length(text))), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+    probes = names.join(lengths, "domain").select("domain", F.col("name").alias("long"), F.explode(F.array_distinct(stretches)).alias("short"))
+    return probes.where("short <> long").join(names.withColumnRenamed("name", "short"), ["domain", "short"]).select("domain", "long", "short")
+
+
+def first_of_variants(ranked: DataFrame, variants: DataFrame) -> DataFrame:
+    """`ranked` (domain, name, place: what sorts them, different for each) without names that are variants of a better one that stays.
+
+    The choice of a walk from the best name on, made in rounds: names that no better variant is left of stay, their variants go, and what is left
+    has fewer variants than before. Each round is a written table of the variants that are still open; variants come ordered by `place`, so a
+    domain's names are never gathered.
+    """
+    side = lambda c: ranked.select("domain", F.col("name").alias(c), F.col("place").alias(f"{c}_place"))
+    pairs = variants.join(side("long"), ["domain", "long"]).join(side("short"), ["domain", "short"])
+    better = F.col("long_place") < F.col("short_place")
+    open_pairs = rounds.written(pairs.select("domain", F.when(better, F.col("long")).otherwise(F.col("short")).alias("better"), F.when(better, F.col("short")).otherwise(F.col("long")).alias("worse")), "variants")
+    lost = None
+    while not open_pairs.isEmpty():
+        worse = open_pairs.select("domain", F.col("worse").alias("better")).distinct()
+        settled = open_pairs.join(worse, ["domain", "better"], "left_anti")
+        gone = rounds.written(settled.select("domain", F.col("worse").alias("name")).distinct(), "lost")
+        lost = gone if lost is None else lost.unionByName(gone)
+        left = open_pairs
+        for c in ("better", "worse"):
+            left = left.join(gone.withColumnRenamed("name", c), ["domain", c], "left_anti")
+        # a name that stays has no open variant any more: they are all gone
+        open_pairs = rounds.written(left, "variants")
+    return ranked if lost is None else ranked.join(lost, ["domain", "name"], "left_anti")
+
+
 def key_contacts(c: DataFrame, n: int | None = None) -> DataFrame:
     """The (n best) people per domain; a name that contains, or is contained in, a better one is the same person.
 
-    People are ranked once: the distinct names of a domain are gathered in their order and walked through in one
-    expression, whatever n is.
+    People are one row per domain and name throughout: variants are found by a join and settled in rounds, the best are cut per task.
     """
     people = c.groupBy("domain", "name").agg(
         F.min("title_rank").alias("title_rank"), F.min("seq").alias("first"),
         F.min_by(F.struct("position", "source_url"), F.struct("title_rank", "seq")).alias("p"))
-    person = F.struct("title_rank", "first", "name", F.col("p.position").alias("position"), F.col("p.source_url").alias("source_url"))
-    ranked = people.groupBy("domain").agg(F.array_sort(F.collect_list(person)).alias("people"))
-    same = lambda a, b: F.lower(a["name"]).contains(F.lower(b["name"])) | F.lower(b["name"]).contains(F.lower(a["name"]))
-    full = lambda chosen: F.size(chosen) >= n if n else F.lit(False)
-    chosen = F.aggregate("people", F.slice("people", 1, 0), lambda acc, p: F.when(
-        full(acc) | F.exists(acc, lambda q: same(p, q)), acc).otherwise(F.concat(acc, F.array(p))))
-    rows = ranked.select("domain", F.posexplode(chosen).alias("pos", "b"))
-    return rows.select("domain", (F.col("pos") + 1).alias("place"), display_name(F.col("b.name")).alias("name"), "b.position", "b.source_url", "b.title_rank")
+    # spellings that differ in case only are variants of each other: the best of them stands for all
+    low = people.groupBy("domain", F.lower("name").alias("_low")).agg(F.min(F.struct("title_rank", "first", "name", "p")).alias("b"))
+    low = rounds.written(low.select("domain", F.col("_low").alias("name"), F.struct("b.title_rank", "b.first", "b.name").alias("place"), "b.p"), "people")
+    kept = first_of_variants(low, name_variants(low.select("domain", "name")))
+    best = top_per_key(kept, ["domain"], [F.asc("place")], n, "rn")
+    return best.select("domain", F.col("rn").alias("place"), display_name(F.col("place.name")).alias("name"), "p.position", "p.source_url", "place.title_rank")
 
 
 def with_ceo(contacts: DataFrame, ceo: DataFrame, n: int | None = None) -> DataFrame:
     """Contacts plus the representative of the footer where there is room and it is a new name."""
     compact = lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", ""))
-    seen = contacts.groupBy("domain").agg(F.max("place").alias("_n"), F.collect_set(compact(F.col("name"))).alias("_names"))
-    extra = (ceo.join(seen, "domain", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-             .where((F.col("_n") < n if n else F.lit(True)) & ~F.coalesce(F.array_contains("_names", compact(F.col("value"))), F.lit(False)))
+    seen = contacts.groupBy("domain").agg(F.max("place").alias("_n"))
+    known = contacts.select("domain", compact(F.col("name")).alias("_name")).distinct()
+    extra = (ceo.join(seen, "domain", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < n if n else F.lit(True))
+             .withColumn("_name", compact(F.col("value"))).join(known, ["domain", "_name"], "left_anti")
              .select("domain", (F.col("_n") + 1).alias("place"), F.col("value").alias("name"),
                      F.lit(fixed.CEO_FILL_POSITION).alias("position"), "source_url"))
     return contacts.select("domain", "place", "name", "position", "source_url").unionByName(extra)

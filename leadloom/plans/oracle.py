@@ -565,6 +565,13 @@ SQL["key_contacts"] = """WITH RECURSIVE c AS (SELECT 'n' || c_nationkey AS domai
     FROM w WHERE i <= len(ps))
   SELECT domain, place, kept[place].name AS name, 'p' || kept[place].r AS position, CAST(kept[place].r AS BIGINT) AS title_rank
   FROM (SELECT domain, kept, unnest(generate_series(1, len(kept))) AS place FROM w WHERE i = len(ps) + 1)"""
+SQL["name_variants"] = """WITH RECURSIVE p AS (SELECT 'n' || c_nationkey AS domain, 'lee ' || right((c_custkey * 7919 % 100003)::VARCHAR, (c_custkey % 4 + 1)::INT) AS name, c_custkey % 7 AS r, c_custkey AS seq, c_custkey % 3 = 0 AS big FROM customer),
+  e AS (SELECT domain, name, min(r) AS r, min(seq) AS seq FROM p GROUP BY domain, name, big),
+  b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY domain, name ORDER BY r, seq) = 1),
+  o AS (SELECT domain, name, r, row_number() OVER (PARTITION BY domain ORDER BY r, seq) AS i FROM b),
+  w AS (SELECT domain, list(struct_pack(name := name, r := r) ORDER BY i) AS ps, 1 AS i, []::STRUCT(name VARCHAR, r BIGINT)[] AS kept FROM o GROUP BY domain
+    UNION ALL SELECT domain, ps, i + 1, CASE WHEN len(list_filter(kept, lambda q: contains(q.name, ps[i].name) OR contains(ps[i].name, q.name))) > 0 THEN kept ELSE list_append(kept, ps[i]) END FROM w WHERE i <= len(ps))
+  SELECT domain, place, kept[place].name AS name, kept[place].r AS title_rank FROM (SELECT domain, kept, unnest(generate_series(1, len(kept))) AS place FROM w WHERE i = len(ps) + 1)"""
 SQL["scan_result"] = f"""WITH {SITE}, {OPENINGS} SELECT domain, c_name AS name, address, phone, CASE m WHEN 0 THEN 'info@' || domain END AS email, 'software' AS industry, biz AS biz_number, ceo,
   home AS website, home AS name_source, CASE m WHEN 1 THEN '{{"email":{{"type":"image","url":"' || home || '"}}}}' WHEN 2 THEN '{{"email":{{"type":"form","url":"' || home || '"}}}}' END AS company_hints,
   '[{{"name":"' || ceo || '","position":"대표이사","source_url":"' || home || '"}}]' AS key_contacts, '[' || coalesce(j, '') || ']' AS it_recruitment,

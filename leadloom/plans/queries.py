@@ -1038,6 +1038,18 @@ def key_contacts(s, d):
     return out.select("domain", F.col("place").cast("bigint").alias("place"), "name", "position", F.col("title_rank").cast("bigint").alias("title_rank"))
 
 
+@query
+def name_variants(s, d):
+    """As many names as customers: numbers that contain each other, in both spellings, best title first."""
+    key = F.col("c_custkey")
+    number = (key * 7919 % 100_003).cast("string")
+    names = T.table(s, d, "customer").select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("domain"), F.concat(F.when(key % 3 == 0, "LEE ").otherwise("Lee "), F.right(number, (key % 4 + 1).cast("int"))).alias("name"),
+        (key % 7).cast("int").alias("title_rank"), F.lit("p").alias("position"), F.lit("u").alias("source_url"), key.alias("seq"))
+    out = people.key_contacts(names)
+    return out.select("domain", F.col("place").cast("bigint").alias("place"), F.lower("name").alias("name"), F.col("title_rank").cast("bigint").alias("title_rank"))
+
+
 @query
 def decode_pages(s, d):
     """Page bodies as UTF-8, and as Latin 1 where a header says so."""
