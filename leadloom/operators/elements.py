@@ -73,28 +73,25 @@ def nearest(elements: DataFrame, key: Sequence[str], around: Sequence[str]) -> D
     """`elements` (rows of `spans`) with box_open and box_end: the innermost other element named in `around` that holds their start, null if none.
 
     Elements of one family lie beside or inside each other, so that the last one opened on a point's level holds it; of the families'
-    answers the one that starts last is taken, which also settles elements that overlap.
+    answers the one that starts last is taken, which also settles elements that overlap. The rows stay dealt by page throughout.
     """
-    names = [n for n in around]
-    families = sorted({FAMILIES.get(n, n) for n in names})
+    families = sorted({FAMILIES.get(n, n) for n in around})
     family = F.col("name")
     for name, of in FAMILIES.items():
         family = F.when(F.col("name") == name, of).otherwise(family)
     # of one place: ends first, then the questions, then starts; an inner element ends before an outer one
-    box = elements.filter(F.col("name").isin(*names)).select(*key, family.alias("family"), F.explode(F.array(
-        F.struct(F.col("open").alias("at"), F.lit(2).alias("turn"), F.lit(0).alias("tie"), F.lit(1).alias("step")),
-        F.struct(F.col("end").alias("at"), F.lit(0).alias("turn"), (-F.col("open")).alias("tie"), F.lit(-1).alias("step")))).alias("e"), "open", "end").select(*key, "family", "e.*", "open", "end")
-    asked = elements.select(*key, F.explode(F.array(*[F.lit(f) for f in families])).alias("family"), F.col("open").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("tie"),
-                            F.lit(0).alias("step"), "open", "end")
+    event = lambda family, at, turn, tie, step: F.struct(family.alias("family"), at.alias("at"), F.lit(turn).alias("turn"), tie.alias("tie"), F.lit(step).alias("step"))
+    box = F.col("name").isin(*around)
+    events = F.array(F.when(box, event(family, F.col("open"), 2, F.lit(0), 1)), F.when(box, event(family, F.col("end"), 0, -F.col("open"), -1)),
+                     *[event(F.lit(f), F.col("open"), 1, F.lit(0), 0) for f in families])
+    rows = elements.select(*key, "name", "open", "end", F.explode(F.array_compact(events)).alias("e")).select(*key, "name", "open", "end", "e.*")
     order = ("at", "turn", "tie")
-    rows = box.unionByName(asked).repartition(*key).withColumn("depth", F.sum("step").over(Window.partitionBy(*key, "family").orderBy(*order)))
-    level = F.when(F.col("step") < 0, F.col("depth") + 1).otherwise(F.col("depth"))
+    rows = rows.withColumn("depth", F.sum("step").over(Window.partitionBy(*key, "family").orderBy(*order)))
+    rows = rows.withColumn("level", F.when(F.col("step") < 0, F.col("depth") + 1).otherwise(F.col("depth")))
     opened = F.when(F.col("step") > 0, F.struct("open", "end"))
-    rows = rows.withColumn("level", level).withColumn("box", F.last(opened, ignorenulls=True).over(Window.partitionBy(*key, "family", "level").orderBy(*order)))
-    found = rows.filter((F.col("step") == 0) & (F.col("depth") > 0)).groupBy(*key, "open").agg(F.max("box").alias("box"))
-    e, f = elements.alias("e"), found.alias("f")
-    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*key, "open")]
-    return e.join(f, same, "left").select("e.*", F.col("f.box.open").alias("box_open"), F.col("f.box.end").alias("box_end"))
+    rows = rows.withColumn("box", F.last(opened, ignorenulls=True).over(Window.partitionBy(*key, "family", "level").orderBy(*order)))
+    asked = rows.filter("step = 0").groupBy(*key, "name", "open", "end").agg(F.max(F.when(F.col("depth") > 0, F.col("box"))).alias("box"))
+    return asked.select(*key, "name", "open", "end", F.col("box.open").alias("box_open"), F.col("box.end").alias("box_end"))
 
 
 def between(page_parts: Column, start: Column, end: Column) -> Column:

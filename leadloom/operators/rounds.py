@@ -5,7 +5,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -25,6 +25,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the written tables. For the end of a job: results that are still lazy read them."""
+    root = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    if root:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(root)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(hadoop.Path(folder, "rounds-*")) or []:
+            fs.delete(status.getPath(), True)
+
+
 def distances(starts: DataFrame, edges: DataFrame, key: Sequence[str] = ("domain",), most: int | None = None) -> DataFrame:
     """(key, node, distance, place) of all nodes that edges (key, source, target, place) lead to from starts (key, node), by the fewest edges.
 

@@ -96,10 +96,14 @@ def tech_of(jobs: Column, n: int | None = None, keywords: Sequence[str] = fixed.
 def leads_from_scans(companies: DataFrame, scans: DataFrame, max_titles: int | None = None, max_people: int | None = None) -> DataFrame:
     """Raw leads prefilled from saved companies and their scan results (joined on domain).
 
-    The memo lists all openings and further people unless a number is given."""
-    r = scans.select("domain", F.struct("company", "key_contacts", "it_recruitment", F.col("it_hiring")).alias("r"))
-    saved = companies.join(r, "domain", "left")
-    c, people, jobs = F.col("r.company"), F.col("r.key_contacts"), F.col("r.it_recruitment")
+    The memo lists all openings and further people unless a number is given, also those of further parts of a result."""
+    r = scans.where("part = 0").select("domain", F.struct("company", "key_contacts", "it_recruitment", F.col("it_hiring")).alias("r"))
+    listed = F.array_sort(F.collect_list(F.struct("part", F.col("key_contacts").alias("p"), F.col("it_recruitment").alias("j"))))
+    further = scans.where("part > 0").groupBy("domain").agg(listed.alias("l")).select("domain", F.struct(
+        F.flatten(F.transform("l", lambda x: x["p"])).alias("p"), F.flatten(F.transform("l", lambda x: x["j"])).alias("j")).alias("more"))
+    saved = companies.join(r, "domain", "left").join(further, "domain", "left")
+    whole = lambda first, more: F.when(F.col("more").isNull(), first).otherwise(F.concat(first, more))
+    c, people, jobs = F.col("r.company"), whole(F.col("r.key_contacts"), F.col("more.p")), whole(F.col("r.it_recruitment"), F.col("more.j"))
     fact = lambda f: F.coalesce(empty_to_null(c[f]), F.col(f))
     first = F.try_element_at(people, F.lit(1))
     ceo = F.coalesce(empty_to_null(c["ceo"]), empty_to_null("ceo"))
