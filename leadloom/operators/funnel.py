@@ -55,16 +55,15 @@ def pipeline_funnel(history: DataFrame, leads: DataFrame) -> DataFrame:
     return totals.select(F.inline(F.array(*[row(i) for i in range(len(stages))])))
 
 
-def stage_intervals(history: DataFrame, as_of: Column, bucket: str = "day") -> DataFrame:
+def stage_intervals(history: DataFrame, as_of: Column) -> DataFrame:
     """History rows with the time of the next change of the same lead, else `as_of`."""
-    moved = neighbour(history, "lead_id", ("at", "id"), "at", "next_at",
-                      bucket=F.date_trunc(bucket, F.col("at")), step=1)
+    moved = neighbour(history, "lead_id", ("at", "id"), "at", "next_at", step=1)
     return moved.withColumn("until", F.coalesce("next_at", as_of)).drop("next_at")
 
 
-def stage_durations(history: DataFrame, leads: DataFrame, as_of: Column, bucket: str = "day") -> DataFrame:
+def stage_durations(history: DataFrame, leads: DataFrame, as_of: Column) -> DataFrame:
     """Mean days per visit of each open stage; a stage never visited gets null."""
-    visits = stage_intervals(orphan_history_filter(history, leads), as_of, bucket)
+    visits = stage_intervals(orphan_history_filter(history, leads), as_of)
     stats = (visits.where(F.col("to_status").isin(*fixed.OPEN_STATUSES))
              .groupBy(F.col("to_status").alias("stage"))
              .agg(F.sum(seconds_between("at", "until")).alias("us"), F.count(F.lit(1)).alias("visits")))

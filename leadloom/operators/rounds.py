@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder of `spark.checkpoint.dir`; a temporary folder only where none is set and all runs on one machine."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below that of `spark.checkpoint.dir`, which all machines see; in a temporary one only where none is set and all runs on one machine."""
     root = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines see")
-        root = checkpoint_dir(spark, "file://" + tempfile.mkdtemp(prefix="run-")) or ""
+        root = "file://" + tempfile.mkdtemp(prefix="run-")
+        checkpoint_dir(spark, root)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/rounds-{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/rounds-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: lineage ends here, and what reads it twice reads the same rows."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -30,9 +35,9 @@ def release(spark: SparkSession) -> None:
     root = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
     if root:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(root)
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for status in fs.globStatus(hadoop.Path(folder, "rounds-*")) or []:
+        top = hadoop.Path(root)
+        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(hadoop.Path(top, "rounds-*")) or []:
             fs.delete(status.getPath(), True)
 
 

@@ -637,3 +637,11 @@ SQL["nested_openings"] = f"""WITH {NESTED}, cut AS (SELECT *, regexp_extract_all
   FROM txt WHERE linked = (phase = 1) AND regexp_matches(t, '개발|데이터|엔지니어|백엔드') AND length({_tidy('t')}) BETWEEN 4 AND 60 AND len(string_split({_tidy('t')}, ' ')) <= 8"""
 SQL["nested_footers"] = f"""WITH {NESTED} SELECT page_idx, pos, replace(replace(replace(CASE pos WHEN 0 THEN 'a b ' || regexp_extract(html, '</footer>([^<]*)</footer>', 1) WHEN 1 THEN regexp_extract(html, 'my-footer"><div>([^<]*)<', 1) || ' in ' || page_idx || ' x'
     ELSE page_idx::VARCHAR END, '&', '&'), chr(10), ' '), '  ', ' ') AS text FROM np, (SELECT unnest([0, 1, 2]) AS pos)"""
+
+# --- streams ---------------------------------------------------------------------------------------
+
+DELTAS = WITH_TREND + """, newest AS (SELECT domain, id, it_jobs, lead(it_jobs) OVER w AS prev_it_jobs, row_number() OVER w AS n FROM scans WINDOW w AS (PARTITION BY domain ORDER BY scanned_at DESC, id DESC))"""
+SQL["stream_jobs_delta"] = DELTAS + " SELECT domain, id, it_jobs, prev_it_jobs, it_jobs - prev_it_jobs AS jobs_delta FROM newest WHERE n = 1"
+SQL["stream_rising_alerts"] = DELTAS + " SELECT domain, id, 1::BIGINT AS alerts FROM newest WHERE n = 1 AND it_jobs > prev_it_jobs"
+SQL["stream_stage_state"] = WITH_HIST + """SELECT lead_id, to_status AS status FROM hist QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY "at" DESC, id DESC) = 1"""
+SQL["stream_dedupe"] = "SELECT source AS domain, count(DISTINCT CASE WHEN coalesce(text, '') <> '' THEN text ELSE 'page ' || doc_id END) AS pages FROM documents GROUP BY 1"

@@ -12,11 +12,12 @@ from ..functions import urls as U
 
 from ..operators import contracts as C
 from ..operators import exports as X
-from ..operators import facts, funnel, imports, jobs, people, scans, updates
+from ..operators import facts, funnel, imports, jobs, people, rounds, scans, updates
 from ..operators import leads as L
 from ..operators import links as K
 from ..operators import pages as P
 from ..sources import readers as R
+from ..streaming import streams
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,13 +169,13 @@ def pipeline_funnel(s, d):
 
 @query
 def stage_intervals(s, d):
-    rows = funnel.stage_intervals(_history(s, d), T.events_as_of(), "hour")
+    rows = funnel.stage_intervals(_history(s, d), T.events_as_of())
     return rows.select("id", "lead_id", "to_status", *_s("at", "until"))
 
 
 @query
 def stage_durations(s, d):
-    return funnel.stage_durations(*_funnel(s, d), T.events_as_of(), "hour").drop("pos")
+    return funnel.stage_durations(*_funnel(s, d), T.events_as_of()).drop("pos")
 
 
 @query
@@ -1185,3 +1186,60 @@ def find_duplicate_leads(s, d):
 def duplicate_lead_keys(s, d):
     """The leads behind the shared keys."""
     return L.find_duplicate_leads(T.raw_leads(s, d).withColumnRenamed("row", "probe_id"), T.leads(s, d))[1]
+
+
+# --- streams: the state they end in for a replay of the tables --------------------------------
+
+
+def _replayed(df: DataFrame, name: str, order: str, batches: int = 4) -> DataFrame:
+    """The rows as a stream of several batches, dealt by a hash of `order` and so in no order of time."""
+    batch = F.pmod(F.xxhash64(order), F.lit(batches))
+    files = rounds.written(df.repartitionByRange(batches, batch).sortWithinPartitions(order), name)
+    path = files.inputFiles()[0].rsplit("/", 1)[0]
+    return df.sparkSession.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _deltas(s, d) -> str:
+    history = T.scan_history(s, d).select("domain", "id", "scanned_at", "it_jobs")
+    path = rounds.folder(s, "deltas")
+    streams.stream_jobs_delta(_replayed(history, "scans", "id"), path, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return path
+
+
+@query
+def stream_jobs_delta(s, d):
+    """Openings and their change per company after its scans came in four batches without order."""
+    out = streams.read_jobs_delta(s, _deltas(s, d))
+    return out.select("domain", "id", "it_jobs", "prev_it_jobs", "jobs_delta")
+
+
+@query
+def stream_rising_alerts(s, d):
+    """Alerts of the newest scans; alerts of scans that were the newest for a while are left out, as they depend on the batches."""
+    path = _deltas(s, d)
+    newest = streams.read_jobs_delta(s, path).where("jobs_delta > 0").select("domain", "id")
+    alerts = streams.read_rising_alerts(s, path).join(newest, ["domain", "id"])
+    return alerts.groupBy("domain", "id").agg(F.count("*").alias("alerts"))
+
+
+@query
+def stream_stage_state(s, d):
+    """Current status of every lead after its history came in four batches without order."""
+    stream = _replayed(_history(s, d).select("id", "lead_id", "to_status", "at"), "stages", "id")
+    path = rounds.folder(s, "stage-state")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+    streams.stream_stage_state(stream).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.parquet(f"{path}/state")
+    last = rows.agg(F.max("batch").alias("last"))
+    return rows.join(last, F.col("batch") == F.col("last")).select("lead_id", "status")
+
+
+@query
+def stream_dedupe(s, d):
+    """Documents as pages fetched in order of their id, seconds apart: one of each content within the delay, which covers all."""
+    docs = T.document_pages(s, d).withColumn("fetched_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_idx")))
+    stream = _replayed(docs.select("domain", "page_idx", "final_url", "text", "fetched_at"), "fetched", "page_idx")
+    path = rounds.folder(s, "deduped")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    streams.stream_dedupe(stream, "60 days", by="content").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").groupBy("domain").agg(F.count("*").alias("pages"))

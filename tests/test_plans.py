@@ -40,9 +40,32 @@ def test_neighbour_equals_the_window_for_a_hot_key(spark):
         (F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.lit(500_000)))).alias("t"),
         F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"))
     for step, fn in ((1, F.lead), (-1, F.lag)):
-        got = neighbour(df, "k", ("t", "id"), "v", "n", bucket=F.date_trunc("hour", "t"), step=step)
         want = df.withColumn("n", fn("v").over(Window.partitionBy("k").orderBy("t", "id")))
-        assert got.select("id", "n").exceptAll(want.select("id", "n")).isEmpty()
+        for bucket in (F.date_trunc("hour", "t"), None):
+            got = neighbour(df, "k", ("t", "id"), "v", "n", bucket=bucket, step=step)
+            assert got.select("id", "n").exceptAll(want.select("id", "n")).isEmpty() and got.columns == want.columns
+
+
+def test_one_hot_moment_is_split(spark, monkeypatch):
+    """A third of the rows are one key's within one hour, and some share their very time: ranges part them, rows stay the same."""
+    from pyspark.sql import Window
+
+    from leadloom.functions import ranking
+    df = spark.range(6000).select(
+        "id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("k"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.when(F.col("id") % 3 == 0, F.lit(600)).otherwise(F.lit(500_000)))).alias("t"))
+    seen = []
+    monkeypatch.setattr(ranking, "written", lambda rows, name: seen.append(rows_written := written(rows, name)) or rows_written)
+    from leadloom.operators.rounds import written
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # small ranges would be put together
+    try:
+        got = neighbour(df.repartition(7), "k", ("t", "id"), "id", "n", step=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = df.withColumn("n", F.lead("id").over(Window.partitionBy("k").orderBy("t", "id")))
+    assert got.select("id", "n").exceptAll(want.select("id", "n")).isEmpty() and got.count() == 6000
+    sizes = {r._bucket: r["count"] for r in seen[0].where("k = 1").groupBy("_bucket").count().collect()}
+    assert len(sizes) > 1 and max(sizes.values()) < 0.9 * sum(sizes.values())
 
 
 def test_results_do_not_depend_on_partitions(spark):
