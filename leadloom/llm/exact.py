@@ -1,4 +1,4 @@
-"""Exact deduplication: a tree-merge of digest runs."""
+"""Exact deduplication: a tree-merge of sorted digest runs."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -20,19 +20,23 @@ def digest_runs(docs: DataFrame, runs: int) -> DataFrame:
 def merge_tree(rows: DataFrame, runs: int, fan_in: int, smallest: bool) -> DataFrame:
     """Digest, keep_id and group_size of every group.
 
-    In each round run r goes to run r div fan_in: up to fan_in runs meet, and of rows equal in all parts of the digest one stays
-    with the winning identifier and the summed count. Equal SHA-256 with another check or length never merges. The rows of one digest
-    are at most as many as the runs that are left, so that a text of a third of all documents is never gathered in one task;
-    runs are spread over tasks by digest, so the last round is as parallel as the first.
+    Round 0 sorts each run by digest and merges equal neighbours, first inside every input partition, so that a frequent text leaves it
+    as one row. Then runs r with the same r div fan_in are exchanged and merged: they meet in ranges of (run, digest), are sorted together, and of
+    neighbours equal in all parts of the digest one stays with the winning identifier and the summed count, until one run is left. Equal
+    SHA-256 with another check or length never merges. The winning identifier is kept as a struct, which Spark aggregates over sorted input only: every
+    merge is by order, none by hash. A digest has at most fan_in rows in a round, so a text of a third of all documents is never gathered in one task;
+    a round has as many ranges as the shuffle has partitions, so the last one is as parallel as the first.
     """
     pick = F.min if smallest else F.max
-    level = rows.select("run", *DIGEST, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    while True:
-        level = level.groupBy("run", *DIGEST).agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        if runs == 1:
-            return level.drop("run")
+    named = F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id").alias("id")) if not smallest else F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"))
+    level = rows.select("run", *DIGEST, named.alias("keep"), F.lit(1).cast("long").alias("group_size"))
+    merged = lambda sorted_runs: sorted_runs.groupBy("run", *DIGEST).agg(pick("keep").alias("keep"), F.sum("group_size").alias("group_size"))
+    level = merged(level)
+    while runs > 1:
         runs = -(-runs // fan_in)
         level = level.withColumn("run", F.floor(F.col("run") / fan_in))
+        level = merged(level.repartitionByRange("run", "sha").sortWithinPartitions("run", *DIGEST))
+    return level.select(*DIGEST, F.col("keep.id").alias("keep_id"), "group_size")
 
 
 def exact_groups(docs: DataFrame, runs: int = 64, fan_in: int = 8, smallest: bool = True) -> DataFrame:

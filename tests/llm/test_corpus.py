@@ -71,6 +71,13 @@ def test_merge_tree_is_the_same_for_any_runs(odd, runs, fan_in):
     assert a.exceptAll(exact.exact_groups(odd, smallest=False).select("doc_id", "keep_id", "group_size")).isEmpty()
 
 
+def test_runs_are_merged_by_order(odd):
+    """Sorted aggregates over ranges of run and digest, none by hash."""
+    rows = common.staged(exact.digest_runs(odd, 64), "digests")
+    plan = exact.merge_tree(rows, 64, 8, True)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") >= 3 and plan.count("rangepartitioning(run") == 2
+
+
 def test_lines(odd, none):
     got = {(r.row.doc_id, r.row.text): r.kept_text for r in lines.dedup_lines(odd).collect()}
     assert lines.dedup_lines(none).count() == 0 and lines.dedup_lines(odd).count() == odd.count()
