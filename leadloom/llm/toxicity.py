@@ -89,8 +89,8 @@ def _sum(parts: Iterator[np.ndarray], keep) -> Iterator[np.ndarray]:
     yield total[keep]
 
 
-def train(labelled: DataFrame, max_documents: int = 20_000, steps: int = 100, rate: float = 0.1, least_documents: int = 5,
-          ridge: float = 0.3, lasso: float = 2.0) -> tuple[np.ndarray, float]:
+def train(labelled: DataFrame, max_documents: int = 20_000, steps: int = 100, rate: float = 0.1, least_documents: int = 3,
+          ridge: float = 0.1, lasso: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights by word and bias from `labelled` (doc_id, text, toxic).
 
     A bounded sample is used: `max_documents` rows, in the order of a hash of doc_id. Each step sums the gradient over all of the
