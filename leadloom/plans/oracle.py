@@ -499,7 +499,7 @@ SQL["page_filter"] = """SELECT event_id, CAST(200 + floor(value) * 5 AS BIGINT)
 SQL["page_depths"] = WITH_LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT DISTINCT domain, from_idx, from_idx + pos * 3 AS to_idx FROM links),
   r AS (SELECT domain, page_idx AS node, 0::BIGINT AS d FROM pg WHERE home UNION SELECT e.domain, e.to_idx, d + 1 FROM r JOIN e ON e.domain = r.domain AND e.from_idx = r.node WHERE d < 100)
   SELECT page_idx, (SELECT min(d) FROM r WHERE r.domain = pg.domain AND r.node = pg.page_idx) AS link_depth FROM pg"""
-SQL["deep_sitemaps"] = """SELECT 'x.kr' AS domain, 'https://x.kr/f' || s_nationkey || '.xml' AS sitemap_url, 2 * s_nationkey::BIGINT + 2 AS file_no, 'https://x.kr/s/' || s_suppkey AS url FROM supplier WHERE s_nationkey <= 20"""
+SQL["deep_sitemaps"] = """SELECT 'x.kr' AS domain, 'https://x.kr/f' || s_nationkey || '.xml' AS sitemap_url, s_nationkey + 1 + (SELECT count(DISTINCT o.s_nationkey) FROM supplier o WHERE o.s_nationkey <= s.s_nationkey) AS file_no, 'https://x.kr/s/' || s_suppkey AS url FROM supplier s WHERE s_nationkey <= 20"""
 SQL["deep_links"] = """WITH RECURSIVE p AS (SELECT 'n' || s_nationkey AS domain, s_suppkey AS page_idx, lead(s_suppkey) OVER w AS next, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS home FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
   e AS (SELECT domain, page_idx AS a, next AS b FROM p UNION SELECT domain, page_idx, page_idx + 50 FROM p UNION SELECT domain, page_idx, page_idx // 2 FROM p WHERE page_idx % 7 = 0),
   r AS (SELECT DISTINCT domain, home AS node, 0::BIGINT AS d FROM p UNION SELECT e.domain, e.b, d + 1 FROM r JOIN e ON e.domain = r.domain AND e.a = r.node WHERE d < 60)
