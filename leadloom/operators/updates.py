@@ -96,7 +96,9 @@ def tech_of(jobs: Column, n: int | None = None, keywords: Sequence[str] = fixed.
 def leads_from_scans(companies: DataFrame, scans: DataFrame, max_titles: int | None = None, max_people: int | None = None) -> DataFrame:
     """Raw leads prefilled from saved companies and their scan results (joined on domain).
 
-    The memo lists all openings and further people unless a number is given, also those of further parts of a result."""
+    The memo lists all openings and further people unless a number is given, also those of further parts of a result.
+    Results without parts are whole."""
+    scans = scans if "part" in scans.columns else scans.withColumn("part", F.lit(0))
     r = scans.where("part = 0").select("domain", F.struct("company", "key_contacts", "it_recruitment", F.col("it_hiring")).alias("r"))
     listed = F.array_sort(F.collect_list(F.struct("part", F.col("key_contacts").alias("p"), F.col("it_recruitment").alias("j"))))
     further = scans.where("part > 0").groupBy("domain").agg(listed.alias("l")).select("domain", F.struct(
