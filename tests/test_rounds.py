@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from leadloom.operators import links
+from leadloom.operators import links, rounds
 from leadloom.operators.rounds import distances
 from leadloom.sources import readers
 
@@ -52,3 +52,14 @@ def test_depths_beyond_two(spark):
     pages = spark.createDataFrame([("x.kr", i, 0 if i == 0 else 1) for i in range(9)], "domain string, page_idx long, depth int")
     graph = spark.createDataFrame([("x.kr", i, i + 1) for i in range(6)] + [("x.kr", 6, 2), ("x.kr", 0, None), ("x.kr", 7, 0)], "domain string, from_idx long, to_idx long")
     assert {r.page_idx: r.link_depth for r in links.page_depths(pages, graph).collect()} == {**{i: i for i in range(7)}, 7: None, 8: None}
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_a_long_chain_takes_as_many_rounds_as_it_has_blocks(spark, block, monkeypatch):
+    edges = [("d0", f"q{i:03}", f"q{i + 1:03}", i % 3) for i in range(90)] + [("d0", f"q{i:03}", f"q{i // 2:03}", 7) for i in range(0, 90, 4)] + [("d1", "q000", "q050", 1)]
+    starts = [("d0", "q000"), ("d1", "q000")]
+    tables = []
+    monkeypatch.setattr(rounds, "written", lambda df, name, write=rounds.written: tables.append(name) or write(df, name))
+    got = distances(spark.createDataFrame(starts, "domain string, node string"), spark.createDataFrame(edges, EDGES), block=block).collect()
+    assert {(r.domain, r.node): (r.distance, r.place) for r in got} == walked(starts, edges)
+    assert tables.count("round") <= 3 + len(edges) // block
