@@ -41,8 +41,10 @@ WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\
 
 
 def stripped(c: Column | str) -> Column:
-    """Without white space at both ends."""
-    return F.btrim(col(c), F.lit(WHITE_SPACE))
+    """Without white space at both ends. Spark trims a list of characters one by one, so texts with a visible ASCII character at both ends go by as they are."""
+    text = col(c)
+    clean = F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(clean, text).otherwise(F.btrim(text, F.lit(WHITE_SPACE)))
 
 
 def trimmed(c: Column | str) -> Column:
@@ -50,6 +52,13 @@ def trimmed(c: Column | str) -> Column:
     return empty_to_null(stripped(c))
 
 
+def titled(c: Column | str) -> Column:
+    """`initcap`, without its search for word breaks in texts of one word of ASCII letters."""
+    text = col(c)
+    word = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
+    return F.when(text.rlike("^[A-Za-z]+$"), word).otherwise(F.initcap(text))
+
+
 def tidy(c: Column | str) -> Column:
     """White space (non-breaking included) collapsed to one blank, separators cut off both ends."""
     flat = F.regexp_replace(F.translate(col(c), " ", " "), r"(?U)\s+", " ")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as N
 from ..functions import fixed
-from ..functions.text import computed, empty_to_null, one_of, trimmed, value_map
+from ..functions.text import computed, empty_to_null, one_of, titled, trimmed, value_map
 from ..functions.urls import website_domain
 
 FIELDS = (
@@ -51,7 +51,7 @@ def normalised(raw: DataFrame) -> DataFrame:
         F.coalesce(F.lower(trimmed(c("bridge_se"))).isin(*fixed.TRUE_WORDS), F.lit(False)).alias("bridge_se"),
         text("competitor"),
         F.when(F.lower(trimmed("status")) == "lost", one_of(c("lost_reason"), fixed.LOST_REASONS)).alias("lost_reason"),
-        F.initcap(one_of(c("it_hiring"), fixed.HIRING_LEVELS)).alias("it_hiring"), status.alias("status"),
+        titled(one_of(c("it_hiring"), fixed.HIRING_LEVELS)).alias("it_hiring"), status.alias("status"),
         text("assignee"), text("next_action"), N.iso_date(c("next_date")).alias("next_date"),
         N.iso_date(c("last_contact")).alias("last_contact"), text("memo"))
     return computed(typed, code=code)

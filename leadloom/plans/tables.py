@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ranking import neighbour
+from ..functions.text import titled
 from ..functions.urls import host, registrable
 from ..operators import contracts as contract_ops
 from ..operators import leads as lead_ops
@@ -13,8 +14,9 @@ from ..operators import pages as page_ops
 from ..operators import scans as scan_ops
 from ..sources.readers import dealt
 
-# tables whose rows are parsed at some cost
+# tables whose rows are parsed at some cost; those of narrow rows, of which one row group holds a million, are always dealt out
 COSTLY = ("pages", "documents", "orders", "customer")
+NARROW = ("orders", "customer")
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 ORDERS_AS_OF = "2001-09-01"
 STATUS_OF_EVENT = {"signup": "new", "view": "contacted", "click": "meeting", "purchase": "won", "error": "lost"}
@@ -30,7 +32,7 @@ def orders_as_of() -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return dealt(df) if name in COSTLY else df
+    return dealt(df, name in NARROW) if name in COSTLY else df
 
 
 # --- events: status history and scan history ----------------------------------------------
@@ -113,7 +115,7 @@ def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(F.date_add(start, 365), "yyyy-MM-dd").alias("end_date"),
         (F.floor("o_totalprice") * step).cast("string").alias("amount"), F.col("team").cast("string").alias("team_size"),
         digit.cast("string").alias("satisfaction"), (digit * 30).cast("string").alias("renewal_notice_days"),
-        F.concat_ws("|", F.initcap("c_mktsegment"), F.substring("o_orderpriority", 3, 20)).alias("tech"),
+        F.concat_ws("|", titled("c_mktsegment"), F.substring("o_orderpriority", 3, 20)).alias("tech"),
         F.when(digit == 1, F.lit("urgent memo")).alias("memo"))
     missing = [f for f in contract_ops.FIELDS if f not in rows.columns]
     return rows.withColumns({f: F.lit(None).cast("string") for f in missing})
@@ -145,7 +147,7 @@ def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("row"), F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")).alias("company_name"),
         F.when(F.col("n_regionkey") > 0, F.concat(F.lit("www."), slug, F.lit(".co.kr/about"))).alias("website"),
         F.when(nat > 9, F.format_string("%010d", key)).otherwise(F.lit("n/a")).alias("biz_number"),
-        F.initcap("c_mktsegment").alias("industry"),
+        titled("c_mktsegment").alias("industry"),
         pick(("Enterprise", "midsize", "sme", "huge", "public"), nat).alias("company_size"),
         F.concat(F.lit("Agent "), key.cast("string")).alias("contact_name"),
         pick(LEAD_RANKS, key).alias("rank"),
@@ -155,7 +157,7 @@ def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bal % 7 == 0, F.concat(F.lit("kk"), key.cast("string"))).alias("kakao"),
         pick(("Referral", "exhibition", "website", "coldcall", "unknown"), nat).alias("source"),
         pick(("dispatch", "SI", "?"), nat).alias("project_type"),
-        F.concat_ws(", ", F.initcap("c_mktsegment"), F.lit("Java"), F.lit("java")).alias("tech"),
+        F.concat_ws(", ", titled("c_mktsegment"), F.lit("Java"), F.lit("java")).alias("tech"),
         money.alias("budget"), F.concat(F.lit("약 "), (bal % 6).cast("string"), F.lit("명")).alias("team_size"),
         F.concat(F.lit("2024년 "), (key % 14).cast("string"), F.lit("월")).alias("expected_start"),
         pick(("High", "medium", "low", "x"), bal).alias("it_hiring"),
@@ -233,7 +235,7 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     footer = F.concat(F.lit("상호: "), F.col("c_name"), F.lit(" | 대표이사: "), pick(CEO_NAMES, key), F.lit(" | 사업자등록번호: "),
                       F.format_string("%03d-%02d-%05d", (key % 900 + 100), (key % 90 + 10), key % 100000), F.lit("<br>주소: 서울특별시 강남구 테헤란로 "),
                       (key % 500 + 1).cast("string"), F.lit("<br>전화: 02-"), F.format_string("%04d", key % 9000 + 1000), F.lit("-5678<br>"), mail)
-    home = F.concat(F.lit('<html><head><title>'), F.col("c_name"), F.lit("</title></head><body><p>"), F.initcap("c_mktsegment"), F.lit(" software</p><footer>"), footer, F.lit("</footer></body></html>"))
+    home = F.concat(F.lit('<html><head><title>'), F.col("c_name"), F.lit("</title></head><body><p>"), titled("c_mktsegment"), F.lit(" software</p><footer>"), footer, F.lit("</footer></body></html>"))
     entry = lambda k: F.concat(F.lit('<li><a href="/recruit/'), k.cast("string"), F.lit('">'), F.element_at(F.array(*[F.lit(t) for t in JOB_TITLES]), k), F.lit("</a> 정규직</li>"))
     careers = F.concat(F.lit("<html><body><ul>"), F.array_join(F.transform(F.coalesce("kinds", F.array().cast("array<int>")), entry), ""), F.lit("</ul></body></html>"))
     page = lambda idx, path, category, body: F.struct(F.lit(idx).alias("i"), F.lit(path).alias("path"), F.lit(category).alias("category"), body.alias("html"))
@@ -259,7 +261,7 @@ def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
     made = F.concat(F.lit("<html><body>"), pick(NESTED, key), F.lit(FOOTERS))
-    for name, value in (("{seg}", F.initcap("c_mktsegment")), ("{key}", key.cast("string")), ("{one}", pick(JOB_TITLES, key)), ("{two}", pick(JOB_TITLES, F.floor(key / 5)))):
+    for name, value in (("{seg}", titled("c_mktsegment")), ("{key}", key.cast("string")), ("{one}", pick(JOB_TITLES, key)), ("{two}", pick(JOB_TITLES, F.floor(key / 5)))):
         made = F.replace(made, F.lit(name), value)
     url = F.concat(F.lit("https://c"), key.cast("string"), F.lit(".co.kr/recruit"))
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key.cast("string"), F.lit(".co.kr")).alias("domain"), key.alias("page_idx"), url.alias("url"),
