@@ -1192,11 +1192,14 @@ def duplicate_lead_keys(s, d):
 
 
 def _replayed(df: DataFrame, name: str, order: str, batches: int = 4) -> DataFrame:
-    """The rows as a stream of several batches, dealt by a hash of `order` and so in no order of time."""
-    batch = F.pmod(F.xxhash64(order), F.lit(batches))
-    files = rounds.written(df.repartitionByRange(batches, batch).sortWithinPartitions(order), name)
-    path = files.inputFiles()[0].rsplit("/", 1)[0]
-    return df.sparkSession.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """The rows as a stream of several batches, dealt by a hash of `order` and so in no order of time.
+
+    A batch is many files, more the larger the input, so that no task writes or reads a batch whole."""
+    parts = max(batches, 4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    files = rounds.written(df.repartition(parts, F.xxhash64(order)).sortWithinPartitions(order), name)
+    paths = files.inputFiles()
+    path = paths[0].rsplit("/", 1)[0]
+    return df.sparkSession.readStream.schema(files.schema).option("maxFilesPerTrigger", -(-len(paths) // batches)).parquet(path)
 
 
 def _deltas(s, d) -> str:
