@@ -32,6 +32,13 @@ def test_decode_under_a_western_header(spark, text, codec):
     assert readers.decode_pages(df, "content_type").first().html == text
 
 
+@pytest.mark.parametrize("text, codec", [("schäßpf " * 40 + "Ción", "iso-8859-1"), ("üß " * 5, "iso-8859-1"), ("株式會社 우리회사 大韓民國", "cp949")])
+def test_decode_pairs_of_accents_under_a_western_header(spark, text, codec):
+    """Pairs of accented letters are no Korean, even where few other accents stand beside them."""
+    df = spark.createDataFrame([(bytearray(text.encode(codec)), "text/html; charset=ISO-8859-1")], "content binary, content_type string")
+    assert readers.decode_pages(df, "content_type").first().html == text
+
+
 def test_page_files(spark, folder):
     with open(f"{folder}/a.html", "wb") as f:
         f.write(TEXT.format(meta="").encode("cp949"))
