@@ -122,19 +122,23 @@ def customer_rollup(contracts: DataFrame, as_of: Column, tech_limit: int | None
     """One row per customer: values, counts, dates, grade and the details of the newest contract.
 
     Contracts themselves stay in their own rows (`newest_contracts`, `customer_documents`): a customer may
-    own a large share of them. Measures are aggregated on the rows as they are; only (customer, technology) is exploded, made distinct
-    before it is gathered, and joined.
+    own a large share of them. The contracts are read once: beside a row with its measures, each has a row per technology, and the aggregate by
+    (customer, technology) makes these distinct before they are gathered.
     """
     rows = with_customer_key(contract_flags(contracts, as_of))
-    active, live, newest = _active(), _live(), _newest_key()
+    terms = F.coalesce(F.array_compact("tech"), F.array().cast("array<string>"))
+    head = F.col("_term").isNull()
+    rows = rows.select(*[c for c in rows.columns if c != "tech"], F.explode(F.concat(F.array(F.lit(None).cast("string")), terms)).alias("_term"))
+    rows = rows.select("customer_key", "_term", *[F.when(head, F.col(c)).alias(c) for c in rows.columns if c not in ("customer_key", "_term")])
+    active, live, newest = _active(), _live(), F.when(head, _newest_key())
     rating = F.nullif("satisfaction", F.lit(0))
     details = ("domain", "company_name", "website", "contact_name", "rank", "phone", "email", "our_pm",
                "project_type", "monthly_rate", "team_size", "payment_terms", "amount")
     amount = F.coalesce("amount", F.lit(0))
-    totals = rows.groupBy("customer_key").agg(
+    measures = rows.groupBy("customer_key", "_term").agg(
         F.coalesce(F.sum(F.when(live, amount)), F.lit(0)).alias("total_value"),
         F.coalesce(F.sum(F.when(active, amount)), F.lit(0)).alias("active_value"),
-        F.count(F.lit(1)).alias("contract_count"), F.count_if(live).alias("live_count"),
+        F.count_if(head).alias("contract_count"), F.count_if(live).alias("live_count"),
         F.count_if(active).alias("active_count"), F.count_if(F.col("status") == "renewed").alias("renewed_count"),
         F.count_if("expiring").alias("expiring_count"), F.min("signed_date").alias("first_signed"),
         F.max("end_date").alias("last_end"), F.min(F.when(active, F.col("end_date"))).alias("next_end"),
@@ -143,13 +147,13 @@ def customer_rollup(contracts: DataFrame, as_of: Column, tech_limit: int | None
         F.min_by("biz_number", F.when(empty_to_null("biz_number").isNotNull(), newest)).alias("biz_number"),
         F.min_by("company_id", F.when(F.col("company_id") != 0, newest)).alias("company_id"),
         F.min_by(F.struct(*details), newest).alias("latest"))
-    terms = with_customer_key(contracts).select("customer_key", F.explode("tech").alias("_term")).distinct()
-    named = terms.groupBy("customer_key").agg(F.array_sort(F.collect_list("_term")).alias("tech"))
-    tech = F.coalesce("tech", F.array().cast("array<string>"))
+    found = F.first(F.when(head, F.struct(*[c for c in measures.columns if c not in ("customer_key", "_term")])), ignorenulls=True)
+    totals = measures.groupBy("customer_key").agg(found.alias("m"), F.array_sort(F.collect_list("_term")).alias("tech")).select("customer_key", "tech", "m.*")
+    tech = F.col("tech")
     dormant = F.when((F.col("active_count") == 0) & F.col("last_end").isNotNull(), F.datediff(as_of, "last_end"))
     plain = ("total_value", "active_value", "contract_count", "live_count", "active_count", "renewed_count", "first_signed",
              "last_end", "next_end", "expiring_count")
-    return totals.join(named, "customer_key", "left").select(
+    return totals.select(
         "customer_key", *[F.col(f"latest.{f}").alias(f) for f in details[:8]], "biz_number",
         "company_id", grade_of(F.col("total_value"), F.col("live_count")).alias("grade"),
         *plain, dormant.alias("dormant_days"),

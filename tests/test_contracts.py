@@ -97,3 +97,16 @@ def test_update_and_documents(spark, contracts, folder):
     assert docs.count() == 5 and docs.where("position = 1").count() == docs.select("customer_key").distinct().count()
     writers.export_contracts(C.customer_rollup(contracts, as_of()), contracts, f"{folder}/c", codes=exports.label_table(spark))
     assert spark.read.option("header", True).csv(f"{folder}/c").count() == 5
+
+
+def test_customers_read_the_contracts_once(spark, contracts):
+    """One scan of each table, whatever is gathered; missing technologies and repeated ones leave the measures as they are."""
+    from leadloom.plans.queries import QUERIES
+    plan = QUERIES["customer_rollup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("FileScan") == 3
+    tech = F.when(F.col("id") == 1, F.array(F.lit("Java"), F.lit(None).cast("string"), F.lit("Java"), F.lit("AWS"))).when(F.col("id") == 2, F.col("tech"))
+    odd = C.customer_rollup(contracts.withColumn("tech", tech), as_of())
+    got = {r.customer_key: r for r in odd.collect()}
+    want = {r.customer_key: r for r in C.customer_rollup(contracts, as_of()).collect()}
+    assert got == want and got["haneul.kr"].contract_count == 2 and got["해지"].tech == []
