@@ -65,7 +65,9 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
     the innermost list entry, table row, article or division around it, with all that is nested in there; its own text where there is none.
     """
     key = ("domain", "page_idx")
-    jobs = pages.where("category = 'recruitment'").select(*key, "final_url", html.without_hidden(F.col("html")).alias("_h")).where(F.lower("_h").rlike(any_of(keywords)))
+    shown = pages.where("category = 'recruitment'").select(*key, "final_url", "html")
+    # held, so that the filter stays above a dealing of the pages instead of reading their texts in the few tasks before it
+    jobs = computed(shown, _h=html.without_hidden(F.col("html"))).drop("html").where(F.lower("_h").rlike(any_of(keywords)))
     found = elements.nearest(elements.spans(jobs, key, F.col("_h"), TAGS), key, BOXES).where(F.col("name").isin(*ENTRIES))
     # all entries of a page meet its parts once
     listed = found.groupBy(*key).agg(F.collect_list(F.struct("open", "name", "end", "box_open", "box_end")).alias("_entries"))

@@ -1,4 +1,6 @@
 """Files of one row group and replayed tables are dealt out over tasks."""
+import re
+
 from pyspark.sql import functions as F
 
 from leadloom.functions.text import stripped, titled
@@ -29,3 +31,13 @@ def test_fast_ways_of_text_give_the_same(spark):
     got = df.select("t", stripped("t").alias("s"), titled("t").alias("n"), F.initcap("t").alias("i")).collect()
     assert [r.s for r in got] == [None if t is None else t.strip() for t in texts]
     assert [r.n for r in got] == [r.i for r in got]
+
+
+def test_page_texts_are_read_after_the_dealing(spark):
+    """No pattern is searched below the exchange that deals out customers: there one task would read all texts."""
+    plan = queries.QUERIES["nested_openings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    depth = [re.search(r"[+:]- |$", line).start() for line in lines]
+    dealt_at = [i for i, line in enumerate(lines) if "RoundRobinPartitioning" in line]
+    below = [lines[j] for i in dealt_at for j in range(i + 1, next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)))]
+    assert below and not any("RLIKE" in line for line in below)
