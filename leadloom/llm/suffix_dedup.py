@@ -26,8 +26,11 @@ WINDOW, GRAM = 50, 35             # a longer minimizer brings together fewer rea
 SPAN = WINDOW - GRAM + 1          # grams in a window, and windows in a read at most
 LAST = 2**63 - 1                  # stands for a null doc_id: after all others
 EDGE, CUT_EVERY = 20, 64          # passages are cut at strings of EDGE bytes, CUT_EVERY bytes apart on average
-BATCH = 1_000_000
+BATCH = 1 << 16                   # bytes whose arrays stay in a core's cache
 HELD = 400_000                    # minimizers gathered before they are sent
+ROWS = 50_000                     # rows gathered before they leave a task's Python
+# texts come to Python in small Arrow batches, and a step's shuffle files go when its table is written
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -132,8 +135,10 @@ def repeated(docs: DataFrame, ranges: int, bits: int) -> tuple[np.ndarray, np.nd
         return pd.DataFrame({"r": [rows.r.iloc[0]], "flags": [np.packbits(flags).tobytes()]})
 
     out = np.zeros((2 * ranges, 1 << (bits - int(np.log2(ranges)) - 3)), np.uint8)
-    for row in docs.select("doc", "text").mapInPandas(sent, "r int, low binary, many binary").groupBy("r").applyInPandas(joined, "r int, flags binary").toLocalIterator():
+    flags = common.staged(docs.select("doc", "text").mapInPandas(sent, "r int, low binary, many binary").groupBy("r").applyInPandas(joined, "r int, flags binary"), "flags")
+    for row in flags.toLocalIterator():
         out[row.r] = np.frombuffer(row.flags, np.uint8)
+    common.dropped(flags)
     return out[:ranges].reshape(-1), out[ranges:].reshape(-1)
 
 
@@ -142,6 +147,22 @@ def _flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _gathered(parts: Iterator[dict[str, list | np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Small batches of rows put together to some of about ROWS."""
+    held: list[dict[str, list | np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(p["doc"]) for p in held) >= ROWS:
+            yield _joined(held)
+            held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[dict[str, list | np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({c: [x for p in held for x in p[c]] if isinstance(held[0][c], list) else np.concatenate([p[c] for p in held]) for c in held[0]})
+
+
 READ = "doc long, key long, pos int, windows int, m long, h long, bytes binary"
 
 
@@ -149,19 +170,23 @@ def settled_passages(docs: DataFrame, flags: np.ndarray) -> DataFrame:
     """Staged: doc, key and `settled` (passages as start * 2**32 + stop) of documents with passages that a smaller document has too."""
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
-    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         for rows in batches:
             doc, key = rows.doc.to_numpy(), rows.key.to_numpy()
             for first, raw, offsets in common.byte_batches(rows.text, BATCH):
                 found = passages(raw, offsets)
-                h, text, start, stop = (x[_flagged(shared.value, found[0])] for x in found)
-                yield pd.DataFrame({"doc": doc[first + text], "key": key[first + text], "h": h.view(np.int64), "span": (start - offsets[text] << 32) + stop - offsets[text]})
+                keep = _flagged(shared.value, found[0])
+                h, text, start, stop = (x[keep] for x in found)
+                yield {"doc": doc[first + text], "key": key[first + text], "h": h.view(np.int64), "span": (start - offsets[text] << 32) + stop - offsets[text]}
 
-    found = common.staged(docs.mapInPandas(passed, "doc long, key long, h long, span long"), "passages")
+    found = common.staged(docs.select("doc", "key", "text").mapInPandas(lambda batches: _gathered(passed(batches)), "doc long, key long, h long, span long"), "passages")
     shared.destroy()
     lows = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h", "low")
-    covered = found.join(common.staged(lows, "lows"), "h").filter("doc > low")
-    return common.staged(covered.groupBy("doc", "key").agg(F.collect_list("span").alias("settled")), "settled")
+    lows = common.staged(lows, "lows")
+    covered = found.join(lows, "h").filter("doc > low")
+    settled = common.staged(covered.groupBy("doc", "key").agg(F.collect_list("span").alias("settled")), "settled")
+    common.dropped(found, lows)
+    return settled
 
 
 def _open(found: tuple[np.ndarray, ...], first: int, offsets: np.ndarray, settled: pd.Series) -> np.ndarray:
@@ -189,7 +214,7 @@ def candidate_reads(docs: DataFrame, settled: DataFrame, flags: np.ndarray) -> D
     def maybe(keys: pd.Series) -> pd.Series:
         return pd.Series(common.flagged(touched.value, keys.to_numpy(np.int64)))
 
-    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, list | np.ndarray]]:
         for rows in batches:
             doc, key = rows.doc.to_numpy(), rows.key.to_numpy()
             for first, raw, offsets in common.byte_batches(rows.text, BATCH):
@@ -201,14 +226,16 @@ def candidate_reads(docs: DataFrame, settled: DataFrame, flags: np.ndarray) -> D
                     found = tuple(x[keep] for x in found)
                 m, text, at, windows, h = found
                 data = raw.tobytes()
-                yield pd.DataFrame({"doc": doc[first + text], "key": key[first + text], "pos": (at - offsets[text]).astype(np.int32), "windows": windows.astype(np.int32),
-                                    "m": m.view(np.int64), "h": h.view(np.int64),
-                                    "bytes": [data[a: a + w + WINDOW - 1] for a, w in zip(at.tolist(), windows.tolist())]})
+                yield {"doc": doc[first + text], "key": key[first + text], "pos": (at - offsets[text]).astype(np.int32), "windows": windows.astype(np.int32),
+                       "m": m.view(np.int64), "h": h.view(np.int64), "bytes": [data[a: a + w + WINDOW - 1] for a, w in zip(at.tolist(), windows.tolist())]}
+
+    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _gathered(passed(batches))
 
     split = docs.select("doc", "key", "text").withColumn("touched", maybe("key"))
     s = settled.select(F.col("doc").alias("d"), F.col("key").alias("k"), "settled")
     some = split.filter("touched").drop("touched").join(s, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
-    out = common.staged(split.filter("NOT touched").drop("touched").mapInPandas(passed, READ).unionByName(some.mapInPandas(passed, READ)), "reads")
+    out = common.staged(split.filter("NOT touched").drop("touched").mapInPandas(batched, READ).unionByName(some.mapInPandas(batched, READ)), "reads")
     shared.destroy()
     touched.destroy()
     return out
@@ -225,24 +252,28 @@ def _blocks(path: str, kind: type, block: int) -> Iterator[np.ndarray]:
 def _by_symbol(raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries in the order of the symbols in front of them, and how many each symbol has."""
     symbol = raw[places - 1]
-    order = np.argsort(symbol, kind="stable")
-    return order, np.diff(np.searchsorted(symbol[order], np.arange(258, dtype=np.uint16)))
+    return np.argsort(symbol, kind="stable"), np.bincount(symbol, minlength=257)
 
 
-def sorted_suffixes(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_suffixes(texts: list[bytes], block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of all texts in order: text, length, and whether it shares its first WINDOW bytes with the one before.
 
     Round j inserts the suffix of length j of every text: the symbol in front of each suffix that is there says where the longer one goes.
     A round reads the transform of the round before in order, twice: to count the symbols, and to put each entry at its symbol's
     cursor in the new file, which moves on only. An entry is a place in the joined texts (each behind a zero, bytes from 1 on) and a
-    length. Common prefixes change only next to the entries of the round; they are compared once WINDOW bytes are there.
+    length. A transform of one block is sorted once and written in one piece. Common prefixes change only next to the entries of the round; they are compared once WINDOW bytes are there.
     """
     n, lengths = len(texts), np.array([len(t) for t in texts], np.int64)
     stops = np.cumsum(lengths + 1)
-    raw = np.zeros(stops[-1] + WINDOW + 1, np.uint16)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    symbols = np.flatnonzero(np.bincount(data, minlength=256))
+    # the bytes that occur, numbered from 1 on, sort as the bytes do; one byte a symbol is the rule
+    number = np.zeros(256, np.uint8 if len(symbols) < 256 else np.uint16)
+    number[symbols] = np.arange(1, len(symbols) + 1)
+    raw = np.zeros(stops[-1] + WINDOW + 1, number.dtype)
     places = np.ones(stops[-1], bool)
     places[stops - lengths - 1] = False
-    raw[: stops[-1]][places] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+    raw[: stops[-1]][places] = number[data]
     columns, same = np.arange(WINDOW), np.zeros(0, bool)
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
         name = lambda what, j: os.path.join(folder, f"{what}-{j}")
@@ -251,23 +282,27 @@ def sorted_suffixes(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarra
         for j in range(1, int(lengths.max()) + 1):
             if os.path.getsize(name("place", j - 1)) > 4 * block:
                 counts = sum(np.bincount(raw[part - 1], minlength=257) for part in _blocks(name("place", j - 1), np.int32, block))
-                ready = None
-            else:                                             # one block: sorted once, counted on the way
-                ready = _by_symbol(raw, np.fromfile(name("place", j - 1), np.int32))
-                counts = ready[1]
-            cursor = n + np.r_[0, 0, np.cumsum(counts[1:-1])]
-            size = n + int(counts[1:].sum())
-            place, length = (np.memmap(name(what, j), kind, "w+", shape=size) for what, kind in (("place", np.int32), ("length", np.uint8)))
-            place[:n], length[:n] = stops, 0
-            for part, long in zip(_blocks(name("place", j - 1), np.int32, block), _blocks(name("length", j - 1), np.uint8, block)):
-                order, mine = ready or _by_symbol(raw, part)
-                order = order[mine[0]:]                       # a zero: the text is used up
-                part, long = part[order] - 1, long[order] + 1
-                at = 0
-                for s in np.flatnonzero(mine[1:]) + 1:
-                    place[cursor[s]: cursor[s] + mine[s]], length[cursor[s]: cursor[s] + mine[s]] = part[at: at + mine[s]], long[at: at + mine[s]]
-                    at += mine[s]
-                cursor += mine
+                cursor = n + np.r_[0, 0, np.cumsum(counts[1:-1])]
+                size = n + int(counts[1:].sum())
+                place, length = (np.memmap(name(what, j), kind, "w+", shape=size) for what, kind in (("place", np.int32), ("length", np.uint8)))
+                place[:n], length[:n] = stops, 0
+                for part, long in zip(_blocks(name("place", j - 1), np.int32, block), _blocks(name("length", j - 1), np.uint8, block)):
+                    order, mine = _by_symbol(raw, part)
+                    order = order[mine[0]:]                       # a zero: the text is used up
+                    part, long = part[order] - 1, long[order] + 1
+                    at = 0
+                    for s in np.flatnonzero(mine[1:]) + 1:
+                        place[cursor[s]: cursor[s] + mine[s]], length[cursor[s]: cursor[s] + mine[s]] = part[at: at + mine[s]], long[at: at + mine[s]]
+                        at += mine[s]
+                    cursor += mine
+                place, length = np.array(place), np.array(length)
+            else:
+                place, length = np.fromfile(name("place", j - 1), np.int32), np.fromfile(name("length", j - 1), np.uint8)
+                order, mine = _by_symbol(raw, place)
+                order = order[mine[0]:]
+                place, length = np.r_[stops.astype(np.int32), place[order] - 1], np.r_[np.zeros(n, np.uint8), length[order] + 1]
+                place.tofile(name("place", j))
+                length.tofile(name("length", j))
             if j >= WINDOW:
                 whole = np.flatnonzero(length >= WINDOW)
                 fresh = length[whole] == j
@@ -287,12 +322,10 @@ def sorted_suffixes(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarra
                 same[here] = equal
             for what in ("place", "length"):
                 os.remove(name(what, j - 1))
-            last = np.array(place), np.array(length)
-            del place, length
-        read = np.searchsorted(stops, last[0], side="left")
+        read = np.searchsorted(stops, place, side="left")
         out = np.zeros(len(read), bool)
-        out[last[1] >= WINDOW] = same
-        return read, last[1], out
+        out[length >= WINDOW] = same
+        return read, length, out
 
 
 def smallest_documents(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -379,13 +412,17 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     distinct = found.filter(maybe("m")).select("m", "h", "bytes", "doc").groupBy("m", "h", "bytes").agg(F.min("doc").alias("doc")).join(open_kinds, "m", "left_semi")
     distinct = common.staged(distinct, "distinct")
     flags.destroy()
+    common.dropped(found, kinds)
     runs = common.staged(_window_runs(distinct, most), "runs")
+    common.dropped(distinct)
     pos = F.col("pos").cast("long")
     packed = lambda start, windows_end: F.shiftleft(start, 32) + windows_end + (WINDOW - 1)
     other = met.filter("mixed").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", packed(pos + F.col("first"), pos + F.col("stop")).alias("span"))
     spans = met.filter("NOT mixed").select("doc", "key", packed(pos, pos + F.col("windows")).alias("span")).unionByName(other)
     spans = spans.unionByName(settled.select("doc", "key", F.explode("settled").alias("span")))
-    return common.staged(spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
+    spans = common.staged(spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
+    common.dropped(settled, met, runs)
+    return spans
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -414,7 +451,8 @@ def remove_repeats(docs: DataFrame, filter_bits: int = 24, **how) -> DataFrame:
     """
     text = common.filled("text")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), common.text_key(text).alias("key"), text.alias("text"))
-    spans = repeated_spans(rows, **how)
+    with common.settings(docs.sparkSession, SETTINGS):
+        spans = repeated_spans(rows, **how)
     flags = docs.sparkSession.sparkContext.broadcast(common.bitmap(spans, "key", filter_bits))
 
     @F.pandas_udf("boolean")

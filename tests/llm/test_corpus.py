@@ -1,4 +1,5 @@
 """Corpus operators against brute force, and their defined results for odd tables."""
+import os
 import random
 import re
 import zlib
@@ -378,6 +379,17 @@ def test_suffix_dedup_of_odd_rows(odd, none):
     assert {r.n_removed for r in rows if r.doc_id == 5} == {0} and any(r.n_removed for r in rows if r.doc_id is None)
 
 
+def test_suffix_dedup_drops_its_steps(spark, folder, monkeypatch):
+    """A step's table and shuffle files go when nothing reads them any more, texts travel in small batches, and the session's settings come back."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{folder}")
+    before = {name: spark.conf.get(name) for name in suffix_dedup.SETTINGS}
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{i} {passage} {i * i}") for i in range(20)], "doc_id long, text string")
+    assert suffix_dedup.remove_repeats(docs).filter("n_removed > 0").count() == 19
+    assert {name.split("-")[1] for name in os.listdir(folder)} == {"spans", "crowded", "windows"}
+    assert {name: spark.conf.get(name) for name in suffix_dedup.SETTINGS} == before
+
+
 def test_sorted_suffixes():
     rng = random.Random(3)
     base = ["".join(rng.choice("ab") for _ in range(120)).encode() for _ in range(4)]
