@@ -104,7 +104,7 @@ def count_tokens(c: Column, tokens: Sequence[str], boundary: str = "a-z0-9") ->
     total = F.lit(0)
     for t in tokens:
         total = total + c.rlike(token_pattern((t,), boundary)).cast("int")
-    return total
+    return F.when(c.isNull(), F.lit(None).cast("int")).when(has_token(c, tokens, boundary), total).otherwise(0)
 
 
 def contains_any(c: Column, tokens: Iterable[str]) -> Column:
@@ -143,7 +143,11 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 
 def unescape_html(c: Column) -> Column:
-    """Named entities of the list above and decimal or hex character references."""
+    """Named entities of the list above and decimal or hex character references. Texts without an ampersand go by as they are."""
+    return let(c, lambda text: F.when(text.contains("&"), _unescaped(text)).otherwise(text))
+
+
+def _unescaped(c: Column) -> Column:
     out = c
     for name, char in ENTITIES[:-1]:
         out = F.replace(out, F.lit(name), F.lit(char))

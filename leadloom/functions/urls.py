@@ -97,7 +97,11 @@ def _collapse_dots(p: Column) -> Column:
 def link_parts(base: Column | str, href: Column | str) -> Column:
     """Scheme, authority, path and query of a link made absolute against `base` (absolute, network,
     root, query and relative forms)."""
-    b, h = col(base), stripped(col(href))
+    held = let(col(href), lambda t: F.struct(col(base).alias("base"), stripped(t).alias("href")))
+    return let(held, lambda link: _link_parts(link["base"], link["href"]))
+
+
+def _link_parts(b: Column, h: Column) -> Column:
     absolute, network = h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h.startswith("//")
     own = absolute | network
     full = F.when(network, F.concat(F.lit("http:"), h)).otherwise(h)

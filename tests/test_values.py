@@ -139,3 +139,14 @@ def test_page_text(spark):
     df = spark.createDataFrame([(html,)], "html string")
     row = pages.build_pages(df).first()
     assert row.text == "T & U\nOne\ntwo\nthree\n four" and row.title == "T & U"
+
+
+def test_links_and_entities_are_read_once(spark):
+    """A link's address is found once, however many parts are taken from it, and texts without an ampersand pass the list of entities by."""
+    df = spark.createDataFrame([("https://a.kr/x/y", " ../b?q=1#z ")], "base string, href string")
+    link = df.select(U.cleaned_link("base", F.regexp_replace("href", "never", "")).alias("v"))
+    assert link.first().v == "https://a.kr/b?q=1"
+    assert link._jdf.queryExecution().optimizedPlan().toString().count("never") == 1
+    assert "Contains" in (plan := df.select(unescape_html(F.col("href")))._jdf.queryExecution().optimizedPlan().toString()) or "contains(" in plan.lower()
+    assert values(spark, ["a & b", "&lt;&#65;&amp;lt;", "plain", None], unescape_html) == ["a & b", "<A&lt;", "plain", None]
+    assert values(spark, ["팩스: 02-111-2222 전화: 02-333-4444", "Fax 02-111-2222", "TEL 031-555-6666", "none"], facts.phone_of) == ["02-333-4444", None, "031-555-6666", None]
