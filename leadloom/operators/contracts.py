@@ -29,10 +29,17 @@ def normalise_contracts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A missing amount is monthly rate x team x months; an empty signing date is the start date.
     """
+    rows = normalised(raw.select("row", *FIELDS))
+    return rows.where("code is null").select("row", *FIELDS), rows.where("code is not null").select("row", "code")
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    """Every raw row with its other columns, typed fields and an error `code` (null for a good row)."""
     c = F.col
+    keep = [x for x in raw.columns if x not in FIELDS]
     rating = N.whole_number(c("satisfaction"))
     typed = raw.select(
-        "row", N.whole_number(c("lead_id")).alias("lead_id"), N.whole_number(c("company_id")).alias("company_id"),
+        *keep, N.whole_number(c("lead_id")).alias("lead_id"), N.whole_number(c("company_id")).alias("company_id"),
         F.coalesce(trimmed("domain"), website_domain(trimmed("website"))).alias("domain"),
         trimmed("company_name").alias("company_name"), trimmed("website").alias("website"),
         trimmed("biz_number").alias("biz_number"), trimmed("title").alias("title"),
@@ -58,11 +65,10 @@ def normalise_contracts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     priced = computed(held, amount=F.coalesce("_amount", derived))
     code = (F.when(c("company_name").isNull(), "company_required").when(c("end_date") < c("start_date"), "dates_invalid")
             .when(c("amount").isNull(), "amount_required"))
-    rows = priced.withColumns({
+    return priced.withColumns({
         "code": code, "signed_date": F.coalesce("_signed", "start_date"),
         "satisfaction": F.when(c("_rating").between(1, 5), c("_rating")),
         "renewal_notice_days": F.coalesce(F.nullif("_notice", F.lit(0)), F.lit(fixed.RENEWAL_NOTICE_DAYS))})
-    return rows.where("code is null").select("row", *FIELDS), rows.where("code is not null").select("row", "code")
 
 
 def contract_flags(contracts: DataFrame, as_of: Column) -> DataFrame:

@@ -70,18 +70,23 @@ def create_leads(raw: DataFrame, as_of: Column, first_id: int) -> tuple[DataFram
 
 
 def write_contracts(contracts: DataFrame, payloads: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(contracts, errors(id, code)) after partial updates, merged and normalised like leads; the new rows are joined to the table once."""
-    asked = _merged(contracts, payloads, contract_ops.FIELDS).where("_payload is not null").withColumn("row", F.col("id"))
-    valid, errors = contract_ops.normalise_contracts(asked)
-    new = valid.select(F.col("row").alias("id"), F.struct(*[c for c in valid.columns if c in contract_ops.FIELDS]).alias("_new"))
-    joined = contracts.join(new, "id", "left")
-    changed = F.col("_new").isNotNull()
+    """(contracts, errors(id, code)) after partial updates, merged and normalised like leads: one left join, contracts and errors are read off its rows.
+
+    Only rows with a payload are written out as text and normalised; the others pass by as they are.
+    """
+    plain = [c for c in contracts.columns if c not in contract_ops.FIELDS]
+    told = _merged(contracts, payloads, contract_ops.FIELDS).withColumn("_old", F.struct(*plain)).drop(*[c for c in plain if c != "id"])
+    asked = F.col("_payload").isNotNull()
+    typed = contract_ops.normalised(told.withColumns({f: F.when(asked, F.col(f)) for f in contract_ops.FIELDS}))
+    good = asked & F.col("code").isNull()
 
     def value(c: str) -> Column:
-        fresh = F.col(f"_new.{c}") if c in contract_ops.FIELDS else as_of if c == "updated_at" else F.col(c)
-        return F.when(changed, fresh).otherwise(F.col(c)).cast(contracts.schema[c].dataType).alias(c)
+        old = F.col("_before").getField(c) if c in contract_ops.FIELDS else F.col("_old").getField(c)
+        new = F.col(c) if c in contract_ops.FIELDS else as_of if c == "updated_at" else old
+        return F.when(good, new).otherwise(old).cast(contracts.schema[c].dataType).alias(c)
 
-    return joined.select(*[value(c) if c != "id" else F.col("id") for c in contracts.columns]), errors.withColumnRenamed("row", "id")
+    after = typed.select(*[value(c) if c != "id" else F.col("id") for c in contracts.columns])
+    return after, typed.where(asked & F.col("code").isNotNull()).select("id", "code")
 
 
 def tech_of(jobs: Column, n: int | None = None, keywords: Sequence[str] = fixed.TECH_KEYWORDS) -> Column:

@@ -110,3 +110,14 @@ def test_customers_read_the_contracts_once(spark, contracts):
     got = {r.customer_key: r for r in odd.collect()}
     want = {r.customer_key: r for r in C.customer_rollup(contracts, as_of()).collect()}
     assert got == want and got["haneul.kr"].contract_count == 2 and got["해지"].tech == []
+
+
+def test_updates_read_the_contracts_once(spark, contracts):
+    """One join puts payloads beside the contracts; a refused update is told and leaves its row, rows without a payload stay as they are."""
+    payload = spark.createDataFrame([(4, {"amount": "2.5억", "memo": None}), (1, {"company_name": " ", "memo": "x"}), (99, {"memo": "y"})], "id bigint, payload map<string,string>")
+    after, errors = updates.write_contracts(contracts, payload, as_of())
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+    before, now = ({r.id: r for r in df.collect()} for df in (contracts, after.select(*contracts.columns)))
+    assert {i for i in now if now[i] != before[i]} == {4} and set(now) == set(before)
+    assert now[4].amount == 250_000_000 and now[4].memo is None and now[4].tech == before[4].tech
+    assert [tuple(r) for r in errors.collect()] == [(1, "company_required")]
