@@ -13,6 +13,10 @@ from leadloom.llm import common
 
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 RANGES = 64
+SLICE_BITS = 6                    # the table of frequencies is added up in 64 slices
+BATCH = 1 << 18                   # bytes whose sets are made at once
+# texts come to Python in small Arrow batches
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,19 +52,29 @@ def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def document_frequencies(texts: DataFrame, words: int, bits: int) -> np.ndarray:
     """How many documents have a shingle, counted over all in 2**bits cells of the hash (up to 65535): the order of rarity."""
+    slices = 1 << min(bits, SLICE_BITS)
+
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.int32)
         for rows in batches:
-            for _, raw, offsets in common.byte_batches(rows.text):
-                total += np.bincount(_cells(shingle_sets(raw, offsets, words)[0], bits), minlength=len(total)).astype(np.int32)
-        yield pd.DataFrame({"cells": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+            for _, raw, offsets in common.byte_batches(rows.text, BATCH):
+                np.add.at(total, _cells(shingle_sets(raw, offsets, words)[0], bits), 1)
+        yield pd.DataFrame({"slice": range(slices), "cells": [x.tobytes() for x in np.minimum(total, 65535).astype(np.uint16).reshape(slices, -1)]})
 
-    def added(a: bytes, b: bytes) -> bytes:
-        total = np.frombuffer(a, np.uint16).astype(np.int32) + np.frombuffer(b, np.uint16)
-        return np.minimum(total, 65535).astype(np.uint16).tobytes()
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for rows in batches:
+            for i, cells in zip(rows.slice, rows.cells):
+                total[i] = np.minimum(total.get(i, 0) + np.frombuffer(cells, np.uint16).astype(np.int32), 65535)
+        for i, cells in total.items():
+            yield pd.DataFrame({"slice": [i], "cells": [cells.astype(np.uint16).tobytes()]})
 
-    parts = texts.mapInPandas(counted, "cells binary").rdd.map(lambda r: bytes(r.cells))
-    return np.frombuffer(common.reduced(parts, added) if parts.getNumPartitions() else bytes(2 << bits), np.uint16)
+    # tables, not RDDs: a step on rows beside one on batches would take a second Python worker for each core
+    kinds = "slice int, cells binary"
+    out = np.zeros((slices, (1 << bits) // slices), np.uint16)
+    for row in texts.mapInPandas(counted, kinds).repartition("slice").mapInPandas(added, kinds).collect():
+        out[row.slice] = np.frombuffer(row.cells, np.uint16)
+    return out.reshape(-1)
 
 
 def _overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -74,7 +88,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, words: int, num: int, den: int)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for first, raw, offsets in common.byte_batches(rows.text):
+            for first, raw, offsets in common.byte_batches(rows.text, BATCH):
                 hashes, of = shingle_sets(raw, offsets, words)
                 many = len(offsets) - 1
                 n = np.bincount(of, minlength=many)
@@ -105,7 +119,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared: Broadcast, words: int, n
             sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             seen = dict(zip(rows.a, rows.text_a)) | dict(zip(rows.b, rows.text_b))
             names = list(seen)
-            for first, raw, offsets in common.byte_batches(seen.values()):
+            for first, raw, offsets in common.byte_batches(seen.values(), BATCH):
                 hashes, of = shingle_sets(raw, offsets, words)
                 order = np.lexsort((hashes, shared.value[_cells(hashes, bits)], of))
                 cuts = np.searchsorted(of, np.arange(len(offsets)))
@@ -160,20 +174,7 @@ def _texts(rows: DataFrame, pairs: DataFrame, owners: DataFrame, filter_bits: in
     return out
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), cell_bits: int = 21, filter_bits: int = 24) -> DataFrame:
-    """One row per document: doc_id, key (of the text), n_shingles, cls (hash of the set), component_id, keeper (whether this document stands for its group).
-
-    Words are what stands between blanks, in lower case (A-Z). Documents with equal sets are one class; classes link when the
-    Jaccard similarity of their sets reaches similarity[0] / similarity[1]. Groups are connected components; their id is the
-    smallest doc_id, and the keeper the document with it (of null ids the one with the smallest key). Null texts and texts without
-    words have no set and link with nothing. Rows alike in doc_id and text are one document. Empty tables give no rows; further columns are not read.
-
-    Elements are ordered by document frequency; two similar sets share an element of their prefixes, the rarest
-    n - ceil(t * n) + 1. Candidates come in two rounds, so that a large group of near copies does not meet all with all: first every
-    class with the one that has fewest rarer elements before the shared one (the likely original); then, exactly, all pairs of
-    postings whose classes are not yet connected. Before texts travel, the counts of a pair's elements in hash ranges must
-    allow the overlap. Texts travel only for classes of such pairs; the map in front of that shuffle has 2**filter_bits flags, and the join after it is exact.
-    """
+def _similar_groups(docs: DataFrame, words: int, similarity: tuple[int, int], cell_bits: int, filter_bits: int) -> DataFrame:
     num, den = similarity
     rows = docs.select("doc_id", common.text_key(common.filled("text")).alias("key"), common.filled("text").alias("text"))
     frequencies = docs.sparkSession.sparkContext.broadcast(document_frequencies(rows.select("text"), words, cell_bits))
@@ -212,6 +213,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
                       (alone | (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key")))).alias("keeper"))
 
 
+def similar_groups(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), cell_bits: int = 21, filter_bits: int = 24) -> DataFrame:
+    """One row per document: doc_id, key (of the text), n_shingles, cls (hash of the set), component_id, keeper (whether this document stands for its group).
+
+    Words are what stands between blanks, in lower case (A-Z). Documents with equal sets are one class; classes link when the
+    Jaccard similarity of their sets reaches similarity[0] / similarity[1]. Groups are connected components; their id is the
+    smallest doc_id, and the keeper the document with it (of null ids the one with the smallest key). Null texts and texts without
+    words have no set and link with nothing. Rows alike in doc_id and text are one document. Empty tables give no rows; further columns are not read.
+
+    Elements are ordered by document frequency; two similar sets share an element of their prefixes, the rarest
+    n - ceil(t * n) + 1. Candidates come in two rounds, so that a large group of near copies does not meet all with all: first every
+    class with the one that has fewest rarer elements before the shared one (the likely original); then, exactly, all pairs of
+    postings whose classes are not yet connected. Before texts travel, the counts of a pair's elements in hash ranges must
+    allow the overlap. Texts travel only for classes of such pairs; the map in front of that shuffle has 2**filter_bits flags, and the join after it is exact.
+    """
+    with common.settings(docs.sparkSession, SETTINGS):
+        return _similar_groups(docs, words, similarity, cell_bits, filter_bits)
+
+
 def drop_similar(docs: DataFrame, **how) -> DataFrame:
     """`docs` with one document of each group of near copies; all columns as they are, whatever their names."""
     gone = common.staged(similar_groups(docs, **how).filter("NOT keeper").select("doc_id", "key").distinct(), "similar")

@@ -1,9 +1,11 @@
 """Corpus operators against brute force, and their defined results for odd tables."""
+import collections
 import os
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +285,28 @@ def test_similar_groups_of_odd_rows(odd, none):
     assert {r.doc_id for r in kept.collect()} & {6, 7} == set()
 
 
+def test_similar_groups_take_one_python_worker_a_core(spark, odd, monkeypatch):
+    """Frequencies are counted and added up in tables, whose steps do not run beside a step on rows, and texts travel in small batches."""
+    def no_rows(_):
+        raise AssertionError("a second Python worker")
+
+    texts = odd.select(common.filled("text").alias("text"))
+    want = collections.Counter()
+    for r in texts.collect():
+        raw = np.frombuffer(r.text.encode(), np.uint8)
+        want.update(ngram_join._cells(ngram_join.shingle_sets(raw, np.array([0, len(raw)]), 3)[0], 10).tolist())
+    with monkeypatch.context() as m:
+        m.setattr(type(odd), "rdd", property(no_rows))
+        got = ngram_join.document_frequencies(texts, 3, 10)
+        few = ngram_join.document_frequencies(texts.limit(0), 3, 4)
+    assert got.tolist() == [want[i] for i in range(1 << 10)] and few.tolist() == [0] * 16
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, counted = spark.conf.get(name), ngram_join.document_frequencies
+    monkeypatch.setattr(ngram_join, "document_frequencies", lambda *a: seen.append(spark.conf.get(name)) or counted(*a))
+    assert ngram_join.similar_groups(odd).count() == odd.count()
+    assert [int(x) for x in seen] == [8 << 20] and spark.conf.get(name) == before
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7)]
