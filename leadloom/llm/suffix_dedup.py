@@ -27,7 +27,7 @@ SPAN = WINDOW - GRAM + 1          # grams in a window, and windows in a read at
 LAST = 2**63 - 1                  # stands for a null doc_id: after all others
 EDGE, CUT_EVERY = 20, 64          # passages are cut at strings of EDGE bytes, CUT_EVERY bytes apart on average
 BATCH = 1 << 16                   # bytes whose arrays stay in a core's cache
-HELD = 400_000                    # minimizers gathered before they are sent
+BLOCK = 3 << 20                   # characters of texts whose hashes are sent together and marked together
 ROWS = 50_000                     # rows gathered before they leave a task's Python
 # texts come to Python in small Arrow batches, and a step's shuffle files go when its table is written
 SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -91,55 +91,89 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return common.slice_hash(prefix, start, stop), text[:-2][good], start, stop
 
 
-def repeated(docs: DataFrame, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of the minimizers and of the passages (by the top `bits` bits of their hashes) that occur in two documents, found exactly for each of `ranges` hash ranges.
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """Staged: block, and doc, key and text (arrays) of about BLOCK characters of texts, which every later step finds together again."""
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
+        for rows in batches:
+            for row in zip(rows.doc, rows.key, rows.text):
+                held.append(row)
+                size += len(row[2])
+                if size >= BLOCK:
+                    yield whole(held)
+                    held, size = [], 0
+        if held:
+            yield whole(held)
 
-    A batch sends each of its hashes once, as packed numbers, so a frequent one costs a number a batch. Only the flags, a fixed
-    number of bits, come to the driver; a crowded table of flags lets more reads through and changes no result.
-    """
+    def whole(held: list[tuple]) -> pd.DataFrame:
+        doc, key, text = zip(*held)
+        return pd.DataFrame({"block": [int.from_bytes(os.urandom(8)) >> 1], "doc": [list(doc)], "key": [list(key)], "text": [list(text)]})
+
+    return common.staged(docs.select("doc", "key", "text").mapInPandas(packed, "block long, doc array<long>, key array<long>, text array<string>"), "blocks")
+
+
+def _ranged(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.uint64]:
+    """Where each of `ranges` hash ranges begins in sorted hashes, and the bits below those that name a range."""
     top = np.uint64(64 - int(np.log2(ranges)))
+    return np.searchsorted(h >> top, np.arange(ranges + 1, dtype=np.uint64)), top
+
+
+def _among(x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which of `x` are among `kinds`, which are sorted."""
+    at = np.searchsorted(kinds, x)
+    inside = at < len(kinds)
+    inside[inside] = kinds[at[inside]] == x[inside]
+    return inside
+
+
+def repeated(blocks: DataFrame, ranges: int, bits: int) -> tuple[DataFrame, np.ndarray]:
+    """Which minimizers and passages occur in two documents, found exactly for each of `ranges` hash ranges.
 
-    def packed(shift: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        h, doc = np.concatenate([h for h, _ in held]), np.concatenate([d for _, d in held])
+    A block sends each of its hashes once, as packed numbers, so a frequent one costs a number a block. Minimizers, the many, go back as a bit for each
+    hash of a block: staged rows of r, block and flags. Of passages only the flags by the top `bits` bits of their hashes, a fixed
+    number of bits, come to the driver; a crowded table of flags lets more passages through and changes no result.
+    """
+    def packed(shift: int, block: int, found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        h, doc = np.concatenate([h for h, _ in found]), np.concatenate([d for _, d in found])
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
         many = doc[first] != doc[np.r_[first[1:], len(h)] - 1] if len(h) else np.zeros(0, bool)
         h = h[first]
-        cuts = np.searchsorted(h >> top, np.arange(ranges + 1, dtype=np.uint64))
+        cuts, top = _ranged(h, ranges)
         low = (h >> (top - np.uint64(32))).astype(np.uint32)
         keep = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
-        return pd.DataFrame({"r": [r + shift for r in keep], "low": [low[cuts[r]: cuts[r + 1]].tobytes() for r in keep],
+        return pd.DataFrame({"r": [r + shift for r in keep], "block": block, "low": [low[cuts[r]: cuts[r + 1]].tobytes() for r in keep],
                              "many": [np.packbits(many[cuts[r]: cuts[r + 1]]).tobytes() for r in keep]})
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for rows in batches:
-            names = rows.doc.to_numpy()
-            for first, raw, offsets in common.byte_batches(rows.text, BATCH):
-                for kind, found in enumerate((reads(raw, offsets), passages(raw, offsets))):
-                    held[kind].append((found[0], names[first + found[1]]))
-                if sum(len(h) for h, _ in held[0]) > HELD:
-                    yield from map(packed, (0, ranges), held)
-                    held = [[], []]
-        if held[0]:
-            yield from map(packed, (0, ranges), held)
+            for block, doc, texts in zip(rows.block, rows.doc, rows.text):
+                held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+                for first, raw, offsets in common.byte_batches(texts, BATCH):
+                    for kind, found in enumerate((reads(raw, offsets), passages(raw, offsets))):
+                        held[kind].append((found[0], doc[first + found[1]]))
+                yield from (packed(shift, block, found) for shift, found in zip((0, ranges), held))
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         low = [np.frombuffer(x, np.uint32) for x in rows.low]
         many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)).astype(bool) for x, m in zip(low, rows.many)]
         kinds, times = np.unique(np.concatenate(low + [x[m] for x, m in zip(low, many)]), return_counts=True)
+        often, r = kinds[times > 1], rows.r.iloc[0]
+        if r < ranges:
+            return pd.DataFrame({"r": r, "block": rows.block, "flags": [np.packbits(_among(x, often)).tobytes() for x in low]})
         part = bits - int(np.log2(ranges))
         flags = np.zeros(1 << part, bool)
-        flags[kinds[times > 1] >> np.uint32(32 - part)] = True
-        return pd.DataFrame({"r": [rows.r.iloc[0]], "flags": [np.packbits(flags).tobytes()]})
+        flags[often >> np.uint32(32 - part)] = True
+        return pd.DataFrame({"r": [r], "block": [0], "flags": [np.packbits(flags).tobytes()]})
 
-    out = np.zeros((2 * ranges, 1 << (bits - int(np.log2(ranges)) - 3)), np.uint8)
-    flags = common.staged(docs.select("doc", "text").mapInPandas(sent, "r int, low binary, many binary").groupBy("r").applyInPandas(joined, "r int, flags binary"), "flags")
-    for row in flags.toLocalIterator():
-        out[row.r] = np.frombuffer(row.flags, np.uint8)
-    common.dropped(flags)
-    return out[:ranges].reshape(-1), out[ranges:].reshape(-1)
+    out = np.zeros((ranges, 1 << (bits - int(np.log2(ranges)) - 3)), np.uint8)
+    hashes = blocks.select("block", "doc", "text").mapInPandas(sent, "r int, block long, low binary, many binary")
+    flags = common.staged(hashes.groupBy("r").applyInPandas(joined, "r int, block long, flags binary"), "flags")
+    for row in flags.filter(F.col("r") >= ranges).select("r", "flags").toLocalIterator():
+        out[row.r - ranges] = np.frombuffer(row.flags, np.uint8)
+    return flags.filter(F.col("r") < ranges), out.reshape(-1)
 
 
 def _flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -166,38 +200,38 @@ def _joined(held: list[dict[str, list | np.ndarray]]) -> pd.DataFrame:
 READ = "doc long, key long, pos int, windows int, m long, h long, bytes binary"
 
 
-def settled_passages(docs: DataFrame, flags: np.ndarray) -> DataFrame:
-    """Staged: doc, key and `settled` (passages as start * 2**32 + stop) of documents with passages that a smaller document has too."""
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+def settled_passages(blocks: DataFrame, flags: np.ndarray) -> DataFrame:
+    """Staged: block, place in it, doc, key and span (start * 2**32 + stop) of passages that a smaller document has too."""
+    shared = blocks.sparkSession.sparkContext.broadcast(flags)
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
         for rows in batches:
-            doc, key = rows.doc.to_numpy(), rows.key.to_numpy()
-            for first, raw, offsets in common.byte_batches(rows.text, BATCH):
-                found = passages(raw, offsets)
-                keep = _flagged(shared.value, found[0])
-                h, text, start, stop = (x[keep] for x in found)
-                yield {"doc": doc[first + text], "key": key[first + text], "h": h.view(np.int64), "span": (start - offsets[text] << 32) + stop - offsets[text]}
-
-    found = common.staged(docs.select("doc", "key", "text").mapInPandas(lambda batches: _gathered(passed(batches)), "doc long, key long, h long, span long"), "passages")
+            for block, doc, key, texts in zip(rows.block, rows.doc, rows.key, rows.text):
+                for first, raw, offsets in common.byte_batches(texts, BATCH):
+                    found = passages(raw, offsets)
+                    keep = _flagged(shared.value, found[0])
+                    h, text, start, stop = (x[keep] for x in found)
+                    yield {"block": np.full(len(h), block), "at": (first + text).astype(np.int32), "doc": doc[first + text], "key": key[first + text],
+                           "h": h.view(np.int64), "span": (start - offsets[text] << 32) + stop - offsets[text]}
+
+    found = common.staged(blocks.mapInPandas(lambda batches: _gathered(passed(batches)), "block long, at int, doc long, key long, h long, span long"), "passages")
     shared.destroy()
     lows = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h", "low")
     lows = common.staged(lows, "lows")
-    covered = found.join(lows, "h").filter("doc > low")
-    settled = common.staged(covered.groupBy("doc", "key").agg(F.collect_list("span").alias("settled")), "settled")
+    settled = common.staged(found.join(lows, "h").filter("doc > low").select("block", "at", "doc", "key", "span"), "settled")
     common.dropped(found, lows)
     return settled
 
 
-def _open(found: tuple[np.ndarray, ...], first: int, offsets: np.ndarray, settled: pd.Series) -> np.ndarray:
-    """Which reads are not inside a settled passage of their text."""
+def _open(found: tuple[np.ndarray, ...], first: int, offsets: np.ndarray, place: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """Which reads are not inside a settled passage of their text; `place` says which text of the block a passage is in, in order."""
     _, text, at, windows, _ = found
     keep = np.ones(len(at), bool)
     edges = np.searchsorted(text, np.arange(len(offsets)))
+    cuts = np.searchsorted(place, np.arange(first, first + len(offsets)))
     for i in range(len(offsets) - 1):
-        spans = settled.iloc[first + i]
-        if spans is not None and edges[i + 1] > edges[i]:
-            spans = np.sort(np.asarray(spans, np.int64))
+        if cuts[i + 1] > cuts[i] and edges[i + 1] > edges[i]:
+            spans = np.sort(settled[cuts[i]: cuts[i + 1]])
             reach, own = np.maximum.accumulate(spans & 0xFFFFFFFF), slice(edges[i], edges[i + 1])
             begin = at[own] - offsets[i]
             before = np.searchsorted(spans >> 32, begin, side="right") - 1
@@ -205,40 +239,34 @@ def _open(found: tuple[np.ndarray, ...], first: int, offsets: np.ndarray, settle
     return keep
 
 
-def candidate_reads(docs: DataFrame, settled: DataFrame, flags: np.ndarray) -> DataFrame:
-    """Staged: doc, key, pos, windows, minimizer, hash and bytes of the reads that pass the flags and are not inside a settled passage."""
-    context = docs.sparkSession.sparkContext
-    shared, touched = context.broadcast(flags), context.broadcast(common.bitmap(settled, "key"))
-
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        return pd.Series(common.flagged(touched.value, keys.to_numpy(np.int64)))
-
+def candidate_reads(blocks: DataFrame, settled: DataFrame, flags: DataFrame, ranges: int) -> DataFrame:
+    """Staged: doc, key, pos, windows, minimizer, hash and bytes of the reads whose minimizer is flagged and that are not inside a settled passage."""
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, list | np.ndarray]]:
         for rows in batches:
-            doc, key = rows.doc.to_numpy(), rows.key.to_numpy()
-            for first, raw, offsets in common.byte_batches(rows.text, BATCH):
-                found = reads(raw, offsets)
-                keep = _flagged(shared.value, found[0])
-                found = tuple(x[keep] for x in found)
-                if "settled" in rows:
-                    keep = _open(found, first, offsets, rows.settled)
+            for doc, key, texts, names, marks, place, spans in zip(*(rows[c] for c in ("doc", "key", "text", "r", "flags", "at", "span"))):
+                parts = [(first, raw, offsets, reads(raw, offsets)) for first, raw, offsets in common.byte_batches(texts, BATCH)]
+                kinds, kind = np.unique(np.concatenate([found[0] for *_, found in parts]), return_inverse=True)
+                cuts, _ = _ranged(kinds, ranges)
+                hit = np.zeros(len(kinds), bool)
+                for r, mark in zip(names, marks) if names is not None else ():
+                    hit[cuts[r]: cuts[r + 1]] = np.unpackbits(np.frombuffer(mark, np.uint8), count=cuts[r + 1] - cuts[r])
+                keeps = np.split(hit[kind], np.cumsum([len(found[0]) for *_, found in parts])[:-1])
+                for (first, raw, offsets, found), keep in zip(parts, keeps):
                     found = tuple(x[keep] for x in found)
-                m, text, at, windows, h = found
-                data = raw.tobytes()
-                yield {"doc": doc[first + text], "key": key[first + text], "pos": (at - offsets[text]).astype(np.int32), "windows": windows.astype(np.int32),
-                       "m": m.view(np.int64), "h": h.view(np.int64), "bytes": [data[a: a + w + WINDOW - 1] for a, w in zip(at.tolist(), windows.tolist())]}
-
-    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _gathered(passed(batches))
-
-    split = docs.select("doc", "key", "text").withColumn("touched", maybe("key"))
-    s = settled.select(F.col("doc").alias("d"), F.col("key").alias("k"), "settled")
-    some = split.filter("touched").drop("touched").join(s, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
-    out = common.staged(split.filter("NOT touched").drop("touched").mapInPandas(batched, READ).unionByName(some.mapInPandas(batched, READ)), "reads")
-    shared.destroy()
-    touched.destroy()
-    return out
+                    if place is not None:
+                        keep = _open(found, first, offsets, place, spans)
+                        found = tuple(x[keep] for x in found)
+                    m, text, at, windows, h = found
+                    data = raw.tobytes()
+                    yield {"doc": doc[first + text], "key": key[first + text], "pos": (at - offsets[text]).astype(np.int32), "windows": windows.astype(np.int32),
+                           "m": m.view(np.int64), "h": h.view(np.int64), "bytes": [data[a: a + w + WINDOW - 1] for a, w in zip(at.tolist(), windows.tolist())]}
+
+    def of(rows: DataFrame, *columns: str) -> DataFrame:
+        # the texts are shuffled whatever their size: a side that is small enough for a broadcast at first would not stay so
+        return rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("x")).select("block", *(F.col(f"x.{c}").alias(c) for c in columns)).hint("shuffle_hash")
+
+    together = blocks.join(of(flags, "r", "flags"), "block", "left").join(of(settled, "at", "span"), "block", "left")
+    return common.staged(together.select("doc", "key", "text", "r", "flags", "at", "span").mapInPandas(lambda batches: _gathered(passed(batches)), READ), "reads")
 
 
 # --- the collection's Burrows-Wheeler transform, one symbol a read each round ---
@@ -394,9 +422,11 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     if ranges is None:
         ranges = 1 << max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     bits = max(bits, ranges.bit_length() + 3)
-    minimizer_flags, passage_flags = repeated(docs, ranges, bits)
-    settled = settled_passages(docs, passage_flags)
-    found = candidate_reads(docs, settled, minimizer_flags)
+    blocks = blocks_of(docs)
+    minimizer_flags, passage_flags = repeated(blocks, ranges, bits)
+    settled = settled_passages(blocks, passage_flags)
+    found = candidate_reads(blocks, settled, minimizer_flags, ranges)
+    common.dropped(blocks, minimizer_flags)
     kinds = found.groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("h").alias("h1"), F.max("h").alias("h2")).filter("low < high")
     kinds = common.staged(kinds.select("m", "low", (F.col("h1") != F.col("h2")).alias("mixed")), "minimizers")
     met = found.select("doc", "key", "pos", "windows", "m", "h").join(kinds, "m").filter("mixed OR doc > low")
@@ -419,7 +449,7 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     packed = lambda start, windows_end: F.shiftleft(start, 32) + windows_end + (WINDOW - 1)
     other = met.filter("mixed").join(runs, ["m", "h"]).filter("doc > low").select("doc", "key", packed(pos + F.col("first"), pos + F.col("stop")).alias("span"))
     spans = met.filter("NOT mixed").select("doc", "key", packed(pos, pos + F.col("windows")).alias("span")).unionByName(other)
-    spans = spans.unionByName(settled.select("doc", "key", F.explode("settled").alias("span")))
+    spans = spans.unionByName(settled.select("doc", "key", "span"))
     spans = common.staged(spans.groupBy("doc", "key").agg(F.collect_list("span").alias("spans")), "spans")
     common.dropped(settled, met, runs)
     return spans

@@ -414,6 +414,32 @@ def test_suffix_dedup_drops_its_steps(spark, folder, monkeypatch):
     assert {name: spark.conf.get(name) for name in suffix_dedup.SETTINGS} == before
 
 
+def test_suffix_dedup_marks_reads_exactly(spark, monkeypatch):
+    """However few the flags, only reads whose minimizer stands in two documents leave their task; blocks of any size give the same rows."""
+    rng = random.Random(8)
+    passage = words(rng, 40)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(60)) + (passage if i % 4 == 0 else "") + str(rng.random())) for i in range(48)]
+    holders, found = collections.defaultdict(set), []
+    for i, text in rows:
+        m = suffix_dedup.reads(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist()
+        found += m
+        for x in m:
+            holders[x].add(i)
+    shared, counts, staged = sum(len(holders[x]) > 1 for x in found), {}, common.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        counts[name] = out.count()
+        return out
+    monkeypatch.setattr(common, "staged", counted)
+    want = brute.cut_repeats(rows)
+    for block in (suffix_dedup.BLOCK, 3000):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bits=8)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in got.collect()} == want
+        assert 0 < counts["reads"] <= shared < len(found) / 2
+
+
 def test_sorted_suffixes():
     rng = random.Random(3)
     base = ["".join(rng.choice("ab") for _ in range(120)).encode() for _ in range(4)]
