@@ -3,8 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -124,6 +123,7 @@ def append_log(rows: DataFrame, path: str, number: int, key: str, every: int = 6
 
 SCAN = ("scanned_at", "id", "it_jobs")
 CHANGES = "n_at long, n_id long, n_jobs long, p_at long, p_id long, p_jobs long, alert boolean"
+CHANGE = Row("domain", *(c.split()[0] for c in CHANGES.split(", ")))
 
 
 class NewestTwo(StatefulProcessor):
@@ -132,18 +132,18 @@ class NewestTwo(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.scans = handle.getValueState("scans", "n_at long, n_id long, n_jobs long, p_at long, p_id long, p_jobs long, a_at long, a_id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        old = tuple(self.scans.get()) if self.scans.exists() else (None,) * 8
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        old = tuple(self.scans.get() or (None,) * 8)
         known = [t for t in (old[0:3], old[3:6]) if t[0] is not None]
-        best = list(known)
-        for part in rows:
-            best = sorted({*best, *zip(part["at"].tolist(), part["id"].tolist(), part["it_jobs"].tolist())}, reverse=True)[:2]
+        best = known
+        for r in rows:
+            best = sorted({*best, (r["at"], r["id"], r["it_jobs"])}, reverse=True)[:2]
         if best != known:
             newest, previous = best[0], best[1] if len(best) > 1 else (None,) * 3
             rising = previous[0] is not None and newest[2] > previous[2]
             alert = rising and newest[:2] != old[6:8]
             self.scans.update((*newest, *previous, *(newest[:2] if alert else old[6:8])))
-            yield pd.DataFrame([(key[0], *newest, *previous, alert)], columns=["domain", *(c.split()[0] for c in CHANGES.split(", "))], dtype=object)
+            yield CHANGE(key[0], *newest, *previous, alert)
 
     def close(self) -> None:
         pass
@@ -160,7 +160,7 @@ def job_changes(stream: DataFrame) -> DataFrame:
     low = F.lit(-2**62).cast("long")
     rows = stream.select("domain", F.coalesce(F.unix_micros(F.col("scanned_at").cast("timestamp")), low).alias("at"), F.coalesce(F.col("id").cast("long"), low).alias("id"),
                          F.coalesce(F.col("it_jobs").cast("long"), F.lit(0).cast("long")).alias("it_jobs"))
-    return rows.groupBy("domain").transformWithStateInPandas(NewestTwo(), f"domain {stream.schema['domain'].dataType.simpleString()}, {CHANGES}", "Update", "none")
+    return rows.groupBy("domain").transformWithState(NewestTwo(), f"domain {stream.schema['domain'].dataType.simpleString()}, {CHANGES}", "Update", "none")
 
 
 def stream_jobs_delta(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

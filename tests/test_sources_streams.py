@@ -3,6 +3,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import Row
 
 from leadloom.operators import scans as S
 from leadloom.sources import readers
@@ -135,6 +136,29 @@ def test_stream_delta_with_late_scans(spark, folder):
     assert alerts() == [*before[0], (4, "b", 9, 29)]
 
 
+def test_newest_two_work_on_rows():
+    """A key's scans come as rows, however many, and its state is read once and written only when it changes."""
+    calls = []
+
+    class Scans:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    two = streams.NewestTwo()
+    two.scans = Scans()
+    given = lambda *scans: [tuple(r) for r in two.handleInputRows(("a",), (Row(at=t, id=i, it_jobs=n) for t, i, n in scans), None)]
+    assert given((5, 1, 2), (9, 3, 7), (7, 5, 4), (9, 3, 7)) == [("a", 9, 3, 7, 7, 5, 4, True)]
+    assert given((1, 8, 50)) == [] and given((8, 9, 6)) == [("a", 9, 3, 7, 8, 9, 6, False)]
+    assert calls == ["get", "update", "get", "get", "update"]
+
+
 def test_log_is_merged(spark, folder):
     """Folders stay few over many batches, also when batches and merges come twice; the newest row of a key counts."""
     want = {}
