@@ -61,14 +61,14 @@ def dropped(*tables: DataFrame) -> None:
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for the steps that run inside, and what was there before for those after."""
-    before = {name: spark.conf.get(name) for name in values}
+    before = {name: spark.conf.get(name, None) for name in values}
     for name, value in values.items():
         spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def release(spark: SparkSession) -> None:

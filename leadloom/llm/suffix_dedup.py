@@ -29,8 +29,11 @@ EDGE, CUT_EVERY = 20, 64          # passages are cut at strings of EDGE bytes, C
 BATCH = 1 << 16                   # bytes whose arrays stay in a core's cache
 BLOCK = 3 << 20                   # characters of texts whose hashes are sent together and marked together
 ROWS = 50_000                     # rows gathered before they leave a task's Python
-# texts come to Python in small Arrow batches, and a step's shuffle files go when its table is written
-SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# texts come to Python in small Arrow batches, a block of texts by itself, not 4,096 blocks decoded at once; a step's shuffle files go when its table is written
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.enableNestedColumnVectorizedReader": "false",
+            "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# a writer of blocks holds one row group, which is looked at after some blocks instead of 100
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4"}
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -110,7 +113,8 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         doc, key, text = zip(*held)
         return pd.DataFrame({"block": [int.from_bytes(os.urandom(8)) >> 1], "doc": [list(doc)], "key": [list(key)], "text": [list(text)]})
 
-    return common.staged(docs.select("doc", "key", "text").mapInPandas(packed, "block long, doc array<long>, key array<long>, text array<string>"), "blocks")
+    with common.settings(docs.sparkSession, ROW_GROUPS):
+        return common.staged(docs.select("doc", "key", "text").mapInPandas(packed, "block long, doc array<long>, key array<long>, text array<string>"), "blocks")
 
 
 def _ranged(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.uint64]:
@@ -176,6 +180,15 @@ def repeated(blocks: DataFrame, ranges: int, bits: int) -> tuple[DataFrame, np.n
     return flags.filter(F.col("r") < ranges), out.reshape(-1)
 
 
+def _flags(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits flags of the hashes in `column` by their top bits. Words of 64 flags are put together by an aggregate, so that no task holds a table of flags and no further Python workers start."""
+    words = rows.select(F.expr(f"shiftrightunsigned({column}, {70 - bits})").alias("w"), F.expr(f"shiftleft(1L, cast(63 - (shiftrightunsigned({column}, {64 - bits}) & 63) as int))").alias("f"))
+    found = words.groupBy("w").agg(F.bit_or("f").alias("f")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["w"].to_numpy()] = found["f"].to_numpy()
+    return out.astype(">i8").view(np.uint8)
+
+
 def _flagged(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h >> np.uint64(64 - (int(len(flags)).bit_length() + 2))).astype(np.int64)
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
@@ -433,11 +446,11 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = 26, m
     met = common.staged(met.select("doc", "key", "mixed", F.when(F.col("mixed"), F.col("m")).alias("m"), F.when(F.col("mixed"), F.col("h")).alias("h"), "pos", "windows"), "met")
     # bytes are shuffled only where reads differ: a bounded filter first, the exact join behind it
     open_kinds = kinds.filter("mixed").select("m")
-    flags = spark.sparkContext.broadcast(common.bitmap(open_kinds, "m"))
+    flags = spark.sparkContext.broadcast(_flags(open_kinds, "m", 24))
 
     @F.pandas_udf("boolean")
     def maybe(m: pd.Series) -> pd.Series:
-        return pd.Series(common.flagged(flags.value, m.to_numpy(np.int64)))
+        return pd.Series(_flagged(flags.value, m.to_numpy(np.int64).view(np.uint64)))
 
     distinct = found.filter(maybe("m")).select("m", "h", "bytes", "doc").groupBy("m", "h", "bytes").agg(F.min("doc").alias("doc")).join(open_kinds, "m", "left_semi")
     distinct = common.staged(distinct, "distinct")
@@ -481,18 +494,21 @@ def remove_repeats(docs: DataFrame, filter_bits: int = 24, **how) -> DataFrame:
     """
     text = common.filled("text")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), common.text_key(text).alias("key"), text.alias("text"))
-    with common.settings(docs.sparkSession, SETTINGS):
-        spans = repeated_spans(rows, **how)
-    flags = docs.sparkSession.sparkContext.broadcast(common.bitmap(spans, "key", filter_bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        return pd.Series(common.flagged(flags.value, keys.to_numpy(np.int64)))
-
     cut = F.pandas_udf(_cut, CUT)
     zero = F.lit(0).cast("long")
-    split = rows.withColumn("touched", maybe("key"))
+    with common.settings(docs.sparkSession, SETTINGS):
+        spans = repeated_spans(rows, **how)
+        flags = docs.sparkSession.sparkContext.broadcast(_flags(spans, "key", filter_bits))
+
+        @F.pandas_udf("boolean")
+        def maybe(keys: pd.Series) -> pd.Series:
+            return pd.Series(_flagged(flags.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+        split = rows.withColumn("touched", maybe("key"))
+        s = spans.withColumnRenamed("doc", "d").withColumnRenamed("key", "k")
+        touched = split.filter("touched").join(s, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").withColumn("cut", cut("text", "spans"))
+        # texts are cut here, while the small Arrow batches hold; what is left of them takes the place of the spans
+        touched = common.staged(touched.select("doc_id", "cut.*"), "spans")
+        common.dropped(spans)
     whole = split.filter("NOT touched").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
-    s = spans.withColumnRenamed("doc", "d").withColumnRenamed("key", "k")
-    touched = split.filter("touched").join(s, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left").withColumn("cut", cut("text", "spans"))
-    return whole.unionByName(touched.select("doc_id", "cut.*"))
+    return whole.unionByName(touched)

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,6 +442,34 @@ def test_suffix_dedup_marks_reads_exactly(spark, monkeypatch):
         assert 0 < counts["reads"] <= shared < len(found) / 2
 
 
+def test_suffix_dedup_holds_little(spark, monkeypatch):
+    """Texts are cut while Arrow batches are small, flags need no Python workers of their own, and blocks are written in several row groups."""
+    batches, staged = {}, common.staged
+
+    def noted(df, name):
+        batches[name] = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")), df.columns
+        return staged(df, name)
+    monkeypatch.setattr(common, "staged", noted)
+    monkeypatch.setattr(common, "bitmap", None)
+    passage = " ".join(f"word{i}" for i in range(60))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(i, f"{i} {passage} {i * i}") for i in range(20)], "doc_id long, text string"))
+    assert got.filter("n_removed > 0").count() == 19
+    assert "kept" in batches["spans"][1] and all(size <= 2 << 20 for size, _ in batches.values())
+    monkeypatch.undo()
+    rng = np.random.default_rng(3)
+    texts = pd.DataFrame({"doc": range(20), "key": range(20), "text": [rng.integers(97, 123, suffix_dedup.BLOCK).astype(np.uint8).tobytes().decode() for _ in range(20)]})
+    blocks = suffix_dedup.blocks_of(spark.createDataFrame(texts).coalesce(1))
+    assert blocks.count() == 20 and min(pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in blocks.inputFiles()) > 1
+
+
+def test_flags_of_hashes(spark):
+    h = np.random.default_rng(4).integers(-2**63, 2**63, 3000)
+    df = spark.createDataFrame([(x,) for x in h[:1500].tolist()], "h long")
+    for bits in (8, 24):
+        hit = suffix_dedup._flagged(suffix_dedup._flags(df, "h", bits), h.view(np.uint64))
+        assert hit.tolist() == np.isin(h.view(np.uint64) >> np.uint64(64 - bits), h[:1500].view(np.uint64) >> np.uint64(64 - bits)).tolist()
+
+
 def test_sorted_suffixes():
     rng = random.Random(3)
     base = ["".join(rng.choice("ab") for _ in range(120)).encode() for _ in range(4)]
