@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,11 @@ def empty_to_null(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+def non_empty(c: Column) -> Column:
+    """`empty_to_null` of a costly value, which is computed once; nullif computes it to compare and again to return it."""
+    return F.try_element_at(F.filter(F.array(c), lambda v: v != ""), F.lit(1))
+
+
 WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
                "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -111,11 +117,35 @@ def contains_any(c: Column, tokens: Iterable[str]) -> Column:
     return c.rlike(any_of(tokens))
 
 
+def names_any(c: Column, tokens: Iterable[str]) -> Column:
+    """Whether a text holds one of the tokens in any case.
+
+    A token that holds another one tells nothing more. Tokens without letters that have a case (Hangul) are sought as they are, which is cheaper.
+    """
+    tokens = list(tokens)
+    few = [t for i, t in enumerate(tokens) if not any(o.lower() in t.lower() and (o.lower() != t.lower() or k < i) for k, o in enumerate(tokens) if k != i)]
+    cased = [t for t in few if t.lower() != t.upper()]
+    plain = [t for t in few if t not in cased]
+    hits = [c.contains(plain[0])] if len(plain) == 1 else [c.rlike(any_of(plain))] if plain else []
+    return reduce(lambda a, b: a | b, hits + ([c.rlike(f"(?iU){any_of(cased)}")] if cased else []))
+
+
+ODD_CASE = "\u0131\u017f\u0307"      # what is left in lower case of the letters beyond ASCII that match i and s in any case
+
+
+def may_name(c: Column, tokens: Iterable[str]) -> Column:
+    """False only for texts in which no token stands, in any case and with any white space between its words: a test of a whole page before its lines are tried."""
+    def held(low: Column) -> Column:
+        words = [[low.contains(w) for w in t.lower().split()] for t in tokens]
+        return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, ws) for ws in words] + [low.contains(x) for x in ODD_CASE])
+    return let(F.lower(c), held)
+
+
 def label_value(c: Column, labels: Sequence[str], max_len: int | None = None, separators: str = ":：") -> Column:
     """Value of `label : value`; the first label with a non-empty value wins, else null."""
     tail = rf"\s*[{separators}]\s*([^\n|·•]{{2,{max_len or ''}}})"
-    values = [empty_to_null(tidy(F.regexp_extract(c, f"(?iU){escape(label)}{tail}", 1))) for label in labels]
-    return F.when(c.rlike(rf"(?iU){any_of(labels)}\s*[{separators}]"), F.coalesce(*values))
+    values = [non_empty(tidy(F.regexp_extract(c, f"(?iU){escape(label)}{tail}", 1))) for label in labels]
+    return F.when(names_any(c, labels) & c.rlike(rf"(?iU){any_of(labels)}\s*[{separators}]"), F.coalesce(*values))
 
 
 def one_of(c: Column, allowed: Sequence[str], default: str | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, html
 from ..functions import urls as U
 from ..functions.ranking import first_per_key, top_per_key
-from ..functions.text import any_of, computed, count_tokens, cut, empty_to_null, escape, first_token, has_token, label_value, tidy
+from ..functions.text import any_of, computed, count_tokens, cut, escape, first_token, has_token, label_value, non_empty, tidy
 from . import elements
 
 
@@ -26,12 +26,12 @@ def employment_type(text: Column) -> Column:
 
 
 def deadline(text: Column) -> Column:
-    return empty_to_null(tidy(F.regexp_extract(text, "(?U)" + fixed.DEADLINE, 0)))
+    return non_empty(tidy(F.regexp_extract(text, "(?U)" + fixed.DEADLINE, 0)))
 
 
 def location(text: Column) -> Column:
     named = label_value(text, fixed.LOCATION_LABELS)
-    hints = [empty_to_null(tidy(F.regexp_extract(text, f"(?iU){escape(h)}{fixed.LOCATION_SUFFIX}", 0)))
+    hints = [non_empty(tidy(F.regexp_extract(text, f"(?iU){escape(h)}{fixed.LOCATION_SUFFIX}", 0)))
              for h in fixed.LOCATION_HINTS]
     return F.coalesce(named, F.when(text.rlike("(?i)" + any_of(fixed.LOCATION_HINTS)), F.coalesce(*hints)))
 
@@ -68,7 +68,7 @@ def job_candidates(pages: DataFrame, keywords: Sequence[str] = fixed.IT_JOB_KEYW
     shown = pages.where("category = 'recruitment'").select(*key, "final_url", "html")
     # held, so that the filter stays above a dealing of the pages instead of reading their texts in the few tasks before it
     jobs = computed(shown, _h=html.without_hidden(F.col("html"))).drop("html").where(F.lower("_h").rlike(any_of(keywords)))
-    found = elements.nearest(elements.spans(jobs, key, F.col("_h"), TAGS), key, BOXES).where(F.col("name").isin(*ENTRIES))
+    found = elements.nearest(elements.spans(jobs, key, F.col("_h"), TAGS), key, BOXES, tuple(ENTRIES), TAGS)
     # all entries of a page meet its parts once
     listed = found.groupBy(*key).agg(F.collect_list(F.struct("open", "name", "end", "box_open", "box_end")).alias("_entries"))
     at = [F.col(f"j.{c}").eqNullSafe(F.col(f"l.{c}")) for c in key]

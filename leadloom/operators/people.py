@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.ranking import top_per_key
-from ..functions.text import any_of, computed, contains_any, escape, stripped, tidy
+from ..functions.text import computed, contains_any, escape, may_name, names_any, stripped, tidy
 from . import rounds
 from .facts import category_rank, display_name, is_korean_name, is_plausible_name
 
@@ -69,6 +69,11 @@ def banned_names(pages: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return out.select("domain", F.lower("word").alias("word")).distinct()
 
 
+def naming_titles(pages: DataFrame, titles: Sequence[tuple[str, Sequence[str]]] = fixed.TITLE_GROUPS) -> DataFrame:
+    """Pages whose text can name a title; the others have no line that gives a contact."""
+    return pages.where(may_name(F.col("text"), [t for _, words in titles for t in words]))
+
+
 def contact_candidates(units: DataFrame, banned: DataFrame) -> DataFrame:
     """Names found beside a title, with the title's rank and the reading order."""
     tokens = sorted((t for _, words in fixed.TITLE_GROUPS for t in words), key=len, reverse=True)
@@ -79,7 +84,7 @@ def contact_candidates(units: DataFrame, banned: DataFrame) -> DataFrame:
     both = lambda pattern, t, n: F.zip_with(
         F.regexp_extract_all("unit", F.lit(pattern), F.lit(t)), F.regexp_extract_all("unit", F.lit(pattern), F.lit(n)),
         lambda a, b: F.struct(a.alias("title"), b.alias("name")))
-    near = units.where(F.col("unit").rlike("(?iU)" + any_of(tokens)))
+    near = units.where(names_any(F.col("unit"), tokens))
     rows = near.select(
         "domain", F.col("final_url").alias("source_url"), "unit", "joined",
         F.struct(category_rank(PEOPLE_PAGES).alias("cat"), "page_idx", "unit_pos").alias("_at"),

@@ -33,7 +33,7 @@ def scan_result(pages: DataFrame, max_pages: int | None = None, max_contacts: in
     lines = rounds.written(facts.line_facts(facts.text_sources(scanned)), "lines")
     single = {"name": names, "address": facts.company_address(facts.text_sources(scanned)), "email": emails, "industry": facts.company_industry(scanned)}
     single |= {f: lines.select("domain", F.col(f).alias("value"), F.col(f"{f}_source").alias("source_url")) for f in ("phone", "biz_number", "ceo")}
-    candidates = people.contact_candidates(people.text_units(scanned), people.banned_names(scanned, names))
+    candidates = people.contact_candidates(people.text_units(people.naming_titles(scanned)), people.banned_names(scanned, names))
     ceo = single["ceo"].where("value is not null and value <> ''")
     contacts = people.with_ceo(people.key_contacts(candidates, max_contacts), ceo, max_contacts)
     entries = rounds.written(jobs.job_candidates(scanned), "entries")

@@ -105,3 +105,16 @@ def test_context_of_an_opening(spark, html, expected):
 def test_footers_are_the_outermost_blocks(spark, html, blocks):
     df = spark.createDataFrame([(html,)], "html string")
     assert (df.select(H.footer_blocks(F.col("html")).alias("b")).first().b or []) == blocks
+
+
+def test_boxes_of_entries(spark):
+    """Asked for some elements only, and only of families on their page, the answers are the same."""
+    rng = random.Random(9)
+    pages = [("d", i, soup(rng)) for i in range(150)] + [("d", 150, "<a>x</a><h2>y</h2>")]
+    key = ("domain", "page_idx")
+    found = elements.spans(spark.createDataFrame(pages, "domain string, page_idx long, html string"), key, F.col("html"), NAMES)
+    some = ("a", "li", "h2")
+    rows = lambda df: {(r.page_idx, r.name, r.open, r.end, r.box_open, r.box_end) for r in df.collect()}
+    every = rows(elements.nearest(found, key, jobs.BOXES))
+    assert rows(elements.nearest(found, key, jobs.BOXES, some, NAMES)) == {r for r in every if r[1] in some}
+    assert {r[1] for r in every} == set(NAMES)

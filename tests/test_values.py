@@ -150,3 +150,23 @@ def test_links_and_entities_are_read_once(spark):
     assert "Contains" in (plan := df.select(unescape_html(F.col("href")))._jdf.queryExecution().optimizedPlan().toString()) or "contains(" in plan.lower()
     assert values(spark, ["a & b", "&lt;&#65;&amp;lt;", "plain", None], unescape_html) == ["a & b", "<A&lt;", "plain", None]
     assert values(spark, ["팩스: 02-111-2222 전화: 02-333-4444", "Fax 02-111-2222", "TEL 031-555-6666", "none"], facts.phone_of) == ["02-333-4444", None, "031-555-6666", None]
+
+
+def test_guards_of_tokens(spark):
+    """A guard says what its pattern says; that of a whole page never misses a token."""
+    from leadloom.functions import fixed
+    from leadloom.functions import text as X
+    tokens = [t for _, words in fixed.TITLE_GROUPS for t in words] + list(fixed.ADDRESS_LABELS) + ["k s"]
+    odd = ["", None, "plain", "대표\n이사", "it\n책임자", "대 표", *[s for t in tokens for s in (t, t.upper(), f"x{t}y", t.replace("s", "ſ").replace("k", "K"), t.replace("i", "İ"), t.replace("i", "ı"))]]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    for part in (tokens, fixed.ADDRESS_LABELS, fixed.KOREAN_REGIONS, ["CTO", "cto"], ["cto/연구소장", "연구소장"]):
+        rows = df.select("t", F.col("t").rlike("(?iU)" + X.any_of(part)).alias("want"), X.names_any(F.col("t"), part).alias("got"), X.may_name(F.col("t"), part).alias("may")).collect()
+        assert all(r.got == r.want and (r.may or not r.want) for r in rows), [r for r in rows if r.got != r.want or (r.want and not r.may)]
+    assert not df.where(X.may_name(F.col("t"), ("ceo",)) & (F.col("t") == "plain")).count()
+
+
+def test_costly_values_are_computed_once(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    for value, part in ((label_value(F.col("t"), ("주소",)), "regexp_extract("), (facts.keywords_found(F.col("t"), ("abc", "b")), "array_join("), (jobs.deadline(F.col("t")), "regexp_extract(")):
+        plan = df.select(F.when(F.col("t") != "", value).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(part) == 1, plan
